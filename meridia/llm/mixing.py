@@ -10,7 +10,6 @@ documents are the landing problem, solved by trying all outcomes.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,9 +93,9 @@ def fly(sizes: np.ndarray, p: np.ndarray, luck: np.ndarray) -> np.ndarray:
 
 def land(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The outcome of a few open units whose tokens, then documents, come nearest to what is expected."""
-    tokens, count = float(sizes @ p), float(p.sum())
-    best = min(itertools.product((0.0, 1.0), repeat=len(p)), key=lambda s: (abs(float(sizes @ np.array(s)) - tokens), abs(sum(s) - count), s))
-    return np.array(best)
+    outcomes = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(float)
+    off = np.abs(outcomes @ sizes - sizes @ p), np.abs(outcomes.sum(axis=1) - p.sum())
+    return outcomes[np.lexsort((off[1], np.round(off[0], 6)))[0]]
 
 
 def _by_source_block(rows: DataFrame, block: Column, last: bool, landing: int) -> DataFrame:
@@ -108,8 +107,10 @@ def _by_source_block(rows: DataFrame, block: Column, last: bool, landing: int) -
         seed = int(np.bitwise_xor.reduce(table["doc"].to_numpy().view(np.uint64))) & 0x7FFFFFFF
         luck = np.random.default_rng(seed).random(len(order) + 1)
         flown = p.copy()
-        if last and len(order) > landing:  # the smallest units stay for the landing, which then can come very near
-            head, tail = order[:-landing], order[-landing:]
+        if last and len(order) > landing:
+            # units of all sizes stay for the landing, whose outcomes then lie densely
+            tail = order[np.linspace(0, len(order) - 1, landing).astype(int)]
+            head = order[~np.isin(order, tail)]
             flown[head] = fly(size[head], p[head], luck)
             rest = np.concatenate([head[(flown[head] > 0) & (flown[head] < 1)], tail])
         elif last:
@@ -126,7 +127,7 @@ def _by_source_block(rows: DataFrame, block: Column, last: bool, landing: int) -
     return rows.withColumn("block", block).groupBy("sk", "block").applyInArrow(run, _ROW_DDL)
 
 
-def cube_sample(units: DataFrame, scratch: Scratch, block_rows: int = 5_000, landing: int = 12) -> DataFrame:
+def cube_sample(units: DataFrame, scratch: Scratch, block_rows: int = 5_000, landing: int = 14) -> DataFrame:
     """units (source, sk, doc, tk, copy, size, p) with p moved to 0 or 1 for every row."""
     counts = units.groupBy("sk").agg(F.count("*").alias("n"))
     level, done = 0, None
