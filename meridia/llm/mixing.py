@@ -172,3 +172,17 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     copies = F.when(F.col("size") > 0, F.floor("r") + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
     out = units.join(p, same, "left").withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "tk", "copy")
+
+
+def repeat_mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs, with all their columns, each row as often as the mix takes it; rows without words are not taken."""
+    drawn = mix_sources(docs, weights, share, most).filter("copies > 0")
+    picked = drawn.select(F.col("doc_id").alias("_mix_doc"), F.col("tk").alias("_mix_tk"), F.col("source").alias("_mix_source"), F.col("copy").alias("_mix_copy"), F.col("copies").alias("_mix_copies"))
+    rows = docs
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_doc")) & (F.coalesce(text_key(), F.lit(0)) == F.col("_mix_tk")) & docs["source"].cast("string").eqNullSafe(F.col("_mix_source"))
+    if drawn.filter("copy > 1").limit(1).count():  # rows alike are told apart by number, which takes another shuffle
+        alike = Window.partitionBy(docs["doc_id"].cast("long"), text_key(), docs["source"].cast("string")).orderBy(docs["doc_id"])
+        rows = docs.withColumn("_mix_row", F.row_number().over(alike))
+        same = same & (F.col("_mix_row") == F.col("_mix_copy"))
+    met = rows.join(picked, same)
+    return met.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

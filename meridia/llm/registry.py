@@ -11,6 +11,7 @@ from meridia.llm.kn_rules import judge_quality
 from meridia.llm.license_scan import scan_licenses
 from meridia.llm.line_dedup import dedup_lines
 from meridia.llm.mixing import mix_sources
+from meridia.llm.ngram_join import similarity_components
 from meridia.llm.quality_gam import fit_quality, score_quality
 from meridia.llm.secret_scan import scan_secrets
 from meridia.llm.substring_dedup import dedup_substrings
@@ -51,6 +52,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_output": op8_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
