@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]")
 
@@ -23,7 +24,7 @@ def normalize_text(text: str | None) -> str | None:
     return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in plain).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalize(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 

@@ -146,10 +146,10 @@ def label_anchor(vertices: DataFrame, grid: int = 13) -> DataFrame:
     steps = F.sequence(F.lit(0), F.lit(grid - 1))
     spread = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.col("s") + (i + 0.5) / grid * (F.col("n") - F.col("s"))).alias("lat"), (F.col("w") + (j + 0.5) / grid * (F.col("e") - F.col("w"))).alias("lon")))))
     cands = box.select("poly", F.posexplode(F.concat(F.array(F.struct(F.col("mlat").alias("lat"), F.col("mlon").alias("lon"))), spread)).alias("ix", "p")).select("poly", "ix", "p.lat", "p.lon")
-    met = cands.select("poly", "ix", F.col("lat").alias("y"), F.col("lon").alias("x")).join(outer.alias("e"), "poly")
+    met = cands.select("poly", F.col("ix").alias("cand"), F.col("lat").alias("y"), F.col("lon").alias("x")).join(outer.alias("e"), "poly")
     d = segment_distance_km(F.col("y"), F.col("x"), unit_vector(F.col("e.lat"), F.col("e.lon")), unit_vector(F.col("e.lat2"), F.col("e.lon2")))
-    judged = met.groupBy("poly", "ix", "y", "x").agg(F.sum(_crossed(F.col("y"), F.col("x")).cast("int")).alias("n"), F.min(d).alias("clear")).filter("n % 2 = 1")
-    best = judged.groupBy("poly").agg(F.max_by(F.struct("y", "x", "clear"), F.struct(F.round("clear", 6), -F.col("ix"))).alias("b"))
+    judged = met.groupBy("poly", "cand", "y", "x").agg(F.sum(_crossed(F.col("y"), F.col("x")).cast("int")).alias("n"), F.min(d).alias("clear")).filter("n % 2 = 1")
+    best = judged.groupBy("poly").agg(F.max_by(F.struct("y", "x", "clear"), F.struct(F.round("clear", 6), -F.col("cand"))).alias("b"))
     return best.select("poly", F.round("b.y", 6).alias("lat"), F.round("b.x", 6).alias("lon"), F.round("b.clear", 6).alias("clearance_km"))
 
 
