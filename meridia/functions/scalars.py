@@ -21,7 +21,7 @@ def round_half_up(x: Column) -> Column:
 
 
 def clamp_alpha(x: Column) -> Column:
-    return round_half_up(F.least(F.lit(ALPHA_MAX), F.greatest(F.lit(ALPHA_MIN), x)) * 100) / 100.0
+    return F.when(x.isNotNull(), round_half_up(F.least(F.lit(ALPHA_MAX), F.greatest(F.lit(ALPHA_MIN), x)) * 100) / 100.0)
 
 
 def parse_alpha(text: Column) -> Column:
