@@ -3,14 +3,15 @@
 A document is its set of word n-grams, as 64-bit hashes in one global order (by hash). Equal sets
 count once. Two sets that are similar enough share one of their first few n-grams (prefix filter), so:
 
-1. each prefix n-gram that several sets share proposes its least set as a hub for the others;
+1. each prefix n-gram that several sets share proposes its least set as a hub for the others, and
+   each set takes the hub with which it shares most;
 2. proposals pass an exact bound on the difference of their bitmaps, then a trie verifies them: the
    sets proposed to one hub are walked in order, each resuming from the overlap already counted for
    the path it shares with the one before, and dropped, with all that share the path, as soon as
    what remains is too short;
-3. links make components. Pairs whose sets already are in one component need no check. For n-grams
-   that still join several components, sets are paired across them within classes of like size,
-   in blocks of bounded size, and verified the same way.
+3. links make components. Pairs whose sets already are in one component need no check. Sets that
+   share a hub across components are paired by their bitmaps within classes of like size, in blocks
+   of bounded size, and verified the same way: first only pairs that join components, at last all.
 
 No pair across components is left out, so components are exact; pairs within one are not listed.
 """
@@ -23,14 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.substring_dedup import WordHashes, gram_hashes
 from meridia.llm.textops import Scratch, as_bytes, pieces, text_key
 
-SIG_WORDS = 8  # a bitmap of 512 bits
-_ONE = np.uint64(1)
+SALTS = 64  # parts that a hub's sets are dealt into
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -46,10 +46,27 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Each n-gram flips one bit, so two bitmaps differ in at most as many bits as the sets do in n-grams."""
-    at = (s >> np.uint64(20)) % np.uint64(64 * SIG_WORDS)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * SIG_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Bits, a power of two and at least twice the set's size; each n-gram flips one.
+
+    Two bitmaps of one width differ in at most as many bits as the sets do in n-grams, and halves
+    XORed are the bitmap of half the width.
+    """
+    width = max(512, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    while len(sig) > words:
+        sig = sig[: len(sig) // 2] ^ sig[len(sig) // 2 :]
+    return sig
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, num: int, den: int) -> bool:
+    """False only for sets that differ too much: with c in common they differ in na + nb - 2c n-grams, and c is at least num * (na + nb) / (num + den)."""
+    words = min(len(a), len(b))
+    bits = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+    return (num + den) * bits <= (den - num) * (na + nb)
 
 
 def similar(common: int, a: int, b: int, num: int, den: int) -> bool:
@@ -93,7 +110,7 @@ def _sets_of(raws: list[bytes], width: int, hashed: WordHashes) -> list[np.ndarr
 
 def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool) -> DataFrame:
     """doc_id, tk, n, f1, f2 for each row of docs; with full, also the bitmap and the prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *([("sig", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))] if full else [])])
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *([("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))] if full else [])])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
@@ -101,12 +118,12 @@ def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool) -> Dat
             rows = []
             for s in _sets_of(as_bytes(part.column(2)), width, hashed):
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                more = (bitmap(s), s[: prefix_length(len(s), num, den)].view(np.int64)) if full and len(s) else (None, None)
+                more = (bitmap(s).tobytes(), s[: prefix_length(len(s), num, den)].view(np.int64)) if full and len(s) else (None, None)
                 rows.append((len(s), int(f[0]), int(f[1]), *more[: 2 * full]))
             columns = list(zip(*rows)) or [[]] * (3 + 2 * full)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:]))], schema=schema)
 
-    ddl = "doc_id long, tk long, n long, f1 long, f2 long" + (", sig array<long>, prefix array<long>" if full else "")
+    ddl = "doc_id long, tk long, n long, f1 long, f2 long" + (", sig binary, prefix array<long>" if full else "")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), docs["text"].alias("text")).mapInArrow(run, ddl)
 
 
@@ -140,134 +157,186 @@ class SetJoin:
         self.sets = scratch.keep(full.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     def postings(self) -> DataFrame:
-        """(gram, node, n) of prefix n-grams that several sets share."""
+        """(gram, node, n, hub) of prefix n-grams that several sets share."""
         rows = self.sets.select(F.explode("prefix").alias("gram"), "node", "n")
         # the least and the greatest node, not a list, are gathered for each n-gram, and summed before they travel
-        ends = rows.groupBy("gram").agg(F.min(F.struct("n", "node")).alias("hub"), F.max("node").alias("last"), F.min("node").alias("first"))
-        shared = ends.filter(F.col("first") != F.col("last")).select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-        return self.scratch.keep(rows.join(shared, "gram"), "postings")
+        ends = rows.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+        return self.scratch.keep(rows.join(ends.filter("hub <> last").select("gram", "hub"), "gram"), "postings")
 
-    def _fits(self, a: Column, b: Column) -> Column:
-        return (self.den * F.least(a, b) >= self.num * F.greatest(a, b))
+    def proposals(self, postings: DataFrame) -> DataFrame:
+        """(a, b): each set b with the hub a of most of its n-grams among those of fitting size."""
+        hubs = self.sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+        met = postings.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"), F.first("n").alias("n")).join(hubs, "hub")
+        fits = self.den * F.least("n", "hub_n") >= self.num * F.greatest("n", "hub_n")
+        return met.filter(fits).groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("a")).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a: hub, b) that are similar enough: first by bitmaps, then by the trie of each hub's sets."""
         self.calls += 1
-        name = f"verify-{self.calls}"
-        sig = self.sets.select("node", "n", "sig")
-        a, b = (sig.select(*(F.col(c).alias(f"{x}_{c}") for c in sig.columns)) for x in "ab")
-        seen = pairs.join(a, pairs["a"] == a["a_node"]).join(b, pairs["b"] == b["b_node"])
-        bits = sum((F.bit_count(F.get("a_sig", F.lit(k)).bitwiseXOR(F.get("b_sig", F.lit(k)))) for k in range(SIG_WORDS)), F.lit(0))
-        total = F.col("a_n") + F.col("b_n")
-        # sets with c in common differ in total - 2c n-grams, and c is at least num * total / (num + den)
-        near = seen.filter(self._fits(F.col("a_n"), F.col("b_n")) & ((self.num + self.den) * bits <= (self.den - self.num) * total))
-        near = self.scratch.keep(near.select("a", "b"), f"{name}-near")
-        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        where = self.scratch.keep(wanted.join(self.sets, "node").select("node", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")), f"{name}-where")
-        found = self.full_sets(where)
-        salt = F.pmod(F.xxhash64("b"), F.lit(64))
-        left = near.withColumn("salt", salt)
-        partners = left.join(found.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
-        hubs = left.select("a", "salt").distinct().join(found.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
-        rows = partners.select("a", "salt", "b", F.col("b_set").alias("set")).unionByName(hubs.select("a", "salt", F.col("a").alias("b"), F.col("a_set").alias("set")))
-        num, den = self.num, self.den
+        name, num, den, width = f"verify-{self.calls}", self.num, self.den, self.width
+        a, b = (self.sets.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "sig"))) for x in "ab")
+        both = pairs.join(a, pairs["a"] == a["a_node"]).join(b, pairs["b"] == b["b_node"]).select("a", "b", "a_n", "b_n", "a_sig", "b_sig")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+        def bound(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in pieces(source):
+                _, _, na, nb, x, y = (c.to_pylist() for c in part.columns)
+                good = [may_link(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), m, n, num, den) for m, n, p, q in zip(na, nb, x, y)]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        near = self.scratch.keep(both.mapInArrow(bound, "a long, b long"), f"{name}-near")
+        # where each set must go: to its hubs, and a hub to every part that its sets are dealt into
+        salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+        roles = near.select(F.col("b").alias("node"), F.struct("a", salt.alias("salt")).alias("to")).unionByName(near.select(F.col("a").alias("node"), F.struct("a", salt.alias("salt")).alias("to")))
+        roles = roles.groupBy("node").agg(F.collect_set("to").alias("to"))
+        where = self.scratch.keep(roles.join(self.sets.select("node", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")), "node"), f"{name}-where")
+        rows = self.full_sets(where).select(F.explode("to").alias("to"), "node", "set").select("to.a", "to.salt", F.col("node").alias("b"), "set")
+
         def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows come by hub and salt, the hub's own set first; a hub's sets are taken in runs of bounded size."""
             now, hub, nodes, sets = None, None, [], []
 
             def out() -> pa.RecordBatch:
-                good = trie_links(hub, sets, num, den) if sets else []
-                kept = [n for n, ok in zip(nodes, good) if ok]
+                kept = [n for n, ok in zip(nodes, trie_links(hub, sets, num, den)) if ok]
                 return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(kept), pa.int64()), pa.array(kept, pa.int64())], schema=schema)
 
             for part in pieces(source, 500):
                 for a, salt, b, raw in zip(*(c.to_pylist() for c in part.columns)):
                     s = np.frombuffer(raw, np.uint64)
-                    if (a, salt) != now or len(sets) >= 500:
-                        if sets:
-                            yield out()
+                    if ((a, salt) != now or len(sets) >= 500) and sets:
+                        yield out()
                         nodes, sets = [], []
                     if (a, salt) != now:
                         now, hub = (a, salt), s
-                    else:
+                    elif b != a:  # rows alike in doc_id and text bring a hub's set again
                         nodes.append(b)
                         sets.append(s)
             if sets:
                 yield out()
 
-        dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"), "b").select("a", "salt", "b", "set")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"), "b").select("a", "salt", "b", "set")
         return self.scratch.keep(dealt.mapInArrow(walk, "a long, b long"), name)
 
     def full_sets(self, where: DataFrame) -> DataFrame:
-        """(node, set) of the wanted nodes, from the text of one row that has it. Small lists of rows go to the scans."""
-        if where.count() <= self.broadcast_rows:  # 24 bytes a row
+        """(node, to, set) of the wanted nodes, from the text of a row that has it. Small lists of rows go to the scans."""
+        if where.count() <= self.broadcast_rows:
             where = F.broadcast(where)
         docs = self.docs.select(self.docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), self.docs["text"].alias("text"))
-        rows = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t"))).select("node", "text")
+        rows = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t"))).select("node", "to", "text")
         width = self.width
-        schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashed = WordHashes()
             for part in pieces(source):
-                sets = [s.tobytes() for s in _sets_of(as_bytes(part.column(1)), width, hashed)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], schema=schema)
+                sets = [s.tobytes() for s in _sets_of(as_bytes(part.column(2)), width, hashed)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["node", "to", "set"])
 
-        self.found = getattr(self, "found", 0) + 1
-        return self.scratch.keep(rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), f"full-{self.found}")
+        return rows.mapInArrow(run, "node long, to array<struct<a:long,salt:int>>, set binary")
 
-    def across(self, postings: DataFrame, comps: DataFrame) -> DataFrame:
-        """(a, b) in different components that share a prefix n-gram and whose sizes and bitmaps allow a link."""
+    def across(self, met: DataFrame, comps: DataFrame, forest: bool) -> DataFrame:
+        """(a, b) in different components that share a hub and whose sizes and bitmaps allow a link.
+
+        met: (hub, node, n), each set with the hubs of its prefix n-grams: sets that share an n-gram share
+        its hub. With forest, a block of sets yields only pairs that would join further components of it.
+        """
         comp = F.coalesce("comp", "node").alias("comp")
-        rows = postings.select("gram", "node", "n").join(comps, "node", "left").select("gram", "node", "n", comp)
-        mixed = rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gram")
-        rows = rows.join(mixed, "gram")
+        rows = met.join(comps, "node", "left").select("hub", "node", "n", comp)
+        mixed = rows.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("hub")
         # sets of similar size are in one class or in neighbouring ones: each goes to its own and the one below
         size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) * (1 + 1e-9)).cast("int")
-        rows = rows.withColumn("own", size_class).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class"))
-        rows = self.scratch.keep(rows.withColumn("upper", F.col("own") != F.col("class")), "mixed")
-        counts = rows.groupBy("gram", "class").agg(F.count("*").alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("lower")).filter("m > 1 and lower > 0")
+        rows = rows.join(mixed, "hub").withColumn("own", size_class).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class"))
+        self.passes = getattr(self, "passes", 0) + 1
+        rows = self.scratch.keep(rows.withColumn("upper", F.col("own") != F.col("class")), f"mixed-{self.passes}")
+        counts = rows.groupBy("hub", "class").agg(F.count("*").alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("lower"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 1 and lower > 0 and x <> y")
         blocks = F.ceil(F.col("m") / self.block).cast("int")
-        sized = rows.join(counts.select("gram", "class", blocks.alias("blocks")), ["gram", "class"])
+        sized = rows.join(counts.select("hub", "class", blocks.alias("blocks")), ["hub", "class"])
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         # every pair of blocks meets once: a row goes to each pair that has its block
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
         dealt = sized.withColumn("block", block).withColumn("pair", F.explode(pairs))
-        dealt = dealt.join(self.sets.select("node", "sig"), "node").select("gram", "class", "pair.i", "pair.j", "node", "n", "comp", "upper", "block", "sig")
+        dealt = dealt.join(self.sets.select("node", "sig"), "node").select("hub", "class", "pair.i", "pair.j", "node", "n", "comp", "upper", "block", "sig")
         num, den = self.num, self.den
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def meet(table: pa.Table) -> pa.Table:
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
-            node, n, comp = (table[c].to_numpy() for c in ("node", "n", "comp"))
-            upper, block = table["upper"].to_numpy(), table["block"].to_numpy()
-            sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(node), SIG_WORDS).view(np.uint64)
-            left, right = [], []
-            for k in np.flatnonzero(~upper).tolist():
-                fit = (comp != comp[k]) & (den * np.minimum(n, n[k]) >= num * np.maximum(n, n[k]))
-                fit &= upper | (node > node[k])  # of two rows of the lower class, once
-                fit &= (block == j) if block[k] == i else (block == i)
-                at = np.flatnonzero(fit)
-                if len(at):
+        def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by hub, class and pair of blocks."""
+            now, held, pairs = None, [], []
+
+            def match() -> None:
+                root = {x[2]: x[2] for x in held}
+                if len(root) < 2:
+                    return
+                i, j = now[2:]
+                words = min(len(x[5]) for x in held) // 8
+                sig = np.array([folded(np.frombuffer(x[5], np.uint64), words) for x in held])
+                node, n, comp = (np.array([x[k] for x in held]) for k in range(3))
+                upper, block = np.array([x[3] for x in held]), np.array([x[4] for x in held])
+
+                def find(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for k in np.flatnonzero(~upper).tolist():
+                    fit = (comp != comp[k]) & (den * np.minimum(n, n[k]) >= num * np.maximum(n, n[k]))
+                    fit &= upper | (node > node[k])  # of two rows of the lower class, once
+                    fit &= (block == j) if block[k] == i else (block == i)
+                    at = np.flatnonzero(fit)
+                    if not len(at):
+                        continue
                     bits = np.bitwise_count(sig[at] ^ sig[k]).sum(axis=1, dtype=np.int64)
-                    at = at[(num + den) * bits <= (den - num) * (n[at] + n[k])]
-                    left += [int(node[k])] * len(at)
-                    right += node[at].tolist()
-            return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+                    good = (num + den) * bits <= (den - num) * (n[at] + n[k])
+                    at = at[good][np.argsort(bits[good], kind="stable")] if forest else at[good]
+                    for m in at.tolist():
+                        if forest:
+                            x, y = find(int(comp[k])), find(int(comp[m]))
+                            if x == y:
+                                continue
+                            root[x] = y
+                        pairs.append((int(node[k]), int(node[m])))
 
-        met = dealt.groupBy("gram", "class", "i", "j").applyInArrow(meet, "a long, b long")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            def out() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], schema=schema)
+                pairs.clear()
+                return made
 
-    def components(self) -> DataFrame:
-        """(node, comp) of the sets that have links; comp is the least node reachable."""
+            for part in pieces(source):
+                for hub, class_, i, j, *row in zip(*(c.to_pylist() for c in part.columns)):
+                    if (hub, class_, i, j) != now:
+                        match()
+                        now = (hub, class_, i, j)
+                        held.clear()
+                    held.append(row)
+                if len(pairs) > 10_000:
+                    yield out()
+            match()
+            yield out()
+
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = dealt.repartition(parts, "hub", "class", "i", "j").sortWithinPartitions("hub", "class", "i", "j")
+        found = self.scratch.keep(sorted_.mapInArrow(meet, "a long, b long").distinct(), f"across-{self.passes}")
+        self.scratch.drop(f"mixed-{self.passes}")
+        return found
+
+    def components(self, passes: int = 2) -> DataFrame:
+        """(node, comp) of the sets that have links; comp is the least node reachable.
+
+        After the hubs, some passes take only pairs that join components; the last takes all that are
+        left, so that none across components goes unchecked.
+        """
         postings = self.postings()
-        proposals = postings.filter((F.col("node") != F.col("hub")) & self._fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        links = self.verified(proposals)
-        comps = connected(links, self.scratch, "first")
-        more = self.verified(self.scratch.keep(self.across(postings, comps), "across"))
-        return connected(links.unionByName(more), self.scratch, "all")
+        met = self.scratch.keep(postings.groupBy("hub", "node").agg(F.first("n").alias("n")), "met")
+        links = self.verified(self.proposals(postings))
+        self.scratch.drop("postings")
+        comps = connected(links, self.scratch, "comps-0")
+        for k in range(passes + 1):
+            pairs = self.across(met, comps, forest=k < passes)
+            if not pairs.limit(1).count():
+                break
+            links = links.unionByName(self.verified(pairs))
+            comps = connected(links, self.scratch, f"comps-{k + 1}")
+        return comps
 
 
 def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,23 +355,30 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: i
     named = join.sets.select("f1", "f2", "node").join(comps, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp"))
     sets = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least")).join(named, ["f1", "f2"])
     least = sets.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = sets.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "component_id")
+    known = scratch.keep(sets.select("f1", "f2", "comp").join(least, "comp").select("f1", "f2", "component_id"), "known")
+    scratch.retain("rows", "known")
     out = rows.join(known, ["f1", "f2"], "left")
     return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 300_000) -> DataFrame:
     """docs, with all their columns, without all but one row of each component: one with its smallest doc_id.
 
     Rows with an empty set all stay. Of rows alike in doc_id and text one stays; rows with a null doc_id
-    stay only where their component has no other.
+    stay only where their component has no other. The rows to leave out go to the scans if they are at
+    most ``broadcast_rows``, else both sides are shuffled.
     """
-    found = similarity_components(docs, width, num, den)
-    kept = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tk").alias("_t")).select(F.col("component_id").alias("_d"), "_t")
-    words = F.length(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), "[\\x20\\x09-\\x0D]+", ""))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_d"]) & (text_key() == kept["_t"])
-    chosen = docs.filter(words > 0).join(kept, same, "left_semi")
-    alike = found.filter("n_shingles > 0").groupBy("doc_id", "tk").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1)
-    if alike.count():  # only then another shuffle of the texts is needed
-        chosen = chosen.dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter(words == 0))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.keep(similarity_components(docs, width, num, den), "found").filter("n_shingles > 0")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tk").alias("_t")).select(F.col("component_id").alias("_c"), "_t")
+    met = found.join(first, F.col("component_id").eqNullSafe(F.col("_c")))
+    gone = met.filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tk") == F.col("_t"))))
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_doc"), F.col("tk").alias("_tk")).distinct(), "gone")
+    alike = found.groupBy("doc_id", "tk").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count()
+    if gone.count() <= broadcast_rows:  # 16 bytes a row
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (text_key() == gone["_tk"]), "left_anti")
+    if not alike:
+        return kept
+    words = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""))
+    return kept.filter(words > 0).dropDuplicates(["doc_id", "text"]).unionByName(kept.filter(words == 0))

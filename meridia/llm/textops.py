@@ -50,6 +50,13 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def retain(self, *names: str) -> None:
+        """Remove all tables but these, once nothing still to be computed reads the others."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            self.drop(*({f.getPath().getName() for f in fs.listStatus(at)} - set(names)))
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing still to be computed reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -31,50 +31,78 @@ _BLOCK_DDL = "part int, seq int, n_tokens long, doc_ids array<long>, counts arra
 
 
 class WordEncoder:
-    """Bytes of the ids (little-endian, 32 bits) of texts, word by word.
+    """Bytes of the ids (little-endian) of texts, word by word; 16 bits an id where the vocabulary allows, else 32.
 
     The vocabularies that this serves drop white space and never join what it parts, so a text's ids
-    are those of its words. A word's ids are kept, up to ``most`` words; within a word, letters
-    followed by punctuation are two units of their own in such a vocabulary.
+    are those of its words; and letters followed by punctuation are two units of their own. Units are
+    encoded once and kept, up to ``most_units``; whole words are put together from them.
     """
 
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=?@\\[\\\\\\]^_`{}~-]*)")
-
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    #: A line of Latin letters in lower case, then punctuation; other lines give empty groups.
+    _PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([!\"#$%&()*+,./:;=?@\\[\\\\\\]^_`{}~-]*)$|.*$)", re.MULTILINE)
+
+    def __init__(self, path: str, most_units: int = 700_000, most_words: int = 150_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most_units, self.most_words = Tokenizer.from_file(path), most_units, most_words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(max(vocabulary.values()), END_ID) + 1
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.closes = np.zeros(size, bool)  # ids that end a unit
+        self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        # units need neither normalising nor splitting beyond the spaces between them
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
 
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
-        return {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(units, found)}
+    def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return {u: np.array(e.ids, dtype=self.kind).tobytes() for u, e in zip(texts, found)}
+
+    def _add_units(self, fresh: list[str]) -> None:
+        """Units of letters or of punctuation, encoded as one text and told apart by the ids that end them."""
+        for at in range(0, len(fresh), 2_000):
+            some = fresh[at : at + 2_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                self.units.update(self._encode_each(some))
+                continue
+            raw, first = ids.tobytes(), 0
+            for unit, last in zip(some, (ends * ids.itemsize).tolist()):
+                self.units[unit] = raw[first:last]
+                first = last
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of these words, among all that are known."""
-        fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > self.most and len(self.known) > self.most // 2:
-            self.known = {}
-            fresh = words
-        if len(self.units) > self.most:
+        """The ids of these words."""
+        if len(self.units) > self.most_units:
             self.units = {}
-        split = {}
-        for w in fresh:
-            text = w.decode("utf-8", "replace")
-            m = self._PLAIN.fullmatch(text)
-            split[w] = (m[1].lower(), m[2]) if m else (text, "")
-        need = {u for pair in split.values() for u in pair if u}.difference(self.units)
-        self.units.update(self._encode(list(need)))
-        units = self.units
-        for w, (a, b) in split.items():
-            self.known[w] = units[a] + units[b] if b else units[a]
-        return self.known
-
-    def __call__(self, texts: list[list[bytes]], end: bytes) -> Iterator[bytes]:
-        known = self.learn(set().union(*texts))
-        for words in texts:
-            yield b"".join(map(known.__getitem__, words)) + end
+        units, known = self.units, self.known
+        fresh = list(words.difference(known))
+        texts = b"\n".join(fresh).decode("utf-8", "replace")
+        parts = self._PLAIN.findall(texts.lower()) if fresh else []
+        if len(parts) != len(fresh):  # a character whose lower case breaks a line: none does, but ids must be right
+            parts = [self._PLAIN.findall(w.decode("utf-8", "replace").lower())[0] for w in fresh]
+        units[""] = b""
+        self._add_units(list({u for pair in parts for u in pair}.difference(units)))
+        # the most frequent words come early, and stay; later ones are known for this batch only
+        out = known if len(known) < self.most_words else {w: known[w] for w in words.intersection(known)}
+        odd = []
+        for w, (a, b) in zip(fresh, parts):
+            if a:
+                out[w] = units[a] + units[b] if b else units[a]
+            else:
+                odd.append(w)
+        if odd:
+            texts = [w.decode("utf-8", "replace") for w in odd]
+            ids = self._encode_each(texts)
+            out.update((w, ids[t]) for w, t in zip(odd, texts))
+        return out
+
+    def __call__(self, texts: list[list[bytes]], end_id: int) -> list[bytes]:
+        known, end = self.learn(set().union(*texts)), np.array([end_id], dtype=self.kind).tobytes()
+        return [b"".join(map(known.__getitem__, words)) + end for words in texts]
 
 
 @lru_cache(maxsize=2)
@@ -85,17 +113,13 @@ def _encoder(path: str) -> WordEncoder:
 
 def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) with ids as little-endian unsigned bytes: 16 bits each, where the vocabulary allows, else 32."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    narrow = vocabulary_size(tokenizer_path) <= 1 << 16
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for part in pieces(source, 1000):
-            ids = encoder([raw.split() for raw in as_bytes(part.column(1))], end)
-            if narrow:
-                ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(list(ids), pa.binary())], schema=schema)
+        for part in pieces(source):
+            ids = encoder([raw.split() for raw in as_bytes(part.column(1))], end_id)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -1,9 +1,5 @@
-import os
-
 import pytest
-
-SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, tk string, hits int, block int"
+from llm_common import SCHEMA, SF
 
 
 @pytest.fixture(scope="session")
@@ -41,8 +37,3 @@ def sf_docs(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-def rows(df, *columns):
-    """Rows as tuples, in a fixed order."""
-    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)

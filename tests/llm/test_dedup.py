@@ -3,7 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from llm_common import rows
 
 from meridia.llm.line_dedup import LineRuns, dedup_lines
 from meridia.llm.substring_dedup import dedup_substrings

@@ -4,11 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF, rows
+from llm_common import SF, rows
 from pyspark.sql import functions as F
 
 from meridia.llm.decontaminate import contamination_report, decontaminate
-from meridia.llm.ngram_join import SetJoin, bitmap, connected, keep_one, least_common, prefix_length, similar, similarity_components, trie_links
+from meridia.llm.ngram_join import SetJoin, bitmap, connected, keep_one, least_common, may_link, prefix_length, similar, similarity_components, trie_links
 from meridia.llm.textops import Scratch
 
 
@@ -160,8 +160,12 @@ def test_trie_equals_sets():
         want = [similar(len(np.intersect1d(hub, s)), len(hub), len(s), num, 100) for s in sets]
         assert trie_links(hub, sets, num, 100) == want
     for s in sets:
-        differ = len(np.setxor1d(hub, s))
-        assert int(np.bitwise_count((bitmap(hub) ^ bitmap(s)).view(np.uint64)).sum()) <= differ
+        common = len(np.intersect1d(hub, s))
+        for num in (10, 50, 85):
+            assert may_link(bitmap(hub), bitmap(s), len(hub), len(s), num, 100) or not similar(common, len(hub), len(s), num, 100)
+    big = np.unique(rng.integers(0, 1 << 60, 3000).astype(np.uint64))
+    assert may_link(bitmap(big), bitmap(big[100:]), 3000, 2900, 85, 100) and len(bitmap(big)) > len(bitmap(big[2000:]))
+    assert not may_link(bitmap(big), bitmap(np.unique(rng.integers(0, 1 << 60, 2900).astype(np.uint64))), 3000, 2900, 85, 100)
     assert least_common(100, 100, 85, 100) == 92 and prefix_length(100, 85, 100) == 16
 
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF, rows
+from llm_common import SF, rows
 from pyspark.sql import functions as F
 
 from meridia.llm.kn_rules import Model, count_grams, fit_model, gram_keys, judge_quality, text_stats

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import SF
+from llm_common import SF
 from pyspark.sql import functions as F
 
 

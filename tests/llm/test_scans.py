@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import rows
+from llm_common import rows
 
 from meridia.llm.license_scan import PHRASES, allowed_edits, fuzzy_spans, scan_licenses, seeds_of
 from meridia.llm.secret_scan import find_secrets, github_checksum, luhn, scan_secrets
