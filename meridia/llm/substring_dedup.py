@@ -80,22 +80,16 @@ def super_kmers(words: list[bytes], hashes: np.ndarray, window: int, gram: int)
 
 
 def _pack(rows: list[tuple]) -> bytes:
-    """rows: (doc, tk, start, string or None, length of a repeated run in words)."""
-    head = np.array([(d, t, s, -n if x is None else len(x)) for d, t, s, x, n in rows], dtype=np.int64)
-    return zstandard.compress(struct.pack("<q", len(rows)) + np.ascontiguousarray(head.T).tobytes() + b"".join(x for _, _, _, x, _ in rows if x is not None), 3)
+    """rows: (doc, tk, start, string or None, its words); None stands for a repeated run."""
+    head = np.array([(d, t, s, -n if x is None else n) for d, t, s, x, n in rows], dtype=np.int64)
+    return zstandard.compress(struct.pack("<q", len(rows)) + np.ascontiguousarray(head.T).tobytes() + b" ".join(x for _, _, _, x, _ in rows if x is not None), 3)
 
 
-def _unpack(packed: bytes) -> Iterator[tuple[int, int, int, bytes | None, int]]:
+def _unpack(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Columns doc, tk, start and words (negative: a repeated run), and the words of all strings."""
     raw = zstandard.decompress(packed)
     (n,) = struct.unpack_from("<q", raw)
-    head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n).T.tolist()
-    at = 8 + 32 * n
-    for d, t, s, size in head:
-        if size < 0:
-            yield d, t, s, None, -size
-        else:
-            yield d, t, s, raw[at : at + size], 0
-            at += size
+    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :].split()
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -117,7 +111,7 @@ def _send(window: int, gram: int, buckets: int, flush: int):
 
         def out() -> pa.RecordBatch:
             for string, (doc, start, tk, bucket) in first.items():
-                sent.setdefault(bucket, []).append((doc, tk, start, string, 0))
+                sent.setdefault(bucket, []).append((doc, tk, start, string, string.count(b" ") + 1))
             keys = sorted(sent)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_pack(sent[k]) for k in keys], pa.binary())], schema=_SENT)
 
@@ -134,7 +128,7 @@ def _send(window: int, gram: int, buckets: int, flush: int):
                     held += 100
                     if before[:2] == me[:2]:  # one document met twice: neither row is earlier
                         if before[2] != tk:
-                            sent.setdefault(bucket, []).append((doc, tk, start, string, 0))
+                            sent.setdefault(bucket, []).append((doc, tk, start, string, count + window - 1))
                         continue
                     if me[:2] < before[:2]:
                         first[string] = (*me, bucket)
@@ -153,36 +147,64 @@ def _send(window: int, gram: int, buckets: int, flush: int):
     return run
 
 
+def repeated_windows(codes: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Which windows equal one at an earlier (doc, start). Windows begin at ``at`` of the word numbers ``codes``.
+
+    Windows are sorted by a hash of their word numbers; each is then compared with the first of its
+    hash number by number. Where a hash stands for different windows, those are told apart by their numbers.
+    """
+    out = np.zeros(len(at), bool)
+    if not len(at):
+        return out
+    keys = gram_hashes(mixed(codes.astype(np.uint64) * _MIX), window)[at]
+    by = np.lexsort((start, doc, keys))
+    keys, doc, start = keys[by], doc[by], start[by]
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    first = np.repeat(firsts, np.diff(np.concatenate((firsts, [len(keys)]))))
+    later = np.flatnonzero(first != np.arange(len(keys)))
+    same = np.ones(len(later), bool)
+    for j in range(window):
+        same &= codes[at[by[later]] + j] == codes[at[by[first[later]]] + j]
+    moved = (doc[later] != doc[first[later]]) | (start[later] != start[first[later]])
+    out[by[later[same & moved]]] = True
+    seen: dict[tuple[int, bytes], tuple] = {}
+    for k in later[~same].tolist():
+        place = seen.setdefault((int(first[k]), codes[at[by[k]] : at[by[k]] + window].tobytes()), (doc[k], start[k]))
+        out[by[k]] = place != (doc[k], start[k])
+    return out
+
+
 def _meet(window: int):
     """A bucket's windows, sorted: every one that is not the first of its words is repeated."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple[int, int]] = {}
-        packs: list[bytes] = []
-        spans: dict[tuple[int, int], list] = {}
+        numbers: dict[bytes, int] = {}
+        heads, codes = [np.zeros((4, 0), np.int64)], [np.zeros(0, np.int32)]
         for part in source:
-            packs += part.column("packed").to_pylist()
-        for later in (False, True):  # first the earliest place of each window, then the others
-            for packed in packs:
-                for doc, tk, start, string, length in _unpack(packed):
-                    if string is None:
-                        if later:
-                            spans.setdefault((doc, tk), []).append((start, start + length))
-                        continue
-                    cuts = [-1]
-                    at = string.find(b" ")
-                    while at >= 0:
-                        cuts.append(at)
-                        at = string.find(b" ", at + 1)
-                    cuts.append(len(string))
-                    for i in range(len(cuts) - window):
-                        w = hashlib.blake2b(string[cuts[i] + 1 : cuts[i + window]], digest_size=16).digest() if cuts[i + window] - cuts[i] > 1024 else string[cuts[i] + 1 : cuts[i + window]]
-                        place = (doc, start + i)
-                        if later:
-                            if first[w] < place:
-                                spans.setdefault((doc, tk), []).append((start + i, start + i + window))
-                        elif (before := first.get(w)) is None or place < before:
-                            first[w] = place
+            for packed in part.column("packed").to_pylist():
+                head, words = _unpack(packed)
+                for w in set(words).difference(numbers):
+                    numbers[w] = len(numbers)
+                heads.append(head)
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        head, codes = np.concatenate(heads, axis=1), np.concatenate(codes)
+        runs, strings = head[:, head[3] < 0], head[:, head[3] > 0]
+        counts = strings[3] - window + 1
+        row = np.repeat(np.arange(len(counts)), counts)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(strings[3]) - strings[3], counts) + nth
+        start = strings[2][row] + nth
+        gone = np.flatnonzero(repeated_windows(codes, at, strings[0][row], start, window))
+        found = [np.concatenate((x, y)) for x, y in zip((strings[0][row[gone]], strings[1][row[gone]], start[gone], start[gone] + window), (runs[0], runs[1], runs[2], runs[2] - runs[3]))]
+        by = np.lexsort((found[2], found[1], found[0]))
+        spans: dict[tuple[int, int], list] = {}
+        doc, tk, a, b = (x[by] for x in found)
+        # a window that begins where the one before it did, or a word later, goes on with its span
+        fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1]) | (a[1:] - a[:-1] > 1)))) if len(by) else np.zeros(0, np.int64)
+        if len(by):
+            ends = np.maximum.reduceat(b, fresh)
+            for d, t, x, y in zip(doc[fresh].tolist(), tk[fresh].tolist(), a[fresh].tolist(), ends.tolist()):
+                spans.setdefault((d, t), []).append((x, y))
         rows = [(d, t, _merge(x)) for (d, t), x in spans.items()]
         columns = [[d for d, _, _ in rows], [t for _, t, _ in rows], [[a for a, _ in x] for _, _, x in rows], [[b for _, b in x] for _, _, x in rows]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)

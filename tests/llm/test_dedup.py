@@ -82,3 +82,22 @@ def test_windows_equal_brute_force(which, window, request):
 
 def test_windows_empty_table(empty):
     assert dedup_substrings(empty).collect() == []
+
+
+def test_repeated_windows_survive_equal_hashes(monkeypatch):
+    import numpy as np
+
+    from meridia.llm import substring_dedup as module
+
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 3, 400).astype(np.int32)
+    at = np.concatenate([np.arange(0, 190), np.arange(200, 390)])
+    doc, start = np.where(at < 200, 7, 3), at % 200
+    first, want = {}, []
+    for k in np.lexsort((start, doc)):
+        w, place = tuple(codes[at[k] : at[k] + 5]), (doc[k], start[k])
+        want.append((k, first.setdefault(w, place) != place))
+    want = [x for _, x in sorted(want)]
+    assert module.repeated_windows(codes, at, doc, start, 5).tolist() == want
+    monkeypatch.setattr(module, "gram_hashes", lambda words, gram: np.zeros(len(words) - gram + 1, np.uint64))
+    assert module.repeated_windows(codes, at, doc, start, 5).tolist() == want
