@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.substring_dedup import WordHashes, gram_hashes
+from meridia.llm.substring_dedup import gram_hashes, word_hashes
 from meridia.llm.textops import Scratch, as_bytes, pieces, text_key
 
 SALTS = 64  # parts that a hub's sets are dealt into
@@ -104,8 +104,8 @@ def trie_links(hub: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     return out
 
 
-def _sets_of(raws: list[bytes], width: int, hashed: WordHashes) -> list[np.ndarray]:
-    return [shingle_set(hashed(raw.lower().split()), width) for raw in raws]
+def _sets_of(raws: list[bytes], width: int) -> list[np.ndarray]:
+    return [shingle_set(word_hashes(b" ".join(raw.lower().split())), width) for raw in raws]
 
 
 def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool) -> DataFrame:
@@ -113,10 +113,9 @@ def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *([("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))] if full else [])])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
         for part in pieces(source):
             rows = []
-            for s in _sets_of(as_bytes(part.column(2)), width, hashed):
+            for s in _sets_of(as_bytes(part.column(2)), width):
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 more = (bitmap(s).tobytes(), s[: prefix_length(len(s), num, den)].view(np.int64)) if full and len(s) else (None, None)
                 rows.append((len(s), int(f[0]), int(f[1]), *more[: 2 * full]))
@@ -227,9 +226,8 @@ class SetJoin:
         width = self.width
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashed = WordHashes()
             for part in pieces(source):
-                sets = [s.tobytes() for s in _sets_of(as_bytes(part.column(2)), width, hashed)]
+                sets = [s.tobytes() for s in _sets_of(as_bytes(part.column(2)), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["node", "to", "set"])
 
         return rows.mapInArrow(run, "node long, to array<struct<a:long,salt:int>>, set binary")

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,25 +51,42 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class WordHashes:
-    """Hashes of words; keeps those met so far, up to a bound."""
+class ByteHashes:
+    """Hashes of any slices of a byte string, from sums over its prefixes: each byte's own 64 bits times a power.
 
-    def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
+    Equal slices have equal hashes wherever they stand; whoever needs certainty compares the bytes.
+    """
+
+    _of_byte = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+    _base, _powers = 0x9E3779B97F4A7C15, np.ones((2, 1), np.uint64)
+
+    def __init__(self, raw: bytes):
+        n = len(raw)
+        if ByteHashes._powers.shape[1] <= n:
+            both = (self._base, pow(self._base, -1, 1 << 64))
+            ByteHashes._powers = np.array([np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, p, np.uint64)])) for p in both])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self._of_byte[np.frombuffer(raw, np.uint8)] * self._powers[0, :n], out=self.sums[1:])
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[last] - self.sums[first]) * self._powers[1, first])
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > self.most:
-            known.clear()
-        return out
 
+def word_edges(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a line with single spaces begins and ends."""
+    if not line:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(line)]))
 
-def super_kmers(words: list[bytes], hashes: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
+
+def word_hashes(line: bytes) -> np.ndarray:
+    return ByteHashes(line)(*word_edges(line))
+
+
+def super_kmers(hashes: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
     """(minimiser, first window, windows) of each run of windows with one minimiser."""
-    if len(words) < window:
+    if len(hashes) < window:
         return
     least = window_minima(gram_hashes(hashes, gram), window - gram + 1)
     edges = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -85,11 +101,11 @@ def _pack(rows: list[tuple]) -> bytes:
     return zstandard.compress(struct.pack("<q", len(rows)) + np.ascontiguousarray(head.T).tobytes() + b" ".join(x for _, _, _, x, _ in rows if x is not None), 3)
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Columns doc, tk, start and words (negative: a repeated run), and the words of all strings."""
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """Columns doc, tk, start and words (negative: a repeated run), and all strings with a space between."""
     raw = zstandard.decompress(packed)
     (n,) = struct.unpack_from("<q", raw)
-    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :].split()
+    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -104,25 +120,25 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def _send(window: int, gram: int, buckets: int, flush: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
         first: dict[bytes, tuple] = {}
         sent: dict[int, list] = {}
         held = 0
 
         def out() -> pa.RecordBatch:
-            for string, (doc, start, tk, bucket) in first.items():
-                sent.setdefault(bucket, []).append((doc, tk, start, string, string.count(b" ") + 1))
+            for string, (doc, start, tk, bucket, n) in first.items():
+                sent.setdefault(bucket, []).append((doc, tk, start, string, n))
             keys = sorted(sent)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_pack(sent[k]) for k in keys], pa.binary())], schema=_SENT)
 
         for part in pieces(source):
             for doc, tk, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
-                words = raw.split()
-                for least, start, count in super_kmers(words, hashed(words), window, gram):
-                    string = b" ".join(words[start : start + count + window - 1])
+                line = b" ".join(raw.split())
+                begin, end = word_edges(line)
+                for least, start, count in super_kmers(ByteHashes(line)(begin, end), window, gram):
+                    string = line[begin[start] : end[start + count + window - 2]]
                     bucket, me = least % buckets, (doc, start, tk)
                     if (before := first.get(string)) is None:
-                        first[string] = (*me, bucket)
+                        first[string] = (*me, bucket, count + window - 1)
                         held += len(string) + 300
                         continue
                     held += 100
@@ -131,7 +147,7 @@ def _send(window: int, gram: int, buckets: int, flush: int):
                             sent.setdefault(bucket, []).append((doc, tk, start, string, count + window - 1))
                         continue
                     if me[:2] < before[:2]:
-                        first[string] = (*me, bucket)
+                        first[string] = (*me, bucket, count + window - 1)
                         doc, start, tk = before[0], before[1], before[2]
                     else:
                         doc, start, tk = me
@@ -147,30 +163,28 @@ def _send(window: int, gram: int, buckets: int, flush: int):
     return run
 
 
-def repeated_windows(codes: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """Which windows equal one at an earlier (doc, start). Windows begin at ``at`` of the word numbers ``codes``.
+def repeated_windows(line: bytes, first: np.ndarray, last: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows, line[first:last], equal one at an earlier (doc, start).
 
-    Windows are sorted by a hash of their word numbers; each is then compared with the first of its
-    hash number by number. Where a hash stands for different windows, those are told apart by their numbers.
+    Windows are sorted by hash; each is then compared with the first of its hash byte by byte. Where
+    a hash stands for different windows, those are told apart by their words.
     """
-    out = np.zeros(len(at), bool)
-    if not len(at):
+    out = np.zeros(len(first), bool)
+    if not len(first):
         return out
-    keys = gram_hashes(mixed(codes.astype(np.uint64) * _MIX), window)[at]
+    keys = ByteHashes(line)(first, last)
     by = np.lexsort((start, doc, keys))
-    keys, doc, start = keys[by], doc[by], start[by]
-    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    first = np.repeat(firsts, np.diff(np.concatenate((firsts, [len(keys)]))))
-    later = np.flatnonzero(first != np.arange(len(keys)))
-    same = np.ones(len(later), bool)
-    for j in range(window):
-        same &= codes[at[by[later]] + j] == codes[at[by[first[later]]] + j]
-    moved = (doc[later] != doc[first[later]]) | (start[later] != start[first[later]])
+    keys, doc, start, first, last = keys[by], doc[by], start[by], first[by], last[by]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    head = np.repeat(heads, np.diff(np.concatenate((heads, [len(keys)]))))
+    later = np.flatnonzero(head != np.arange(len(keys)))
+    of = head[later]
+    moved = (doc[later] != doc[of]) | (start[later] != start[of])
+    same = np.fromiter((line[a:b] == line[c:d] for a, b, c, d in zip(first[later].tolist(), last[later].tolist(), first[of].tolist(), last[of].tolist())), bool, len(later))
     out[by[later[same & moved]]] = True
-    seen: dict[tuple[int, bytes], tuple] = {}
+    seen: dict[bytes, tuple] = {}
     for k in later[~same].tolist():
-        place = seen.setdefault((int(first[k]), codes[at[by[k]] : at[by[k]] + window].tobytes()), (doc[k], start[k]))
-        out[by[k]] = place != (doc[k], start[k])
+        out[by[k]] = seen.setdefault(line[first[k] : last[k]], (doc[k], start[k])) != (doc[k], start[k])
     return out
 
 
@@ -178,23 +192,22 @@ def _meet(window: int):
     """A bucket's windows, sorted: every one that is not the first of its words is repeated."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        heads, codes = [np.zeros((4, 0), np.int64)], [np.zeros(0, np.int32)]
+        heads, lines = [np.zeros((4, 0), np.int64)], []
         for part in source:
             for packed in part.column("packed").to_pylist():
-                head, words = _unpack(packed)
-                for w in set(words).difference(numbers):
-                    numbers[w] = len(numbers)
+                head, line = _unpack(packed)
                 heads.append(head)
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-        head, codes = np.concatenate(heads, axis=1), np.concatenate(codes)
+                if line:
+                    lines.append(line)
+        head, line = np.concatenate(heads, axis=1), b" ".join(lines)
+        begin, end = word_edges(line)
         runs, strings = head[:, head[3] < 0], head[:, head[3] > 0]
         counts = strings[3] - window + 1
         row = np.repeat(np.arange(len(counts)), counts)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(np.cumsum(strings[3]) - strings[3], counts) + nth
         start = strings[2][row] + nth
-        gone = np.flatnonzero(repeated_windows(codes, at, strings[0][row], start, window))
+        gone = np.flatnonzero(repeated_windows(line, begin[at], end[at + window - 1], strings[0][row], start))
         found = [np.concatenate((x, y)) for x, y in zip((strings[0][row[gone]], strings[1][row[gone]], start[gone], start[gone] + window), (runs[0], runs[1], runs[2], runs[2] - runs[3]))]
         by = np.lexsort((found[2], found[1], found[0]))
         spans: dict[tuple[int, int], list] = {}

@@ -89,15 +89,19 @@ def test_repeated_windows_survive_equal_hashes(monkeypatch):
 
     from meridia.llm import substring_dedup as module
 
-    rng = np.random.default_rng(5)
-    codes = rng.integers(0, 3, 400).astype(np.int32)
+    words = [bytes([97 + k]) * (1 + k) for k in np.random.default_rng(5).integers(0, 3, 400)]
+    line = b" ".join(words)
+    begin, end = module.word_edges(line)
+    assert [line[a:b] for a, b in zip(begin, end)] == words
+    hashes = module.word_hashes(line)
+    assert len(set(hashes.tolist())) == 3 and len({(w, h) for w, h in zip(words, hashes.tolist())}) == 3
     at = np.concatenate([np.arange(0, 190), np.arange(200, 390)])
     doc, start = np.where(at < 200, 7, 3), at % 200
     first, want = {}, []
     for k in np.lexsort((start, doc)):
-        w, place = tuple(codes[at[k] : at[k] + 5]), (doc[k], start[k])
+        w, place = tuple(words[at[k] : at[k] + 5]), (doc[k], start[k])
         want.append((k, first.setdefault(w, place) != place))
     want = [x for _, x in sorted(want)]
-    assert module.repeated_windows(codes, at, doc, start, 5).tolist() == want
-    monkeypatch.setattr(module, "gram_hashes", lambda words, gram: np.zeros(len(words) - gram + 1, np.uint64))
-    assert module.repeated_windows(codes, at, doc, start, 5).tolist() == want
+    assert module.repeated_windows(line, begin[at], end[at + 4], doc, start).tolist() == want
+    monkeypatch.setattr(module, "mixed", lambda h: h * np.uint64(0))
+    assert module.repeated_windows(line, begin[at], end[at + 4], doc, start).tolist() == want
