@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join and its components.
 
-A document is its set of word n-grams, as 64-bit hashes in one global order (by hash). Equal sets
-count once. Two sets that are similar enough share one of their first few n-grams (prefix filter), so:
+A document is its set of word n-grams, as 64-bit hashes in one global order: by hash, but n-grams
+known to be common last, so that a passage of many texts rarely stands among a set's first n-grams.
+Equal sets count once. Two sets that are similar enough share one of their first few n-grams (prefix
+filter, right in any order that is the same for all), so:
 
 1. each prefix n-gram that several sets share proposes its least set as a hub for the others, and
    each set takes the hub with which it shares most;
@@ -108,24 +110,58 @@ def _sets_of(raws: list[bytes], width: int) -> list[np.ndarray]:
     return [shingle_set(word_hashes(b" ".join(raw.lower().split())), width) for raw in raws]
 
 
-def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool) -> DataFrame:
-    """doc_id, tk, n, f1, f2 for each row of docs; with full, also the bitmap and the prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *([("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))] if full else [])])
+def ordered(s: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """A sorted set in the global order: n-grams that aren't among the common ones, then those by level; by hash within."""
+    if common is None or not len(common[0]):
+        return s
+    keys, levels = common
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return s[np.argsort(np.where(keys[at] == s, levels[at], 0), kind="stable")]
+
+
+def set_rows(docs: DataFrame, width: int, num: int, den: int, full: bool, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """doc_id, tk, n, f1, f2 for each row of docs; with full, also the bitmap and the prefix, else twice a prefix by hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *([("sig", pa.binary())] if full else []), ("prefix", pa.list_(pa.int64()))])
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(source):
             rows = []
             for s in _sets_of(as_bytes(part.column(2)), width):
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                more = (bitmap(s).tobytes(), s[: prefix_length(len(s), num, den)].view(np.int64)) if full and len(s) else (None, None)
-                rows.append((len(s), int(f[0]), int(f[1]), *more[: 2 * full]))
-            columns = list(zip(*rows)) or [[]] * (3 + 2 * full)
+                length = prefix_length(len(s), num, den)
+                if full:
+                    more = (bitmap(s).tobytes(), ordered(s, shared.value)[:length].view(np.int64)) if len(s) else (None, None)
+                else:
+                    more = (s[: 2 * length].view(np.int64) if len(s) else None,)
+                rows.append((len(s), int(f[0]), int(f[1]), *more))
+            columns = list(zip(*rows)) or [[]] * (4 + full)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:]))], schema=schema)
 
-    ddl = "doc_id long, tk long, n long, f1 long, f2 long" + (", sig binary, prefix array<long>" if full else "")
+    ddl = "doc_id long, tk long, n long, f1 long, f2 long" + (", sig binary" if full else "") + ", prefix array<long>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), docs["text"].alias("text")).mapInArrow(run, ddl)
 
 
+def common_grams(rows: DataFrame, scratch: Scratch, least: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams met in at least ``least`` rows' first n-grams, and levels that grow with how many.
+
+    At most ``most`` n-grams come back, the most common ones: whole levels (powers of two) are left out
+    beyond. They only decide the order of n-grams, so which of them are known changes no result.
+    """
+    counts = rows.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    counts = scratch.keep(counts.select("gram", (F.floor(F.log2("c")) + 1).cast("int").alias("level")), "common")
+    lowest, total = 1 << 30, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # 64 levels at most
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["level"]
+    found = counts.filter(F.col("level") >= lowest).toArrow()
+    keys = found["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], found["level"].to_numpy().astype(np.int8)[by]
+
+
 def connected(nodes_edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) of all nodes in the edges (a, b); comp is the least node. Labels hop along edges, then along labels."""
     both = nodes_edges.select("a", "b").unionByName(nodes_edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -149,10 +185,10 @@ def connected(nodes_edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 class SetJoin:
     """Finds the links between distinct sets that make up their components."""
 
-    def __init__(self, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch, broadcast_rows: int = 200_000, block: int = 2_000):
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch, broadcast_rows: int = 200_000, block: int = 2_000, common: tuple | None = None):
         self.docs, self.width, self.num, self.den, self.scratch = docs, width, num, den, scratch
         self.broadcast_rows, self.block, self.calls = broadcast_rows, block, 0
-        full = set_rows(docs, width, num, den, True).filter(F.col("n") > 0).dropDuplicates(["f1", "f2"])
+        full = set_rows(docs, width, num, den, True, common).filter(F.col("n") > 0).dropDuplicates(["f1", "f2"])
         self.sets = scratch.keep(full.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     def postings(self) -> DataFrame:
@@ -337,7 +373,7 @@ class SetJoin:
         return comps
 
 
-def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, common_from: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, tk, n_shingles, component_id.
 
     Words are lower-cased (A-Z); a set is the distinct ``width``-word runs, or the whole sequence if it
@@ -347,8 +383,11 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: i
     Repeated rows get equal results; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    rows = scratch.keep(set_rows(docs, width, num, den, False), "rows")
-    join = SetJoin(docs, width, num, den, scratch)
+    early = scratch.keep(set_rows(docs, width, num, den, False), "early")
+    common = common_grams(early, scratch, common_from)
+    rows = scratch.keep(early.drop("prefix"), "rows")
+    scratch.drop("early", "common")
+    join = SetJoin(docs, width, num, den, scratch, common=common)
     comps = join.components()
     named = join.sets.select("f1", "f2", "node").join(comps, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp"))
     sets = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least")).join(named, ["f1", "f2"])

@@ -8,7 +8,7 @@ from llm_common import SF, rows
 from pyspark.sql import functions as F
 
 from meridia.llm.decontaminate import contamination_report, decontaminate
-from meridia.llm.ngram_join import SetJoin, bitmap, connected, keep_one, least_common, may_link, prefix_length, similar, similarity_components, trie_links
+from meridia.llm.ngram_join import SetJoin, bitmap, common_grams, connected, keep_one, least_common, may_link, ordered, prefix_length, similar, similarity_components, trie_links
 from meridia.llm.textops import Scratch
 
 
@@ -133,12 +133,22 @@ def test_links_across_components_are_found(spark):
         own = " ".join(f"o{k}x{j}" for j in range(25))
         texts += [f"{own} {passage}", f"{own} {passage} tail{k}"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    for num in (60, 80):
-        assert rows(similarity_components(docs, 3, num, 100), "doc_id", "n_shingles", "component_id") == brute_components(list(enumerate(texts)), 3, num, 100)
+    for num, common_from in ((60, 64), (80, 64), (60, 3), (80, 3)):
+        assert rows(similarity_components(docs, 3, num, 100, common_from), "doc_id", "n_shingles", "component_id") == brute_components(list(enumerate(texts)), 3, num, 100)
     join = SetJoin(docs, 3, 60, 100, Scratch(spark, "blocks"), broadcast_rows=0, block=3)
     assert join.components().select("comp").distinct().count() == len({c for i, n, c in brute_components(list(enumerate(texts)), 3, 60, 100) if [x[2] for x in brute_components(list(enumerate(texts)), 3, 60, 100)].count(c) > 1})
 
 
+def test_common_grams_come_last_and_are_bounded(spark):
+    early = spark.createDataFrame([([5, -3, 8],), ([5, -3],), ([5, 8],), ([5],), (None,)], "prefix array<long>")
+    keys, levels = common_grams(early, Scratch(spark, "common"), 2)
+    assert keys.view(np.int64).tolist() == [5, 8, -3] and levels.tolist() == [3, 2, 2]
+    s = np.unique(np.array([-3, 1, 5, 8, 9], np.int64).view(np.uint64))
+    assert ordered(s, (keys, levels)).view(np.int64).tolist() == [1, 9, 8, -3, 5] and ordered(s, None) is s
+    assert common_grams(early, Scratch(spark, "common"), 2, most=2)[0].tolist() == [5]
+    assert len(common_grams(early, Scratch(spark, "common"), 9)[0]) == 0
+
+
 def test_join_of_empty_table(empty):
     assert similarity_components(empty).collect() == [] and keep_one(empty).collect() == []
 
