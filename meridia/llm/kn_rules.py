@@ -1,19 +1,22 @@
 """Quality rules: counting rules, and perplexity under a modified Kneser-Ney model of characters.
 
-Spark counts, over every document, the character 4-grams inside words for each language; tasks emit
-what they counted, already summed. Continuation counts, discounts and interpolated probabilities
-are Spark aggregations and joins. The model goes out as sorted arrays of 64-bit n-gram keys, at
-most ``max_ngrams`` entries (rarer 4-grams are pruned until it fits, as n-gram models usually are).
-Documents outside their language's band of log perplexity are rejected.
+Texts are packed into blocks of bounded size, kept in the shared folder. Each block gives the 4-grams
+inside its words with their counts, once each; their sums over all blocks are the model's counts.
+Continuation counts, discounts and interpolated probabilities are Spark aggregations and joins, and
+every n-gram stays. Probabilities go back by a join to the blocks that asked for them, so no task
+holds more of the model than one block's own n-grams. Documents outside their language's band of log
+perplexity are rejected.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ _START, _END, _OTHER = 2, 3, 0xFFFF  # marks around a word; what stands for char
 _MASK = {n: (1 << (16 * n)) - 1 for n in range(1, ORDER)}
 UNKNOWN_LANG = "und"
 SYMBOLS = b"#*$%&|<>"
+_BLOCK = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.large_binary())])
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -46,45 +50,75 @@ def gram_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[here], word
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, key, c): the 4-grams inside words of all texts."""
-    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("c", pa.int64())])
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), docs["text"].alias("text"))
+
+
+def _unpack(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(packed)).read_all()
+
+
+def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, packed): the rows of docs, so many bytes of text together; a text is never divided."""
+    schema = pa.schema([("block", pa.int64()), ("packed", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        sums: dict[str, dict[int, int]] = {}
-
-        def spill() -> None:
-            for lang, words in seen.items():
-                keys, word = gram_keys(list(words))
-                weight = np.fromiter(words.values(), np.int64, len(words))[word] if len(keys) else np.zeros(0, np.int64)
-                unique, at = np.unique(keys, return_inverse=True)
-                total = np.bincount(at, weight, len(unique)).astype(np.int64)
-                mine = sums.setdefault(lang, {})
-                for k, n in zip(unique.view(np.int64).tolist(), total.tolist()):
-                    mine[k] = mine.get(k, 0) + n
-            seen.clear()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, mine in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], schema=schema)
-            sums.clear()
+        rows: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _BLOCK) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK))
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())], schema=schema)
 
         for part in pieces(source):
-            for lang, raw in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
-                seen.setdefault(lang, Counter()).update(raw.split())
-            if sum(map(len, seen.values())) > 200_000:
-                spill()
-            if sum(map(len, sums.values())) > 500_000:
-                yield from out()
-        spill()
-        yield from out()
+            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
+                rows.append(row)
+                held += len(row[2]) + 100
+                if held >= block_bytes:
+                    yield out()
+                    rows.clear()
+                    held = 0
+        if rows:
+            yield out()
+
+    return _named(docs).mapInArrow(run, "block long, packed binary")
+
 
-    return docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), docs["text"].alias("text")).mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """(block, lang, key, c): the 4-grams inside words of each block's texts."""
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("key", pa.int64()), ("c", pa.int64())])
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in source:
+            for block, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                rows, seen = _unpack(packed), {}
+                for lang, raw in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+                    seen.setdefault(lang, Counter()).update(raw.split())
+                for lang, words in seen.items():
+                    keys, word = gram_keys(list(words))
+                    if not len(keys):
+                        continue
+                    unique, at = np.unique(keys, return_inverse=True)
+                    total = np.bincount(at, np.fromiter(words.values(), np.int64, len(words))[word], len(unique)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), block)), pa.array([lang], pa.string()).take(pa.array(np.zeros(len(unique), np.int64))), pa.array(unique.view(np.int64)), pa.array(total)], schema=schema)
+
+    return blocks.mapInArrow(run, "block long, lang string, key long, c long")
+
+
+def count_grams(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+    """(lang, key, c): the 4-grams inside words of all texts."""
+    if "doc_id" not in docs.columns:
+        docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    return block_grams(pack_blocks(docs, block_bytes)).groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
-def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lang, n, key, lp, lg): log probability of each n-gram and log weight of backing off from it as a context."""
+
+def kneser_ney(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lang, key, p): the probability of each 4-gram; and the whole model.
+
+    The model is (lang, n, key, lp, lg): log probability of each n-gram and log weight of backing off from it as a context.
+    """
     level = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         level[n] = level[n + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_MASK[n])).alias("key")).agg(F.count("*").alias("c"))
@@ -103,20 +137,20 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
         kinds = kinds.select("lang", discount(1), discount(2), discount(3))
         context = grams.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), *(F.count(F.when(c == k if k < 3 else c >= 3, 1)).alias(f"m{k}") for k in (1, 2, 3)))
         context = context.join(F.broadcast(kinds), "lang").withColumn("g", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
-        grams = grams.join(context, ["lang", "ctx"])
+        grams = grams.join(context.hint("merge"), ["lang", "ctx"])
         own = F.greatest(c - F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")), F.lit(0.0)) / F.col("total")
         if lower is None:
             p = grams.select("lang", "key", (own + F.col("g") / 65536).alias("p"))
         else:
             below = lower.select("lang", F.col("key").alias("low"), F.col("p").alias("q"))
-            p = grams.withColumn("low", F.col("key").bitwiseAND(F.lit(_MASK[n - 1]))).join(below, ["lang", "low"]).select("lang", "key", (own + F.col("g") * F.col("q")).alias("p"))
+            p = grams.withColumn("low", F.col("key").bitwiseAND(F.lit(_MASK[n - 1]))).join(below.hint("merge"), ["lang", "low"]).select("lang", "key", (own + F.col("g") * F.col("q")).alias("p"))
         lower = scratch.keep(p, f"p{n}")
         parts.append(lower.select("lang", F.lit(n).alias("n"), "key", F.log("p").cast("float").alias("lp"), F.lit(None).cast("float").alias("lg")))
         parts.append(context.select("lang", F.lit(n - 1).alias("n"), F.col("ctx").alias("key"), F.lit(None).cast("float").alias("lp"), F.log("g").cast("float").alias("lg")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return lower, out
 
 
 class Model:
@@ -189,50 +223,59 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def fit_model(docs: DataFrame, scratch: Scratch, max_ngrams: int) -> Model:
-    """Counts over all of docs; 4-grams with the smallest counts are pruned until max_ngrams entries hold the rest."""
-    counts = scratch.keep(count_grams(docs), "counts")
-    sizes = sorted((r["c"], r["n"]) for r in counts.filter(F.col("c") <= 64).groupBy("c").agg(F.count("*").alias("n")).collect())
-    total, least = counts.count(), 1
-    for c, n in sizes:
-        if total * 3 <= max_ngrams:  # lower orders and contexts together have at most twice the 4-grams
-            break
-        total, least = total - n, c + 1
-    pruned = counts.filter(F.col("c") >= least) if least > 1 else counts
-    return Model(kneser_ney(pruned, scratch).toArrow())
-
-
-def score_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the counting rules' figures and log_ppl (null without words) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The whole model of a small table at the driver, to score words that no text holds; more entries are an error."""
+    model = scratch.keep(kneser_ney(scratch.keep(count_grams(docs), "counts"), scratch)[1], "model")
+    if model.count() > max_ngrams:
+        raise ValueError(f"the model has more than {max_ngrams} entries")
+    return Model(model.toArrow())
+
+
+def score_rows(docs: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    """doc_id, lang, the counting rules' figures and log_ppl (null without words) for each row of docs.
+
+    The model is counted over the same rows, so it holds each of their 4-grams and none backs off.
+    """
+    blocks = scratch.keep(pack_blocks(docs, block_bytes), "blocks")
+    asked = scratch.keep(block_grams(blocks), "asked")
+    counts = scratch.keep(asked.groupBy("lang", "key").agg(F.sum("c").alias("c")), "counts")
+    told = asked.select("block", "lang", "key").join(kneser_ney(counts, scratch)[0].hint("merge"), ["lang", "key"]).select("block", "lang", "key", F.log("p").alias("lp"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((s, pa.int64()) for s in STATS), ("log_ppl", pa.float64())])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for part in pieces(source):
-            langs, raws = part.column(1).to_pylist(), as_bytes(part.column(2))
-            split = [raw.split() for raw in raws]
-            if sum(map(len, known.values())) > 300_000:
-                known.clear()
+    def run(mine: pa.Table, told: pa.Table) -> pa.Table:
+        by_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        names = told.column("lang").combine_chunks().dictionary_encode() if told.num_rows else None
+        if names is not None:
+            names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+            code, keys, lps = names.indices.to_numpy(), told.column("key").to_numpy().view(np.uint64), told.column("lp").to_numpy()
+            for k, lang in enumerate(names.dictionary.to_pylist()):
+                at = np.flatnonzero(code == k)
+                at = at[np.argsort(keys[at])]
+                by_lang[lang] = keys[at], lps[at]
+        rows = []
+        for packed in mine.column("packed").to_pylist():
+            texts = _unpack(packed)
+            langs, split = texts.column(1).to_pylist(), [raw.split() for raw in texts.column(2).to_pylist()]
             new: dict[str, set] = {}
             for lang, words in zip(langs, split):
                 new.setdefault(lang, set()).update(words)
+            known = {}
             for lang, words in new.items():
-                mine = known.setdefault(lang, {})
-                fresh = list(words.difference(mine))
-                mine.update(zip(fresh, model.score(lang, fresh).tolist()))
-            rows = []
-            for i, lang, raw, words in zip(part.column(0).to_pylist(), langs, raws, split):
+                words = list(words)
+                asked, word = gram_keys(words)
+                keys, lps = by_lang.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
+                at = np.searchsorted(keys, asked)
+                if len(asked) and (at.max() >= len(keys) or (keys[at] != asked).any()):
+                    raise ValueError("a block was not told of all its n-grams")
+                known[lang] = dict(zip(words, np.bincount(word, lps[at], len(words)).tolist()))
+            for i, lang, raw, words in zip(texts.column(0).to_pylist(), langs, texts.column(2).to_pylist(), split):
                 stats = text_stats(raw, words)
-                lp = sum(map(known[lang].__getitem__, words))
-                rows.append((i, lang, *stats, -lp / (stats[0] + stats[1]) if words else None))
-            columns = list(zip(*rows)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+                rows.append((i, lang, *stats, -sum(map(known[lang].__getitem__, words)) / (stats[0] + stats[1]) if words else None))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(schema), schema.types)], schema=schema)
 
-    lang = F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN_LANG))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), lang.alias("lang"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", log_ppl double")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", log_ppl double")
 
 
-def judge_quality(docs: DataFrame, max_ngrams: int = 3_000_000, spread: float = 5.0, slack: float = 0.02) -> DataFrame:
+def judge_quality(docs: DataFrame, block_bytes: int = 8 << 20, spread: float = 5.0, slack: float = 0.02) -> DataFrame:
     """One row per row of docs: the five figures, base_failed, log_ppl, the band and kept.
 
     A short text's log perplexity strays more than a long one's, as one over the root of its words. So
@@ -244,7 +287,7 @@ def judge_quality(docs: DataFrame, max_ngrams: int = 3_000_000, spread: float =
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "quality-rules")
-    scored = scratch.keep(score_rows(docs, fit_model(docs, scratch, max_ngrams)), "scored")
+    scored = scratch.keep(score_rows(docs, scratch, block_bytes), "scored")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     usual = scored.filter(~F.col("base_failed"))

@@ -226,6 +226,23 @@ def test_counts_cover_all_rows(spark):
     assert word.tolist() == [0, 0, 0, 1, 2, 2] and isinstance(Model, type)
 
 
+def test_scores_hold_every_gram_whatever_the_blocks(spark):
+    """A language of few rare words keeps its own probabilities beside one with over a million 4-grams."""
+    rng = np.random.default_rng(3)
+    wide = [(k, "zh", " ".join("".join(map(chr, w)) for w in rng.integers(0x4E00, 0x9F00, (7_500, 5)))) for k in range(24)]
+    rare = [(100 + k, "cy", " ".join(["llan", "afon", "mynydd", "cwm"][(j + k) % 4] + chr(97 + k) for j in range(60))) for k in range(8)]
+    schema = "doc_id long, lang string, text string"
+    alone = {r["doc_id"]: r["log_ppl"] for r in judge_quality(spark.createDataFrame(rare, schema), block_bytes=500).collect()}
+    both = {r["doc_id"]: r["log_ppl"] for r in judge_quality(spark.createDataFrame(wide + rare, schema)).collect()}
+    assert {i: both[i] for i in alone} == pytest.approx(alone, rel=1e-9) and max(alone.values()) < 3
+    words = Counter(w for _, _, t in rare for w in t.split())
+    p = brute_kneser_ney(words)
+    for i, _, text in rare:
+        padded = ["\2\2\2" + w + "\3" for w in text.split()]
+        want = -sum(math.log(p(w[k - 3 : k + 1])) for w in padded for k in range(3, len(w))) / (len(text) + 1)
+        assert alone[i] == pytest.approx(want, rel=1e-6)
+
+
 def test_text_stats_of_repeats():
     text = b"a b c a b c\nx\nx\n \n \n# $"
     assert text_stats(text, text.split())[2:] == (2, 1, 6)
