@@ -57,16 +57,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     scratch = Scratch(docs.sparkSession, "decontaminate")
     known = scratch.keep(benchmark_windows(benchmark, window), "windows")
     counts = {r["len"]: r["count"] for r in known.groupBy("len").count().collect()}  # a row for each length up to the window
-    if sum(counts.values()) <= broadcast_windows:
-        known = F.broadcast(known)
+    dealt = sum(counts.values()) <= broadcast_windows
+    known = F.broadcast(known) if dealt else known.hint("merge")
     words = F.col("words")
     marker = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("hash")))
     probes = [_windows(words, length, lambda i, h, length=length: F.struct(i.alias("at"), F.lit(length).alias("size"), h.alias("hash"))) for length in sorted(counts)]
     tokens = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), plain_words().alias("words"))
-    rows = tokens.select("doc_id", "tk", "words", F.explode(F.concat(marker, *probes)).alias("w")).select("doc_id", "tk", "words", "w.at", "w.size", "w.hash")
+    # a row carries the words of its own window only, so a shuffle of rows grows with the text and not with its square
+    own = F.slice("words", F.greatest(F.col("w.at"), F.lit(0)) + 1, F.when(F.col("w.at") < 0, 0).otherwise(F.col("w.size")))
+    carried = F.col("words") if dealt else own
+    rows = tokens.select("doc_id", "tk", "words", F.explode(F.concat(marker, *probes)).alias("w")).select("doc_id", "tk", carried.alias("words"), F.when(F.col("w.at") < 0, F.size("words")).alias("n"), "w.at", "w.size", "w.hash")
     met = rows.join(known, (rows["hash"] == known["h"]) & (rows["size"] == known["len"]), "left")
-    met = met.filter((F.col("at") < 0) | (F.col("gram").isNotNull() & (F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("size"), F.lit(1))) == F.col("gram"))))
-    by_doc = met.select("doc_id", "tk", F.when(F.col("at") < 0, F.size("words")).alias("n"), F.when(F.col("at") >= 0, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))).alias("hit"), "items")
+    mine = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("size"), F.lit(1))) if dealt else F.col("words")
+    met = met.filter((F.col("at") < 0) | (F.col("gram").isNotNull() & (mine == F.col("gram"))))
+    by_doc = met.select("doc_id", "tk", "n", F.when(F.col("at") >= 0, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))).alias("hit"), "items")
     grouped = by_doc.groupBy("doc_id", "tk").agg(F.max("n").alias("n_words"), F.count("n").alias("rows"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 

@@ -7,7 +7,7 @@ import pytest
 from llm_common import SF, rows
 from pyspark.sql import functions as F
 
-from meridia.llm.decontaminate import contamination_report, decontaminate
+from meridia.llm.decontaminate import contamination_report, decontaminate, find_contamination
 from meridia.llm.ngram_join import SetJoin, bitmap, common_grams, connected, keep_one, least_common, may_link, ordered, prefix_length, similar, similarity_components, trie_links
 from meridia.llm.textops import Scratch
 
@@ -55,6 +55,26 @@ def test_report_equals_brute_force(awkward, items, limit):
         assert rows(contamination_report(awkward, items)) == want and sum(x[2] for x in want) > 0
 
 
+def test_shuffled_windows_carry_their_own_words_only(spark, items, tmp_path):
+    """Rows of the join grow with a text's words, not with their square."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(j * 7919 + k) % 4001}" for j in range(4000))) for k in range(2)], "doc_id long, text string")
+    found = find_contamination(docs, items, broadcast_windows=0)
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan()
+    joins, nodes = [], [plan]
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Join":
+            joins.append(node)
+    size = {a: spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, j.left()) for j in joins for a in ["left"]}["left"]
+    from pyspark.sql import DataFrame
+
+    most = DataFrame(size, spark).agg(F.max(F.size("words"))).first()[0]
+    assert most <= 10
+
+
 def test_report_on_data(spark, sf_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = brute_hits([(r["doc_id"], r["text"]) for r in sf_docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
