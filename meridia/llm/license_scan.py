@@ -58,7 +58,7 @@ def _compiled(notices: tuple):
     patterns = []
     for k, (_, notice) in enumerate(notices):
         errors = allowed_edits(notice)
-        patterns.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice)))
+        patterns.append((regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice)))
         for at, seed in seeds_of(notice, errors):
             seeds.setdefault(seed, []).append((k, at))
     automaton = ahocorasick.Automaton()

@@ -43,6 +43,11 @@ def test_license_fuzzy_finds_every_notice_with_allowed_edits():
     assert not [s for s in fuzzy_spans(" gnu genera1 pub1ic 1icense ") if s[0] == 3]
 
 
+def test_license_adjacent_notices_with_different_edits_are_all_found():
+    spans = [s for s in fuzzy_spans(" all right reserved all rights reserved ") if s[0] == 9]
+    assert [(a > 15, edits) for _, a, _, edits in spans] == [(False, 1), (True, 0)]
+
+
 def test_license_empty_table(empty):
     assert scan_licenses(empty).collect() == []
 
