@@ -8,13 +8,14 @@ codes up in one table of 2**max_bits entries, all checkpoints of a block side by
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,96 +31,153 @@ _BLOCK_DDL = "part int, seq int, n_tokens long, doc_ids array<long>, counts arra
 # ---- tokens
 
 
+def join_runs(flat: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[edges[k] : edges[k + 1]] for each k of which, one after the other, and where each ends."""
+    sizes = edges[which + 1] - edges[which]
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(edges[which] - (ends - sizes), sizes)
+    return flat[at], ends
+
+
 class WordEncoder:
-    """Bytes of the ids (little-endian) of texts, word by word; 16 bits an id where the vocabulary allows, else 32.
+    """The ids of texts; 16 bits an id where the vocabulary allows, else 32.
 
-    The vocabularies that this serves drop white space and never join what it parts, so a text's ids
-    are those of its words; and letters followed by punctuation are two units of their own. Units are
-    encoded once and kept, up to ``most_units``; whole words are put together from them.
+    A vocabulary that drops white space and never joins what it parts gives a text the ids of its
+    words, and letters followed by punctuation are two units of their own: each distinct unit of a
+    piece of the table is encoded once, and texts are put together from them by array operations. That
+    holds for the normaliser and splitter named below; with any other, texts are encoded whole.
+    Nothing is kept from one piece to the next but the vocabulary.
     """
 
-    #: A line of Latin letters in lower case, then punctuation; other lines give empty groups.
-    _PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([!\"#$%&()*+,./:;=?@\\[\\\\\\]^_`{}~-]*)$|.*$)", re.MULTILINE)
+    #: The normaliser and the splitter's pattern for which words are encoded one by one.
+    _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    #: A word of Latin letters, then punctuation.
+    _PLAIN = "^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!\"#$%&()*+,./:;=?@\\[\\\\\\]^_`{}~-]*)$"
 
-    def __init__(self, path: str, most_units: int = 700_000, most_words: int = 150_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.most_units, self.most_words = Tokenizer.from_file(path), most_units, most_words
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(max(vocabulary.values()), END_ID) + 1
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.closes = np.zeros(size, bool)  # ids that end a unit
         self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_word = self._parts_words(json.loads(self.tokenizer.to_str()))
         # units need neither normalising nor splitting beyond the spaces between them
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
 
-    def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return {u: np.array(e.ids, dtype=self.kind).tobytes() for u, e in zip(texts, found)}
-
-    def _add_units(self, fresh: list[str]) -> None:
-        """Units of letters or of punctuation, encoded as one text and told apart by the ids that end them."""
-        for at in range(0, len(fresh), 2_000):
-            some = fresh[at : at + 2_000]
+    def _parts_words(self, config: dict) -> bool:
+        normalizer, splitter = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+        first = (splitter.get("pretokenizers") or [{}])[0]
+        spaced = any(" " in t["content"] or not t.get("special") for t in config.get("added_tokens", []))
+        return (
+            normalizer.get("normalizers") == self._NORMALIZERS and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+            and first.get("pattern") == {"Regex": self._SPLIT} and config["model"].get("end_of_word_suffix") == "</w>" and not config["model"].get("dropout") and not spaced
+        )
+
+    def _encode_each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of units of letters or of punctuation and how many each has; many are one text, told apart by the ids that end them."""
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for at in range(0, len(units), 2_000):
+            some = units[at : at + 2_000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
-                self.units.update(self._encode_each(some))
-                continue
-            raw, first = ids.tobytes(), 0
-            for unit, last in zip(some, (ends * ids.itemsize).tolist()):
-                self.units[unit] = raw[first:last]
-                first = last
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of these words."""
-        if len(self.units) > self.most_units:
-            self.units = {}
-        units, known = self.units, self.known
-        fresh = list(words.difference(known))
-        texts = b"\n".join(fresh).decode("utf-8", "replace")
-        parts = self._PLAIN.findall(texts.lower()) if fresh else []
-        if len(parts) != len(fresh):  # a character whose lower case breaks a line: none does, but ids must be right
-            parts = [self._PLAIN.findall(w.decode("utf-8", "replace").lower())[0] for w in fresh]
-        units[""] = b""
-        self._add_units(list({u for pair in parts for u in pair}.difference(units)))
-        # the most frequent words come early, and stay; later ones are known for this batch only
-        out = known if len(known) < self.most_words else {w: known[w] for w in words.intersection(known)}
-        odd = []
-        for w, (a, b) in zip(fresh, parts):
-            if a:
-                out[w] = units[a] + units[b] if b else units[a]
-            else:
-                odd.append(w)
-        if odd:
-            texts = [w.decode("utf-8", "replace") for w in odd]
-            ids = self._encode_each(texts)
-            out.update((w, ids[t]) for w, t in zip(odd, texts))
-        return out
-
-    def __call__(self, texts: list[list[bytes]], end_id: int) -> list[bytes]:
-        known, end = self.learn(set().union(*texts)), np.array([end_id], dtype=self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in texts]
+                each = self._encode_each(some)
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return flat, sizes
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words and the edges between the words' ids; the empty word has none."""
+        parts = pc.extract_regex(words, pattern=self._PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        a, b = (parts.filter(pa.array(plain)).field(k) for k in range(2))
+        a, b = pc.utf8_lower(a).dictionary_encode(), b.dictionary_encode()
+        flat, sizes = self._encode_units(a.dictionary.to_pylist())
+        more, extra = self._encode_units([x or " " for x in b.dictionary.to_pylist()])
+        odd = self._encode_each(words.filter(pa.array(~plain)).to_pylist())
+        flat = np.concatenate([*flat, *more, *odd])
+        sizes = np.concatenate([*sizes, *extra, np.array([len(x) for x in odd], np.int64)])
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        nothing = len(edges) - 1  # a run without ids
+        edges = np.append(edges, edges[-1])
+        both = np.full((len(words), 2), nothing, np.int64)
+        both[plain, 0] = a.indices.to_numpy()
+        both[plain, 1] = b.indices.to_numpy() + len(a.dictionary)
+        both[~plain, 0] = np.arange(len(odd)) + len(a.dictionary) + len(b.dictionary)
+        ids, ends = join_runs(flat, edges, both.ravel())
+        return ids, np.concatenate(([0], ends[1::2]))
+
+    def __call__(self, texts: pa.Array, end_id: int, rows: int = 2_000) -> Iterator[pa.Array]:
+        """The ids of each text and the end id, as bytes, so many texts at a time; null as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            for at in range(0, len(texts), 100):
+                yield pa.array([x.tobytes() + np.array([end_id], self.kind).tobytes() for x in self._encode_each(texts.slice(at, 100).to_pylist())], pa.binary())
+            return
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, edges = self.words(coded.dictionary)
+        ids, edges = np.append(ids, np.array([end_id], ids.dtype)), np.append(edges, edges[-1] + 1)
+        codes, edge = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        for at in range(0, len(texts), rows):
+            some = edge[at : at + rows + 1]
+            mine = np.insert(codes[some[0] : some[-1]].astype(np.int64), some[1:] - some[0], len(edges) - 2)
+            flat, ends = join_runs(ids, edges, mine)
+            last = np.cumsum(np.diff(some) + 1) - 1
+            offsets = np.concatenate(([0], ends[last])) * flat.itemsize
+            yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(last), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    """One for each worker process, shared by the tasks that it runs."""
+    """One for each worker process, shared by the tasks that it runs: a vocabulary, of fixed size."""
     return WordEncoder(path)
 
 
-def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes in a column of strings, small ones put together, a long text alone."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(before, before[at] + most - size, side="right")) - 1)
+            held.append(batch.slice(at, end - at))
+            size += int(before[end] - before[at])
+            at = end
+            if size >= most or at < batch.num_rows:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, piece_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, ids) with ids as little-endian unsigned bytes: 16 bits each, where the vocabulary allows, else 32."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for part in pieces(source):
-            ids = encoder([raw.split() for raw in as_bytes(part.column(1))], end_id)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+        for part in by_bytes(source, 1, piece_bytes):
+            at = 0
+            for ids in encoder(part.column(1), end_id):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(ids)), ids], schema=schema)
+                at += len(ids)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -248,17 +306,21 @@ def decode_runs(codes: bytes, starts: np.ndarray, counts: np.ndarray, table: tup
 # ---- files
 
 
-def write_ids(docs: DataFrame, path: str, scratch: Scratch, tokenizer_path: str, block_tokens: int = 1 << 18, max_bits: int = MAX_BITS) -> None:
-    """Encode docs (doc_id, text) and write the files under path: ``blocks`` and ``code`` (id, bits)."""
+def write_ids(docs: DataFrame, path: str, scratch: Scratch, tokenizer_path: str, block_tokens: int = 1 << 18, max_bits: int = MAX_BITS, part_bytes: int = 32 << 20) -> None:
+    """Encode docs (doc_id, text) and write the files under path: ``blocks`` and ``code`` (id, bits).
+
+    A part is a range of doc_ids of about ``part_bytes`` of codes, or less where the session has more shuffle partitions.
+    """
     spark = docs.sparkSession
     size = vocabulary_size(tokenizer_path)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     tokens = scratch.keep(encode_rows(docs, tokenizer_path), "tokens")
-    lengths = code_lengths(count_ids(tokens, size), max_bits)
+    counts = count_ids(tokens, size)
+    lengths = code_lengths(counts, max_bits)
     there = np.flatnonzero(lengths)
     spark.createDataFrame([(int(k), int(lengths[k])) for k in there], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast((canonical_codes(lengths), lengths))  # two numbers for each id of the vocabulary
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("marks", pa.binary()), ("codes", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("marks", pa.binary()), ("codes", pa.binary()), ("part", pa.int32())])
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = shared.value
@@ -269,13 +331,13 @@ def write_ids(docs: DataFrame, path: str, scratch: Scratch, tokenizer_path: str,
                 packed, marks = encode_ids(ids, codes, bits)
                 rows.append((len(ids), marks.astype("<i8" if len(packed) >= 1 << 28 else "<u4").tobytes(), packed))
             columns = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:]))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:])), part_of(part.column(0), cuts)], schema=schema)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(lengths.astype(np.int64) @ counts) // (8 * part_bytes)))
     cuts = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    coded = tokens.mapInArrow(encode, "doc_id long, n long, marks binary, codes binary").withColumn("part", part_of(F.col("doc_id"), cuts))
-    sorted_ = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "n", "codes")
+    cuts = np.array(sorted({int(c) for c in cuts}), np.int64)
+    coded = tokens.mapInArrow(encode, "doc_id long, n long, marks binary, codes binary, part int")
+    sorted_ = coded.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "n", "codes")
 
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seq, held, count = None, 0, [], 0
@@ -301,12 +363,10 @@ def write_ids(docs: DataFrame, path: str, scratch: Scratch, tokenizer_path: str,
     scratch.drop("tokens")
 
 
-def part_of(doc_id: Column, cuts: list[int]) -> Column:
+def part_of(doc_id: pa.Array, cuts: np.ndarray) -> pa.Array:
     """The number of cuts below an id; null comes last."""
-    if not cuts:
-        return F.when(doc_id.isNull(), 1).otherwise(0)
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < doc_id))
-    return F.when(doc_id.isNull(), len(cuts) + 1).otherwise(below)
+    below = np.searchsorted(cuts, doc_id.fill_null(0).to_numpy())
+    return pa.array(np.where(doc_id.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, below), pa.int32())
 
 
 def read_ids(spark: SparkSession, path: str, max_bits: int = MAX_BITS, ids: bool = False) -> DataFrame:

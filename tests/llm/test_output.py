@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm_common import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meridia.llm.token_output import WordEncoder, canonical_codes, code_lengths, decode_runs, decode_table, encode_ids, token_report
+from meridia.llm.token_output import WordEncoder, by_bytes, canonical_codes, code_lengths, decode_runs, decode_table, encode_ids, token_report
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +36,7 @@ def test_report_of_empty_table(empty):
     assert token_report(empty, PATH).collect() == []
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.text(max_size=60))
 def test_words_encode_as_whole_texts(text):
     text = text.encode("utf-8", "ignore").decode()
@@ -44,8 +45,28 @@ def test_words_encode_as_whole_texts(text):
         encoder, t = _encoder
     except NameError:
         encoder, t = _encoder = WordEncoder(PATH), tokenizer()
-    ids = np.frombuffer(encoder([text.encode().split()], 1)[0], encoder.kind).tolist()
-    assert ids == t.encode(text, add_special_tokens=False).ids + [1]
+    texts = [text, None, "", text.title(), f"{text} {text}"]
+    got = [x for part in encoder(pa.array(texts), 1, rows=2) for x in part.to_pylist()]
+    assert encoder.by_word and [np.frombuffer(x, encoder.kind).tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+
+
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, t, texts = WordEncoder(path), Tokenizer.from_file(path), ["a  b\n\nc d's", None, " x"]
+    got = [np.frombuffer(x, encoder.kind).tolist() for part in encoder(pa.array(texts), 1) for x in part.to_pylist()]
+    assert not encoder.by_word and got == [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=8), max_size=6), st.integers(1, 40))
+def test_pieces_by_bytes_hold_all_rows(batches, most):
+    made = [pa.RecordBatch.from_arrays([pa.array(b, pa.string())], names=["t"]) for b in batches]
+    out = [p.column(0).to_pylist() for p in by_bytes(iter(made), 0, most)]
+    assert [x for p in out for x in p] == [x for b in batches for x in b]
+    size = lambda p: sum(len((x or "").encode()) for x in p)
+    assert all(size(p[:-1]) <= most for p in out)
 
 
 @settings(max_examples=60, deadline=None)
