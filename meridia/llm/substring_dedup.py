@@ -51,25 +51,24 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class ByteHashes:
-    """Hashes of any slices of a byte string, from sums over its prefixes: each byte's own 64 bits times a power.
-
-    Equal slices have equal hashes wherever they stand; whoever needs certainty compares the bytes.
-    """
-
-    _of_byte = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-    _base, _powers = 0x9E3779B97F4A7C15, np.ones((2, 1), np.uint64)
-
-    def __init__(self, raw: bytes):
-        n = len(raw)
-        if ByteHashes._powers.shape[1] <= n:
-            both = (self._base, pow(self._base, -1, 1 << 64))
-            ByteHashes._powers = np.array([np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, p, np.uint64)])) for p in both])
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._of_byte[np.frombuffer(raw, np.uint8)] * self._powers[0, :n], out=self.sums[1:])
-
-    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[last] - self.sums[first]) * self._powers[1, first])
+class Powers:
+    """Powers of an odd number modulo 2**64, and of its inverse; a bounded number of them is kept."""
+
+    base, most = 0x9E3779B97F4A7C15, 1 << 17
+    kept = np.ones((2, 1), np.uint64)
+
+    @classmethod
+    def first(cls, n: int) -> np.ndarray:
+        if cls.kept.shape[1] >= n:
+            return cls.kept[:, :n]
+        size = max(n, min(2 * n, cls.most))
+        made = np.empty((2, size), np.uint64)
+        for row, p in zip(made, (cls.base, pow(cls.base, -1, 1 << 64))):
+            row[0], row[1:] = 1, p
+            np.multiply.accumulate(row, out=row)
+        if size <= cls.most:
+            cls.kept = made
+        return made[:, :n]
 
 
 def word_edges(line: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +79,27 @@ def word_edges(line: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(line)]))
 
 
-def word_hashes(line: bytes) -> np.ndarray:
-    return ByteHashes(line)(*word_edges(line))
+_OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_OF_BYTE[32] = 0  # the space behind a word adds nothing to it
+
+
+def word_hashes(line: bytes, edges: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of each word of a line with single spaces: its bytes' own numbers times powers by place in the word."""
+    begin, end = word_edges(line) if edges is None else edges
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(line, np.uint8)
+    size = np.diff(np.append(begin, len(raw)))
+    place = np.arange(len(raw)) - np.repeat(begin, size)
+    return mixed(np.add.reduceat(_OF_BYTE[raw] * Powers.first(int(size.max()))[0][place], begin))
+
+
+def window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each run of so many words that begins at these places, from sums over all words before."""
+    up, down = Powers.first(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return mixed((sums[at + window] - sums[at]) * down[at])
 
 
 def super_kmers(hashes: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
@@ -134,7 +152,7 @@ def _send(window: int, gram: int, buckets: int, flush: int):
             for doc, tk, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
                 line = b" ".join(raw.split())
                 begin, end = word_edges(line)
-                for least, start, count in super_kmers(ByteHashes(line)(begin, end), window, gram):
+                for least, start, count in super_kmers(word_hashes(line, (begin, end)), window, gram):
                     string = line[begin[start] : end[start + count + window - 2]]
                     bucket, me = least % buckets, (doc, start, tk)
                     if (before := first.get(string)) is None:
@@ -163,16 +181,18 @@ def _send(window: int, gram: int, buckets: int, flush: int):
     return run
 
 
-def repeated_windows(line: bytes, first: np.ndarray, last: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows, line[first:last], equal one at an earlier (doc, start).
+def repeated_windows(line: bytes, at: np.ndarray, window: int, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows of a line, beginning at its words ``at``, equal one at an earlier (doc, start).
 
     Windows are sorted by hash; each is then compared with the first of its hash byte by byte. Where
     a hash stands for different windows, those are told apart by their words.
     """
-    out = np.zeros(len(first), bool)
-    if not len(first):
+    out = np.zeros(len(at), bool)
+    if not len(at):
         return out
-    keys = ByteHashes(line)(first, last)
+    begin, end = word_edges(line)
+    keys = window_hashes(word_hashes(line, (begin, end)), at, window)
+    first, last = begin[at], end[at + window - 1]
     by = np.lexsort((start, doc, keys))
     keys, doc, start, first, last = keys[by], doc[by], start[by], first[by], last[by]
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -200,14 +220,13 @@ def _meet(window: int):
                 if line:
                     lines.append(line)
         head, line = np.concatenate(heads, axis=1), b" ".join(lines)
-        begin, end = word_edges(line)
         runs, strings = head[:, head[3] < 0], head[:, head[3] > 0]
         counts = strings[3] - window + 1
         row = np.repeat(np.arange(len(counts)), counts)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(np.cumsum(strings[3]) - strings[3], counts) + nth
         start = strings[2][row] + nth
-        gone = np.flatnonzero(repeated_windows(line, begin[at], end[at + window - 1], strings[0][row], start))
+        gone = np.flatnonzero(repeated_windows(line, at, window, strings[0][row], start))
         found = [np.concatenate((x, y)) for x, y in zip((strings[0][row[gone]], strings[1][row[gone]], start[gone], start[gone] + window), (runs[0], runs[1], runs[2], runs[2] - runs[3]))]
         by = np.lexsort((found[2], found[1], found[0]))
         spans: dict[tuple[int, int], list] = {}
