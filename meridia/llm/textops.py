@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="meridia-"))
     return "file://" + _own_folder[0]
@@ -42,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.catalogued: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -50,6 +53,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table whose rows lie by key in as many buckets as the session has shuffle partitions, so that joins by it don't move them."""
+        known = f"meridia_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("path", self.path(name)).option("compression", "uncompressed").bucketBy(buckets, key).sortBy(key).saveAsTable(known)
+        self.catalogued[name] = known
+        return self.spark.table(known)
+
     def retain(self, *names: str) -> None:
         """Remove all tables but these, once nothing still to be computed reads the others."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -61,10 +72,23 @@ class Scratch:
         """Remove tables that nothing still to be computed reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
+            if name in self.catalogued:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.catalogued.pop(name)}")
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
 
 
+FEW_ROWS, SALTS = 10_000, 64
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined by key with a table that has a key once: broadcast up to FEW_ROWS, counted; else rows of a common key are dealt to SALTS tasks."""
+    if few.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(few), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)))
+    return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -94,7 +118,3 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-
-
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, schema.types)], schema=schema)

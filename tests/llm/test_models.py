@@ -7,7 +7,7 @@ import pytest
 from llm_common import SF, rows
 from pyspark.sql import functions as F
 
-from meridia.llm.kn_rules import Model, count_grams, fit_model, gram_keys, judge_quality, text_stats
+from meridia.llm.kn_rules import Grams, count_grams, fit_model, judge_quality, text_stats
 from meridia.llm.mixing import cube_sample, fly, land, mix_sources, repeat_mixed, source_targets
 from meridia.llm.quality_gam import FEATURES, features_of, fit_gam, fit_quality, keep_good, score_quality, shallow_tree
 from meridia.llm.textops import Scratch
@@ -172,13 +172,18 @@ def test_rules_on_empty_table(empty):
     assert judge_quality(empty).collect() == []
 
 
-def brute_kneser_ney(words):
+def stream(text):
+    """White space as one mark after each word, digits as one character, after two marks for the beginning."""
+    return "\2\2\3" + "".join(re.sub("[0-9]", "0", w) + "\3" for w in re.findall(WORD, text))
+
+
+def brute_kneser_ney(texts):
     """Probability of each 4-gram's last character, by the recursion over counts."""
     grams = Counter()
-    for w, n in words.items():
-        padded = "\2\2\2" + re.sub("[0-9]", "0", w) + "\3"
-        for k in range(3, len(padded)):
-            grams[padded[k - 3 : k + 1]] += n
+    for text in texts:
+        s = stream(text)
+        for k in range(3, len(s)):
+            grams[s[k - 3 : k + 1]] += 1
     levels = {4: grams}
     for n in (3, 2, 1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
@@ -205,25 +210,37 @@ def brute_kneser_ney(words):
     return p
 
 
+def log_p(p, text):
+    s = stream(text)
+    return sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s)))
+
+
 def test_model_equals_recursion(spark):
-    words = {"banana": 3, "bandana": 1, "ban": 2, "cab": 1, "abacus": 2, "x1y2": 1, "é": 4, "dab": 1}
+    words = {"banana": 3, "bandana": 1, "ban": 2, "cab": 1, "a": 2, "x1y2": 1, "é": 4, "dab": 1}
     text = " ".join(w for w, n in words.items() for _ in range(n))
     docs = spark.createDataFrame([(1, "xx", text)], "doc_id long, lang string, text string")
     model = fit_model(docs, Scratch(spark, "kn"), 1_000_000)
-    p = brute_kneser_ney(words)
-    for w in [*words, "bandit", "zebra", "cabana", ""]:
-        padded = "\2\2\2" + re.sub("[0-9]", "0", w) + "\3"
-        want = sum(math.log(p(padded[k - 3 : k + 1])) for k in range(3, len(padded)))
-        assert model.score("xx", [w.encode()])[0] == pytest.approx(want, rel=1e-4)
-    assert all(math.isfinite(v) for v in model.score("unseen", [b"abc"]))
+    p = brute_kneser_ney([text])
+    for t in [text, *words, "bandit cab", "zebra\n a", "cabana a a", ""]:
+        assert model.score("xx", t.encode()) == pytest.approx(log_p(p, t), rel=1e-4)
+    assert model.score("xx", b"ban dab cab banana") != model.score("xx", b"banana cab dab ban")
+    assert math.isfinite(model.score("unseen", b"abc"))
 
 
 def test_counts_cover_all_rows(spark):
     docs = spark.createDataFrame([(k, None if k % 2 else "en", "aa b " * k) for k in range(20)], "doc_id long, lang string, text string")
     total = count_grams(docs.repartition(5)).agg(F.sum("c")).first()[0]
     assert total == sum(k * (3 + 2) for k in range(20))
-    keys, word = gram_keys([b"ab", b"", b"c"])
-    assert word.tolist() == [0, 0, 0, 1, 2, 2] and isinstance(Model, type)
+    texts = ["ab  \3c\nab", "", " \t", "d", "x" * 70_000 + " \U0001f600 \2"]
+    keys, often = Grams.of([t.encode() for t in texts]).counts()
+    want = Counter()
+    for t in texts:
+        s = [2, 2] + [3]
+        for w in re.findall(WORD, t):
+            s += [0xFFFF if ord(c) > 0xFFFF or c in "\2\3" else ord(c) for c in w] + [3]
+        want.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+    unpack = lambda k: tuple(int(k) >> 16 * j & 0xFFFF for j in (3, 2, 1, 0))
+    assert dict(zip(map(unpack, keys), often.tolist())) == dict(want)
 
 
 def test_scores_hold_every_gram_whatever_the_blocks(spark):
@@ -235,14 +252,40 @@ def test_scores_hold_every_gram_whatever_the_blocks(spark):
     alone = {r["doc_id"]: r["log_ppl"] for r in judge_quality(spark.createDataFrame(rare, schema), block_bytes=500).collect()}
     both = {r["doc_id"]: r["log_ppl"] for r in judge_quality(spark.createDataFrame(wide + rare, schema)).collect()}
     assert {i: both[i] for i in alone} == pytest.approx(alone, rel=1e-9) and max(alone.values()) < 3
-    words = Counter(w for _, _, t in rare for w in t.split())
-    p = brute_kneser_ney(words)
+    p = brute_kneser_ney([t for _, _, t in rare])
     for i, _, text in rare:
-        padded = ["\2\2\2" + w + "\3" for w in text.split()]
-        want = -sum(math.log(p(w[k - 3 : k + 1])) for w in padded for k in range(3, len(w))) / (len(text) + 1)
-        assert alone[i] == pytest.approx(want, rel=1e-6)
+        assert alone[i] == pytest.approx(-log_p(p, text) / (len(text) + 1), rel=1e-6)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_bands_equal_brute_force_and_reject_junk(spark, sf_docs, monkeypatch, few):
+    """The band from all rows' log perplexities; random letters fall outside, prose stays. With few=0 nothing is broadcast."""
+    from meridia.llm import textops
+
+    monkeypatch.setattr(textops, "FEW_ROWS", few)
+    rng = np.random.default_rng(8)
+    junk = [(10**9 + k, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 12, 200)), "en", "x", 0) for k in range(5)]
+    docs = sf_docs.unionByName(spark.createDataFrame(junk, sf_docs.schema))
+    found = judge_quality(docs).collect()
+    by_lang = defaultdict(list)
+    for r in found:
+        if not r["base_failed"]:
+            by_lang[r["lang"]].append(r)
+    for lang, some in by_lang.items():
+        at = lambda values, q: sorted(values)[max(math.ceil(q * len(values)) - 1, 0)]
+        mid = at([r["log_ppl"] for r in some], 0.5)
+        strayed = [(r["log_ppl"] - mid) * math.sqrt(r["n_words"]) for r in some]
+        iqr = at(strayed, 0.75) - at(strayed, 0.25)
+        for r in some:
+            reach = 0.02 + 5 * iqr / math.sqrt(r["n_words"])
+            assert (r["ppl_low"], r["ppl_high"]) == pytest.approx((mid - reach, mid + reach), rel=1e-9)
+            assert r["kept"] == (mid - reach <= r["log_ppl"] <= mid + reach)
+    assert not any(r["kept"] for r in found if r["doc_id"] >= 10**9)
+    usual = [r for some in by_lang.values() for r in some if r["doc_id"] < 10**9]
+    assert sum(r["kept"] for r in usual) > 0.9 * len(usual)
 
 
 def test_text_stats_of_repeats():
     text = b"a b c a b c\nx\nx\n \n \n# $"
-    assert text_stats(text, text.split())[2:] == (2, 1, 6)
+    grams = Grams.of([text])
+    assert text_stats(text, grams.codes, grams.chars)[2:] == (2, 1, 6)
