@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.textops import Scratch, as_bytes, pieces
+from meridia.llm.textops import Scratch, as_bytes, join_hot, pieces
 
 _NO_ID = -(1 << 63)  # stands for a null doc_id, which counts as the smallest
 HASHES = "h1 long, h2 long"
@@ -109,9 +109,9 @@ class LineRuns:
         self.scratch.drop(name, *(n for n, _ in old))
 
     def repeated(self) -> DataFrame:
-        """(h1, h2, top) of the hashes that min_docs documents hold, over all runs."""
+        """(h1, h2, n, top) of the hashes that min_docs documents hold, over all runs."""
         runs = [r for level in self.levels for r in level] + self.settled
-        return self._merged(runs).filter(F.col("n") >= self.min_docs).select("h1", "h2", "top")
+        return self._merged(runs).filter(F.col("n") >= self.min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, texts: bool = False) -> DataFrame:
@@ -127,7 +127,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(scratch, min_docs, fanout)
     for k in range(batches):
         runs.add(log.filter(F.col("batch") == k))
-    doomed = log.join(runs.repeated(), ["h1", "h2"]).filter(F.col("doc") < F.col("top")).select("doc", "h1", "h2").distinct()
+    repeated = scratch.keep(runs.repeated(), "repeated")
+    scratch.retain("lines", "repeated")
+    doomed = join_hot(log, repeated, ["h1", "h2"], "n", log.count()).filter(F.col("doc") < F.col("top")).select("doc", "h1", "h2").distinct()
+    doomed = scratch.keep(doomed, "doomed")
+    scratch.retain("doomed")
     by_doc = doomed.groupBy("doc").agg(F.collect_list("h1").alias("h1"), F.collect_list("h2").alias("h2"))
     keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
