@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.substring_dedup import gram_hashes, word_hashes
-from meridia.llm.textops import Scratch, as_bytes, pieces, text_key
+from meridia.llm.textops import Scratch, as_bytes, join_hot, pieces, text_key
 
 SALTS = 64  # parts that a hub's sets are dealt into
 
@@ -195,8 +195,12 @@ class SetJoin:
         """(gram, node, n, hub) of prefix n-grams that several sets share."""
         rows = self.sets.select(F.explode("prefix").alias("gram"), "node", "n")
         # the least and the greatest node, not a list, are gathered for each n-gram, and summed before they travel
-        ends = rows.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-        return self.scratch.keep(rows.join(ends.filter("hub <> last").select("gram", "hub"), "gram"), "postings")
+        ends = rows.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("m"))
+        ends = self.scratch.keep(ends.filter("hub <> last").select("gram", "hub", "m"), "ends")
+        total = ends.agg(F.sum("m")).first()[0] or 0
+        postings = self.scratch.keep(join_hot(rows, ends, ["gram"], "m", total).drop("m"), "postings")
+        self.scratch.drop("ends")
+        return postings
 
     def proposals(self, postings: DataFrame) -> DataFrame:
         """(a, b): each set b with the hub a of most of its n-grams among those of fitting size."""
@@ -275,16 +279,18 @@ class SetJoin:
         its hub. With forest, a block of sets yields only pairs that would join further components of it.
         """
         comp = F.coalesce("comp", "node").alias("comp")
-        rows = met.join(comps, "node", "left").select("hub", "node", "n", comp)
-        mixed = rows.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("hub")
+        self.passes = getattr(self, "passes", 0) + 1
+        rows = self.scratch.keep(met.join(comps, "node", "left").select("hub", "node", "n", comp), f"placed-{self.passes}")
+        mixed = rows.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y").select("hub", "m")
+        mixed = self.scratch.keep(mixed, f"hubs-{self.passes}")
         # sets of similar size are in one class or in neighbouring ones: each goes to its own and the one below
         size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) * (1 + 1e-9)).cast("int")
-        rows = rows.join(mixed, "hub").withColumn("own", size_class).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class"))
-        self.passes = getattr(self, "passes", 0) + 1
+        rows = join_hot(rows, mixed, ["hub"], "m", mixed.agg(F.sum("m")).first()[0] or 0).drop("m").withColumn("own", size_class).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class"))
         rows = self.scratch.keep(rows.withColumn("upper", F.col("own") != F.col("class")), f"mixed-{self.passes}")
         counts = rows.groupBy("hub", "class").agg(F.count("*").alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("lower"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 1 and lower > 0 and x <> y")
         blocks = F.ceil(F.col("m") / self.block).cast("int")
-        sized = rows.join(counts.select("hub", "class", blocks.alias("blocks")), ["hub", "class"])
+        counts = self.scratch.keep(counts.select("hub", "class", "m", blocks.alias("blocks")), f"classes-{self.passes}")
+        sized = join_hot(rows, counts, ["hub", "class"], "m", counts.agg(F.sum("m")).first()[0] or 0).drop("m")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         # every pair of blocks meets once: a row goes to each pair that has its block
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
@@ -350,7 +356,7 @@ class SetJoin:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sorted_ = dealt.repartition(parts, "hub", "class", "i", "j").sortWithinPartitions("hub", "class", "i", "j")
         found = self.scratch.keep(sorted_.mapInArrow(meet, "a long, b long").distinct(), f"across-{self.passes}")
-        self.scratch.drop(f"mixed-{self.passes}")
+        self.scratch.drop(*(f"{x}-{self.passes}" for x in ("mixed", "placed", "hubs", "classes")))
         return found
 
     def components(self, passes: int = 2) -> DataFrame:
