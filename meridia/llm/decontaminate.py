@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's distinct windows, keyed by hash, are broadcast as a hash set when their number is
-within ``broadcast_windows`` (else both sides are shuffled by hash). Every window of every document
-probes the set; a hit is verified on its words. Hits and one marker row for each document are
-grouped by document, so the texts are read once and only markers and hits are shuffled.
+within ``broadcast_windows``. Every window of every document probes the set; a hit is verified on its
+words. Hits and one marker row for each document are grouped by document, so the texts are read once
+and only markers and hits are shuffled. A larger benchmark is shuffled by hash with the documents'
+window hashes, without their words; what meets is grouped by document and verified on its words.
 """
 
 from __future__ import annotations
@@ -57,21 +58,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     scratch = Scratch(docs.sparkSession, "decontaminate")
     known = scratch.keep(benchmark_windows(benchmark, window), "windows")
     counts = {r["len"]: r["count"] for r in known.groupBy("len").count().collect()}  # a row for each length up to the window
-    dealt = sum(counts.values()) <= broadcast_windows
-    known = F.broadcast(known) if dealt else known.hint("merge")
-    words = F.col("words")
-    marker = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("hash")))
-    probes = [_windows(words, length, lambda i, h, length=length: F.struct(i.alias("at"), F.lit(length).alias("size"), h.alias("hash"))) for length in sorted(counts)]
-    tokens = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), plain_words().alias("words"))
-    # a row carries the words of its own window only, so a shuffle of rows grows with the text and not with its square
-    own = F.slice("words", F.greatest(F.col("w.at"), F.lit(0)) + 1, F.when(F.col("w.at") < 0, 0).otherwise(F.col("w.size")))
-    carried = F.col("words") if dealt else own
-    rows = tokens.select("doc_id", "tk", "words", F.explode(F.concat(marker, *probes)).alias("w")).select("doc_id", "tk", carried.alias("words"), F.when(F.col("w.at") < 0, F.size("words")).alias("n"), "w.at", "w.size", "w.hash")
-    met = rows.join(known, (rows["hash"] == known["h"]) & (rows["size"] == known["len"]), "left")
-    mine = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("size"), F.lit(1))) if dealt else F.col("words")
-    met = met.filter((F.col("at") < 0) | (F.col("gram").isNotNull() & (mine == F.col("gram"))))
-    by_doc = met.select("doc_id", "tk", "n", F.when(F.col("at") >= 0, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))).alias("hit"), "items")
-    grouped = by_doc.groupBy("doc_id", "tk").agg(F.max("n").alias("n_words"), F.count("n").alias("rows"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = (_probed if sum(counts.values()) <= broadcast_windows else _shuffled)(docs, known, sorted(counts))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def grow(spans: Column, hit: Column) -> Column:
@@ -85,6 +72,48 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return out.drop("_copy")
 
 
+def _tokens(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("tk"), plain_words().alias("words"))
+
+
+def _probes(lengths: list[int]) -> list[Column]:
+    return [_windows(F.col("words"), length, lambda i, h, length=length: F.struct(i.alias("at"), F.lit(length).alias("size"), h.alias("hash"))) for length in lengths]
+
+
+def _hit() -> Column:
+    return F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
+
+
+def _items(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(items)))
+
+
+def _probed(docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, tk, n_words, rows, hits, items of each document: the known windows go to every task."""
+    marker = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("hash")))
+    rows = _tokens(docs).select("doc_id", "tk", "words", F.explode(F.concat(marker, *_probes(lengths))).alias("w"))
+    rows = rows.select("doc_id", "tk", "words", F.when(F.col("w.at") < 0, F.size("words")).alias("n"), "w.at", "w.size", "w.hash")
+    met = rows.join(F.broadcast(known), (rows["hash"] == known["h"]) & (rows["size"] == known["len"]), "left")
+    mine = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("size"), F.lit(1)))
+    met = met.filter((F.col("at") < 0) | (F.col("gram").isNotNull() & (mine == F.col("gram"))))
+    by_doc = met.select("doc_id", "tk", "n", F.when(F.col("at") >= 0, _hit()).alias("hit"), "items")
+    return by_doc.groupBy("doc_id", "tk").agg(F.max("n").alias("n_words"), F.count("n").alias("rows"), F.array_sort(F.collect_set("hit")).alias("hits"), _items(F.collect_list("items")).alias("items"))
+
+
+def _shuffled(docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same with both sides shuffled by hash; a window's words are looked up only where its hash is known."""
+    rows = _tokens(docs).select("doc_id", "tk", F.explode(F.concat(*_probes(lengths))).alias("w")).select("doc_id", "tk", "w.at", "w.size", "w.hash")
+    met = rows.join(known.hint("merge"), (rows["hash"] == known["h"]) & (rows["size"] == known["len"]))
+    found = met.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "size", "gram", "items")).alias("found"))
+    found = found.select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), "found")
+    tokens = _tokens(docs)
+    both = tokens.join(found.hint("merge"), tokens["doc_id"].eqNullSafe(F.col("_d")) & tokens["tk"].eqNullSafe(F.col("_t")), "left")
+    real = F.coalesce(F.filter("found", lambda x: F.slice(F.col("words"), x["at"] + 1, x["size"]) == x["gram"]), F.array().cast(met.select(F.array(F.struct("at", "size", "gram", "items")).alias("f")).schema["f"].dataType))
+    hits = F.array_sort(F.array_distinct(F.transform("real", lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["size"]).alias("end")))))
+    both = both.withColumn("real", real)
+    return both.select("doc_id", "tk", F.size("words").alias("n_words"), F.lit(1).alias("rows"), hits.alias("hits"), _items(F.transform("real", lambda x: x["items"])).alias("items"))
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     found = find_contamination(docs, benchmark, window)
