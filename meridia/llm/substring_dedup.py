@@ -5,6 +5,11 @@ Consecutive windows of a document with the same minimiser travel as one packed s
 minimiser's bucket, so equal windows always meet there, and a bucket's windows are sorted out
 exactly on their words. A task drops packed strings that it has already sent (their windows are
 known to be repeated), so a passage held by a third of all rows reaches its bucket once per task.
+
+A bucket beyond ``most_bytes`` (a phrase that very many texts share in ever different surroundings
+is the minimiser of them all) is not sorted out: its strings are dealt again by minimisers of longer
+grams, under another hash, to buckets of the next level, and at last by whole windows. Equal windows
+have equal minimisers at every level, so they go on meeting.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,8 @@ _LAST = (1 << 63) - 1  # orders a null doc_id after all others
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
-_FOUND = pa.schema([("doc", pa.int64()), ("tk", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_FOUND = pa.schema([("doc", pa.int64()), ("tk", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), *_SENT])
+_FOUND_DDL = "doc long, tk long, starts array<int>, ends array<int>, bucket int, packed binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,11 +109,12 @@ def window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return mixed((sums[at + window] - sums[at]) * down[at])
 
 
-def super_kmers(hashes: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
+def super_kmers(hashes: np.ndarray, window: int, gram: int, level: int = 0) -> Iterator[tuple[int, int, int]]:
     """(minimiser, first window, windows) of each run of windows with one minimiser."""
     if len(hashes) < window:
         return
-    least = window_minima(gram_hashes(hashes, gram), window - gram + 1)
+    grams = gram_hashes(hashes, gram)
+    least = window_minima(mixed(grams ^ np.uint64(0x5851F42D4C957F2D * level)) if level else grams, window - gram + 1)
     edges = np.flatnonzero(least[1:] != least[:-1]) + 1
     firsts = np.concatenate(([0], edges))
     counts = np.diff(np.concatenate((firsts, [len(least)])))
@@ -136,46 +144,63 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+class Sender:
+    """Deals out windows as packed strings of super-k-mers; what it has already sent goes as a repeated run."""
+
+    def __init__(self, window: int, gram: int, buckets: int, level: int = 0):
+        self.window, self.gram, self.buckets, self.level = window, gram, buckets, level
+        self.first: dict[bytes, tuple] = {}
+        self.sent: dict[int, list] = {}
+        self.held = 0
+
+    def _repeat(self, doc: int, tk: int, start: int, words: int) -> None:
+        """A run that needs no comparison may go to any bucket: by document, so that it is never a hot one."""
+        self.sent.setdefault((doc * 31 + start // 1024) % self.buckets, []).append((doc, tk, start, None, words))
+
+    def add(self, doc: int, tk: int, start: int, line: bytes) -> None:
+        """The windows of a line, whose first word is at ``start`` of the document."""
+        begin, end = word_edges(line)
+        for least, at, count in super_kmers(word_hashes(line, (begin, end)), self.window, self.gram, self.level):
+            words = count + self.window - 1
+            string = line[begin[at] : end[at + words - 1]]
+            bucket, me = least % self.buckets, (doc, start + at, tk)
+            if (before := self.first.get(string)) is None:
+                self.first[string] = (*me, bucket, words)
+                self.held += len(string) + 300
+                continue
+            self.held += 100
+            if before[:2] == me[:2]:  # one document met twice: neither row is earlier
+                if before[2] != tk:
+                    self.sent.setdefault(bucket, []).append((doc, tk, start + at, string, words))
+                continue
+            if me[:2] < before[:2]:
+                self.first[string] = (*me, bucket, words)
+                me = before[:3]
+            self._repeat(me[0], me[2], me[1], words)
+
+    def out(self) -> tuple[list[int], list[bytes]]:
+        """What is held, by bucket."""
+        for string, (doc, start, tk, bucket, n) in self.first.items():
+            self.sent.setdefault(bucket, []).append((doc, tk, start, string, n))
+        keys = sorted(self.sent)
+        packed = [_pack(self.sent[k]) for k in keys]
+        self.first, self.sent, self.held = {}, {}, 0
+        return keys, packed
+
+
 def _send(window: int, gram: int, buckets: int, flush: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple] = {}
-        sent: dict[int, list] = {}
-        held = 0
+        sender = Sender(window, gram, buckets)
 
         def out() -> pa.RecordBatch:
-            for string, (doc, start, tk, bucket, n) in first.items():
-                sent.setdefault(bucket, []).append((doc, tk, start, string, n))
-            keys = sorted(sent)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_pack(sent[k]) for k in keys], pa.binary())], schema=_SENT)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(sender.out(), _SENT.types)], schema=_SENT)
 
         for part in pieces(source):
             for doc, tk, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
-                line = b" ".join(raw.split())
-                begin, end = word_edges(line)
-                for least, start, count in super_kmers(word_hashes(line, (begin, end)), window, gram):
-                    string = line[begin[start] : end[start + count + window - 2]]
-                    bucket, me = least % buckets, (doc, start, tk)
-                    if (before := first.get(string)) is None:
-                        first[string] = (*me, bucket, count + window - 1)
-                        held += len(string) + 300
-                        continue
-                    held += 100
-                    if before[:2] == me[:2]:  # one document met twice: neither row is earlier
-                        if before[2] != tk:
-                            sent.setdefault(bucket, []).append((doc, tk, start, string, count + window - 1))
-                        continue
-                    if me[:2] < before[:2]:
-                        first[string] = (*me, bucket, count + window - 1)
-                        doc, start, tk = before[0], before[1], before[2]
-                    else:
-                        doc, start, tk = me
-                    sent.setdefault(bucket, []).append((doc, tk, start, None, count + window - 1))
-                if held > flush:
+                sender.add(doc, tk, 0, b" ".join(raw.split()))
+                if sender.held > flush:
                     yield out()
-                    first.clear()
-                    sent.clear()
-                    held = 0
-        if held:
+        if sender.held:
             yield out()
 
     return run
@@ -208,43 +233,80 @@ def repeated_windows(line: bytes, at: np.ndarray, window: int, doc: np.ndarray,
     return out
 
 
-def _meet(window: int):
-    """A bucket's windows, sorted: every one that is not the first of its words is repeated."""
+def _spans(doc: np.ndarray, tk: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Words a to b of documents as found rows, merged by document."""
+    by = np.lexsort((a, tk, doc))
+    doc, tk, a, b = doc[by], tk[by], a[by], b[by]
+    spans: dict[tuple[int, int], list] = {}
+    if len(by):
+        # a window that begins where the one before it did, or a word later, goes on with its span
+        fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1]) | (a[1:] - a[:-1] > 1))))
+        ends = np.maximum.reduceat(b, fresh)
+        for d, t, x, y in zip(doc[fresh].tolist(), tk[fresh].tolist(), a[fresh].tolist(), ends.tolist()):
+            spans.setdefault((d, t), []).append((x, y))
+    rows = [(d, t, _merge(x)) for (d, t), x in spans.items()]
+    columns = [[d for d, _, _ in rows], [t for _, t, _ in rows], [[a for a, _ in x] for _, _, x in rows], [[b for _, b in x] for _, _, x in rows], [None] * len(rows), [None] * len(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)
+
+
+def _strings(head: np.ndarray, line: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(doc, tk, start, string) of each packed string."""
+    begin, end = word_edges(line)
+    last = np.cumsum(head[3])
+    for d, t, start, a, b in zip(*head[:3].tolist(), begin[last - head[3]].tolist(), end[last - 1].tolist()):
+        yield d, t, start, line[a:b]
+
+
+def _meet(window: int, most_bytes: int, sender):
+    """A bucket's windows, sorted: every one that is not the first of its words is repeated.
+
+    Beyond ``most_bytes`` of strings a bucket is dealt out again by ``sender()``, if there is one.
+    """
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, lines = [np.zeros((4, 0), np.int64)], []
+        heads, lines, held, dealer = [np.zeros((4, 0), np.int64)], [], 0, None
+
+        def out() -> pa.RecordBatch:
+            keys, packed = dealer.out()
+            none = [None] * len(keys)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, keys, packed), _FOUND.types)], schema=_FOUND)
+
         for part in source:
             for packed in part.column("packed").to_pylist():
                 head, line = _unpack(packed)
-                heads.append(head)
-                if line:
-                    lines.append(line)
+                runs = head[:, head[3] < 0]
+                if runs.shape[1]:
+                    yield _spans(runs[0], runs[1], runs[2], runs[2] - runs[3])
+                if not line:
+                    continue
+                heads.append(head[:, head[3] > 0])
+                lines.append(line)
+                held += len(line)
+                if sender and (dealer or held > most_bytes):
+                    dealer = dealer or sender()
+                    for head, line in zip(heads[1 if not heads[0].shape[1] else 0 :], lines):
+                        for string in _strings(head, line):
+                            dealer.add(*string)
+                        if dealer.held > most_bytes:
+                            yield out()
+                    heads, lines = [], []
+        if dealer:
+            if dealer.held:
+                yield out()
+            return
         head, line = np.concatenate(heads, axis=1), b" ".join(lines)
-        runs, strings = head[:, head[3] < 0], head[:, head[3] > 0]
-        counts = strings[3] - window + 1
+        counts = head[3] - window + 1
         row = np.repeat(np.arange(len(counts)), counts)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(np.cumsum(strings[3]) - strings[3], counts) + nth
-        start = strings[2][row] + nth
-        gone = np.flatnonzero(repeated_windows(line, at, window, strings[0][row], start))
-        found = [np.concatenate((x, y)) for x, y in zip((strings[0][row[gone]], strings[1][row[gone]], start[gone], start[gone] + window), (runs[0], runs[1], runs[2], runs[2] - runs[3]))]
-        by = np.lexsort((found[2], found[1], found[0]))
-        spans: dict[tuple[int, int], list] = {}
-        doc, tk, a, b = (x[by] for x in found)
-        # a window that begins where the one before it did, or a word later, goes on with its span
-        fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1]) | (a[1:] - a[:-1] > 1)))) if len(by) else np.zeros(0, np.int64)
-        if len(by):
-            ends = np.maximum.reduceat(b, fresh)
-            for d, t, x, y in zip(doc[fresh].tolist(), tk[fresh].tolist(), a[fresh].tolist(), ends.tolist()):
-                spans.setdefault((d, t), []).append((x, y))
-        rows = [(d, t, _merge(x)) for (d, t), x in spans.items()]
-        columns = [[d for d, _, _ in rows], [t for _, t, _ in rows], [[a for a, _ in x] for _, _, x in rows], [[b for _, b in x] for _, _, x in rows]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)
+        at = np.repeat(np.cumsum(head[3]) - head[3], counts) + nth
+        start = head[2][row] + nth
+        gone = np.flatnonzero(repeated_windows(line, at, window, head[0][row], start))
+        yield _spans(head[0][row[gone]], head[1][row[gone]], start[gone], start[gone] + window)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 8 << 20, texts: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 8 << 20, most_bytes: int = 48 << 20, texts: bool = False) -> DataFrame:
     """One row per row of docs: n_words, n_removed and the digest of the words kept (with texts, also ``kept``).
 
     A window is repeated if an equal one starts at a smaller doc_id, or earlier in the same document;
@@ -258,8 +320,16 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, bucket_by
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, int(size * 3 // bucket_bytes))  # packed strings overlap: they have about three times the text
     sent = keyed.select("doc", "tk", "text").mapInArrow(_send(window, gram, buckets, 24 << 20), "bucket int, packed binary")
-    found = sent.groupBy("bucket").applyInArrow(_meet(window), "doc long, tk long, starts array<int>, ends array<int>")
-    spans = scratch.keep(found, "spans")
+    grams = [gram, *sorted({min(2 * gram, window), window} - {gram})]  # of each level; at the last a window is its own minimiser
+    spans = None
+    for level in range(len(grams)):
+        more = None if level + 1 == len(grams) else partial(Sender, window, grams[level + 1], buckets, level + 1)
+        met = scratch.keep(sent.groupBy("bucket").applyInArrow(_meet(window, most_bytes, more), _FOUND_DDL), f"met-{level}")
+        found = met.filter("packed is null").select("doc", "tk", "starts", "ends")
+        spans = found if spans is None else spans.unionByName(found)
+        sent = met.filter("packed is not null").select("bucket", "packed")
+        if more is None or not sent.limit(1).count():
+            break
     by_doc = spans.groupBy("doc", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
 

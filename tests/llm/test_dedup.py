@@ -80,6 +80,20 @@ def test_windows_equal_brute_force(which, window, request):
     assert sum(x[2] for x in want) > 0
 
 
+@pytest.mark.parametrize("most", [2_000, 60_000, 48 << 20])
+def test_a_phrase_in_ever_different_surroundings(spark, most):
+    """One five-word phrase in 3000 texts, in a third of them the whole passage: hot buckets are dealt out again, results stay exact."""
+    texts = []
+    for k in range(3000):
+        own = [f"q{(k * 7919 + j * 104729) % 1_000_003}" for j in range(24)]
+        passage = ["aa", "bb", "cc", "dd", "ee"] if k % 3 else [f"p{j}" for j in range(10)] + ["aa", "bb", "cc", "dd", "ee"] + [f"s{j}" for j in range(10)]
+        texts.append((k if k % 50 else None, " ".join(own[:12] + passage + own[12:])))
+    docs = spark.createDataFrame(texts + texts[:3], "doc_id long, text string")
+    want = brute_windows(texts + texts[:3], 20)
+    got = rows(dedup_substrings(docs, bucket_bytes=60_000, most_bytes=most))
+    assert [x for x in got if x[0] is not None] == [x for x in want if x[0] is not None] and len(got) == len(want)
+
+
 def test_windows_empty_table(empty):
     assert dedup_substrings(empty).collect() == []
 
