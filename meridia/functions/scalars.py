@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 REACH_LEVELS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 DEFAULT_REACH_LEVEL = 4.0
 RADIUS_MIN_KM, RADIUS_MAX_KM = 50.0, 20_000.0
+SLIDER_STEPS = 1000
 ALPHA_MIN, ALPHA_MAX, ALPHA_STEP, DEFAULT_ALPHA = 0.1, 1.0, 0.01, 0.5
 RATIO_BELOW, RATIO_ABOVE = (0.1, 0.25, 0.5), (2.0, 4.0, 10.0)
 
@@ -31,20 +32,20 @@ def parse_alpha(text: Column) -> Column:
 
 
 def round_radius(km: Column) -> Column:
-    """Held within the domain, then rounded to 1 below 1000 km, 5 below 5000 km and 10 above."""
+    """Held within the domain, then rounded to 1 below 200 km, 5 below 2000 km and 10 above."""
     r = F.least(F.lit(RADIUS_MAX_KM), F.greatest(F.lit(RADIUS_MIN_KM), km))
-    step = F.when(r < 1000, 1.0).when(r < 5000, 5.0).otherwise(10.0)
-    return round_half_up(r / step) * step
+    step = F.when(r < 200, 1.0).when(r < 2000, 5.0).otherwise(10.0)
+    return F.least(F.lit(RADIUS_MAX_KM), F.greatest(F.lit(RADIUS_MIN_KM), round_half_up(r / step) * step))
 
 
 def radius_to_slider(km: Column) -> Column:
-    """0 to 1, logarithmic."""
+    """Whole steps from 0 to SLIDER_STEPS, logarithmic."""
     r = F.least(F.lit(RADIUS_MAX_KM), F.greatest(F.lit(RADIUS_MIN_KM), km))
-    return F.log(r / RADIUS_MIN_KM) / F.log(F.lit(RADIUS_MAX_KM / RADIUS_MIN_KM))
+    return round_half_up((F.log(r) - F.log(F.lit(RADIUS_MIN_KM))) / F.log(F.lit(RADIUS_MAX_KM / RADIUS_MIN_KM)) * SLIDER_STEPS)
 
 
 def slider_to_radius(s: Column) -> Column:
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))
+    t = F.least(F.lit(float(SLIDER_STEPS)), F.greatest(F.lit(0.0), s)) / SLIDER_STEPS
     return round_radius(RADIUS_MIN_KM * F.exp(t * F.log(F.lit(RADIUS_MAX_KM / RADIUS_MIN_KM))))
 
 

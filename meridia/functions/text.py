@@ -35,6 +35,17 @@ def normalize(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), ascii_).otherwise(_normalize(text))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _normalize_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: [x if x is None else normalize_text(x) for x in xs], na_action="ignore")
+
+
+def normalize_all(texts: Column) -> Column:
+    """Each text of an array; arrays of ASCII texts stay in the JVM."""
+    ascii_ = F.transform(texts, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
+    return F.when(F.forall(texts, lambda x: x.isNull() | (F.length(x) == F.octet_length(x))), ascii_).otherwise(_normalize_all(texts))
+
+
 def token_starts_with(text: Column, query: Column) -> Column:
     return F.startswith(text, query) | F.contains(text, F.concat(F.lit(" "), query))
 

@@ -71,6 +71,8 @@ def solve(density: np.ndarray, sigma: float = 1.0, tolerance: float = 0.01, most
             step *= max(0.5, min(2.0, 0.9 * (tolerance / error) ** 0.5))
         else:
             step *= max(0.1, min(0.5, 0.8 * (tolerance / error) ** 0.5))
+    if t < 1:
+        raise RuntimeError(f"the map is not equalised after {most_steps} steps (time {t:.3f} of 1)")
     return x, y
 
 

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.geo import haversine_km
+from meridia.functions.geo import EARTH_KM, haversine_km
+from meridia.operators.nearest import P, T, with_vector
 
 MAX_LATITUDE_GAP, MIN_OTHER_KM, MIN_TWIN_KM, LIMIT = 1.0, 500.0, 3000.0, 3
+FAR_LEVEL = 2  # cubes of a quarter of the radius
 
 
 def first_of_each(df: DataFrame, point: str, key: str, order: list[Column], limit: int) -> DataFrame:
     """The first row of each key by order, then the first ``limit`` of those, for each point."""
-    by_key, by_point = Window.partitionBy(point, key).orderBy(*order), Window.partitionBy(point).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(by_key)).filter("_n = 1").withColumn("position", F.row_number().over(by_point)).filter(F.col("position") <= limit).drop("_n")
+    # an aggregation, so that a task keeps one row a key before anything is shuffled or sorted
+    heads = df.groupBy(point, key).agg(F.min_by(F.struct(*(c for c in df.columns if c not in (point, key))), F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("_row")).select(point, key, "_row.*")
+    return heads.withColumn("position", F.row_number().over(Window.partitionBy(point).orderBy(*order))).filter(F.col("position") <= limit)
 
 
 _ORDER = ("population", "city_id")
 
 
 def _order() -> list[Column]:
-    return [F.col("population").desc(), F.col("city_id")]
+    return [-F.col("population"), F.col("city_id")]
 
 
 def same_latitude(points: DataFrame, cities: DataFrame, key: str = "point_id") -> DataFrame:
@@ -35,9 +40,30 @@ def same_latitude(points: DataFrame, cities: DataFrame, key: str = "point_id") -
 
 
 def far_twins(points: DataFrame, cities: DataFrame, key: str = "point_id") -> DataFrame:
-    """Cities of the same class from 3000 km on: the largest of each country, three at most."""
-    met = cities.join(points, F.col("class") == F.col("p_class")).filter("p_class > 0").withColumn("distance_km", F.round(haversine_km("p_lat", "p_lon", "lat", "lon"), 6))
-    return first_of_each(met.filter(F.col("distance_km") >= MIN_TWIN_KM), key, "country_id", _order(), LIMIT).select(key, F.lit("far-twin").alias("list"), "position", "city_id", "class", "country_id", "distance_km")
+    """Cities of the same class from 3000 km on: the largest of each country, three at most.
+
+    A class's cities of a country in one cube of space have a head, the largest. A cube that is far
+    enough as a whole offers its head only, one that is too near as a whole nothing; just the cities
+    of cubes across the limit are met one by one. Heads are as many as places, not as cities.
+    """
+    side, limit = F.lit(2.0**-FAR_LEVEL), 2 * math.sin(MIN_TWIN_KM / 2 / EARTH_KM)
+    placed = with_vector(cities, "lat", "lon", T)
+    for axis in T:
+        placed = placed.withColumn(f"{axis}_at", F.floor(F.col(axis) / side))
+    box = [f"{axis}_at" for axis in T]
+    group = ["class", "country_id", *box]
+    rows = F.struct("city_id", "lat", "lon", "population")
+    heads = placed.filter("class > 0").groupBy(*group).agg(F.min_by(rows, F.struct(-F.col("population"), "city_id")).alias("head"))
+    asked = with_vector(points, "p_lat", "p_lon", P)
+    centre = tuple(((F.col(b) + 0.5) * side) for b in box)
+    to = F.sqrt(sum(((F.col(x) - c) * (F.col(x) - c) for x, c in zip(P, centre)), F.lit(0.0)))
+    slack = math.sqrt(3) / 2 * 2.0**-FAR_LEVEL + 1e-6
+    met = asked.join(heads, F.col("p_class") == F.col("class")).withColumn("_to", to).filter(F.col("_to") + slack >= limit)
+    own = [c for c in points.columns]
+    whole = met.filter(F.col("_to") - slack >= limit).select(*own, "class", "country_id", "head.*")
+    parted = met.filter(F.col("_to") - slack < limit).select(*own, *group).join(placed.select(*group, "city_id", "lat", "lon", "population"), group).select(*own, "class", "country_id", "city_id", "lat", "lon", "population")
+    found = whole.unionByName(parted).withColumn("distance_km", F.round(haversine_km("p_lat", "p_lon", "lat", "lon"), 6)).filter(F.col("distance_km") >= MIN_TWIN_KM)
+    return first_of_each(found, key, "country_id", _order(), LIMIT).select(key, F.lit("far-twin").alias("list"), "position", "city_id", "class", "country_id", "distance_km")
 
 
 def twins(points: DataFrame, cities: DataFrame, key: str = "point_id") -> DataFrame:

@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="meridia-graph-"))
         folder = _own[0]
@@ -25,26 +27,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def crossings(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
-    """(start, node, crossings): the least number of edges of cost 1 on the way, over edges (a, b, cost 0 or 1).
+    """(start, node, crossings, free): the least number of edges of cost 1 on the way, over edges (a, b, cost 0 or 1).
 
     Each round extends the frontier by free edges until nothing new is reached, then by one crossing;
-    a node keeps its first, least, number.
+    a node keeps its first, least, number. free: how many free edges came after the last crossing.
     """
-    known = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("crossings")))
+    known = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("crossings"), F.lit(0).alias("free")))
     frontier, depth = known, 0
     while depth <= most:
+        wave, hops = frontier, 0
         while True:
-            free = frontier.join(edges.filter("cost = 0"), F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(depth).alias("crossings")).distinct()
-            free = cut(free.join(known, ["start", "node"], "left_anti"))
-            if not free.limit(1).count():
+            hops += 1
+            free = wave.join(edges.filter("cost = 0"), F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(depth).alias("crossings"), F.lit(hops).alias("free")).distinct()
+            wave = cut(free.join(known, ["start", "node"], "left_anti"))
+            if not wave.limit(1).count():
                 break
-            known, frontier = cut(known.unionByName(free)), cut(frontier.unionByName(free))
+            known, frontier = cut(known.unionByName(wave)), cut(frontier.unionByName(wave))
         depth += 1
-        step = frontier.join(edges.filter("cost = 1"), F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(depth).alias("crossings")).distinct()
+        step = frontier.join(edges.filter("cost = 1"), F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(depth).alias("crossings"), F.lit(0).alias("free")).distinct()
         frontier = cut(step.join(known, ["start", "node"], "left_anti"))
         if not frontier.limit(1).count():
             break
         known = cut(known.unionByName(frontier))
+    else:
+        raise RuntimeError(f"nodes are still reached after {most} crossings")
     return known
 
 
@@ -62,22 +68,24 @@ def farthest(found: DataFrame) -> DataFrame:
 def route(edges: DataFrame, start: int, goal: int) -> DataFrame:
     """(step, node) of a route with the fewest crossings; a single row when start is goal, none when it can't be reached.
 
-    Walks back from the goal, at each step to the smallest node that is one edge nearer. As many
-    rounds as the route has steps.
+    Each node's predecessor is the smallest node that is one edge nearer, fewer crossings first. The
+    chain from the goal doubles each round: so many predecessors back, then twice as many.
     """
     spark = edges.sparkSession
-    found = crossings(edges, spark.createDataFrame([(start,)], "start long"))
-    at = found.filter(F.col("node") == goal).select("crossings").first()
-    if at is None:
-        return spark.createDataFrame([], "step int, node long")
-    path, node, depth, seen = [goal], goal, at[0], {goal}
-    while node != start:
-        before = edges.filter(F.col("b") == node).join(found, F.col("a") == F.col("node")).filter(F.col("crossings") + F.col("cost") == depth).filter(~F.col("a").isin(*seen))
-        nearest = before.orderBy("crossings", "a").select("a", "crossings").first()
-        node, depth = nearest[0], nearest[1]
-        seen.add(node)
-        path.append(node)
-    return spark.createDataFrame([(k, n) for k, n in enumerate(reversed(path))], "step int, node long")
+    found = crossings(edges, spark.createDataFrame([(start,)], "start long")).drop("start")
+    far = found.select(F.col("node").alias("b"), F.col("crossings").alias("depth"), F.col("free").alias("late"))
+    nearer = (F.col("cost") == 1) & (F.col("crossings") == F.col("depth") - 1) | (F.col("cost") == 0) & (F.col("crossings") == F.col("depth")) & (F.col("free") == F.col("late") - 1)
+    met = edges.join(found, F.col("a") == F.col("node")).join(far, "b").filter(nearer)
+    up = cut(met.groupBy("b").agg(F.min(F.struct("crossings", "a")).alias("m")).select(F.col("b").alias("node"), F.col("m.a").alias("up")))
+    path, span = cut(found.filter(F.col("node") == goal).select("node", F.lit(0).alias("back"))), 1
+    while True:
+        more = cut(path.join(up, "node").select(F.col("up").alias("node"), (F.col("back") + span).alias("back")))
+        if not more.limit(1).count():
+            break
+        path, span = cut(path.unionByName(more)), 2 * span
+        twice = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        up = cut(up.join(twice, "up").select("node", F.col("top").alias("up")))
+    return path.crossJoin(F.broadcast(path.agg(F.max("back").alias("length")))).select((F.col("length") - F.col("back")).alias("step"), "node")
 
 
 def merge_runs(path: DataFrame, key: str = "country") -> DataFrame:

@@ -1,8 +1,9 @@
 """Nearest-neighbour joins on the sphere.
 
-Points and targets meet by cells of a latitude-longitude grid. For each occupied cell of points, a
-bound on the distance to any target rules out most cells of targets; what remains is an equi-join.
-The grid bounds the size of that cell table, however many points and targets there are.
+Unit vectors are dealt into cubes of side 2**-level, a cube in space having no pole or date line. All
+points within one side of a point lie in its cube or one of the 26 around it. Each point first finds
+the finest level at which any target is that close, which bounds its distance; then it meets only the
+targets of the cubes around it at the level whose side covers that bound. Both are equi-joins.
 """
 
 from __future__ import annotations
@@ -10,36 +11,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.functions.geo import EARTH_KM, antipode, haversine_atan2_km, haversine_km, vector_distance_km, unit_vector
+from meridia.functions.geo import antipode, haversine_atan2_km, haversine_km, unit_vector
 
-STEP_DEG = 6.0
+LEVELS = 13  #: sides from 1 down to 2**-12 of the radius, about 1.6 km
+_AXES = ("ux", "uy", "uz")
+_SPAN = 16384  # more than there are cubes along an axis at any level
+_AROUND = [(i * _SPAN + j) * _SPAN + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+P, T = ("_px", "_py", "_pz"), ("_tx", "_ty", "_tz")
 
 
-def _cell(lat, lon, step: float) -> Column:
-    i = F.least(F.floor((F.col(lat) + 90) / step), F.lit(int(180 / step) - 1))
-    j = F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / step), F.lit(int(360 / step) - 1))
-    return (i * int(360 / step) + j).cast("int")
+def _cube(vector: tuple[str, str, str]) -> Column:
+    """One number for the cube of a unit vector at the row's level; the cubes around it differ by fixed numbers."""
+    x, y, z = (F.floor(F.col(v) * F.pow(F.lit(2.0), F.col("level"))) + _SPAN // 2 for v in vector)
+    return (x * _SPAN + y) * _SPAN + z
 
 
-def _centre(cell: str, step: float) -> dict[str, Column]:
-    across = int(360 / step)
-    return unit_vector((F.floor(F.col(cell) / across) + 0.5) * step - 90, (F.col(cell) % across + 0.5) * step - 180)
+def in_cubes(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:
+    """A row for each level, with the cube of its vector."""
+    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cube", _cube(vector))
 
 
-def nearest_join(points: DataFrame, targets: DataFrame, key: str, order: list[Column], step: float = STEP_DEG, distance=haversine_km) -> DataFrame:
+def around(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:
+    """A row for each of the cubes around a vector at the row's level."""
+    return df.withColumn("cube", _cube(vector)).withColumn("_step", F.explode(F.array(*map(F.lit, _AROUND)))).withColumn("cube", F.col("cube") + F.col("_step")).drop("_step")
+
+
+def covering_level(chord: Column) -> Column:
+    """The finest level whose cubes around a point hold all that is within a chord, with room for rounding."""
+    reach = chord * (1 + 1e-6) + 1e-8
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(-F.log2(reach)))).cast("int")
+
+
+def chord(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
+    return F.sqrt(sum(((F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b)), F.lit(0.0)))
+
+
+def with_vector(df: DataFrame, lat: str, lon: str, names: tuple[str, str, str]) -> DataFrame:
+    u = unit_vector(lat, lon)
+    return df.select("*", *(u[a].alias(n) for a, n in zip(_AXES, names)))
+
+
+def nearest_join(points: DataFrame, targets: DataFrame, key: str, order: list[Column], distance=haversine_km) -> DataFrame:
     """Each row of points (key, lat, lon, ...) with the target (t_lat, t_lon, ...) that is nearest, then first by order.
 
     Distances count to six decimals, so that ties are ties. Adds ``distance_km`` and the targets'
     columns; points without any target have nulls.
     """
-    p, t = points.withColumn("_pc", _cell("lat", "lon", step)), targets.withColumn("_tc", _cell("t_lat", "t_lon", step))
-    radius = EARTH_KM * 1.5 * step * 3.141592653589793 / 180 / 2 + 1  # a cell lies within this of its centre
-    # one row for each pair of occupied cells, of which the grid has a fixed number
-    cells = p.select("_pc").distinct().crossJoin(F.broadcast(t.select("_tc").distinct()))
-    cells = cells.withColumn("d", vector_distance_km(_centre("_pc", step), _centre("_tc", step)))
-    reach = cells.groupBy("_pc").agg((F.min("d") + 4 * radius).alias("most"))
-    near = cells.join(reach, "_pc").filter("d <= most").select("_pc", "_tc")
-    met = p.join(F.broadcast(near), "_pc").join(t, "_tc")
+    p, t = with_vector(points.select(key, "lat", "lon"), "lat", "lon", P), with_vector(targets, "t_lat", "t_lon", T)
+    dealt = in_cubes(t, T)
+    # levels of cubes with a target in or around them: many targets of a cube count once
+    occupied = dealt.select("level", "cube").distinct()
+    own = around(in_cubes(p, P), P).select(key, "level", "cube")
+    close = own.join(occupied, ["level", "cube"], "left_semi").groupBy(key).agg(F.max("level").alias("level"))
+    bound = around(p.join(close, key), P).join(dealt.select("level", "cube", *T), ["level", "cube"]).groupBy(key).agg(F.min(chord(P, T)).alias("_bound"))
+    asked = around(p.join(bound, key).withColumn("level", covering_level(F.col("_bound"))), P)
+    met = asked.join(dealt, ["level", "cube"]).filter(chord(P, T) <= F.col("_bound") * (1 + 1e-6) + 1e-8)
     met = met.withColumn("distance_km", F.round(distance("lat", "lon", "t_lat", "t_lon"), 6))
     kept = [c for c in targets.columns if c not in points.columns]
     best = met.groupBy(key).agg(F.min_by(F.struct("distance_km", *kept), F.struct(F.col("distance_km").alias("d"), *(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("best"))

@@ -6,19 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km
+from meridia.operators.nearest import P, T, around, chord, covering_level, in_cubes, with_vector
 
 FLOOR = 0.1
 
 
+def _rival_chord(cities: DataFrame, focal: DataFrame) -> DataFrame:
+    """(focal_id, rival): the chord to the nearest other city at least as large; null where there is none.
+
+    Cubes know their largest population and how many cities have it; the finest level at which the
+    cubes around a focal city hold a rival bounds the distance, and the cubes that cover it hold it.
+    """
+    dealt = in_cubes(cities.select("city_id", "population", *T), T)
+    largest = dealt.groupBy("level", "cube", "population").agg(F.count("*").alias("n")).groupBy("level", "cube").agg(F.max(F.struct("population", "n")).alias("top"))
+    own = around(in_cubes(focal.select("focal_id", "focal_population", *P), P), P)
+    met = own.join(largest, ["level", "cube"]).filter(F.col("top.population") >= F.col("focal_population"))
+    # the city itself is one of those of its own size
+    level = met.groupBy("focal_id", "level").agg(F.sum(F.when(F.col("top.population") > F.col("focal_population"), 2).otherwise(F.col("top.n"))).alias("n")).filter("n > 1").groupBy("focal_id").agg(F.max("level").alias("level"))
+    rival = (F.col("city_id") != F.col("focal_id")) & (F.col("population") >= F.col("focal_population"))
+    for name in ("_first", "rival"):
+        asked = around(focal.join(level, "focal_id"), P)
+        found = asked.join(dealt, ["level", "cube"]).filter(rival).groupBy("focal_id").agg(F.min(chord(P, T)).alias(name))
+        level = found.select("focal_id", covering_level(F.col(name)).alias("level"))
+    return focal.select("focal_id").join(found, "focal_id", "left")
+
+
 def record_holders(cities: DataFrame, focal_population: float) -> DataFrame:
     """(focal_id, focal_population, position, city_id, population, distance_km): ever larger cities with distance.
 
     Cities are taken by distance, larger population, id; one that is larger than all before is a
     holder if it has at least a tenth of the focal population, up to the first at least as large as
-    the focal city. Smaller ones can't change that, so they don't enter the join.
+    the focal city. Smaller ones can't change that, and none beyond the nearest rival counts, so a
+    focal city meets only the cubes within its rival's distance; one without a rival meets all.
     """
-    focal = cities.filter(F.col("population") >= focal_population).select(F.col("city_id").alias("focal_id"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("population").alias("focal_population"))
-    met = cities.join(focal, (F.col("city_id") != F.col("focal_id")) & (F.col("population") >= FLOOR * F.col("focal_population")))
+    cities = with_vector(cities.select("city_id", "population", "lat", "lon"), "lat", "lon", T)
+    focal = cities.filter(F.col("population") >= focal_population).select(F.col("city_id").alias("focal_id"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("population").alias("focal_population"), *(F.col(t).alias(p) for t, p in zip(T, P)))
+    reach = _rival_chord(cities, focal)
+    asked = focal.join(reach, "focal_id").withColumn("level", covering_level(F.col("rival")))
+    everywhere = {"level": F.lit(-1), "cube": F.lit(0).cast("long")}
+    asked = around(asked.filter("rival is not null"), P).unionByName(asked.filter("rival is null").withColumns(everywhere))
+    dealt = in_cubes(cities, T).unionByName(cities.withColumns(everywhere))
+    near = F.col("rival").isNull() | (chord(P, T) <= F.col("rival") * (1 + 1e-6) + 1e-8)
+    met = asked.join(dealt, ["level", "cube"]).filter((F.col("city_id") != F.col("focal_id")) & (F.col("population") >= FLOOR * F.col("focal_population")) & near)
     met = met.withColumn("distance_km", F.round(haversine_km("f_lat", "f_lon", "lat", "lon"), 6))
     order = Window.partitionBy("focal_id").orderBy("distance_km", F.col("population").desc(), "city_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

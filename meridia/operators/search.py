@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km
-from meridia.functions.text import normalize, token_starts_with
+from meridia.functions.text import normalize, normalize_all, token_starts_with
 
 EXACT_KM, NEAR_KM = 50.0, 30.0
 
@@ -19,8 +19,7 @@ def search(cities: DataFrame, query: str, limit: int = 6) -> DataFrame:
     """
     q = normalize(F.lit(query))
     name, place = normalize(F.col("name")), normalize(F.col("place"))
-    aliases = F.transform("aliases", lambda a: F.trim(F.regexp_replace(F.lower(a), "[^\\p{L}\\p{N}]+", " ")))
-    scored = cities.withColumn("q", q).withColumn("_n", name).withColumn("_p", place).withColumn("_a", aliases)
+    scored = cities.withColumn("q", q).withColumn("_n", name).withColumn("_p", place).withColumn("_a", normalize_all(F.col("aliases")))
     q, n, a = F.col("q"), F.col("_n"), F.col("_a")
     score = (
         F.when(n == q, 0).when(F.array_contains(a, q), 1).when(F.startswith(n, q), 2).when(F.exists(a, lambda x: F.startswith(x, q)), 3)

@@ -14,9 +14,12 @@ def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], by: str |
 
 
 def area_errors(units: DataFrame, least_share: float = 0.0) -> DataFrame:
-    """(n, p50, p90, worst) of |actual / target - 1| over units (target, actual, share); a missing actual is infinitely wrong."""
-    off = F.coalesce(F.abs(F.col("actual") / F.col("target") - 1), F.lit(float("inf")))
-    wrong = units.filter(F.col("share") >= least_share).select(off.alias("error"))
+    """(n, p50, p90, worst) of |actual - target| over the target's size, for units (target, actual, share).
+
+    A missing actual is infinitely wrong; a unit without a target doesn't count; a missing share is 1.
+    """
+    off = F.coalesce(F.abs(F.col("actual") - F.col("target")) / F.greatest(F.abs("target"), F.lit(1e-12)), F.lit(float("inf")))
+    wrong = units.filter((F.coalesce("share", F.lit(1.0)) >= least_share) & F.col("target").isNotNull()).select(off.alias("error"))
     return nearest_rank(wrong, "error", (0.5, 0.9)).crossJoin(wrong.agg(F.max("error").alias("worst")))
 
 
@@ -25,10 +28,18 @@ def largest_errors(units: DataFrame, k: int = 10) -> DataFrame:
 
 
 def frame_stats(ticks: DataFrame, by: str, at_ms: str, slow_ms: float = 25.0) -> DataFrame:
-    """Intervals between a key's ticks: how many, rate, median, 95th percentile, longest, and the share above slow_ms."""
-    gaps = ticks.withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(Window.partitionBy(by).orderBy(at_ms))).filter("gap is not null")
+    """Ticks of each key, their duration and rate; the intervals' median, 95th percentile and longest, and the percentage above slow_ms.
+
+    Keys with one tick, or with all at one time, have no row.
+    """
+    gaps = ticks.withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(Window.partitionBy(by).orderBy(at_ms)))
     disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY gap)").cast("double")
-    return gaps.groupBy(by).agg(F.count("*").alias("frames"), F.round(1000.0 * F.count("*") / F.nullif(F.sum("gap"), F.lit(0)), 6).alias("fps"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max("gap").cast("double").alias("longest"), F.round(F.avg((F.col("gap") > slow_ms).cast("double")), 6).alias("slow_share"))
+    whole = F.sum("gap")
+    out = gaps.groupBy(by).agg(
+        F.count("*").alias("frames"), whole.cast("double").alias("duration_ms"), F.round(1000.0 * F.count("gap") / F.nullif(whole, F.lit(0)), 6).alias("fps"), disc(0.5).alias("p50"), disc(0.95).alias("p95"),
+        F.max("gap").cast("double").alias("longest"), F.round(F.avg((F.col("gap") > slow_ms).cast("double")) * 100, 6).alias("slow_percent"),
+    )
+    return out.filter("duration_ms > 0")
 
 
 def top_with_selected(df: DataFrame, key: str, value: str, selected, k: int = 10) -> DataFrame:
@@ -50,11 +61,17 @@ def cumulative_core(pixels: DataFrame, by: str, order: list, area: str, target:
     return pixels.withColumn("core", F.coalesce(run, F.lit(0)) < F.col(target))
 
 
-def plateau(history: DataFrame, gain: float = 0.005) -> DataFrame:
-    """(round, stop) of (round, p90): the third round in a row that gains less than ``gain`` stops."""
-    w = Window.orderBy("round")  # one row a round
-    small = [(F.lag("p90", k + 1).over(w) - F.lag("p90", k).over(w) if k else F.lag("p90").over(w) - F.col("p90")) < gain for k in range(3)]
-    return history.select("round", "p90", F.coalesce(small[0] & small[1] & small[2], F.lit(False)).alias("stop"))
+def stop_reasons(history: DataFrame, key: str = "metric", gain: float = 0.005, most_rounds: int = 16) -> DataFrame:
+    """(key, round, reason) of (key, round, p50, p90): why an iteration would stop after each round, null where it goes on.
+
+    raw-pass: the median error is below 5 % and the 90th percentile below 15 %. plateau: three rounds in
+    a row gained less than ``gain`` in the 90th percentile. max-rounds: the last round allowed.
+    """
+    w = Window.partitionBy(key).orderBy("round")  # a key has at most most_rounds rows
+    last = lambda k: F.lag("p90", k).over(w) if k else F.col("p90")
+    flat = (last(1) - last(0) < gain) & (last(2) - last(1) < gain) & (last(3) - last(2) < gain)
+    reason = F.when((F.col("p50") < 0.05) & (F.col("p90") < 0.15), "raw-pass").when(flat, "plateau").when(F.col("round") >= most_rounds, "max-rounds")
+    return history.select(key, "round", reason.alias("reason"))
 
 
 def assert_empty(df: DataFrame, what: str) -> None:

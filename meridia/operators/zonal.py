@@ -80,7 +80,19 @@ def transfer(pairs: DataFrame, edges: DataFrame, least: float = 0.95) -> DataFra
 
 
 def compare_totals(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(id, equal) of two (id, total) tables: both null, or within tolerance of each other."""
+    """(id, equal) of two (id, total) tables: both null, equal, or less than ``tolerance`` of the second apart."""
     met = a.select("id", F.col("total").alias("x")).join(b.select("id", F.col("total").alias("y")), "id", "full_outer")
-    near = F.abs(F.col("x") - F.col("y")) <= tolerance * F.greatest(F.abs("x"), F.abs("y"), F.lit(1.0))
+    near = (F.col("x") == F.col("y")) | (F.abs(F.col("x") - F.col("y")) < tolerance * F.abs("y"))
     return met.select("id", F.when(F.col("x").isNull() & F.col("y").isNull(), True).otherwise(F.coalesce(near, F.lit(False))).alias("equal"))
+
+
+def overlay_borders(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """(la, lb, edges): how many cell edges each label of b shares with each label of a across it; rows wrap.
+
+    a, b: (r, c, lab). A cell of b counts for each of its four neighbours that a different label of b has.
+    """
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))))
+    own = b.select("r", "c", F.col("lab").alias("lb"))
+    around = own.select("lb", F.explode(steps).alias("s"), "r", "c").select("lb", (F.col("r") + F.col("s.i")).alias("r"), F.pmod(F.col("c") + F.col("s.j"), F.lit(width)).alias("c"))
+    other = b.select("r", "c", F.col("lab").alias("other"))
+    return around.join(other, ["r", "c"]).filter("lb <> other").join(a.select("r", "c", F.col("lab").alias("la")), ["r", "c"]).groupBy("la", "lb").agg(F.count("*").alias("edges"))

@@ -195,6 +195,12 @@ near AS (""" + _NEAR.format(k="point_id, far, p.lat, p.lon", d=hav("p.lat p.lon"
 QUERIES = {f.__name__: f for f in (nearest_city, nearest_focal, antipode_relation, record_holders, competitor_alpha_050, proximity_ranking, proximity_selected_rank, proximity_referenced, point_cells, climate_sample, climate_same_latitude, climate_far_twins, climate_twins, circle_profile, circle_within_500km, circle_half_radius, circle_milestones, circle_summary, smallest_half_circle, solar_position, solar_altitude, solar_events, geodesics)}
 
 _FOCAL_PLACE = "(SELECT * FROM {city} WHERE population >= 8000000)"
+_LINES = f"""WITH near AS (SELECT point_id, la, lo, lb, mb FROM (SELECT point_id, p.lat AS la, p.lon AS lo, c.lat AS lb, c.lon AS mb, row_number() OVER (PARTITION BY point_id ORDER BY {hav('p.lat p.lon', 'c.lat c.lon', 'atan2')}, population DESC, city_id) AS n FROM {{site}} p, {{city}} c) WHERE n = 1),
+arcs AS (SELECT *, 2e0*asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians(lb-la)/2e0),2)+cos(radians(la))*cos(radians(lb))*pow(sin(radians(mb-lo)/2e0),2))))) AS om, unnest(range(5)) AS step FROM near),
+w AS (SELECT *, CASE WHEN om < 1e-12 THEN 1-step/4e0 ELSE sin((1-step/4e0)*om)/sin(om) END AS wa, CASE WHEN om < 1e-12 THEN step/4e0 ELSE sin(step/4e0*om)/sin(om) END AS wb FROM arcs),
+v AS (SELECT *, wa*cos(radians(la))*cos(radians(lo))+wb*cos(radians(lb))*cos(radians(mb)) AS x, wa*cos(radians(la))*sin(radians(lo))+wb*cos(radians(lb))*sin(radians(mb)) AS y, wa*sin(radians(la))+wb*sin(radians(lb)) AS z FROM w),
+e AS (SELECT point_id, step, CASE step WHEN 0 THEN la WHEN 4 THEN lb ELSE degrees(atan2(z, sqrt(x*x+y*y))) END AS lat, CASE step WHEN 0 THEN lo WHEN 4 THEN mb ELSE degrees(atan2(y, x)) END AS lon FROM v)
+SELECT point_id, cast(step AS int) AS step, round(lat, 6) AS lat, round(CASE WHEN lon = -180e0 THEN 180e0 ELSE lon END, 6) AS lon FROM e"""
 ORACLES = {
     k: inline(v)
     for k, v in {
@@ -216,6 +222,7 @@ ORACLES = {
         "circle_half_radius": _radius("0.5e0") + " SELECT * FROM radii",
         "circle_milestones": _radius("0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0") + " SELECT * FROM radii",
         "circle_summary": _radius("0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0") + ", near AS (SELECT point_id, round(sum(pop*greatest(0e0, least(1e0, 2500.5e0-bin))), 6) AS pop, cast(sum(pop) AS bigint) AS total FROM prof GROUP BY 1) SELECT point_id, pop, total, round(pop/total, 6) AS share, " + ", ".join(f"max(CASE WHEN radii.share={s}e0 THEN radius_km END) AS r{round(s * 100)}" for s in circle.MILESTONES) + " FROM near JOIN radii USING (point_id) GROUP BY point_id, pop, total",
+        "geodesics": _LINES,
         "solar_position": f"SELECT event_id, round(degrees({_DEC}), 6) AS sun_lat, round({_LON}, 6) AS sun_lon FROM {{observation}}",
         "solar_altitude": f"SELECT event_id, altitude, CASE WHEN altitude >= 0 THEN 'day' WHEN altitude >= -6 THEN 'civil-twilight' ELSE 'night' END AS state, round(CASE WHEN altitude >= 0 THEN 0e0 WHEN altitude <= -6 THEN 0.5e0 ELSE altitude/-6e0*0.5e0 END, 8) AS overlay FROM (SELECT event_id, round(degrees(asin(least(1e0, greatest(-1e0, sin(radians(lat))*sin({_DEC})+cos(radians(lat))*cos({_DEC})*cos(radians(lon-{_LON})))))), 6) AS altitude FROM {{observation}})",
         "solar_events": f"SELECT event_id, kind, CASE WHEN kind='events' THEN round(noon-4e0*degrees(acos(CASE WHEN kind='events' THEN ch END)), 5) END AS sunrise_min, CASE WHEN kind='events' THEN round(noon+4e0*degrees(acos(CASE WHEN kind='events' THEN ch END)), 5) END AS sunset_min FROM (SELECT *, CASE WHEN ch < -1 THEN 'polar-day' WHEN ch > 1 THEN 'polar-night' ELSE 'events' END AS kind FROM (SELECT event_id, 720e0-4e0*lon-{_EOT_NOON} AS noon, (sin(radians(-0.833e0))-sin(radians(lat))*sin({_DEC_NOON}))/(cos(radians(lat))*cos({_DEC_NOON})) AS ch FROM {{observation}}))",

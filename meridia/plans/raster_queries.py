@@ -93,8 +93,7 @@ def border_lengths(spark, d):
 def region_transfer(spark, d):
     a, b = _overlay(spark, d)
     pairs = zonal.pair_overlay(a, b, HEIGHT)
-    edges = zonal.pair_overlay(a, b, HEIGHT).select("la", "lb", F.col("cells").alias("edges"))
-    return zonal.transfer(pairs, edges).select("lb", "la", "rule")
+    return zonal.transfer(pairs, zonal.overlay_borders(a, b, WIDTH)).select("lb", "la", "rule")
 
 
 def compare_totals(spark, d):
@@ -120,7 +119,7 @@ def level_monotonicity(spark, d):
 
 def bilinear_samples(spark, d):
     nodes = frame(spark, d, "cell").select(F.col("r").alias("i"), F.col("c").alias("j"), F.col("v").cast("double").alias("f"))
-    points = frame(spark, d, "site").filter("lat between -84 and 90").select("point_id", ((F.lit(90.0) - F.col("lat")) / 5.0).alias("y"), ((F.col("lon") + 180.0) / 5.2).alias("x"))
+    points = frame(spark, d, "site").select("point_id", ((F.lit(90.0) - F.col("lat")) / 5.0).alias("y"), ((F.col("lon") + 180.0) / 5.2).alias("x"))
     return raster.bilinear(points, nodes, "point_id").withColumn("f", F.round("f", 4))
 
 
@@ -216,12 +215,12 @@ ORACLES = {
         "density_targets": _ZONAL + ", units AS (SELECT label, cast(cells AS double) AS area, CASE WHEN label%7=0 THEN NULL WHEN label%11=0 THEN 0e0 ELSE cast(total AS double) END AS value FROM zonal WHERE label > 0), dense AS (SELECT *, CASE WHEN value IS NULL THEN mean WHEN value=0 THEN mean/100 ELSE value/area END AS density FROM units, (SELECT sum(value)/sum(CASE WHEN value IS NOT NULL THEN area END) AS mean FROM units)), shares AS (SELECT *, density*area/sum(density*area) OVER () AS s, sum(area) OVER () AS whole FROM dense) SELECT label, area, value, round(density, 9) AS density, round(s, 9) AS share, round(s*whole, 6) AS target_area, round(s*whole/area, 6) AS ratio FROM shares",
         "pair_overlay": _PAIRS + " SELECT la, lb, round(area, 9) AS area, cells FROM pairs",
         "border_lengths": "SELECT least(a.lab, b.lab) AS la, greatest(a.lab, b.lab) AS lb, count(*) AS edges FROM {label} a JOIN {label} b ON (b.r = a.r AND b.c = (a.c+1)%72 OR b.r = a.r+1 AND b.c = a.c) AND a.lab <> b.lab GROUP BY 1, 2",
-        "region_transfer": _PAIRS + " SELECT lb, la, CASE WHEN share >= 0.95e0 THEN 'dominant' ELSE 'remnant' END AS rule FROM (SELECT *, row_number() OVER (PARTITION BY lb ORDER BY CASE WHEN share >= 0.95e0 THEN 0 ELSE 1 END, cells DESC, round(area, 9) DESC, la) AS n FROM (SELECT *, area/sum(area) OVER (PARTITION BY lb) AS share FROM pairs)) WHERE n = 1",
-        "compare_totals": _ZONAL + " SELECT label AS id, CASE WHEN label = 3 THEN false WHEN label%5 = 0 THEN 1 <= 1e-9*greatest(total+1, 1) ELSE true END AS equal FROM zonal",
+        "region_transfer": _PAIRS + ", sides AS (SELECT l.lab AS la, cast(b.v AS int) AS lb, count(*) AS edges FROM {class_raster} b, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS s(i, j), {class_raster} o, {label} l WHERE o.r = b.r+i AND o.c = (b.c+j+72)%72 AND o.v <> b.v AND l.r = o.r AND l.c = o.c AND l.lab > 0 GROUP BY 1, 2) SELECT lb, la, CASE WHEN share >= 0.95e0 THEN 'dominant' ELSE 'remnant' END AS rule FROM (SELECT *, row_number() OVER (PARTITION BY lb ORDER BY CASE WHEN share >= 0.95e0 THEN 0 ELSE 1 END, coalesce(edges, 0) DESC, round(area, 9) DESC, la) AS n FROM (SELECT p.*, edges, area/sum(area) OVER (PARTITION BY p.lb) AS share FROM pairs p LEFT JOIN sides s ON s.la = p.la AND s.lb = p.lb)) WHERE n = 1",
+        "compare_totals": _ZONAL + " SELECT label AS id, CASE WHEN label = 3 THEN false WHEN label%5 = 0 THEN 1 < 1e-9*abs(total+1) ELSE true END AS equal FROM zonal",
         "majority_class": "SELECT lab, v, n AS votes, cells FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY n DESC, v) AS k, cast(sum(n) OVER (PARTITION BY lab) AS bigint) AS cells FROM (SELECT lab, v, count(*) AS n FROM {label} JOIN {class_raster} USING (r, c) WHERE lab > 0 GROUP BY 1, 2)) WHERE k = 1",
         "core_cells": "SELECT lab, r, c, coalesce(sum(v) OVER (PARTITION BY lab ORDER BY v DESC, r, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3000 AS core FROM {label} JOIN {cell} USING (r, c) WHERE lab > 0",
         "level_monotonicity": "WITH x AS (SELECT r, c, 0 AS level, v AS p FROM {cell} UNION ALL SELECT r, c, 1, v*3%1000 FROM {cell} UNION ALL SELECT r, c, 2, v*7%2000 FROM {cell}) SELECT level, count(*) FILTER (WHERE p < b) AS violations, count(*) AS cells FROM (SELECT *, lag(p) OVER (PARTITION BY r, c ORDER BY level) AS b FROM x) WHERE b IS NOT NULL GROUP BY level",
-        "bilinear_samples": "SELECT point_id, round(sum(w*v), 4) AS f FROM (SELECT point_id, cast(floor(y)+a AS int) AS i, cast(floor(x)+b AS int) AS j, (CASE WHEN a=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN b=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w FROM (SELECT point_id, (90e0-lat)/5e0 AS y, (lon+180e0)/5.2e0 AS x FROM {site} WHERE lat BETWEEN -84 AND 90), (SELECT unnest([0,1]) AS a), (SELECT unnest([0,1]) AS b)) p JOIN {cell} k ON k.r = p.i AND k.c = p.j WHERE w > 0 GROUP BY 1",
+        "bilinear_samples": "SELECT point_id, round(sum(w*v), 4) AS f FROM (SELECT point_id, cast(floor(y)+a AS int) AS i, cast(floor(x)+b AS int) AS j, (CASE WHEN a=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN b=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w FROM (SELECT point_id, (90e0-lat)/5e0 AS y, (lon+180e0)/5.2e0 AS x FROM {site}), (SELECT unnest([0,1]) AS a), (SELECT unnest([0,1]) AS b)) p JOIN {cell} k ON k.r = p.i AND k.c = p.j WHERE w > 0 GROUP BY 1",
         "fill_nearest": "WITH cells AS (SELECT r, c, v, (r+c)%4 <> 0 AS land FROM {class_raster}), near AS (SELECT r, c, kv FROM (SELECT a.r, a.c, k.v AS kv, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r-k.r)*(a.r-k.r)+(a.c-k.c)*(a.c-k.c), k.r, k.c) AS n FROM cells a, cells k WHERE a.land AND a.v = 0 AND k.v > 0) WHERE n = 1) SELECT r, c, land, coalesce(kv, v) AS v FROM cells LEFT JOIN near USING (r, c)",
         "grid_neighbours": f"SELECT a.v, b.v AS v2, count(*) AS pairs FROM {{class_raster}} a, {_STEPS}, {{class_raster}} b WHERE b.r = a.r+s.dr AND b.c = (a.c+s.dc+72)%72 AND a.v > 0 AND b.v > 0 GROUP BY 1, 2",
         "grid_edges": _EDGES + " SELECT a, b, round(hours, 6) AS hours FROM edges",

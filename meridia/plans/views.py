@@ -30,13 +30,20 @@ VIEWS: dict[str, str] = {
       SELECT cast(n_nationkey AS bigint), cast(20+(n_nationkey+1)%5 AS bigint) FROM {nation} WHERE n_nationkey >= 20 UNION ALL
       SELECT cast(20+(n_nationkey+1)%5 AS bigint), cast(n_nationkey AS bigint) FROM {nation} WHERE n_nationkey >= 20) e WHERE a <> b""",
     "linked": """SELECT a, b, cost FROM {border} UNION ALL SELECT cast(3 AS bigint), cast(7 AS bigint), 0 UNION ALL SELECT cast(7 AS bigint), cast(3 AS bigint), 0""",
-    "observation": """SELECT event_id, date_trunc('minute', ts) AS ts, lat, lon FROM {events} JOIN {site} ON point_id = user_id % 97 + 1""",
-    "ring": """SELECT * FROM (VALUES
-      (1, 1, 0, 0, 60e0, 10e0), (1, 1, 0, 1, 60e0, 30e0), (1, 1, 0, 2, 70e0, 30e0), (1, 1, 0, 3, 70e0, 10e0), (1, 1, 0, 4, 60e0, 10e0),
-      (1, 2, 0, 0, 0e0, -20e0), (1, 2, 0, 1, 0e0, 20e0), (1, 2, 0, 2, 40e0, 20e0), (1, 2, 0, 3, 40e0, -20e0), (1, 2, 0, 4, 0e0, -20e0),
-      (1, 2, 1, 0, 10e0, -10e0), (1, 2, 1, 1, 30e0, -10e0), (1, 2, 1, 2, 30e0, 10e0), (1, 2, 1, 3, 10e0, 10e0), (1, 2, 1, 4, 10e0, -10e0),
-      (2, 3, 0, 0, -40e0, 170e0), (2, 3, 0, 1, -40e0, -170e0), (2, 3, 0, 2, -20e0, -175e0), (2, 3, 0, 3, -15e0, 172e0), (2, 3, 0, 4, -40e0, 170e0))
-      AS t(country, poly, ring, ix, lat, lon)""",
+    "observation": """SELECT event_id, date_trunc('minute', ts) AS ts, lat, lon FROM {events}
+      CROSS JOIN (SELECT count(*) AS n FROM {supplier}) t JOIN {site} ON point_id = user_id % n + 1""",
+    # three polygons of fixed shape (one with a hole, one across the date line), and one around each supplier's place, some with a hole
+    "corner": """SELECT * FROM (VALUES (0, 0, -1e0, -1e0), (0, 1, -1e0, 1e0), (0, 2, 1e0, 0.8e0), (0, 3, 1e0, -1e0), (0, 4, -1e0, -1e0),
+      (1, 0, -0.5e0, -0.5e0), (1, 1, 0.5e0, -0.5e0), (1, 2, 0.5e0, 0.4e0), (1, 3, -0.5e0, 0.5e0), (1, 4, -0.5e0, -0.5e0)) AS t(ring, ix, dy, dx)""",
+    "ring": """SELECT country, poly, ring, ix, lat, lon FROM (VALUES
+      (1, -3, 0, 0, 60e0, 10e0), (1, -3, 0, 1, 60e0, 30e0), (1, -3, 0, 2, 70e0, 30e0), (1, -3, 0, 3, 70e0, 10e0), (1, -3, 0, 4, 60e0, 10e0),
+      (1, -2, 0, 0, 0e0, -20e0), (1, -2, 0, 1, 0e0, 20e0), (1, -2, 0, 2, 40e0, 20e0), (1, -2, 0, 3, 40e0, -20e0), (1, -2, 0, 4, 0e0, -20e0),
+      (1, -2, 1, 0, 10e0, -10e0), (1, -2, 1, 1, 30e0, -10e0), (1, -2, 1, 2, 30e0, 10e0), (1, -2, 1, 3, 10e0, 10e0), (1, -2, 1, 4, 10e0, -10e0),
+      (2, -1, 0, 0, -40e0, 170e0), (2, -1, 0, 1, -40e0, -170e0), (2, -1, 0, 2, -20e0, -175e0), (2, -1, 0, 3, -15e0, 172e0), (2, -1, 0, 4, -40e0, 170e0))
+      AS t(country, poly, ring, ix, lat, lon) UNION ALL
+      SELECT s_nationkey, cast(s_suppkey AS int), ring, ix, cast((s_suppkey*6007)%14001 AS double)/100e0-70e0 + dy*(1+s_suppkey%7),
+      (cast((s_suppkey*15013)%36000 AS double)/100e0 + dx*(2+s_suppkey%11) + 360e0)%360e0 - 180e0
+      FROM {supplier} CROSS JOIN {corner} WHERE ring = 0 OR s_suppkey % 5 = 0""",
     "mark": """SELECT cast(n_nationkey AS bigint) AS country_id, p_brand AS name_group, p_name AS form, p_size AS size, p_partkey AS ord
       FROM {nation} JOIN {part} ON p_partkey % 25 = n_nationkey""",
 }
