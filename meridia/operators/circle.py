@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import EARTH_KM, unit_vector, vector_distance_km
+from meridia.operators.graph import cut
 
 BINS = math.ceil(math.pi * EARTH_KM)  # the last bin; distances beyond fall into it
+BROADCAST_CELLS = 2_000_000  # 64 MB
 MILESTONES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -23,12 +25,12 @@ def prepare_cells(raster: DataFrame, height: int, width: int) -> DataFrame:
 def profile(points: DataFrame, cells: DataFrame, key: str = "point_id") -> DataFrame:
     """(key, bin, pop): people by whole kilometres of distance from each point.
 
-    Every point meets every cell, as the result depends on all of them; cells are a raster of fixed
-    size, so they are broadcast, and people are summed by bin before anything is shuffled.
+    Every point meets every cell, as the result depends on all of them; up to BROADCAST_CELLS cells,
+    counted, are broadcast, and people are summed by bin before anything is shuffled.
     """
     p = points.select(key, *(c.alias(f"p{k}") for k, c in unit_vector("lat", "lon").items()))
     d = F.round(vector_distance_km({k: F.col(f"p{k}") for k in ("ux", "uy", "uz")}, {k: F.col(k) for k in ("ux", "uy", "uz")}), 6)
-    met = p.crossJoin(F.broadcast(cells))
+    met = p.crossJoin(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells)
     return met.groupBy(key, F.least(F.lit(BINS), F.floor(d)).cast("int").alias("bin")).agg(F.sum("pop").alias("pop"))
 
 
@@ -58,29 +60,38 @@ def half_radii(lattice: DataFrame, cells: DataFrame) -> DataFrame:
     return radius_for_share(profile(lattice, cells), (0.5,)).select("point_id", F.col("radius_km").alias("half_km"))
 
 
-def smallest_half_circle(cells: DataFrame, stages: tuple[tuple[float, float, int], ...] = ((30.0, 180.0, 8), (10.0, 20.0, 4), (2.5, 5.0, 1))) -> DataFrame:
-    """One row (lat, lon, half_km): a coarse lattice's best points, then ever finer lattices around them.
+def _lattice(centres: DataFrame, step: float, reach: int) -> DataFrame:
+    """(point_id, lat, lon) of the points up to ``reach`` steps from each centre both ways, latitudes held short of the poles."""
+    span = F.sequence(F.lit(-reach), F.lit(reach))
+    lat = F.greatest(F.lit(-89.9), F.least(F.lit(89.9), F.round(F.col("lat") + F.col("i") * step, 6)))
+    lon = F.round(F.pmod(F.round(F.col("lon") + F.col("j") * step, 6) + 180, F.lit(360.0)) - 180, 6)
+    points = centres.withColumn("i", F.explode(span)).withColumn("j", F.explode(span)).select(lat.alias("lat"), lon.alias("lon")).distinct()
+    return points.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
 
-    stages: step and reach in degrees, and how many points go on. A lattice has a fixed number of
-    points; equal radii keep the point that comes first, from the north and west.
+
+def smallest_half_circle(raster: DataFrame, height: int, width: int, factor: int = 8, step: float = 2.0, keep: int = 24, refine: tuple[tuple[float, int], ...] = ((0.25, 8), (0.05, 5))) -> DataFrame:
+    """One row (lat, lon, radius_km, population): the centre whose circle around half of all people is smallest.
+
+    Points of a lattice of ``step`` degrees from 59 south to 79 north are ranked on a coarse raster
+    (r, c, v), blocks of factor by factor cells summed; the best ``keep``, then the best of theirs, are
+    searched around on the raster itself at ever finer steps (degrees, steps each way). Equal radii go
+    to the south, then west. Lattices have a fixed number of points, dealt over the tasks.
     """
-    spark = cells.sparkSession
-    step, _, keep = stages[0]
-    rows, cols = int(180 / step), int(360 / step)
-    lattice = spark.range(rows * cols).select(F.col("id").alias("point_id"), (90 - (F.floor(F.col("id") / cols) + 0.5) * step).alias("lat"), ((F.col("id") % cols + 0.5) * step - 180).alias("lon"))
-    for k, (step, reach, keep) in enumerate(stages):
-        if k:
-            n = int(reach / step)
-            span = F.sequence(F.lit(-n), F.lit(n))
-            lattice = best.withColumn("i", F.explode(span)).withColumn("j", F.explode(span)).select(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") - F.col("i") * step)).alias("lat"), (F.pmod(F.col("lon") + F.col("j") * step + 180, F.lit(360.0)) - 180).alias("lon"))
-            lattice = lattice.distinct().select(F.struct(-F.col("lat"), F.col("lon")).alias("point_id"), "lat", "lon")
-        else:
-            lattice = lattice.select(F.struct(-F.col("lat"), F.col("lon")).alias("point_id"), "lat", "lon")
-        found = half_radii(lattice, cells).join(lattice, "point_id")
-        best = found.orderBy("half_km", F.col("lat").desc(), "lon").limit(keep).select("lat", "lon", "half_km")
-    return best
-
-
-def coarsen_lattice(height: int, width: int) -> Column:
-    """The ids of a lattice's points, row by row."""
-    return F.sequence(F.lit(0), F.lit(height * width - 1))
+    spark = raster.sparkSession
+    coarse = raster.groupBy(F.floor(F.col("r") / factor).cast("int").alias("r"), F.floor(F.col("c") / factor).cast("int").alias("c")).agg(F.sum("v").alias("v"))
+    cells = cut(prepare_cells(raster, height, width))
+    rows, cols = int(138 / step) + 1, int(360 / step)
+    lattice = spark.range(rows * cols).select((F.floor(F.col("id") / cols) * step - 59).alias("lat"), (F.col("id") % cols * step - 179).alias("lon"))
+    lattice = lattice.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
+    first = [F.col("half_km"), F.col("lat"), F.col("lon")]
+    found = half_radii(lattice, prepare_cells(coarse, height // factor, width // factor)).select("half_km", "point_id.*")
+    best = cut(found.orderBy(*first).limit(keep))
+    for fine, reach in refine:
+        near = half_radii(_lattice(best, fine, reach), cells).select("half_km", "point_id.*")
+        best = cut(near.orderBy(*first).limit(1))
+    centre = best.select(F.lit(0).alias("point_id"), F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
+    prof = cut(profile(centre, cells))
+    half = radius_for_share(prof, (0.5,)).select("point_id", F.col("radius_km").alias("half_km"))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("half_km") - F.col("bin")))
+    people = prof.join(half, "point_id").groupBy("point_id", "half_km").agg(F.round(F.sum(F.col("pop") * part)).cast("long").alias("population"))
+    return centre.join(people, "point_id").select("lat", "lon", F.round("half_km").cast("long").alias("radius_km"), "population")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.scalars import travel_hours
 from meridia.operators.graph import components, cut
-from meridia.operators.raster import Grid, neighbour_pairs
+from meridia.operators.raster import Grid, cell_of, neighbour_pairs
 
 DEGREE_M = 111_194.92664455873
 
@@ -32,90 +32,187 @@ def grid_edges(friction: DataFrame, grid: Grid) -> DataFrame:
 
 
 def city_ranks(cities: DataFrame) -> DataFrame:
-    """Larger population first, then id."""
-    from pyspark.sql import Window
+    """Larger population first, then id: the position in range-sorted partitions, plus the rows of the partitions before."""
+    placed = cut(cities.repartitionByRange(F.col("population").desc(), "city_id").sortWithinPartitions(F.col("population").desc(), "city_id").withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).drop("n")  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("population").desc(), "city_id"))
+    return placed.withColumn("_within", within).join(F.broadcast(before), "_part").select(*cities.columns, (F.col("before") + F.col("_within")).cast("int").alias("rank"))
 
-    return cities.withColumn("rank", F.row_number().over(Window.orderBy(F.col("population").desc(), "city_id")))
 
+def city_sources(footprints: DataFrame, cities: DataFrame, cells: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """The cities with their centre cell, and (city_id, node) of the cells that each starts from.
 
-def seeds(cities: DataFrame, level: float) -> DataFrame:
-    """(node, cost, rank, city_id): a city of population p starts level * (log of the largest - log p) hours late, in base ten."""
+    footprints: (city_id, node). Where footprints overlap the larger city has the cell, then the
+    smaller id. cells: (node, route) of land; a city keeps the cells of the route country that most of
+    its cells have, the smaller number at a tie. Its centre moves to the nearest cell kept where it has
+    lost its own; a city without cells names the one that has its centre's (merged_into), if any.
+    """
+    sized = footprints.join(cities.select("city_id", "population"), "city_id")
+    drawn = cut(sized.groupBy("node").agg(F.max_by("city_id", F.struct("population", -F.col("city_id"))).alias("city_id")))
+    raw = drawn.join(cells.select("node", "route"), "node")
+    routes = raw.groupBy("city_id", "route").agg(F.count("*").alias("n")).groupBy("city_id").agg(F.max_by("route", F.struct("n", -F.col("route"))).alias("route"))
+    kept = cut(raw.join(routes, ["city_id", "route"], "left_semi").select("city_id", "node"))
+    at = cell_of(F.col("lat"), F.col("lon"), grid)
+    placed = cities.withColumn("own", (at["r"] * grid.width + at["c"]).cast("long"))
+    dr = F.floor(F.col("node") / grid.width) - ((grid.north - F.col("lat")) / grid.step - 0.5)
+    dc = F.abs(F.col("node") % grid.width - ((F.col("lon") - grid.west) / grid.step - 0.5))
+    dc = F.least(dc, grid.width - dc) if grid.wraps else dc
+    centres = placed.join(kept, "city_id").groupBy("city_id").agg(F.min_by("node", F.struct((F.col("node") != F.col("own")).alias("moved"), (dr * dr + dc * dc).alias("d"), "node")).alias("centre"))
+    owners = drawn.select(F.col("node").alias("own"), F.col("city_id").alias("owner"))
+    out = placed.join(centres, "city_id", "left").join(owners, "own", "left")
+    merged = F.when(F.col("centre").isNull() & (F.col("owner") != F.col("city_id")), F.col("owner"))
+    return out.select(*cities.columns, "centre", merged.alias("merged_into")), kept
+
+
+def seeds(cities: DataFrame, sources: DataFrame, level: float) -> DataFrame:
+    """(node, cost, rank, population, city_id): a city of population p starts level * (log of the largest - log p) hours late, in base ten."""
     top = cities.agg(F.max("population").alias("top"))
     late = level * (F.log10("top") - F.log10("population"))
-    return city_ranks(cities).crossJoin(F.broadcast(top)).select("node", late.alias("cost"), "rank", "city_id")
+    ranked = city_ranks(cities.select("city_id", "population")).crossJoin(F.broadcast(top)).select("city_id", late.alias("cost"), "rank", "population")
+    return sources.select("city_id", "node").join(ranked, "city_id").select("node", "cost", "rank", F.col("population").cast("double").alias("population"), "city_id")
+
+
+_LABEL = np.dtype([("node", "<i8"), ("cost", "<f8"), ("rank", "<i8"), ("population", "<f8"), ("city_id", "<i8")])
+_EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("hours", "<f8"), ("tile", "<i8")])
+
+
+def _tile(node: Column, width: int, side: int) -> Column:
+    across = -(-width // side)
+    return (F.floor(F.floor(node / width) / side) * across + F.floor((node % width) / side)).cast("long")
+
 
+def _packed(df: DataFrame, kind: np.dtype) -> DataFrame:
+    """(tile, packed): the rows of each tile, of which a tile bounds the number, as one binary value."""
 
-def ownership(edges: DataFrame, starts: DataFrame, most_rounds: int = 100_000) -> DataFrame:
-    """(node, city_id, cost): who gets to each cell first, equal costs going to the larger city.
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.empty(len(pdf), kind)
+        for name in kind.names:
+            out[name] = pdf["to" if name == "tile" else name].to_numpy()
+        return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "packed": [out.tobytes()]})
 
-    Cells keep the least (cost, rank); each round offers what changed to its neighbours, until nothing
-    improves. Costs count to nine decimals, so that ties are ties in any order of summing.
+    return df.groupBy("tile").applyInPandas(pack, "tile long, packed binary")
+
+
+def spread_tile(edges: np.ndarray, had: np.ndarray, come: np.ndarray, single: bool) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Labels of a tile's nodes after new ones have come, and those that go on to other tiles.
+
+    Labels are taken by cost, then rank, and stay unless one that the node has is as good. With
+    single, a node keeps its first; else a label is as good only if its city is also as large.
     """
-    least = lambda df: df.groupBy("node").agg(F.min(F.struct("cost", "rank", "city_id")).alias("b")).select("node", "b.*")
-    best = cut(least(starts.withColumn("cost", F.round("cost", 9))))
-    changed = best
-    for _ in range(most_rounds):
-        offers = least(changed.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.round(F.col("cost") + F.col("hours"), 9).alias("cost"), "rank", "city_id"))
-        old = best.select("node", F.struct("cost", "rank").alias("had"))
-        changed = cut(offers.join(old, "node", "left").filter(F.col("had").isNull() | (F.struct("cost", "rank") < F.col("had"))).drop("had"))
-        if not changed.limit(1).count():
-            break
-        best = cut(least(best.unionByName(changed)))
-    return best.select("node", "city_id", "cost", "rank")
+    order = np.argsort(edges["a"], kind="stable")
+    a, b, hours, to = (edges[k][order] for k in ("a", "b", "hours", "tile"))
+    firsts = {int(n): i for n, i in zip(*np.unique(a, return_index=True))}
+    b, hours, to, ends = b.tolist(), hours.tolist(), to.tolist(), np.append(np.flatnonzero(np.diff(a)) + 1, len(a)).tolist()
+    last = dict(zip(sorted(firsts), ends))
+    held: dict[int, list[tuple]] = {}
+    for n, *label in had.tolist():
+        held.setdefault(n, []).append(tuple(label))
+    heap = [(cost, rank, n, size, city) for n, cost, rank, size, city in come.tolist()]
+    heapq.heapify(heap)
+    away: dict[int, dict] = {}
 
+    def as_good(x: tuple, y: tuple) -> bool:
+        if single:
+            return x[:2] <= y[:2]
+        return x[0] <= y[0] and x[2] >= y[2] and not (x[0] == y[0] and x[2] == y[2] and x[1] > y[1])
 
-def thresholds(edges: DataFrame, cities: DataFrame) -> DataFrame:
-    """(city_id, status, threshold, parent): the level at which a larger city takes over each city's centre.
+    while heap:
+        cost, rank, n, size, city = heapq.heappop(heap)
+        label, mine = (cost, rank, size, city), held.setdefault(n, [])
+        if any(as_good(x, label) for x in mine):
+            continue
+        held[n] = [x for x in mine if not as_good(label, x)] + [label]
+        if n not in firsts:
+            continue
+        for k in range(firsts[n], last[n]):
+            then = round(cost + hours[k], 9)
+            if to[k] < 0:
+                other = held.get(b[k])
+                if not other or not any(as_good(x, (then, rank, size, city)) for x in other):
+                    heapq.heappush(heap, (then, rank, b[k], size, city))
+            else:
+                there = away.setdefault(to[k], {})
+                new = (then, rank, size, city)
+                before = there.setdefault(b[k], [])
+                if not any(as_good(x, new) for x in before):
+                    there[b[k]] = [x for x in before if not as_good(new, x)] + [new]
+    flat = lambda labels: np.array([(n, *x) for n, xs in labels.items() for x in xs], _LABEL)
+    return flat(held), {t: flat(labels) for t, labels in away.items()}
 
-    The least travel time to a larger city over the difference of logarithms. Cities are searched one
-    by one, in parallel; the search ends when no larger city could still be better. Each search holds
-    the edges of its grid, which callers keep regional.
+
+def spread(edges: DataFrame, starts: DataFrame, width: int, single: bool, side: int = 128) -> DataFrame:
+    """(node, cost, rank, population, city_id): the labels that stay at each node once nothing improves.
+
+    The grid is cut into tiles of side by side cells. A round takes the tiles that labels have come to,
+    searches each in one task as far as its border, and sends what crosses it on. Only those tiles are
+    written again, so rounds grow with the tiles that a way crosses and not with its cells.
     """
-    ranked = cut(city_ranks(cities))
-    table = edges.groupBy(F.lit(0).alias("one")).agg(F.collect_list(F.struct("a", "b", "hours")).alias("edges"))
-    homes = ranked.groupBy(F.lit(0).alias("one")).agg(F.collect_list(F.struct("node", "rank", "population", "city_id")).alias("homes"))
-    both = edges.sparkSession.sparkContext.broadcast((table.first(), homes.first()))
+    spark = edges.sparkSession
+    placed = edges.select(_tile(F.col("a"), width, side).alias("tile"), "a", "b", "hours", F.when(_tile(F.col("b"), width, side) == _tile(F.col("a"), width, side), -1).otherwise(_tile(F.col("b"), width, side)).alias("to"))
+    tiles = cut(_packed(placed, _EDGE).withColumnRenamed("packed", "edges"))
+    best = F.min_by(F.struct("cost", "rank", "population", "city_id"), F.struct("cost", "rank"))
+    first = starts.withColumn("cost", F.round("cost", 9)).groupBy("node").agg(best.alias("b")).select("node", "b.*") if single else starts.withColumn("cost", F.round("cost", 9))
+    come = _packed(first.withColumn("tile", _tile(F.col("node"), width, side)), _LABEL).select("tile", F.array("packed").alias("come"))
+    empty = spark.createDataFrame([], "tile long, round int, had binary")
+    done, number = empty, 0
 
     def run(batches):
-        e, h = both.value
-        near: dict[int, list] = {}
-        for a, b, hours in e["edges"] if e else ():
-            near.setdefault(a, []).append((b, hours))
-        home: dict[int, list] = {}
-        for node, rank, population, city in h["homes"]:
-            home.setdefault(node, []).append((rank, math.log10(population), city))
-        top = max(math.log10(x["population"]) for x in h["homes"])
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                own = math.log10(row.population)
-                best = (math.inf, 0, None)
-                done, heap = {}, [(0.0, row.node)]
-                if row.rank == 1:
-                    out.append((row.city_id, "root", None, None))
-                    continue
-                while heap:
-                    t, node = heapq.heappop(heap)
-                    if node in done:
-                        continue
-                    if best[0] * (top - own) < t:
-                        break
-                    done[node] = t
-                    for rank, size, city in home.get(node, ()):
-                        if rank < row.rank:
-                            best = min(best, (round(t / (size - own), 9) if size > own else (0.0 if t == 0 else math.inf), rank, city))
-                    for b, hours in near.get(node, ()):
-                        if b not in done:
-                            heapq.heappush(heap, (t + hours, b))
-                if best[2] is None:
-                    out.append((row.city_id, "no_larger_reachable" if row.node in near else "transport_missing", None, None))
-                elif best[0] == 0:
-                    out.append((row.city_id, "merged_at_resolution", None, best[2]))
-                else:
-                    out.append((row.city_id, "ok", best[0], best[2]))
-            yield pd.DataFrame(out, columns=["city_id", "status", "threshold", "parent"]).astype({"threshold": "float64", "parent": "Int64"})
-
-    return ranked.select("city_id", "population", "node", "rank").mapInPandas(run, "city_id long, status string, threshold double, parent long")
+            for tile, packed, had, come in zip(pdf["tile"], pdf["edges"], pdf["had"], pdf["come"]):
+                read = lambda x, kind: np.frombuffer(x, kind) if x is not None else np.zeros(0, kind)
+                state, away = spread_tile(read(packed, _EDGE), read(had, _LABEL), np.concatenate([read(x, _LABEL) for x in come]), single)
+                out.append((tile, False, state.tobytes()))
+                out += [(t, True, labels.tobytes()) for t, labels in away.items()]
+            yield pd.DataFrame(out, columns=["tile", "going", "packed"])
+
+    while True:
+        number += 1
+        newest = done.join(done.groupBy("tile").agg(F.max("round").alias("round")), ["tile", "round"]).drop("round")
+        work = come.join(tiles, "tile", "left").join(newest, "tile", "left").select("tile", "edges", "had", "come")
+        made = cut(work.mapInPandas(run, "tile long, going boolean, packed binary"))
+        done = done.unionByName(made.filter("not going").select("tile", F.lit(number).alias("round"), F.col("packed").alias("had")))
+        going = made.filter("going")
+        if not going.limit(1).count():
+            break
+        come = going.groupBy("tile").agg(F.collect_list("packed").alias("come"))  # at most one from each neighbouring tile
+
+    def unpack(batches):
+        for pdf in batches:
+            for raw in pdf["had"]:
+                yield pd.DataFrame(np.frombuffer(raw, _LABEL))
+
+    newest = done.join(done.groupBy("tile").agg(F.max("round").alias("round")), ["tile", "round"])
+    return newest.select("had").mapInPandas(unpack, "node long, cost double, rank long, population double, city_id long")
+
+
+def ownership(edges: DataFrame, starts: DataFrame, width: int, side: int = 128) -> DataFrame:
+    """(node, city_id, cost, rank): who gets to each cell first, equal costs going to the larger city.
+
+    Costs count to nine decimals, so that ties are ties in any order of summing.
+    """
+    return spread(edges, starts, width, True, side).select("node", "city_id", "cost", "rank")
+
+
+def thresholds(edges: DataFrame, cities: DataFrame, sources: DataFrame, width: int, side: int = 128) -> DataFrame:
+    """(city_id, status, threshold, parent, hours): the level at which a larger city takes over each city's centre.
+
+    That is the least travel time to a larger city over the difference of logarithms of population. A
+    cell keeps a city only while no other is at least as near and as large: of the others none can
+    have the least quotient for any city at that cell. cities: (city_id, population, centre,
+    merged_into); a city without cells is merged, or has no transport.
+    """
+    held = spread(edges, seeds(cities, sources, 0.0), width, False, side).select("node", F.col("cost").alias("hours"), "rank", F.col("population").alias("size"), F.col("city_id").alias("by"))
+    top = cities.agg(F.max("population").alias("top"))
+    met = cities.select("city_id", "population", F.col("centre").alias("node")).join(held, "node").filter(F.col("size") > F.col("population"))
+    quotient = F.round(F.col("hours") / (F.log10("size") - F.log10("population")), 9)
+    best = met.groupBy("city_id").agg(F.min(F.struct(quotient.alias("threshold"), "rank", F.col("by").alias("parent"), "hours")).alias("b")).select("city_id", "b.threshold", "b.parent", F.round("b.hours", 9).alias("hours"))
+    status = (
+        F.when(F.col("centre").isNull(), F.when(F.col("merged_into").isNotNull(), "merged_at_resolution").otherwise("transport_missing"))
+        .when(F.col("parent").isNotNull(), "ok").when(F.col("population") == F.col("top"), "root").otherwise("no_larger_reachable")
+    )
+    return cities.join(best, "city_id", "left").crossJoin(F.broadcast(top)).select("city_id", status.alias("status"), "threshold", "parent", "hours")
 
 
 def level_report(owned: DataFrame, cells: DataFrame) -> DataFrame:
@@ -137,16 +234,43 @@ def stray_territories(owned: DataFrame, edges: DataFrame, starts: DataFrame) ->
 def fill_nearest(cells: DataFrame, grid: Grid) -> DataFrame:
     """Land cells (r, c, land, v) of unknown country, v 0, with that of the nearest known cell by squared offset, then row and column; no wrap.
 
-    Along columns first, each cell keeping the nearest known row above and below; then along rows. The
-    two passes are windows and an equi-join on the row, so no cell meets the whole raster.
+    Along columns first, each cell keeping the nearest known row above and below; then along each row
+    in one task, which the row's length bounds: offsets grow until no cell could still gain.
     """
-    from pyspark.sql import Window
-
     col = Window.partitionBy("c").orderBy("r")
     known = F.when(F.col("v") > 0, F.struct("r", "v"))
     near = cells.withColumn("up", F.last(known, ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))).withColumn("down", F.first(known, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing)))
-    marks = near.select("r", "c", F.explode(F.array_compact(F.array("up", "down"))).alias("k")).select(F.col("r").alias("row"), F.col("c").alias("kc"), F.col("k.r").alias("kr"), F.col("k.v").alias("kv")).distinct()
-    asked = cells.filter("land and v = 0").select("r", "c")
-    d2 = (F.col("r") - F.col("kr")) * (F.col("r") - F.col("kr")) + (F.col("c") - F.col("kc")) * (F.col("c") - F.col("kc"))
-    filled = asked.join(marks, F.col("r") == F.col("row")).groupBy("r", "c").agg(F.min_by("kv", F.struct(d2, "kr", "kc")).alias("filled"))
+    rows = near.select("r", "c", (F.col("land") & (F.col("v") == 0)).alias("asked"), F.col("up.r").alias("ur"), F.col("up.v").alias("uv"), F.col("down.r").alias("dr"), F.col("down.v").alias("dv"))
+    width = grid.width
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = int(pdf["r"].iloc[0])
+        at = pdf["c"].to_numpy()
+        none = 1 << 40
+        marks = np.full((2, 2, width), none, np.int64)  # above and below: row and value for each column
+        for k, (r, v) in enumerate((("ur", "uv"), ("dr", "dv"))):
+            there = pdf[r].notna().to_numpy()
+            marks[k, 0, at[there]] = pdf[r].to_numpy()[there].astype(np.int64)
+            marks[k, 1, at[there]] = pdf[v].to_numpy()[there].astype(np.int64)
+        asked = np.sort(at[pdf["asked"].to_numpy().astype(bool)])
+        best = np.full((4, len(asked)), none, np.int64)  # squared offset, row, column, value
+        step = 0
+        while len(asked) and step < width and (best[0] >= step * step).any():
+            for c in {step, -step}:
+                place = asked + c
+                inside = (place >= 0) & (place < width)
+                for k in range(2):
+                    found = np.full((4, len(asked)), none, np.int64)
+                    r, v = marks[k, 0, place[inside]], marks[k, 1, place[inside]]
+                    found[:, inside] = np.where(r < none, (r - row) ** 2 + step * step, none), r, place[inside], v
+                    less, same = np.zeros(len(asked), bool), np.ones(len(asked), bool)
+                    for x, y in zip(found[:3], best[:3]):
+                        less |= same & (x < y)
+                        same &= x == y
+                    best[:, less] = found[:, less]
+            step += 1
+        there = best[0] < none
+        return pd.DataFrame({"r": np.full(there.sum(), row), "c": asked[there], "filled": best[3, there]})
+
+    filled = rows.groupBy("r").applyInPandas(fill, "r int, c int, filled long")
     return cells.join(filled, ["r", "c"], "left").select("r", "c", "land", F.coalesce("filled", "v").alias("v"))

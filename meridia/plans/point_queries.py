@@ -109,7 +109,7 @@ def circle_summary(spark, d):
 
 
 def smallest_half_circle(spark, d):
-    return circle.smallest_half_circle(circle.prepare_cells(frame(spark, d, "cell"), HEIGHT, WIDTH))
+    return circle.smallest_half_circle(frame(spark, d, "cell"), HEIGHT, WIDTH, factor=1)
 
 
 def solar_position(spark, d):

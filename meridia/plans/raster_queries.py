@@ -136,22 +136,40 @@ def _friction(spark, d):
     return frame(spark, d, "cell").withColumn("v", F.when(F.col("v") % 4 == 0, 0.0).otherwise((F.col("v") % 50 + 1) / F.lit(1000.0)))
 
 
-def _reach_cities(spark, d):
+def _cities(spark, d):
+    """All cities with their centres, and the cells that they start from: their own, and for those of five millions the four around it."""
+    city = frame(spark, d, "city").select("city_id", "population", "lat", "lon")
     at = raster.cell_of(F.col("lat"), F.col("lon"), GRID)
-    return frame(spark, d, "city").withColumn("node", (at["r"] * WIDTH + at["c"]).cast("long"))
+    steps = F.when(F.col("population") >= 5_000_000, F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    spots = city.select("city_id", at["r"].alias("r"), at["c"].alias("c"), F.explode(steps).alias("s")).select("city_id", (F.col("r") + F.col("s.i")).alias("r"), F.pmod(F.col("c") + F.col("s.j"), F.lit(WIDTH)).alias("c")).filter(F.col("r").between(0, HEIGHT - 1))
+    land = _friction(spark, d).filter("v > 0").select("r", "c").join(frame(spark, d, "label"), ["r", "c"])
+    node = (F.col("r") * WIDTH + F.col("c")).cast("long").alias("node")
+    return reach.city_sources(spots.select("city_id", node), city, land.select(node, F.col("lab").alias("route")), GRID)
+
+
+def city_sources(spark, d):
+    cities, sources = _cities(spark, d)
+    counts = sources.groupBy("city_id").agg(F.count("*").alias("cells"))
+    return cities.join(counts, "city_id", "left").select("city_id", "centre", "merged_into", F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
 def grid_edges(spark, d):
     return reach.grid_edges(_friction(spark, d), GRID).select("a", "b", F.round("hours", 6).alias("hours"))
 
 
+def _owned(spark, d):
+    cities, sources = _cities(spark, d)
+    edges, starts = reach.grid_edges(_friction(spark, d), GRID), reach.seeds(cities, sources, scalars.DEFAULT_REACH_LEVEL)
+    return reach.ownership(edges, starts, WIDTH, side=16), edges, starts
+
+
 def reach_ownership(spark, d):
-    owned = reach.ownership(reach.grid_edges(_friction(spark, d), GRID), reach.seeds(_reach_cities(spark, d), scalars.DEFAULT_REACH_LEVEL))
-    return owned.select("node", "city_id", F.round("cost", 6).alias("cost"))
+    return _owned(spark, d)[0].select("node", "city_id", F.round("cost", 6).alias("cost"))
 
 
 def reach_thresholds(spark, d):
-    return reach.thresholds(reach.grid_edges(_friction(spark, d), GRID), _reach_cities(spark, d))
+    cities, sources = _cities(spark, d)
+    return reach.thresholds(reach.grid_edges(_friction(spark, d), GRID), cities, sources, WIDTH, side=16).withColumn("threshold", F.round("threshold", 6)).withColumn("hours", F.round("hours", 6))
 
 
 def reach_report(spark, d):
@@ -164,9 +182,10 @@ def reach_status(spark, d):
 
 
 def stray_territories(spark, d):
-    edges = reach.grid_edges(_friction(spark, d), GRID)
-    starts = reach.seeds(_reach_cities(spark, d), scalars.DEFAULT_REACH_LEVEL)
-    return reach.stray_territories(reach.ownership(edges, starts), edges, starts)
+    """Parts of territories that hold no cell of their city once cells of one value in five are closed: edges to them are gone."""
+    owned, edges, starts = _owned(spark, d)
+    shut = frame(spark, d, "cell").filter("v % 5 = 0").select((F.col("r") * WIDTH + F.col("c")).cast("long").alias("a"))
+    return reach.stray_territories(owned, edges.join(shut, "a", "left_anti").join(shut.withColumnRenamed("a", "b"), "b", "left_anti"), starts)
 
 
 def _densities(spark, d):
@@ -183,7 +202,7 @@ def cartogram_areas(spark, d):
     return cartogram.mapped_areas(cartogram_field(spark, d), frame(spark, d, "label"))
 
 
-QUERIES = {f.__name__: f for f in (block_sum, block_friction, class_shares, class_census, row_runs, quantized, regrid_population, density_bytes, downsampled, coastal_labels, zonal_sum, zonal_weighted, zonal_rollup, zonal_conservation, density_targets, pair_overlay, border_lengths, region_transfer, compare_totals, majority_class, core_cells, level_monotonicity, bilinear_samples, fill_nearest, grid_neighbours, grid_edges, reach_ownership, reach_thresholds, reach_report, reach_status, stray_territories, cartogram_field, cartogram_areas)}
+QUERIES = {f.__name__: f for f in (block_sum, block_friction, class_shares, class_census, row_runs, quantized, regrid_population, density_bytes, downsampled, coastal_labels, zonal_sum, zonal_weighted, zonal_rollup, zonal_conservation, density_targets, pair_overlay, border_lengths, region_transfer, compare_totals, majority_class, core_cells, level_monotonicity, bilinear_samples, fill_nearest, grid_neighbours, grid_edges, city_sources, reach_ownership, reach_thresholds, reach_report, reach_status, stray_territories, cartogram_field, cartogram_areas)}
 
 _W = "(sin(radians(90e0-r*5e0))-sin(radians(90e0-(r+1)*5e0)))"
 _ZONAL = f"""WITH zonal AS (SELECT label, CASE WHEN label=0 THEN 'unassigned' WHEN label={EXCLUDED} THEN 'excluded' ELSE 'unit' END AS kind, cast(sum(v) AS bigint) AS total, count(*) AS cells
@@ -195,6 +214,16 @@ pairs AS (SELECT a.r, a.c, a.v, b.r AS r2, b.c AS c2, b.v AS v2 FROM frict a, {_
 lens AS (SELECT *, (cos(radians(90e0-(r+0.5e0)*5e0))+cos(radians(90e0-(r2+0.5e0)*5e0)))/2e0*5e0*111194.92664455873e0 AS dx, 5e0*111194.92664455873e0 AS dy FROM pairs),
 edges AS (SELECT cast(r*72+c AS bigint) AS a, cast(r2*72+c2 AS bigint) AS b, (v+v2)/2e0*(CASE WHEN r=r2 THEN dx WHEN c=c2 THEN dy ELSE sqrt(dx*dx+dy*dy) END)/60e0 AS hours FROM lens)"""
 
+_LAND = "frict AS (SELECT r, c, CASE WHEN v%4=0 THEN 0e0 ELSE (v%50+1)/1000e0 END AS v FROM {cell})"
+_SOURCES = """homes AS (SELECT city_id, population, lat, lon, least(35, greatest(0, cast(floor((90e0-lat)/5e0) AS int))) AS r, cast(floor((lon+180e0)/5e0) AS int)%72 AS c FROM {city}),
+spots AS (SELECT city_id, population, r+i AS r, (c+j+72)%72 AS c FROM homes, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS s(i, j) WHERE r+i BETWEEN 0 AND 35 AND (population >= 5000000 OR (i = 0 AND j = 0))),
+drawn AS (SELECT r, c, city_id FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY population DESC, city_id) AS n FROM spots) WHERE n = 1),
+raw AS (SELECT d.*, l.lab AS route FROM drawn d JOIN frict f ON f.r = d.r AND f.c = d.c AND f.v > 0 JOIN {label} l ON l.r = d.r AND l.c = d.c),
+most AS (SELECT city_id, route FROM (SELECT city_id, route, row_number() OVER (PARTITION BY city_id ORDER BY count(*) DESC, route) AS n FROM raw GROUP BY 1, 2) WHERE n = 1),
+kept AS (SELECT city_id, cast(r*72+c AS bigint) AS node, r, c FROM raw JOIN most USING (city_id, route)),
+centres AS (SELECT city_id, node AS centre FROM (SELECT k.city_id, k.node, row_number() OVER (PARTITION BY k.city_id ORDER BY CASE WHEN k.node = h.r*72+h.c THEN 0 ELSE 1 END, pow(k.r-((90e0-lat)/5e0-0.5e0), 2)+pow(least(abs(k.c-((lon+180e0)/5e0-0.5e0)), 72-abs(k.c-((lon+180e0)/5e0-0.5e0))), 2), k.node) AS n FROM kept k JOIN homes h USING (city_id)) WHERE n = 1),
+towns AS (SELECT h.city_id, h.population, centre, CASE WHEN centre IS NULL AND d.city_id <> h.city_id THEN d.city_id END AS merged_into, (SELECT count(*) FROM kept k WHERE k.city_id = h.city_id) AS cells FROM homes h LEFT JOIN centres USING (city_id) LEFT JOIN drawn d ON d.r = h.r AND d.c = h.c)"""
+
 ORACLES = {
     k: inline(v)
     for k, v in {
@@ -223,6 +252,7 @@ ORACLES = {
         "bilinear_samples": "SELECT point_id, round(sum(w*v), 4) AS f FROM (SELECT point_id, cast(floor(y)+a AS int) AS i, cast(floor(x)+b AS int) AS j, (CASE WHEN a=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN b=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w FROM (SELECT point_id, (90e0-lat)/5e0 AS y, (lon+180e0)/5.2e0 AS x FROM {site}), (SELECT unnest([0,1]) AS a), (SELECT unnest([0,1]) AS b)) p JOIN {cell} k ON k.r = p.i AND k.c = p.j WHERE w > 0 GROUP BY 1",
         "fill_nearest": "WITH cells AS (SELECT r, c, v, (r+c)%4 <> 0 AS land FROM {class_raster}), near AS (SELECT r, c, kv FROM (SELECT a.r, a.c, k.v AS kv, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r-k.r)*(a.r-k.r)+(a.c-k.c)*(a.c-k.c), k.r, k.c) AS n FROM cells a, cells k WHERE a.land AND a.v = 0 AND k.v > 0) WHERE n = 1) SELECT r, c, land, coalesce(kv, v) AS v FROM cells LEFT JOIN near USING (r, c)",
         "grid_neighbours": f"SELECT a.v, b.v AS v2, count(*) AS pairs FROM {{class_raster}} a, {_STEPS}, {{class_raster}} b WHERE b.r = a.r+s.dr AND b.c = (a.c+s.dc+72)%72 AND a.v > 0 AND b.v > 0 GROUP BY 1, 2",
+        "city_sources": f"WITH {_LAND}, {_SOURCES} SELECT city_id, centre, merged_into, cells FROM towns",
         "grid_edges": _EDGES + " SELECT a, b, round(hours, 6) AS hours FROM edges",
     }.items()
 }

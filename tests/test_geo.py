@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geo, scalars, solar, text
-from meridia.operators import cartogram, circle, graph, nearest, proximity, raster, reach, search, stats
+from meridia.operators import cartogram, circle, graph, nearest, proximity, raster, reach, search, stats, zonal
 from meridia.plans import params
 from meridia.plans.views import inline
 
@@ -41,13 +41,14 @@ def test_lines_and_circles(spark):
     assert spark.range(1).select(m["lat"], m["lon"]).first()[:] == (0.0, 0.0)
 
 
-@pytest.mark.parametrize("step", [6.0, 30.0])
-def test_nearest_equals_all_pairs(spark, cities, step):
+@pytest.mark.parametrize("levels", [1, 4, 13])
+def test_nearest_equals_all_pairs(spark, cities, levels, monkeypatch):
+    monkeypatch.setattr(nearest, "LEVELS", levels)
     rng = random.Random(9)
     pts = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(80)] + [(98, 90.0, 0.0), (99, -90.0, 180.0)]
     points = spark.createDataFrame(pts, "point_id long, lat double, lon double")
     all_ = cities.collect()
-    got = {r["point_id"]: (r["city_id"], r["distance_km"]) for r in nearest.nearest_join(points, nearest.as_targets(cities), "point_id", [-F.col("population"), F.col("city_id")], step=step).collect()}
+    got = {r["point_id"]: (r["city_id"], r["distance_km"]) for r in nearest.nearest_join(points, nearest.as_targets(cities), "point_id", [-F.col("population"), F.col("city_id")]).collect()}
     for k, lat, lon in pts:
         d, _, i = min((km(lat, lon, c["lat"], c["lon"]), -c["population"], c["city_id"]) for c in all_)
         assert got[k] == (i, pytest.approx(d, abs=1e-6))
@@ -116,13 +117,7 @@ def test_crossings_route_components(spark):
     assert {r["node"]: r["component"] for r in graph.components(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}
 
 
-def test_ownership_and_thresholds_equal_all_paths(spark):
-    rng = random.Random(991)
-    n = 9
-    links = [(a, b, float(rng.randint(1, 8))) for a in range(n) for b in range(a) if rng.random() < 0.35]
-    edges = spark.createDataFrame([x for a, b, h in links for x in ((a, b, h), (b, a, h))], "a long, b long, hours double")
-    towns = [(1, 0, 100_000), (2, 4, 1_000_000), (3, 8, 1_000_000)]
-    cities = spark.createDataFrame(towns, "city_id long, node long, population long")
+def all_paths(n, links):
     d = [[0.0 if a == b else math.inf for b in range(n)] for a in range(n)]
     for a, b, h in links:
         d[a][b] = d[b][a] = min(d[a][b], h)
@@ -130,19 +125,57 @@ def test_ownership_and_thresholds_equal_all_paths(spark):
         for a in range(n):
             for b in range(n):
                 d[a][b] = min(d[a][b], d[a][k] + d[k][b])
-    rank = {2: 1, 3: 2, 1: 3}
-    for level in (0.0, 1.0, 4.0):
-        want = {}
-        for v in range(n):
-            best = min((round(level * (6 - math.log10(p)) + d[at][v], 9), rank[c], c) for c, at, p in towns)
-            if best[0] < math.inf:
-                want[v] = best[2]
-        got = {r["node"]: r["city_id"] for r in reach.ownership(edges, reach.seeds(cities, level)).collect()}
-        assert got == want
-    t = {r["city_id"]: r for r in reach.thresholds(edges, cities).collect()}
-    assert t[2]["status"] == "root" and t[3]["status"] in ("ok", "no_larger_reachable", "transport_missing")
-    if min(d[0][4], d[0][8]) < math.inf:
-        assert t[1]["threshold"] == pytest.approx(min(d[0][4], d[0][8]))
+    return d
+
+
+@pytest.mark.parametrize("side", [1, 2, 5])
+def test_ownership_and_thresholds_equal_all_paths(spark, side):
+    """20 random graphs on one grid of five columns, each in rows of its own, cut into tiles; ties of cost and of population."""
+    rng = random.Random(991)
+    width, links, towns, sources, want_t, want_o = 5, [], [], [], {}, {0.0: {}, 1.0: {}, 4.0: {}}
+    populations = [10**5, 10**6, 10**6, 2 * 10**6, 10**7, 10**7]
+    for g in range(20):
+        n, base = 10, g * 10
+        mine = [(a, b, float(rng.randint(1, 8))) for a in range(n) for b in range(a) if rng.random() < 0.25]
+        d = all_paths(n, mine)
+        links += [(base + a, base + b, h) for a, b, h in mine]
+        cells = rng.sample(range(n), 7)
+        own = {base + k + 1: cells[k : k + 1] + (cells[6:] if k == 3 else []) for k in range(6)}
+        size = dict(zip(own, populations))
+        towns += [(c, size[c], base + own[c][0], None) for c in own]
+        sources += [(c, base + cell) for c in own for cell in own[c]]
+        for c in own:
+            best = min(((round(d[own[c][0]][cell] / (math.log10(size[k]) - math.log10(size[c])), 9), -size[k], k) for k in own if size[k] > size[c] for cell in own[k]), default=(math.inf,))
+            want_t[c] = ("ok", best[0], best[2]) if best[0] < math.inf else ("root" if size[c] == 10**7 else "no_larger_reachable", None, None)
+        for level, want in want_o.items():
+            for v in range(n):
+                best = min((round(level * (7 - math.log10(size[k])) + d[cell][v], 9), -size[k], k) for k in own for cell in own[k])
+                if best[0] < math.inf:
+                    want[base + v] = (best[2], best[0])
+    edges = spark.createDataFrame([x for a, b, h in links for x in ((a, b, h), (b, a, h))], "a long, b long, hours double")
+    cities = spark.createDataFrame([*towns, (900, 5, None, 3), (901, 5, None, None)], "city_id long, population long, centre long, merged_into long")
+    starts = spark.createDataFrame(sources, "city_id long, node long")
+    got = {r["city_id"]: (r["status"], r["threshold"], r["parent"]) for r in reach.thresholds(edges, cities, starts, width, side).collect()}
+    assert got == want_t | {900: ("merged_at_resolution", None, None), 901: ("transport_missing", None, None)}
+    for level, want in want_o.items():
+        owned = reach.ownership(edges, reach.seeds(cities, starts, level), width, side).collect()
+        assert {r["node"]: r["city_id"] for r in owned} == {v: w[0] for v, w in want.items()}
+        assert {r["node"]: r["cost"] for r in owned} == pytest.approx({v: w[1] for v, w in want.items()}, abs=1e-8)
+
+
+def test_city_ranks_over_partitions(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 20)) for k in range(200)]
+    got = {r["city_id"]: r["rank"] for r in reach.city_ranks(spark.createDataFrame(rows, "city_id long, population long")).collect()}
+    assert got == {c: n for n, (c, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+
+
+def test_smallest_half_circle_is_the_least_of_its_lattice(spark):
+    """Two towns in one cell each; the larger holds more than half, so the circle shrinks onto its cell."""
+    rows = [(10, 20, 600), (30, 60, 300), (31, 61, 100)]
+    raster = spark.createDataFrame(rows, "r int, c int, v long")
+    got = circle.smallest_half_circle(raster, 36, 72, factor=1).first()
+    assert (got["lat"], got["lon"]) == pytest.approx((90 - 10.5 * 5, 20.5 * 5 - 180), abs=0.6) and got["radius_km"] <= 1 and got["population"] == 500
 
 
 def test_cartogram_of_two_blocks():
@@ -173,7 +206,81 @@ def test_scalars(spark):
         scalars.slider_to_radius(scalars.radius_to_slider(F.lit(1500.0))).alias("e"), scalars.ratio_band(F.lit(0.5)).alias("f"), scalars.ratio_band(F.lit(2.0)).alias("g"), scalars.ratio_band(F.lit(None).cast("double")).alias("h"),
         scalars.round_half_up(F.lit(-2.5)).alias("i"), scalars.format_share(F.lit(0.0005)).alias("j"), scalars.status_key(F.lit("ok")).alias("k"),
     ).first()
-    assert row[:] == (0.34, 0.5, None, 1234.0, 1500.0, 2, 4, -1, -2, "<0.1%", "reach.ok")
+    assert row[:] == (0.34, 0.5, None, 1234.0, 1505.0, 2, 4, -1, -2, "<0.1%", "reach.ok")
+
+
+def test_radius_steps(spark):
+    """One kilometre below 200, five below 2000, ten above; a slider of a thousand steps."""
+    km = [10.0, 50.0, 199.4, 199.6, 303.0, 1997.0, 1999.0, 3333.0, 19_998.0, 30_000.0]
+    df = spark.createDataFrame([(x,) for x in km], "km double")
+    got = [r[:] for r in df.select(scalars.round_radius(F.col("km")), scalars.radius_to_slider(F.col("km"))).collect()]
+    assert [r[0] for r in got] == [50, 50, 199, 200, 305, 1995, 2000, 3330, 20_000, 20_000]
+    assert [r[1] for r in got] == [math.floor(math.log(min(max(x, 50), 20_000) / 50) / math.log(400) * 1000 + 0.5) for x in km]
+    ends = df.limit(1).select(*(scalars.slider_to_radius(F.lit(x)) for x in (-5.0, 0.0, 1000.0, 2000.0))).first()
+    assert ends[:] == (50, 50, 20_000, 20_000)
+
+
+def test_aliases_are_found_without_accents(spark):
+    df = spark.createDataFrame([(1, "Sampa", ["São Paulo"], "Brazil", 1, 9)], "city_id long, name string, aliases array<string>, place string, feature_rank int, population long")
+    assert all(search.search(df, q).count() == 1 for q in ("sao paulo", "são paulo", "SÃO-PAU", "paulo"))
+
+
+def test_errors_stops_and_frames(spark):
+    units = spark.createDataFrame([(1.0, 2.0, 1.0), (None, 4.0, 1.0), (5.0, None, 1.0), (3.0, 3.0, None), (9.0, 1.0, 0.1)], "actual double, target double, share double")
+    assert stats.area_errors(units, 0.5).first()[:] == (3, 0.5, math.inf, math.inf)
+    p90 = [0.5, 0.4, 0.399, 0.398, 0.397, 0.3, 0.149]
+    rounds = spark.createDataFrame([("m", k, 0.04 if k == 7 else 0.2, x) for k, x in enumerate(p90, 1)] + [("n", 16, 0.2, 0.5)], "metric string, round int, p50 double, p90 double")
+    assert {(r["metric"], r["round"]): r["reason"] for r in stats.stop_reasons(rounds).collect() if r["reason"]} == {("m", 5): "plateau", ("m", 7): "raw-pass", ("n", 16): "max-rounds"}
+    ticks = spark.createDataFrame([("a", t) for t in (0, 10, 20, 60)] + [("b", 5)], "who string, at long")
+    assert stats.frame_stats(ticks, "who", "at").collect()[0][:] == ("a", 4, 60.0, 50.0, 10.0, 40.0, 40.0, round(100 / 3, 6))
+    totals = lambda rows: spark.createDataFrame(rows, "id int, total double")
+    met = zonal.compare_totals(totals([(1, 0.0), (2, 1e-10), (3, None), (4, 5.0), (5, 1.0)]), totals([(1, 0.0), (2, 2e-10), (3, None), (4, None), (5, 1.0 + 1e-10)]))
+    assert {r["id"]: r["equal"] for r in met.collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_loops_that_hit_their_caps_raise(spark):
+    import numpy as np
+
+    line = spark.createDataFrame([(k, k + 1, 1) for k in range(4)], "a long, b long, cost int")
+    with pytest.raises(RuntimeError):
+        graph.crossings(line, spark.createDataFrame([(0,)], "start long"), most=1)
+    with pytest.raises(RuntimeError):
+        cartogram.solve(np.random.default_rng(0).random((8, 16)) + 0.1, most_steps=2)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_and_records_equal_brute_force(spark, seed):
+    """Points at the poles and the date line, places met twice, ties of distance and of population."""
+    rng = random.Random(seed)
+    spot = lambda: (rng.choice([90.0, -90.0, 0.0, round(rng.uniform(-90, 90), 2)]), rng.choice([-180.0, 179.99, 0.0, round(rng.uniform(-180, 180), 2)]))
+    towns = [(k, *spot(), rng.randint(1, 30)) for k in range(60)]
+    asked = [(k, *spot()) for k in range(40)]
+
+    def hav(p, q, m=1.0):
+        a, b, c, e = map(math.radians, (*p, *q))
+        return round(2 * 6371.0088 * math.asin(math.sqrt(min(1.0, max(0.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((e - b) / 2) ** 2)))), 6)
+
+    cities = spark.createDataFrame(towns, "city_id long, lat double, lon double, population long")
+    points = spark.createDataFrame(asked, "point_id long, lat double, lon double")
+    got = {r["point_id"]: r["distance_km"] for r in nearest.nearest_focal(points, cities, "point_id").collect()}
+    assert got == pytest.approx({i: min(hav((y, x), t[1:3]) for t in towns) for i, y, x in asked}, abs=1e-3)
+    assert nearest.nearest_city(points, cities.limit(0), "point_id").filter("city_id is null").count() == 40
+    want = {}
+    for f in towns:
+        if f[3] >= 10:
+            largest, list_ = 0, []
+            for t in sorted((t for t in towns if t[0] != f[0]), key=lambda t: (hav(f[1:3], t[1:3]), -t[3], t[0])):
+                if t[3] > largest:
+                    largest = t[3]
+                    if t[3] >= 0.1 * f[3]:
+                        list_.append(t[0])
+                    if t[3] >= f[3]:
+                        break
+            want[f[0]] = list_
+    found = {}
+    for r in proximity.record_holders(cities, 10).orderBy("focal_id", "position").collect():
+        found.setdefault(r["focal_id"], []).append(r["city_id"])
+    assert found == {k: v for k, v in want.items() if v}
 
 
 def test_text(spark):
