@@ -224,6 +224,37 @@ kept AS (SELECT city_id, cast(r*72+c AS bigint) AS node, r, c FROM raw JOIN most
 centres AS (SELECT city_id, node AS centre FROM (SELECT k.city_id, k.node, row_number() OVER (PARTITION BY k.city_id ORDER BY CASE WHEN k.node = h.r*72+h.c THEN 0 ELSE 1 END, pow(k.r-((90e0-lat)/5e0-0.5e0), 2)+pow(least(abs(k.c-((lon+180e0)/5e0-0.5e0)), 72-abs(k.c-((lon+180e0)/5e0-0.5e0))), 2), k.node) AS n FROM kept k JOIN homes h USING (city_id)) WHERE n = 1),
 towns AS (SELECT h.city_id, h.population, centre, CASE WHEN centre IS NULL AND d.city_id <> h.city_id THEN d.city_id END AS merged_into, (SELECT count(*) FROM kept k WHERE k.city_id = h.city_id) AS cells FROM homes h LEFT JOIN centres USING (city_id) LEFT JOIN drawn d ON d.r = h.r AND d.c = h.c)"""
 
+# least (cost, rank) of each node: rounds over what changed, until nothing does
+_OWN = f"""WITH RECURSIVE {_EDGES.removeprefix('WITH ')}, {_SOURCES},
+ranked AS (SELECT city_id, row_number() OVER (ORDER BY population DESC, city_id) AS rank, 4e0*((SELECT log10(max(population)) FROM towns)-log10(population)) AS late FROM towns),
+starts AS (SELECT k.node, round(late, 9) AS cost, rank, k.city_id FROM kept k JOIN ranked USING (city_id)),
+own(node, b) USING KEY (node) AS (
+  SELECT node, {{{{'cost': cost, 'rank': rank, 'city_id': city_id}}}} AS b FROM starts
+  UNION
+  SELECT n.node, n.b FROM (SELECT e.b AS node, min({{{{'cost': round(w.b.cost+e.hours, 9), 'rank': w.b.rank, 'city_id': w.b.city_id}}}}) AS b FROM own w JOIN edges e ON e.a = w.node GROUP BY 1) n
+  LEFT JOIN recurring.own h ON h.node = n.node WHERE h.node IS NULL OR n.b < h.b),
+owned AS (SELECT node, b.city_id AS city_id, b.cost AS cost FROM own)""".replace("{{", "{").replace("}}", "}")
+_STRAY = _OWN + """,
+open AS (SELECT e.a, e.b FROM edges e JOIN owned x ON x.node = e.a JOIN owned y ON y.node = e.b AND x.city_id = y.city_id WHERE e.a NOT IN (SELECT r*72+c FROM {cell} WHERE v%5 = 0) AND e.b NOT IN (SELECT r*72+c FROM {cell} WHERE v%5 = 0)),
+part(node, component) USING KEY (node) AS (
+  SELECT node, node AS component FROM owned
+  UNION
+  SELECT n.node, n.component FROM (SELECT o.b AS node, min(w.component) AS component FROM part w JOIN open o ON o.a = w.node GROUP BY 1) n JOIN recurring.part h ON h.node = n.node WHERE n.component < h.component),
+parts AS (SELECT p.node, component, city_id FROM part p JOIN owned o USING (node))
+SELECT component, city_id, count(*) AS cells FROM parts WHERE component NOT IN (SELECT component FROM parts p JOIN kept k ON k.node = p.node AND k.city_id = p.city_id) GROUP BY 1, 2"""
+
+_TIMES = f"""WITH RECURSIVE {_EDGES.removeprefix('WITH ')}, {_SOURCES},
+way(start, node, hours) USING KEY (start, node) AS (
+  SELECT centre AS start, centre AS node, 0e0 AS hours FROM towns WHERE centre IS NOT NULL
+  UNION
+  SELECT n.start, n.node, n.hours FROM (SELECT w.start, e.b AS node, min(round(w.hours+e.hours, 9)) AS hours FROM way w JOIN edges e ON e.a = w.node GROUP BY 1, 2) n
+  LEFT JOIN recurring.way h ON h.start = n.start AND h.node = n.node WHERE h.node IS NULL OR n.hours < h.hours),
+met AS (SELECT t.city_id, round(w.hours/(log10(o.population)-log10(t.population)), 9) AS threshold, o.population AS size, o.city_id AS parent, w.hours
+  FROM towns t JOIN way w ON w.start = t.centre JOIN kept k ON k.node = w.node JOIN towns o ON o.city_id = k.city_id WHERE o.population > t.population),
+least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY threshold, size DESC, parent, hours) AS n FROM met) WHERE n = 1),
+judged AS (SELECT t.city_id, CASE WHEN centre IS NULL AND merged_into IS NOT NULL THEN 'merged_at_resolution' WHEN centre IS NULL THEN 'transport_missing' WHEN parent IS NOT NULL THEN 'ok' WHEN population = (SELECT max(population) FROM towns) THEN 'root' ELSE 'no_larger_reachable' END AS status, threshold, parent, hours
+  FROM towns t LEFT JOIN least l USING (city_id))"""
+
 ORACLES = {
     k: inline(v)
     for k, v in {
@@ -253,6 +284,11 @@ ORACLES = {
         "fill_nearest": "WITH cells AS (SELECT r, c, v, (r+c)%4 <> 0 AS land FROM {class_raster}), near AS (SELECT r, c, kv FROM (SELECT a.r, a.c, k.v AS kv, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r-k.r)*(a.r-k.r)+(a.c-k.c)*(a.c-k.c), k.r, k.c) AS n FROM cells a, cells k WHERE a.land AND a.v = 0 AND k.v > 0) WHERE n = 1) SELECT r, c, land, coalesce(kv, v) AS v FROM cells LEFT JOIN near USING (r, c)",
         "grid_neighbours": f"SELECT a.v, b.v AS v2, count(*) AS pairs FROM {{class_raster}} a, {_STEPS}, {{class_raster}} b WHERE b.r = a.r+s.dr AND b.c = (a.c+s.dc+72)%72 AND a.v > 0 AND b.v > 0 GROUP BY 1, 2",
         "city_sources": f"WITH {_LAND}, {_SOURCES} SELECT city_id, centre, merged_into, cells FROM towns",
+        "reach_ownership": _OWN + " SELECT node, city_id, round(cost, 6) AS cost FROM owned",
+        "reach_report": _OWN + " SELECT count(DISTINCT city_id) AS territories, count(*) FILTER (WHERE city_id IS NULL) AS unreached_cells, cast(coalesce(sum(v) FILTER (WHERE city_id IS NULL), 0) AS bigint) AS unreached_people FROM {cell} k LEFT JOIN owned o ON o.node = k.r*72+k.c",
+        "stray_territories": _STRAY,
+        "reach_thresholds": _TIMES + " SELECT city_id, status, round(threshold, 6) AS threshold, parent, round(hours, 6) AS hours FROM judged",
+        "reach_status": _TIMES + " SELECT status, 'reach.' || status AS message, count(*) AS cities FROM judged GROUP BY 1, 2",
         "grid_edges": _EDGES + " SELECT a, b, round(hours, 6) AS hours FROM edges",
     }.items()
 }
