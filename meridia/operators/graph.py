@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder and read again, so that loops keep short plans."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none and is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
@@ -21,7 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="meridia-graph-"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's shared folder and read again, so that loops keep short plans."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

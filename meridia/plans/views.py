@@ -22,6 +22,7 @@ VIEWS: dict[str, str] = {
     "cell": """SELECT cast((l_orderkey*31+l_linenumber)%36 AS int) AS r, cast((l_partkey*17)%72 AS int) AS c,
       cast(sum(cast(l_quantity AS bigint)) AS bigint) AS v FROM {lineitem} GROUP BY 1, 2""",
     "label": """SELECT r, c, cast(CASE WHEN (r*7+c*3)%6=0 THEN 0 ELSE floor(r/6e0)*5+floor(c/15e0)+1 END AS int) AS lab FROM {cell}""",
+    "block": """SELECT r, c, cast(CASE WHEN (r*5+c*7+(r*c)%11)%13 = 0 THEN 0 ELSE floor(r/9e0)*4+floor(((c+5)%72)/18e0)+1 END AS int) AS lab FROM {cell}""",
     "parent": "SELECT DISTINCT lab AS label, (lab-1)%5 AS parent FROM {label} WHERE lab > 0",
     "class_raster": "SELECT r, c, cast(v%7 AS bigint) AS v FROM {cell}",
     "border": """SELECT DISTINCT a, b, 1 AS cost FROM (

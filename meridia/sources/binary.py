@@ -75,7 +75,11 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 def read_png(spark: SparkSession, path: str) -> DataFrame:
     """(path, r, c, red, green, blue) of PNG files, a file to a task, its pixels in batches of rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", "content")
+    return png_pixels(spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path))
+
+
+def png_pixels(files: DataFrame) -> DataFrame:
+    """(path, r, c, red, green, blue) of images (path, content)."""
 
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in source:
@@ -86,7 +90,7 @@ def read_png(spark: SparkSession, path: str) -> DataFrame:
                     r, c = np.mgrid[at : at + len(some), : some.shape[1]]
                     yield pd.DataFrame({"path": name, "r": r.ravel(), "c": c.ravel(), **{k: some[..., j].ravel().astype(int) for j, k in enumerate(("red", "green", "blue"))}})
 
-    return files.mapInPandas(run, "path string, r int, c int, red int, green int, blue int")
+    return files.select("path", "content").mapInPandas(run, "path string, r int, c int, red int, green int, blue int")
 
 
 def owners(pixels: DataFrame, cities: int) -> DataFrame:

@@ -6,9 +6,11 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.operators.assets import numbered
+
 
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +46,7 @@ def dictionary_encode(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, D
     for c in columns:
         part = rows.select(F.col(c).alias("string"))
         words = part if words is None else words.unionByName(part)
-    strings = words.filter("string is not null").distinct().withColumn("position", F.row_number().over(Window.orderBy("string")) - 1)
+    strings = numbered(words.filter("string is not null").distinct(), "string", "position", 0)
     coded = rows
     for c in columns:
         coded = coded.join(strings.select(F.col("string").alias(c), F.col("position").alias(f"{c}_ref")), c, "left").drop(c)
