@@ -21,15 +21,14 @@ def nearest_in_cells(events: DataFrame, cities: DataFrame, step: float = 5.0) ->
 
     Cities are gathered by cell beforehand, so a stream meets them in one equi-join and keeps no state.
     """
-    from meridia.operators.nearest import _cell
-
     across, down = int(360 / step), int(180 / step)
     span = F.array(*map(F.lit, (-1, 0, 1)))
     spread = cities.withColumn("i", F.least(F.floor((F.col("lat") + 90) / step), F.lit(down - 1))).withColumn("j", F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / step))
     spread = spread.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span)).filter((F.col("i") + F.col("di")).between(0, down - 1))
     cell = ((F.col("i") + F.col("di")) * across + F.pmod(F.col("j") + F.col("dj"), F.lit(across))).cast("int")
     near = spread.groupBy(cell.alias("cell")).agg(F.collect_list(F.struct("city_id", F.col("lat").alias("y"), F.col("lon").alias("x"), "population")).alias("near"))
-    met = events.withColumn("cell", _cell("lat", "lon", step)).join(near, "cell", "left")
+    i, j = F.least(F.floor((F.col("lat") + 90) / step), F.lit(down - 1)), F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / step)
+    met = events.withColumn("cell", (i * across + j).cast("int")).join(near, "cell", "left")
     ranked = F.transform("near", lambda c: F.struct(F.round(haversine_km(F.col("lat"), F.col("lon"), c["y"], c["x"]), 6).alias("distance_km"), (-c["population"]).alias("p"), c["city_id"].alias("city_id")))
     best = F.array_min(ranked)
     return met.select(*events.columns, best["city_id"].alias("city_id"), best["distance_km"].alias("distance_km"))
