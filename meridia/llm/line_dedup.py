@@ -90,7 +90,9 @@ class LineRuns:
         """lines: (doc, h1, h2), repeated rows allowed, all doc smaller than those of earlier batches."""
         rows = lines.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("top"))
         if self.settled:
-            rows = rows.join(self._union(self.settled).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            # written as an outer join: an anti-join would be pushed below the counts, to all rows of a common line
+            known = self._union(self.settled).select("h1", "h2", F.lit(True).alias("_settled"))
+            rows = rows.join(known.hint("merge"), ["h1", "h2"], "left").filter("_settled is null").drop("_settled")
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._run(rows))
