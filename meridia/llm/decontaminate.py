@@ -125,7 +125,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     """docs, with all their columns, without contaminated documents or without the hit spans.
 
     remove="documents" drops rows with any hit. remove="spans" cuts hit words, with what stands
-    between them and the next word, from the text and leaves other rows as they are.
+    between them and the next word, from the text and leaves other rows as they are. A null or empty
+    text is never hit; rows alike in doc_id and text share their fate; an empty table or benchmark gives
+    docs as they are; other columns stay, whatever their names.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is {remove!r}, not documents or spans")

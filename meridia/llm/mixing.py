@@ -5,7 +5,8 @@ part is certain, the fractional part an inclusion probability. The flight phase
 within the null space of two constraints, documents and tokens, so both totals stay as expected, and
 leaves at most two open documents a block. Blocks hold a bounded number of documents of one source;
 the open documents of all blocks form new blocks, until one is left for each source. Its few open
-documents are the landing problem, solved by trying all outcomes.
+documents are the landing problem: their probabilities are taken apart into the best balanced outcomes,
+of which one is drawn, so every document keeps its probability to the end.
 """
 
 from __future__ import annotations
@@ -91,11 +92,30 @@ def fly(sizes: np.ndarray, p: np.ndarray, luck: np.ndarray) -> np.ndarray:
     return np.array(values)
 
 
-def land(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The outcome of a few open units whose tokens, then documents, come nearest to what is expected."""
+def land(sizes: np.ndarray, p: np.ndarray, luck: float, near: float = 2.0) -> np.ndarray:
+    """An outcome of a few open units, drawn so that each is in with its own probability.
+
+    The probabilities are taken apart into whole outcomes: again and again the one whose tokens come
+    nearest to what is expected (of those within ``near`` tokens, the one that can have the largest
+    share) gets all the share it can, until what remains is whole too. One of these few is drawn.
+    """
     outcomes = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(float)
-    off = np.abs(outcomes @ sizes - sizes @ p), np.abs(outcomes.sum(axis=1) - p.sum())
-    return outcomes[np.lexsort((off[1], np.round(off[0], 6)))[0]]
+    left, goal = p.astype(float), float(sizes @ p)
+    tokens = outcomes @ sizes
+    while True:
+        open_ = (left > _OPEN) & (left < 1 - _OPEN)
+        if not open_.any():
+            return np.round(left)
+        fits = (outcomes[:, ~open_] == np.round(left[~open_])).all(axis=1)
+        some, off = outcomes[fits], np.abs(tokens[fits] - goal)
+        most = np.where(some[:, open_] == 1, left[open_], 1 - left[open_]).min(axis=1)
+        good = np.flatnonzero(off <= max(off.min(), near))
+        k = good[np.lexsort((off[good], -most[good]))[0]]
+        if luck < most[k] or most[k] >= 1 - _OPEN:
+            return some[k]
+        luck = (luck - most[k]) / (1 - most[k])
+        left = np.clip((left - most[k] * some[k]) / (1 - most[k]), 0, 1)
+        goal = float(sizes @ left)
 
 
 def _by_source_block(rows: DataFrame, block: Column, last: bool, landing: int) -> DataFrame:
@@ -120,7 +140,7 @@ def _by_source_block(rows: DataFrame, block: Column, last: bool, landing: int) -
         if last:
             rest = rest[(flown[rest] > _OPEN) & (flown[rest] < 1 - _OPEN)]
             if len(rest):
-                flown[rest] = land(size[rest].astype(float), flown[rest])
+                flown[rest] = land(size[rest].astype(float), flown[rest], luck[-1])
             flown = np.round(flown)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(flown)).select(_ROW.names).cast(_ROW)
 
@@ -165,6 +185,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     twins = Window.partitionBy("doc", "tk", "source").orderBy("size")
     units = sizes.withColumn("copy", F.row_number().over(twins).cast("long")).join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     units = scratch.keep(units.withColumn("p", F.when(F.col("size") > 0, F.col("r") - F.floor("r")).otherwise(0.0)), "units")
+    scratch.drop("sizes", "targets")
     drawn = cube_sample(units.filter("p > 0").select(*_ROW.names), scratch, block_rows)
     picked = drawn.filter("p > 0.5").select("source", "doc", "tk", "copy", F.lit(1).alias("more"))
     p = picked.select(F.col("source").alias("_s"), F.col("doc").alias("_d"), F.col("tk").alias("_t"), F.col("copy").alias("_c"), "more")
@@ -175,14 +196,20 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
 
 
 def repeat_mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs, with all their columns, each row as often as the mix takes it; rows without words are not taken."""
+    """docs, with all their columns, each row as often as the mix takes it; rows without words are not taken.
+
+    Nulls, repeats and empty tables count as in ``mix_sources``; columns of any names stay as they are.
+    """
+    mix = "_mix"
+    while any(c.startswith(mix) for c in docs.columns):
+        mix += "_"
     drawn = mix_sources(docs, weights, share, most).filter("copies > 0")
-    picked = drawn.select(F.col("doc_id").alias("_mix_doc"), F.col("tk").alias("_mix_tk"), F.col("source").alias("_mix_source"), F.col("copy").alias("_mix_copy"), F.col("copies").alias("_mix_copies"))
+    picked = drawn.select(*(F.col(c).alias(f"{mix}_{c}") for c in ("doc_id", "tk", "source", "copy", "copies")))
     rows = docs
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_doc")) & (F.coalesce(text_key(), F.lit(0)) == F.col("_mix_tk")) & docs["source"].cast("string").eqNullSafe(F.col("_mix_source"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{mix}_doc_id")) & (F.coalesce(text_key(), F.lit(0)) == F.col(f"{mix}_tk")) & docs["source"].cast("string").eqNullSafe(F.col(f"{mix}_source"))
     if drawn.filter("copy > 1").limit(1).count():  # rows alike are told apart by number, which takes another shuffle
         alike = Window.partitionBy(docs["doc_id"].cast("long"), text_key(), docs["source"].cast("string")).orderBy(docs["doc_id"])
-        rows = docs.withColumn("_mix_row", F.row_number().over(alike))
-        same = same & (F.col("_mix_row") == F.col("_mix_copy"))
+        rows = docs.withColumn(f"{mix}_row", F.row_number().over(alike))
+        same = same & (F.col(f"{mix}_row") == F.col(f"{mix}_copy"))
     met = rows.join(picked, same)
-    return met.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return met.withColumn(f"{mix}_nth", F.explode(F.sequence(F.lit(1), F.col(f"{mix}_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -55,7 +55,7 @@ def test_mix_meets_targets(which, request):
         taken[r["source"]] += r["taken"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(2 * largest[s], 0.1 * t)
+        assert abs(taken[s] - t) <= largest[s]
 
 
 def test_mix_reruns_agree_whatever_the_partitions(sf_docs):
@@ -88,7 +88,17 @@ def test_flight_keeps_totals_and_expectations():
         assert q.sum() == pytest.approx(p.sum()) and (q * size).sum() == pytest.approx((p * size).sum())
         ends.append(q)
     assert np.abs(np.mean(ends, axis=0) - 0.37).mean() < 0.04
-    assert land(np.array([10.0, 20.0, 30.0]), np.array([0.5, 0.5, 0.5])).tolist() in ([0, 0, 1], [1, 1, 0])
+    assert all(land(np.array([10.0, 20.0, 30.0]), np.array([0.5, 0.5, 0.5]), x).tolist() in ([0, 0, 1], [1, 1, 0]) for x in (0.1, 0.9))
+
+
+def test_landing_keeps_each_probability():
+    rng = np.random.default_rng(2)
+    size, p = rng.integers(1, 500, 12).astype(float), rng.random(12)
+    p[3], p[7] = 0.0, 1.0
+    ends = np.array([land(size, p, (k + 0.5) / 2000) for k in range(2000)])
+    assert set(np.unique(ends)) <= {0.0, 1.0} and np.abs(ends.mean(axis=0) - p).max() < 2e-3
+    off = np.abs(ends @ size - size @ p)
+    assert np.median(off) <= 2 and off.max() <= size.max()
 
 
 def test_levels_of_blocks_end_in_whole_copies(spark):
@@ -96,7 +106,7 @@ def test_levels_of_blocks_end_in_whole_copies(spark):
     done = cube_sample(units, Scratch(spark, "cube"), block_rows=50).collect()
     assert len(done) == 3000 and {r["p"] for r in done} <= {0.0, 1.0}
     hot = [r for r in done if r["source"] == "hot"]
-    assert abs(sum(r["size"] * r["p"] for r in hot) - 0.4 * sum(r["size"] for r in hot)) <= 5
+    assert abs(sum(r["size"] * r["p"] for r in hot) - 0.4 * sum(r["size"] for r in hot)) <= 97  # the largest unit
 
 
 def test_targets_of_tied_limits(spark):
