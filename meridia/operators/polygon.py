@@ -86,20 +86,33 @@ def _crossed(lat: Column, lon: Column) -> Column:
     return spans & (at > lon)
 
 
-def point_in_polygon(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
-    """points with the first polygon that holds them, null for none: even-odd over all rings, in degrees.
+def containing(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """(key, poly) of the polygons that hold each point: even-odd over all rings, in degrees.
 
     Points meet polygons by bands of whole degrees of latitude; an edge counts in each band it touches.
     """
-    e = edges(vertices).alias("e")
+    e = edges(vertices)
     lo, hi = F.floor(F.least("lat", "lat2")), F.floor(F.greatest("lat", "lat2"))
-    banded = edges(vertices).withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).alias("e")
+    banded = e.withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).alias("e")
     west = e.groupBy("poly").agg(F.min(F.least("lon", "lon2")).alias("west"))
     p = points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x"), F.floor("lat").cast("int").alias("band"))
-    met = p.join(banded, "band").join(F.broadcast(west), "poly")
+    met = p.join(banded, "band").join(west, "poly")
     turned = F.col("west") + F.pmod(F.col("x") - F.col("west"), F.lit(360.0))  # the point's longitude from the polygon's west on
-    inside = met.withColumn("t", turned).groupBy(key, F.col("poly")).agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1")
-    return points.join(inside.groupBy(key).agg(F.min("poly").alias("poly")), key, "left")
+    return met.withColumn("t", turned).groupBy(key, F.col("poly")).agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1").select(key, "poly")
+
+
+def point_in_polygon(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """points with the first polygon that holds them, null for none."""
+    return points.join(containing(points, vertices, key).groupBy(key).agg(F.min("poly").alias("poly")), key, "left")
+
+
+def label_clearance(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """(key, clearance_km): how far a point is from the border of the polygon holding it, the largest of several; 0 outside all."""
+    outer = edges(vertices).alias("e")
+    d = segment_distance_km(F.col("y"), F.col("x"), unit_vector(F.col("e.lat"), F.col("e.lon")), unit_vector(F.col("e.lat2"), F.col("e.lon2")))
+    inside = containing(points, vertices, key).join(points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x")), key)
+    clear = inside.join(outer, "poly").groupBy(key, "poly").agg(F.min(d).alias("d")).groupBy(key).agg(F.max("d").alias("d"))
+    return points.select(key).join(clear, key, "left").select(key, F.round(F.coalesce("d", F.lit(0.0)), 6).alias("clearance_km"))
 
 
 def rasterize(vertices: DataFrame, height: int, width: int) -> DataFrame:

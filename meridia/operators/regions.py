@@ -9,18 +9,21 @@ from meridia.operators.graph import components, cut
 from meridia.operators.raster import row_runs, row_weight
 
 
-def raster_components(labels: DataFrame, width: int, wraps: bool = True) -> DataFrame:
+def raster_components(labels: DataFrame, width: int, wraps: bool = True, corners: bool = False) -> DataFrame:
     """(r, first, last, v, component): runs of each row with the connected part that they belong to, label 0 left out.
 
     labels: (r, c, v). Runs of one label touch where they overlap in neighbouring rows, and across the
-    edge of a row that wraps. A part is named by its first cell, row by row.
+    edge of a row that wraps; with corners, also where only their corners meet. A part is named by its
+    first cell, row by row.
     """
     runs = cut(row_runs(labels.filter("v <> 0")).withColumn("node", (F.col("r") * width + F.col("first")).cast("long")))
     below = runs.select((F.col("r") - 1).alias("r"), "v", F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("node").alias("b"))
-    touch = runs.join(below, ["r", "v"]).filter("first <= l2 and f2 <= last").select(F.col("node").alias("a"), "b")
+    slack = int(corners)
+    touch = runs.join(below, ["r", "v"]).filter(f"first <= l2 + {slack} and f2 <= last + {slack}").select(F.col("node").alias("a"), "b")
     if wraps:
         ends = runs.filter(F.col("last") == width - 1).select("r", "v", F.col("node").alias("a"))
-        touch = touch.unionByName(ends.join(runs.filter("first = 0").select("r", "v", F.col("node").alias("b")), ["r", "v"]).select("a", "b"))
+        begins = runs.filter("first = 0").select(F.explode(F.array(*(F.col("r") + k for k in ((-1, 0, 1) if corners else (0,))))).alias("r"), "v", F.col("node").alias("b"))
+        touch = touch.unionByName(ends.join(begins, ["r", "v"]).select("a", "b"))
     return runs.join(components(runs.select("node"), touch), "node").select("r", "first", "last", "v", "component")
 
 
@@ -96,6 +99,22 @@ def patches(countries: DataFrame, ratios: DataFrame, most_km2: float = 20_000.0,
     return small.join(largest, "raster_id").filter(F.col("ratio") >= least_ratio).select("id", "raster_id", "area_km2", "ratio")
 
 
+def bridged_parts(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, cells, edges): pairs of fine parts that coarse cells bring together.
+
+    parts: (cell, part), the fine parts in each coarse cell. A cell joins all its parts; an edge
+    (cell, other) joins those of its cells with each other where they have none in common.
+    """
+    own = parts.select("cell", "part").distinct()
+    within = own.join(own.withColumnRenamed("part", "other_part"), "cell").filter("part < other_part").select(F.col("part").alias("a"), F.col("other_part").alias("b"), F.lit(1).alias("cells"), F.lit(0).alias("edges"))
+    once = edges.filter("cell < other").select("cell", "other").distinct()
+    there = own.select(F.col("cell").alias("other"), F.col("part").alias("other_part"))
+    met = once.join(own, "cell").join(there, "other")
+    common = met.filter("part = other_part").select("cell", "other").distinct()
+    across = met.join(common, ["cell", "other"], "left_anti").select(F.least("part", "other_part").alias("a"), F.greatest("part", "other_part").alias("b"), F.lit(0).alias("cells"), F.lit(1).alias("edges"))
+    return within.unionByName(across).groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.sum("edges").alias("edges"))
+
+
 def shared_parts(a: DataFrame, b: DataFrame, key: str, part: str) -> DataFrame:
     """(key of a, key of b, shared): pairs that have parts in common, and which, in order. a, b: (key, part)."""
     left, right = a.select(F.col(key).alias("a"), part).distinct(), b.select(F.col(key).alias("b"), part).distinct()

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from meridia.operators import assets, graph, proximity, regions, search
+from meridia.operators import assets, graph, padding, polygon, proximity, regions, search
+from meridia.operators.raster import row_weight
 from meridia.plans.point_queries import BIG, record_holders
 from meridia.plans.views import HEIGHT, WIDTH, frame, inline
 from meridia.sources import binary, sinks, tables
@@ -73,6 +74,38 @@ def part_keys(spark, d):
     return keys.select("key", F.row_number().over(order).alias("position"))
 
 
+def border_distances(spark, d):
+    return padding.border_distances(_labels(spark, d), HEIGHT, WIDTH, side=16).withColumn("distance", F.round("distance", 7))
+
+
+def country_padding(spark, d):
+    """Labels as countries, with six to fourteen tenths of their area as targets; one is excluded."""
+    labels = _labels(spark, d).filter("v > 0")
+    cells = labels.withColumn("node", (F.col("r") * WIDTH + F.col("c")).cast("long")).withColumn("area", row_weight(F.col("r"), HEIGHT) / (2 * WIDTH))
+    cells = cells.join(padding.border_distances(_labels(spark, d), HEIGHT, WIDTH, side=16), "node")
+    sizes = cells.groupBy("v").agg(F.sum("area").alias("actual"))
+    targets = sizes.select("v", "actual", (F.col("actual") * (F.col("v") % 5 * 2 + 6) / 10).alias("target"), (F.col("v") == 6).alias("excluded"))
+    out = padding.padding_summary(padding.padding(cells, targets))
+    return out.select("v", "cells", "core_cells", F.round("core_area", 9).alias("core_area"), F.round("padding_share", 9).alias("padding_share"))
+
+
+def bridged_parts(spark, d):
+    """Parts of land, corners counting, that blocks of four by four cells bring together."""
+    land = _labels(spark, d).select("r", "c", (F.col("v") > 0).cast("int").alias("v")).filter((F.col("r") + 2 * F.col("c")) % 5 != 0)
+    runs = regions.raster_components(land, WIDTH, corners=True)
+    cells = runs.select("component", "r", F.explode(F.sequence("first", "last")).alias("c"))
+    coarse = lambda r, c: (F.floor(r / 4) * (WIDTH // 4) + F.floor(c / 4)).cast("long")
+    parts = cells.select(coarse(F.col("r"), F.col("c")).alias("cell"), F.col("component").alias("part")).distinct()
+    rows, cols = HEIGHT // 4, WIDTH // 4
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
+    near = parts.select("cell").distinct().select("cell", F.explode(steps).alias("s")).select("cell", (F.floor(F.col("cell") / cols) + F.col("s.i")).alias("r"), F.pmod(F.col("cell") % cols + F.col("s.j"), F.lit(cols)).alias("c")).filter(F.col("r").between(0, rows - 1))
+    return regions.bridged_parts(parts, near.select("cell", (F.col("r") * cols + F.col("c")).cast("long").alias("other")))
+
+
+def label_clearance(spark, d):
+    return polygon.label_clearance(frame(spark, d, "site"), frame(spark, d, "ring").drop("country"), "point_id")
+
+
 # ---- selections and reports
 
 
@@ -296,7 +329,7 @@ def metric_maps(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    raster_components, raster_thickness, thickest_points, disputed_pairs, routing_cells, patch_countries, shared_parts, part_keys, policy_sizes, regional_cities, reviewed_cities, exact_sums, median_balances,
+    raster_components, raster_thickness, thickest_points, disputed_pairs, routing_cells, patch_countries, border_distances, country_padding, bridged_parts, label_clearance, shared_parts, part_keys, policy_sizes, regional_cities, reviewed_cities, exact_sums, median_balances,
     decoded_bytes, name_review, top_records, required_ids, build_input_cities, build_input_countries, reviewed_places, missing_names, build_report, same_tables, manifest_violations, share_violations, eligible_cities,
     tsv_cities, csv_comments, json_index, png_counts, wkb_rings, legend_lines, published_set, cached_result, mosaic_tiles, dictionary_strings, metric_maps,
 )}
@@ -311,6 +344,22 @@ named AS (SELECT v, component, sum(n) AS cells, sum(n*(sin(radians(90e0-r*5e0))-
 sized AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY round(area, 9) DESC, component) = 1 AS largest FROM named),
 depth(node, distance) USING KEY (node) AS (SELECT a.node, 0 AS distance FROM cells a WHERE (SELECT count(*) FROM near e WHERE e.a = a.node) < 4 UNION
   SELECT n.node, n.distance FROM (SELECT e.b AS node, min(w.distance)+1 AS distance FROM depth w JOIN near e ON e.a = w.node GROUP BY 1) n LEFT JOIN recurring.depth h ON h.node = n.node WHERE h.node IS NULL OR n.distance < h.distance)"""
+_RIM = """WITH RECURSIVE cells AS (SELECT r, c, lab AS v, cast(r*72+c AS bigint) AS node FROM {block} WHERE lab > 0), steps AS (SELECT i, j FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS j) b WHERE i <> 0 OR j <> 0),
+near AS (SELECT a.node AS a, b.node AS b, CASE WHEN i = 0 THEN 2*pi()/72*cos(pi()/2-(a.r+0.5e0)*pi()/36) WHEN j = 0 THEN pi()/36 ELSE sqrt(pow(pi()/36, 2)+pow(2*pi()/72*cos(pi()/2-(least(a.r, b.r)+1)*pi()/36), 2)) END AS d FROM cells a, steps, cells b WHERE b.r = a.r+i AND b.c = (a.c+j+72)%72 AND a.v = b.v),
+away(node, distance) USING KEY (node) AS (SELECT node, 0e0 AS distance FROM cells WHERE r = 0 OR r = 35 OR (SELECT count(*) FROM near WHERE near.a = cells.node) < 8 UNION
+  SELECT n.node, n.distance FROM (SELECT e.b AS node, min(round(w.distance+e.d, 9)) AS distance FROM away w JOIN near e ON e.a = w.node GROUP BY 1) n LEFT JOIN recurring.away h ON h.node = n.node WHERE h.node IS NULL OR n.distance < h.distance)"""
+_PADDED = _RIM + """,
+sized AS (SELECT c.*, distance, (sin(radians(90e0-r*5e0))-sin(radians(90e0-(r+1)*5e0)))/144 AS area FROM cells c JOIN away USING (node)),
+aims AS (SELECT v, sum(area)*(v%5*2+6)/10 AS target, sum(area) AS actual, count(*) AS n FROM sized GROUP BY 1),
+taken AS (SELECT s.v, area, coalesce(sum(area) OVER (PARTITION BY s.v ORDER BY distance DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < target AS core FROM sized s JOIN aims a ON a.v = s.v WHERE s.v <> 6 AND actual > 1.1e0*target AND n >= 64)"""
+_BRIDGES = """WITH RECURSIVE cells AS (SELECT r, c, cast(r*72+c AS bigint) AS node FROM {block} WHERE lab > 0 AND (r+2*c)%5 <> 0), steps AS (SELECT i, j FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS j) b WHERE i <> 0 OR j <> 0),
+near AS (SELECT a.node AS a, b.node AS b FROM cells a, steps, cells b WHERE b.r = a.r+i AND b.c = (a.c+j+72)%72),
+part(node, component) USING KEY (node) AS (SELECT node, node AS component FROM cells UNION
+  SELECT n.node, n.component FROM (SELECT e.b AS node, min(w.component) AS component FROM part w JOIN near e ON e.a = w.node GROUP BY 1) n JOIN recurring.part h ON h.node = n.node WHERE n.component < h.component),
+own AS (SELECT DISTINCT cast(floor(r/4e0)*18+floor(c/4e0) AS bigint) AS cell, component AS part FROM part JOIN cells USING (node)),
+pairs AS (SELECT x.part AS a, y.part AS b, 1 AS cells, 0 AS edges FROM own x JOIN own y ON x.cell = y.cell AND x.part < y.part UNION ALL
+  SELECT least(x.part, y.part), greatest(x.part, y.part), 0, 1 FROM (SELECT DISTINCT a.cell AS cell, b.cell AS other FROM own a, steps, own b WHERE b.cell = (floor(a.cell/18e0)+i)*18+(a.cell%18+j+18)%18 AND a.cell < b.cell) e
+  JOIN own x ON x.cell = e.cell JOIN own y ON y.cell = e.other WHERE NOT EXISTS (SELECT 1 FROM own p JOIN own q ON p.part = q.part WHERE p.cell = e.cell AND q.cell = e.other))"""
 _DISPUTED = """WITH cells AS (SELECT r, c, coalesce(d.lab, 0) AS d, coalesce(k.v, 0) AS k FROM {block} d FULL JOIN {class_raster} k USING (r, c)),
 judged AS (SELECT *, (d > 0 AND k > 0 AND d <> k AND d%4 <> k%4) OR k = 6 AS disputed FROM cells)"""
 _PLACES = """WITH places AS (SELECT city_id, CASE WHEN segment = 'BUILDING' THEN 'S' ELSE 'P' END AS feature_class, CASE country_id%5 WHEN 0 THEN 'PPL' WHEN 1 THEN 'PPLA' WHEN 2 THEN 'PPLX' WHEN 3 THEN 'PPLC' ELSE 'PPLA2' END AS feature_code,
@@ -338,6 +387,10 @@ r{k} AS (SELECT {a}e0 AS alpha, row_number() OVER (ORDER BY distance_km DESC, fo
         "disputed_pairs": _DISPUTED + " SELECT d, k, count(*) AS cells FROM judged WHERE disputed GROUP BY 1, 2",
         "routing_cells": _DISPUTED + " SELECT r, c, CASE k WHEN 2 THEN 1 WHEN 5 THEN 4 ELSE k END AS route, k = 0 AS unknown FROM judged",
         "patch_countries": "SELECT 'n' || raster_id AS id, raster_id, area_km2, round(ratio, 9) AS ratio FROM (SELECT c_nationkey AS raster_id, cast(count(*)*300 AS double) AS area_km2 FROM {customer} GROUP BY 1) JOIN (SELECT raster_id, greatest(0e0, max(x)) AS ratio FROM (SELECT c_nationkey AS raster_id, cast(sum(floor(c_acctbal)) AS double)/(count(*)*400) AS x FROM {customer} GROUP BY 1, c_mktsegment) GROUP BY 1) USING (raster_id) WHERE area_km2 < 20000 AND raster_id%6 <> 0 AND ratio >= 10",
+        "border_distances": _RIM + " SELECT node, round(distance, 7) AS distance FROM away",
+        "country_padding": _PADDED + " SELECT v, count(*) AS cells, count(*) FILTER (WHERE core) AS core_cells, round(sum(area) FILTER (WHERE core), 9) AS core_area, round(1-sum(area) FILTER (WHERE core)/sum(area), 9) AS padding_share FROM taken GROUP BY 1",
+        "bridged_parts": _BRIDGES + " SELECT a, b, cast(sum(cells) AS bigint) AS cells, cast(sum(edges) AS bigint) AS edges FROM pairs GROUP BY 1, 2",
+        "label_clearance": shape_queries._CLEARANCE,
         "shared_parts": "WITH p AS (SELECT DISTINCT c_nationkey AS key, cast(floor(c_acctbal/1000e0) AS bigint) AS part FROM {customer}) SELECT a.key AS a, b.key AS b, string_agg(cast(part AS varchar), ',' ORDER BY part) AS shared FROM p a JOIN p b USING (part) WHERE a.key < b.key GROUP BY 1, 2",
         "part_keys": "SELECT 'n' || s_nationkey || '/' || s_suppkey AS key, cast(row_number() OVER (PARTITION BY s_suppkey%3 ORDER BY 'n' || s_nationkey, s_suppkey) AS int) AS position FROM {supplier}",
         "policy_sizes": _PLACES + " SELECT policy, count(*) AS cities, cast(sum(population) AS bigint) AS population FROM fit, (VALUES ('A', 100000), ('B', 250000), ('C', 500000), ('D', 250000)) AS p(policy, least) WHERE place AND (seat OR population >= least OR (policy = 'D' AND real_zh)) GROUP BY 1",

@@ -283,6 +283,11 @@ feet AS (SELECT *, px-s*nx/size AS fx, py-s*ny/size AS fy, pz-s*nz/size AS fz, l
 judged AS (SELECT poly, cand, y, x, sum(hit) AS n, min(6371.0088e0*CASE WHEN {_DOT.format('f', 'a')} >= {_DOT.format('a', 'g')} AND {_DOT.format('f', 'g')} >= {_DOT.format('a', 'g')} AND {_DOT.format('f', 'a')}+{_DOT.format('f', 'g')} > 0 AND size > 1e-12
   THEN least(abs(asin(least(1e0, greatest(-1e0, s)))), ends) ELSE ends END) AS clear FROM feet GROUP BY 1, 2, 3, 4 HAVING sum(hit)%2 = 1)
 SELECT poly, round(y, 6) AS lat, round(x, 6) AS lon, round(clear, 6) AS clearance_km FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(clear, 6) DESC, cand) AS k FROM judged) WHERE k = 1"""
+_CLEARANCE = (
+    _LABELS.split("box AS")[0] + "west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), turned AS (SELECT point_id, lat AS y, lon AS x, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS t FROM {site}, west w), "
+    + "met AS (SELECT c.poly, point_id AS cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > t THEN 1 ELSE 0 END AS hit," + _LABELS.split("THEN 1 ELSE 0 END AS hit,")[1].split("FROM cands c JOIN")[0]
+    + "FROM turned c JOIN" + _LABELS.split("FROM cands c JOIN")[1].split("SELECT poly, round(y, 6)")[0] + " SELECT point_id, round(coalesce(max(clear), 0e0), 6) AS clearance_km FROM {site} LEFT JOIN judged ON cand = point_id GROUP BY 1"
+)
 _SIDE = "(({0}.lon2-{0}.lon)*({1}-{0}.lat)-({0}.lat2-{0}.lat)*({2}-{0}.lon))"
 _CROSS = f"""WITH {_EDGES}, found AS (SELECT a.poly, count(*) AS n FROM edges a JOIN edges b ON a.poly = b.poly AND a.ring = b.ring AND a.ix < b.ix
   WHERE {_SIDE.format('a', 'b.lat', 'b.lon')}*{_SIDE.format('a', 'b.lat2', 'b.lon2')} < 0 AND {_SIDE.format('b', 'a.lat', 'a.lon')}*{_SIDE.format('b', 'a.lat2', 'a.lon2')} < 0 GROUP BY 1)
