@@ -89,13 +89,15 @@ def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> D
     return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
-def join_hot(rows: DataFrame, sized: DataFrame, keys: list[str], n: str, total: int, most: int = 50_000) -> DataFrame:
+def join_hot(rows: DataFrame, sized: DataFrame, keys: list[str], n: str, total: int, most: int = 2_000) -> DataFrame:
     """rows joined by keys with ``sized``, which has each key once and in column n how many of rows have it.
 
     Keys with at least one ``most``-th of all rows, of which there can't be more than ``most``, are
     broadcast; the others are shuffled, so none of them deals more than that part to one task.
     """
     hot = F.col(n) * most >= total
+    if not sized.filter(hot).limit(1).count():
+        return rows.join(sized.hint("merge"), keys)
     marked = rows.join(F.broadcast(sized.filter(hot).withColumn("_hot", F.lit(True))), keys, "left")
     rest = marked.filter("_hot is null").select(rows.columns).join(sized.filter(~hot).hint("merge"), keys)
     return marked.filter("_hot").drop("_hot").unionByName(rest)

@@ -94,6 +94,15 @@ def test_a_phrase_in_ever_different_surroundings(spark, most):
     assert [x for x in got if x[0] is not None] == [x for x in want if x[0] is not None] and len(got) == len(want)
 
 
+def test_word_hashes_agree_whatever_the_length():
+    from meridia.llm.substring_dedup import Powers, word_hashes
+
+    words = [f"w{k % 977}é" for k in range(30_000)]
+    whole = word_hashes(" ".join(words).encode())
+    assert len(" ".join(words).encode()) > Powers.most
+    assert whole[:977].tolist() == word_hashes(" ".join(words[:977]).encode()).tolist() and len(set(whole.tolist())) == 977
+
+
 def test_windows_empty_table(empty):
     assert dedup_substrings(empty).collect() == []
 
