@@ -201,13 +201,15 @@ def thresholds(edges: DataFrame, cities: DataFrame, sources: DataFrame, width: i
     That is the least travel time to a larger city over the difference of logarithms of population. A
     cell keeps a city only while no other is at least as near and as large: of the others none can
     have the least quotient for any city at that cell. cities: (city_id, population, centre,
-    merged_into); a city without cells is merged, or has no transport.
+    merged_into); a city without cells is merged, or has no transport. Times count to four decimals of
+    an hour, so that a way is as long in either direction.
     """
     held = spread(edges, seeds(cities, sources, 0.0), width, False, side).select("node", F.col("cost").alias("hours"), "rank", F.col("population").alias("size"), F.col("city_id").alias("by"))
     top = cities.agg(F.max("population").alias("top"))
     met = cities.select("city_id", "population", F.col("centre").alias("node")).join(held, "node").filter(F.col("size") > F.col("population"))
+    met = met.withColumn("hours", F.round("hours", 4))
     quotient = F.round(F.col("hours") / (F.log10("size") - F.log10("population")), 9)
-    best = met.groupBy("city_id").agg(F.min(F.struct(quotient.alias("threshold"), "rank", F.col("by").alias("parent"), "hours")).alias("b")).select("city_id", "b.threshold", "b.parent", F.round("b.hours", 9).alias("hours"))
+    best = met.groupBy("city_id").agg(F.min(F.struct(quotient.alias("threshold"), "rank", F.col("by").alias("parent"), "hours")).alias("b")).select("city_id", "b.threshold", "b.parent", "b.hours")
     status = (
         F.when(F.col("centre").isNull(), F.when(F.col("merged_into").isNotNull(), "merged_at_resolution").otherwise("transport_missing"))
         .when(F.col("parent").isNotNull(), "ok").when(F.col("population") == F.col("top"), "root").otherwise("no_larger_reachable")

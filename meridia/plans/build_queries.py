@@ -90,8 +90,8 @@ def country_padding(spark, d):
 
 
 def bridged_parts(spark, d):
-    """Parts of land, corners counting, that blocks of four by four cells bring together."""
-    land = _labels(spark, d).select("r", "c", (F.col("v") > 0).cast("int").alias("v")).filter((F.col("r") + 2 * F.col("c")) % 5 != 0)
+    """Parts of one class, corners counting, that blocks of four by four cells bring together."""
+    land = frame(spark, d, "class_raster").filter("v = 1")
     runs = regions.raster_components(land, WIDTH, corners=True)
     cells = runs.select("component", "r", F.explode(F.sequence("first", "last")).alias("c"))
     coarse = lambda r, c: (F.floor(r / 4) * (WIDTH // 4) + F.floor(c / 4)).cast("long")
@@ -352,7 +352,7 @@ _PADDED = _RIM + """,
 sized AS (SELECT c.*, distance, (sin(radians(90e0-r*5e0))-sin(radians(90e0-(r+1)*5e0)))/144 AS area FROM cells c JOIN away USING (node)),
 aims AS (SELECT v, sum(area)*(v%5*2+6)/10 AS target, sum(area) AS actual, count(*) AS n FROM sized GROUP BY 1),
 taken AS (SELECT s.v, area, coalesce(sum(area) OVER (PARTITION BY s.v ORDER BY distance DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < target AS core FROM sized s JOIN aims a ON a.v = s.v WHERE s.v <> 6 AND actual > 1.1e0*target AND n >= 64)"""
-_BRIDGES = """WITH RECURSIVE cells AS (SELECT r, c, cast(r*72+c AS bigint) AS node FROM {block} WHERE lab > 0 AND (r+2*c)%5 <> 0), steps AS (SELECT i, j FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS j) b WHERE i <> 0 OR j <> 0),
+_BRIDGES = """WITH RECURSIVE cells AS (SELECT r, c, cast(r*72+c AS bigint) AS node FROM {class_raster} WHERE v = 1), steps AS (SELECT i, j FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS j) b WHERE i <> 0 OR j <> 0),
 near AS (SELECT a.node AS a, b.node AS b FROM cells a, steps, cells b WHERE b.r = a.r+i AND b.c = (a.c+j+72)%72),
 part(node, component) USING KEY (node) AS (SELECT node, node AS component FROM cells UNION
   SELECT n.node, n.component FROM (SELECT e.b AS node, min(w.component) AS component FROM part w JOIN near e ON e.a = w.node GROUP BY 1) n JOIN recurring.part h ON h.node = n.node WHERE n.component < h.component),

@@ -249,7 +249,7 @@ way(start, node, hours) USING KEY (start, node) AS (
   UNION
   SELECT n.start, n.node, n.hours FROM (SELECT w.start, e.b AS node, min(round(w.hours+e.hours, 9)) AS hours FROM way w JOIN edges e ON e.a = w.node GROUP BY 1, 2) n
   LEFT JOIN recurring.way h ON h.start = n.start AND h.node = n.node WHERE h.node IS NULL OR n.hours < h.hours),
-met AS (SELECT t.city_id, round(w.hours/(log10(o.population)-log10(t.population)), 9) AS threshold, o.population AS size, o.city_id AS parent, w.hours
+met AS (SELECT t.city_id, round(round(w.hours, 4)/(log10(o.population)-log10(t.population)), 9) AS threshold, o.population AS size, o.city_id AS parent, round(w.hours, 4) AS hours
   FROM towns t JOIN way w ON w.start = t.centre JOIN kept k ON k.node = w.node JOIN towns o ON o.city_id = k.city_id WHERE o.population > t.population),
 least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY threshold, size DESC, parent, hours) AS n FROM met) WHERE n = 1),
 judged AS (SELECT t.city_id, CASE WHEN centre IS NULL AND merged_into IS NOT NULL THEN 'merged_at_resolution' WHEN centre IS NULL THEN 'transport_missing' WHEN parent IS NOT NULL THEN 'ok' WHEN population = (SELECT max(population) FROM towns) THEN 'root' ELSE 'no_larger_reachable' END AS status, threshold, parent, hours
