@@ -10,6 +10,7 @@ from meridia.llm.decontaminate import contamination_report
 from meridia.llm.kn_rules import judge_quality
 from meridia.llm.license_scan import scan_licenses
 from meridia.llm.line_dedup import dedup_lines
+from meridia.llm.merkle import manifest_report
 from meridia.llm.mixing import mix_sources
 from meridia.llm.ngram_join import similarity_components
 from meridia.llm.quality_gam import fit_quality, score_quality
@@ -68,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,8 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+#: Unsigned CRC-32 of the decimal string s.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": r"""
 WITH items AS (
@@ -141,5 +150,47 @@ judged AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN judged j USING (doc_id)
+""",
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce('=' || lang, '-') AS g,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         coalesce({_CRC32} % 7 = 0, false) AS tampered
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+hashed AS (
+  SELECT rid, doc_id, lang, g, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other, tampered
+  FROM docs),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+nodes AS (
+  SELECT g, 0 AS l, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, l, i // 2, n),
+subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM nodes JOIN (SELECT DISTINCT g, lang FROM leaves) USING (g) WHERE nodes.n = 1),
+tops AS (
+  SELECT 0 AS l, i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY l, i // 2, n),
+steps AS (
+  SELECT x.rid, o.l AS s, (x.i >> o.l) & 1 AS bit, coalesce(b.h, '') AS sibling
+  FROM leaves x JOIN (SELECT DISTINCT g, l FROM nodes WHERE n > 1) o ON x.g = o.g
+  LEFT JOIN nodes b ON b.g = x.g AND b.l = o.l AND b.i = xor(x.i >> o.l, 1)
+  UNION ALL
+  SELECT x.rid, o.l + 1000, (r.i >> o.l) & 1, coalesce(b.h, '')
+  FROM leaves x JOIN subroots r ON x.g = r.g JOIN (SELECT DISTINCT l FROM tops WHERE n > 1) o ON true
+  LEFT JOIN tops b ON b.l = o.l AND b.i = xor(r.i >> o.l, 1)),
+numbered AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY s) AS s, bit, sibling FROM steps),
+folds AS (
+  SELECT rid, 1 AS s, CASE WHEN tampered THEN other ELSE leaf END AS h FROM leaves
+  UNION ALL
+  SELECT f.rid, f.s + 1, sha256(CASE WHEN bit = 1 THEN sibling || h ELSE h || sibling END) FROM folds f JOIN numbered USING (rid, s)),
+folded AS (SELECT rid, arg_max(h, s) AS folded_root FROM folds GROUP BY rid),
+proofs AS (SELECT rid, string_agg(sibling, '' ORDER BY s) AS proof FROM numbered GROUP BY rid)
+SELECT x.doc_id, x.leaf, r.subroot, t.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.folded_root, f.folded_root = t.h AS verified
+FROM leaves x JOIN subroots r ON x.g = r.g JOIN tops t ON t.n = 1 JOIN folded f ON f.rid = x.rid LEFT JOIN proofs p ON p.rid = x.rid
 """,
 }
