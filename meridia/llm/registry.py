@@ -13,6 +13,7 @@ from meridia.llm.line_dedup import dedup_lines
 from meridia.llm.merkle import manifest_report
 from meridia.llm.mixing import mix_sources
 from meridia.llm.ngram_join import similarity_components
+from meridia.llm.prefix_trie import prefix_trie
 from meridia.llm.quality_gam import fit_quality, score_quality
 from meridia.llm.secret_scan import scan_secrets
 from meridia.llm.substring_dedup import dedup_substrings
@@ -69,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -150,6 +156,33 @@ judged AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN judged j USING (doc_id)
+""",
+    "op11_prefix_trie": rf"""
+WITH turns AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || ':' || length(coalesce(text, '')) AS sym,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+  FROM conversations),
+convs AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, k, sym FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 WHERE k <= h
+  UNION ALL
+  SELECT c.conv_id, 1, k, sym FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE k > h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list(sym ORDER BY part, k) FILTER (WHERE sym IS NOT NULL), CAST([] AS VARCHAR[])) AS p
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+prefixes AS (SELECT conv_id, len(p) AS n, d, list_slice(p, 1, d) AS p FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE CAST(split_part(p[d], ':', 2) AS BIGINT) END AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.p = n.p),
+sums AS (
+  SELECT list_slice(p, 1, a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM told) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM told n JOIN sums s ON s.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = list_slice(n.p, 1, n.depth - 1)
 """,
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE docs AS (
