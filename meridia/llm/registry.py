@@ -13,6 +13,7 @@ from meridia.llm.line_dedup import dedup_lines
 from meridia.llm.merkle import manifest_report
 from meridia.llm.mixing import mix_sources
 from meridia.llm.ngram_join import similarity_components
+from meridia.llm.pitman_yor import score_texts
 from meridia.llm.prefix_trie import prefix_trie
 from meridia.llm.quality_gam import fit_quality, score_quality
 from meridia.llm.secret_scan import scan_secrets
@@ -74,6 +75,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_pitman_yor": op12_pitman_yor,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
