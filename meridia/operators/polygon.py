@@ -13,10 +13,21 @@ MERCATOR_LIMIT = 85.05
 
 
 def edges(vertices: DataFrame) -> DataFrame:
-    """(poly, ring, ix, lat, lon, lat2, lon2), longitudes of an edge's end within half a turn of its start."""
-    w = Window.partitionBy("poly", "ring").orderBy("ix")
-    nxt = vertices.withColumn("lat2", F.lead("lat").over(w)).withColumn("lon2", F.lead("lon").over(w)).filter("lat2 is not null")
-    return nxt.withColumn("lon2", F.col("lon") + normalize_lon(F.col("lon2") - F.col("lon")))
+    """(poly, ring, ix, lat, lon, lat2, lon2, home) of each edge, its polygon laid out on one plane.
+
+    Longitudes go on from vertex to vertex, beyond 180 where a ring crosses the date line, and a polygon's
+    rings are on the turn of its first vertex; ``home`` is the longitude as given. A ring that closes a
+    whole turn away, around a pole, keeps its longitudes.
+    """
+    ring, poly = Window.partitionBy("poly", "ring").orderBy("ix"), Window.partitionBy("poly").orderBy("ring", "ix")
+    step = F.col("lon") - F.lag("lon").over(ring)
+    turn = F.when(step > 180, -1).when(step < -180, 1).otherwise(0)
+    laid = vertices.withColumn("home", F.col("lon")).withColumn("turn", turn).withColumn("start", F.first("lon").over(poly))
+    laid = laid.withColumn("turn", F.sum("turn").over(ring) + F.floor((F.col("start") - F.first("lon").over(ring)) / 360 + 0.5))
+    whole = Window.partitionBy("poly", "ring")
+    around = F.max_by("turn", "ix").over(whole) != F.min_by("turn", "ix").over(whole)
+    laid = laid.withColumn("lon", F.when(around, F.col("lon")).otherwise(F.col("lon") + 360 * F.col("turn"))).drop("turn", "start")
+    return laid.withColumn("lat2", F.lead("lat").over(ring)).withColumn("lon2", F.lead("lon").over(ring)).filter("lat2 is not null")
 
 
 def ring_areas(vertices: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def densify(vertices: DataFrame, most_deg: float = 1.0) -> DataFrame:
     wb = F.when(F.col("omega") < 1e-12, t).otherwise(F.sin(t * F.col("omega")) / s)
     x, y, z = (wa * a[c] + wb * b[c] for c in ("ux", "uy", "uz"))
     lat = F.when(F.col("k") == 0, F.col("lat")).otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
-    lon = F.when(F.col("k") == 0, F.col("lon")).otherwise(vector_to_lon(x, y))
+    lon = F.when(F.col("k") == 0, F.col("home")).otherwise(vector_to_lon(x, y))
     return cut.select("poly", "ring", "ix", "k", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
@@ -86,19 +97,26 @@ def _crossed(lat: Column, lon: Column) -> Column:
     return spans & (at > lon)
 
 
-def containing(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+def containing(points: DataFrame, vertices: DataFrame, key: str, cell_degrees: int = 10) -> DataFrame:
     """(key, poly) of the polygons that hold each point: even-odd over all rings, in degrees.
 
-    Points meet polygons by bands of whole degrees of latitude; an edge counts in each band it touches.
+    Points first meet the polygons whose box touches their degree of latitude and their cell of longitude,
+    then those polygons' edges in that degree; an edge counts in each degree that it touches.
     """
     e = edges(vertices)
-    lo, hi = F.floor(F.least("lat", "lat2")), F.floor(F.greatest("lat", "lat2"))
-    banded = e.withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).alias("e")
-    west = e.groupBy("poly").agg(F.min(F.least("lon", "lon2")).alias("west"))
-    p = points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x"), F.floor("lat").cast("int").alias("band"))
-    met = p.join(banded, "band").join(west, "poly")
-    turned = F.col("west") + F.pmod(F.col("x") - F.col("west"), F.lit(360.0))  # the point's longitude from the polygon's west on
-    return met.withColumn("t", turned).groupBy(key, F.col("poly")).agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1").select(key, "poly")
+    degree = lambda lat: F.floor(lat).cast("int")
+    cells = 360 // cell_degrees
+    cell = lambda lon: F.floor((lon + 180) / cell_degrees)
+    box = e.groupBy("poly").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("o"))
+    box = box.withColumn("band", F.explode(F.sequence(degree(F.col("s")), degree(F.col("n")))))
+    box = box.withColumn("across", F.explode(F.sequence(cell(F.col("w")), F.least(cell(F.col("o")), cell(F.col("w")) + cells - 1))))
+    box = box.select("poly", "band", F.col("w").alias("west"), F.pmod("across", F.lit(cells)).alias("cell"))
+    p = points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x"), degree(F.col("lat")).alias("band"), F.pmod(cell(F.col("lon")), F.lit(cells)).alias("cell"))
+    # the point's longitude from the polygon's west on
+    near = p.join(box, ["band", "cell"]).withColumn("t", F.col("west") + F.pmod(F.col("x") - F.col("west"), F.lit(360.0)))
+    banded = e.select("poly", "lat", "lon", "lat2", "lon2", F.explode(F.sequence(degree(F.least("lat", "lat2")), degree(F.greatest("lat", "lat2")))).alias("band"))
+    met = near.join(banded.alias("e"), ["poly", "band"])
+    return met.groupBy(key, "poly").agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1").select(key, "poly")
 
 
 def point_in_polygon(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
@@ -120,8 +138,9 @@ def rasterize(vertices: DataFrame, height: int, width: int) -> DataFrame:
     dy, dx = 180.0 / height, 360.0 / width
     e = edges(vertices)
     top, bottom = F.greatest("lat", "lat2"), F.least("lat", "lat2")
-    r0 = F.greatest(F.lit(0), F.ceil((90 - top) / dy - 0.5)).cast("int")
-    r1 = F.least(F.lit(height - 1), F.ceil((90 - bottom) / dy - 0.5) - 1).cast("int")
+    # an edge holds its lower end and not its upper one, as for points
+    r0 = F.greatest(F.lit(0), F.floor((90 - top) / dy - 0.5) + 1).cast("int")
+    r1 = F.least(F.lit(height - 1), F.floor((90 - bottom) / dy - 0.5)).cast("int")
     rows = e.withColumn("r0", r0).withColumn("r1", r1).filter("r1 >= r0").withColumn("r", F.explode(F.sequence("r0", "r1")))
     y = 90 - (F.col("r") + 0.5) * dy
     x = F.col("lon") + (y - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
@@ -163,7 +182,7 @@ def label_anchor(vertices: DataFrame, grid: int = 13) -> DataFrame:
     d = segment_distance_km(F.col("y"), F.col("x"), unit_vector(F.col("e.lat"), F.col("e.lon")), unit_vector(F.col("e.lat2"), F.col("e.lon2")))
     judged = met.groupBy("poly", "cand", "y", "x").agg(F.sum(_crossed(F.col("y"), F.col("x")).cast("int")).alias("n"), F.min(d).alias("clear")).filter("n % 2 = 1")
     best = judged.groupBy("poly").agg(F.max_by(F.struct("y", "x", "clear"), F.struct(F.round("clear", 6), -F.col("cand"))).alias("b"))
-    return best.select("poly", F.round("b.y", 6).alias("lat"), F.round("b.x", 6).alias("lon"), F.round("b.clear", 6).alias("clearance_km"))
+    return best.select("poly", F.round("b.y", 6).alias("lat"), F.round(normalize_lon("b.x"), 6).alias("lon"), F.round("b.clear", 6).alias("clearance_km"))
 
 
 def self_intersections(vertices: DataFrame) -> DataFrame:

@@ -253,8 +253,13 @@ walk AS (SELECT cast(n_nationkey AS bigint) AS start, cast(CASE WHEN n_nationkey
   UNION SELECT start, b, crossings+1 FROM walk JOIN ends ON node = a WHERE crossings < 9 AND a <> b),
 merged AS (SELECT start, node, min(crossings) AS crossings FROM walk GROUP BY 1, 2),
 reach AS (SELECT * FROM merged UNION ALL SELECT start, 7, crossings FROM merged WHERE node = 3)"""
-_EDGES = "edges AS (SELECT * FROM (SELECT *, lead(lat) OVER w AS lat2, lon + ((lead(lon) OVER w - lon + 540e0)%360e0) - 180e0 AS lon2 FROM {ring} WINDOW w AS (PARTITION BY poly, ring ORDER BY ix)) WHERE lat2 IS NOT NULL)"
-_AREAS = f"WITH {_EDGES}, areas AS (SELECT poly, ring, least(abs(x), 4e0*pi()-abs(x))*6371.0088e0*6371.0088e0 AS area_km2 FROM (SELECT poly, ring, sum(2e0*atan2(tan(radians(lon2-lon)/2e0)*(tan(radians(lat)/2e0)+tan(radians(lat2)/2e0)), 1+tan(radians(lat)/2e0)*tan(radians(lat2)/2e0))) AS x FROM edges GROUP BY 1, 2)), polys AS (SELECT poly, round(sum(CASE WHEN ring=0 THEN area_km2 ELSE -area_km2 END), 6) AS area_km2 FROM areas GROUP BY 1)"
+# longitudes go on from vertex to vertex; a polygon's rings are on the turn of its first vertex
+EDGES = """steps AS (SELECT *, CASE WHEN lon-before > 180 THEN -1 WHEN lon-before < -180 THEN 1 ELSE 0 END AS turn FROM (
+    SELECT *, lag(lon) OVER (PARTITION BY poly, ring ORDER BY ix) AS before, first_value(lon) OVER (PARTITION BY poly, ring ORDER BY ix) AS own,
+           first_value(lon) OVER (PARTITION BY poly ORDER BY ring, ix) AS start FROM {ring}) v),
+laid AS (SELECT country, poly, ring, ix, lat, lon AS home, lon+360e0*(sum(turn) OVER (PARTITION BY poly, ring ORDER BY ix ROWS UNBOUNDED PRECEDING)+floor((start-own)/360e0+0.5e0)) AS lon FROM steps),
+edges AS (SELECT * FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM laid WINDOW w AS (PARTITION BY poly, ring ORDER BY ix)) e WHERE lat2 IS NOT NULL)"""
+_AREAS = f"WITH {EDGES}, areas AS (SELECT poly, ring, least(abs(x), 4e0*pi()-abs(x))*6371.0088e0*6371.0088e0 AS area_km2 FROM (SELECT poly, ring, sum(2e0*atan2(tan(radians(lon2-lon)/2e0)*(tan(radians(lat)/2e0)+tan(radians(lat2)/2e0)), 1+tan(radians(lat)/2e0)*tan(radians(lat2)/2e0))) AS x FROM edges GROUP BY 1, 2)), polys AS (SELECT poly, round(sum(CASE WHEN ring=0 THEN area_km2 ELSE -area_km2 END), 6) AS area_km2 FROM areas GROUP BY 1)"
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _REC = "recs AS (SELECT country_id, name_group, CASE WHEN size < 40 THEN size END AS rank, CASE WHEN size%3=0 THEN form END AS local, name_group AS latin, CASE WHEN size%2=0 THEN size*10 END AS cnt, ord FROM {mark} WHERE country_id%6 <> 0)"
 _TAG = f"WITH {_REC}, tagged AS (SELECT country_id, name_group, rank, 'base' AS source, 0 AS p FROM recs WHERE country_id%4=1 UNION ALL SELECT country_id, name_group, rank, 'supplement', 0 FROM recs WHERE country_id%4=2 UNION ALL SELECT country_id, name_group, rank, 'list', 2 FROM recs WHERE country_id%3=0 UNION ALL SELECT country_id, name_group, rank, 'manual', 3 FROM recs WHERE country_id%5=0), best AS (SELECT * FROM (SELECT *, min(p) OVER (PARTITION BY country_id) AS m FROM tagged) WHERE p = m)"
@@ -265,14 +270,14 @@ _LARGEST = "largest AS (SELECT country, poly FROM (SELECT country, poly, row_num
 _ANCHORS = f"""{_AREAS}, {_LARGEST}, means AS (SELECT l.country, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z
   FROM edges e JOIN largest l ON e.poly = l.poly WHERE ring = 0 GROUP BY 1)
 SELECT country, round(degrees(atan2(z, sqrt(x*x+y*y))), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM means"""
-_DENSE = f"""WITH {_EDGES}, arcs AS (SELECT *, 2e0*asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians(lat2-lat)/2e0), 2)+cos(radians(lat))*cos(radians(lat2))*pow(sin(radians(lon2-lon)/2e0), 2))))) AS om FROM edges),
+_DENSE = f"""WITH {EDGES}, arcs AS (SELECT *, 2e0*asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians(lat2-lat)/2e0), 2)+cos(radians(lat))*cos(radians(lat2))*pow(sin(radians(lon2-lon)/2e0), 2))))) AS om FROM edges),
 cuts AS (SELECT *, cast(greatest(1, ceil(round(degrees(om)/2.5e0, 9))) AS int) AS n FROM arcs), parts AS (SELECT *, unnest(range(n)) AS k FROM cuts),
 w AS (SELECT *, sin((1-k/cast(n AS double))*om)/sin(om) AS wa, sin(k/cast(n AS double)*om)/sin(om) AS wb FROM parts),
 v AS (SELECT *, wa*cos(radians(lat))*cos(radians(lon))+wb*cos(radians(lat2))*cos(radians(lon2)) AS x, wa*cos(radians(lat))*sin(radians(lon))+wb*cos(radians(lat2))*sin(radians(lon2)) AS y, wa*sin(radians(lat))+wb*sin(radians(lat2)) AS z FROM w)
-SELECT poly, ring, ix, cast(k AS int) AS k, round(CASE WHEN k=0 THEN lat ELSE degrees(atan2(z, sqrt(x*x+y*y))) END, 6) AS lat, round(CASE WHEN k=0 THEN lon ELSE degrees(atan2(y, x)) END, 6) AS lon FROM v"""
+SELECT poly, ring, ix, cast(k AS int) AS k, round(CASE WHEN k=0 THEN lat ELSE degrees(atan2(z, sqrt(x*x+y*y))) END, 6) AS lat, round(CASE WHEN k=0 THEN home ELSE degrees(atan2(y, x)) END, 6) AS lon FROM v"""
 _DOT = "({0}x*{1}x+{0}y*{1}y+{0}z*{1}z)"
 _ACOS = "acos(least(1e0, greatest(-1e0, {0})))"
-_LABELS = f"""WITH {_EDGES}, box AS (SELECT poly, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, avg(lat) AS mlat, avg(lon) AS mlon FROM edges GROUP BY 1),
+_LABELS = f"""WITH {EDGES}, box AS (SELECT poly, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, avg(lat) AS mlat, avg(lon) AS mlon FROM edges GROUP BY 1),
 cands AS (SELECT poly, 0 AS cand, mlat AS y, mlon AS x FROM box UNION ALL SELECT poly, 1+i*13+j, s+(i+0.5e0)/13*(n-s), w+(j+0.5e0)/13*(e-w) FROM box, (SELECT unnest(range(13)) AS i) a, (SELECT unnest(range(13)) AS j) b),
 met AS (SELECT c.poly, cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > x THEN 1 ELSE 0 END AS hit,
   cos(radians(y))*cos(radians(x)) AS px, cos(radians(y))*sin(radians(x)) AS py, sin(radians(y)) AS pz, cos(radians(lat))*cos(radians(lon)) AS ax, cos(radians(lat))*sin(radians(lon)) AS ay, sin(radians(lat)) AS az,
@@ -282,14 +287,14 @@ sized AS (SELECT *, sqrt({_DOT.format('n', 'n')}) AS size, {_DOT.format('p', 'n'
 feet AS (SELECT *, px-s*nx/size AS fx, py-s*ny/size AS fy, pz-s*nz/size AS fz, least({_ACOS.format(_DOT.format('p', 'a'))}, {_ACOS.format(_DOT.format('p', 'g'))}) AS ends FROM sized),
 judged AS (SELECT poly, cand, y, x, sum(hit) AS n, min(6371.0088e0*CASE WHEN {_DOT.format('f', 'a')} >= {_DOT.format('a', 'g')} AND {_DOT.format('f', 'g')} >= {_DOT.format('a', 'g')} AND {_DOT.format('f', 'a')}+{_DOT.format('f', 'g')} > 0 AND size > 1e-12
   THEN least(abs(asin(least(1e0, greatest(-1e0, s)))), ends) ELSE ends END) AS clear FROM feet GROUP BY 1, 2, 3, 4 HAVING sum(hit)%2 = 1)
-SELECT poly, round(y, 6) AS lat, round(x, 6) AS lon, round(clear, 6) AS clearance_km FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(clear, 6) DESC, cand) AS k FROM judged) WHERE k = 1"""
+SELECT poly, round(y, 6) AS lat, round(((x+900e0)%360e0)-180e0, 6) AS lon, round(clear, 6) AS clearance_km FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(clear, 6) DESC, cand) AS k FROM judged) WHERE k = 1"""
 _CLEARANCE = (
     _LABELS.split("box AS")[0] + "west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), turned AS (SELECT point_id, lat AS y, lon AS x, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS t FROM {site}, west w), "
     + "met AS (SELECT c.poly, point_id AS cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > t THEN 1 ELSE 0 END AS hit," + _LABELS.split("THEN 1 ELSE 0 END AS hit,")[1].split("FROM cands c JOIN")[0]
     + "FROM turned c JOIN" + _LABELS.split("FROM cands c JOIN")[1].split("SELECT poly, round(y, 6)")[0] + " SELECT point_id, round(coalesce(max(clear), 0e0), 6) AS clearance_km FROM {site} LEFT JOIN judged ON cand = point_id GROUP BY 1"
 )
 _SIDE = "(({0}.lon2-{0}.lon)*({1}-{0}.lat)-({0}.lat2-{0}.lat)*({2}-{0}.lon))"
-_CROSS = f"""WITH {_EDGES}, found AS (SELECT a.poly, count(*) AS n FROM edges a JOIN edges b ON a.poly = b.poly AND a.ring = b.ring AND a.ix < b.ix
+_CROSS = f"""WITH {EDGES}, found AS (SELECT a.poly, count(*) AS n FROM edges a JOIN edges b ON a.poly = b.poly AND a.ring = b.ring AND a.ix < b.ix
   WHERE {_SIDE.format('a', 'b.lat', 'b.lon')}*{_SIDE.format('a', 'b.lat2', 'b.lon2')} < 0 AND {_SIDE.format('b', 'a.lat', 'a.lon')}*{_SIDE.format('b', 'a.lat2', 'a.lon2')} < 0 GROUP BY 1)
 SELECT p.poly, coalesce(n, 0) AS crossings FROM (SELECT DISTINCT poly FROM {{ring}}) p LEFT JOIN found USING (poly)"""
 _OUTLINE = """WITH pts AS (SELECT point_id, radians(lat) AS la, radians(lon) AS lo, 750e0/6371.0088e0 AS d, unnest(range(7)) AS step FROM {site}),
@@ -338,8 +343,8 @@ ORACLES = {
         "name_matches": _MATCHES,
         "stop_rounds": _STOPS,
         "polygon_parts": _AREAS + " SELECT country, poly, row_number() OVER (PARTITION BY country ORDER BY area_km2 DESC, poly)-1 AS part FROM polys JOIN (SELECT DISTINCT poly, country FROM {ring}) USING (poly)",
-        "points_in_polygons": f"WITH {_EDGES}, west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), p AS (SELECT point_id, lat AS y, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS x FROM {{site}}, west w), hit AS (SELECT point_id, p.poly, count(*) AS n FROM p JOIN edges e ON p.poly = e.poly AND (e.lat <= y) <> (e.lat2 <= y) AND e.lon + (y-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > x GROUP BY 1, 2) SELECT point_id, h.poly FROM {{site}} LEFT JOIN (SELECT point_id, min(poly) AS poly FROM hit WHERE n%2=1 GROUP BY 1) h USING (point_id)",
-        "polygon_cells": f"WITH {_EDGES}, cells AS (SELECT r, c, 90e0-(r+0.5e0)*5e0 AS y, (c+0.5e0)*5e0-180e0 AS x FROM (SELECT unnest(range(36)) AS r) a, (SELECT unnest(range(72)) AS c) b), west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), p AS (SELECT r, c, y, w.poly, west + (((x-west)%360e0)+360e0)%360e0 AS x FROM cells, west w) SELECT poly, cast(r AS int) AS r, cast(c AS int) AS c FROM (SELECT p.poly, r, c, count(*) AS n FROM p JOIN edges e ON p.poly = e.poly AND (e.lat <= y) <> (e.lat2 <= y) AND e.lon + (y-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > x GROUP BY 1, 2, 3) WHERE n%2=1",
+        "points_in_polygons": f"WITH {EDGES}, west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), p AS (SELECT point_id, lat AS y, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS x FROM {{site}}, west w), hit AS (SELECT point_id, p.poly, count(*) AS n FROM p JOIN edges e ON p.poly = e.poly AND (e.lat <= y) <> (e.lat2 <= y) AND e.lon + (y-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > x GROUP BY 1, 2) SELECT point_id, h.poly FROM {{site}} LEFT JOIN (SELECT point_id, min(poly) AS poly FROM hit WHERE n%2=1 GROUP BY 1) h USING (point_id)",
+        "polygon_cells": f"WITH {EDGES}, cells AS (SELECT r, c, 90e0-(r+0.5e0)*5e0 AS y, (c+0.5e0)*5e0-180e0 AS x FROM (SELECT unnest(range(36)) AS r) a, (SELECT unnest(range(72)) AS c) b), west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), p AS (SELECT r, c, y, w.poly, west + (((x-west)%360e0)+360e0)%360e0 AS x FROM cells, west w) SELECT poly, cast(r AS int) AS r, cast(c AS int) AS c FROM (SELECT p.poly, r, c, count(*) AS n FROM p JOIN edges e ON p.poly = e.poly AND (e.lat <= y) <> (e.lat2 <= y) AND e.lon + (y-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > x GROUP BY 1, 2, 3) WHERE n%2=1",
         "mollweide_points": "SELECT p_partkey, round(degrees(asin(least(1e0, greatest(-1e0, (2*t+sin(2*t))/pi())))), 6) AS lat, round(degrees(pi()*x/(2*6378137e0*sqrt(2e0)*cos(t))), 6) AS lon FROM (SELECT p_partkey, (p_partkey*3571e0)%9000000e0 AS x, asin(least(1e0, greatest(-1e0, p_size*100000e0/(6378137e0*sqrt(2e0))))) AS t FROM {part})",
         "city_search_top6": f"WITH n AS (SELECT p_partkey AS city_id, p_name AS name, {_NORM.format('p_name')} AS nn, {_NORM.format('p_brand')} AS a1, {_NORM.format('p_type')} AS a2, p_size%5 AS feature_rank, p_partkey*7919%10007 AS population FROM {{part}}), s AS (SELECT *, CASE WHEN nn='brand 1' THEN 0 WHEN a1='brand 1' OR a2='brand 1' THEN 1 WHEN starts_with(nn, 'brand 1') THEN 2 WHEN starts_with(a1, 'brand 1') OR starts_with(a2, 'brand 1') THEN 3 WHEN contains(nn, ' brand 1') OR contains(a1, ' brand 1') OR contains(a2, ' brand 1') THEN 4 WHEN contains(nn, 'brand 1') OR contains(a1, 'brand 1') OR contains(a2, 'brand 1') THEN 5 END AS score FROM n) SELECT city_id, name, score, population FROM s WHERE score IS NOT NULL ORDER BY score, feature_rank, population DESC, name, city_id LIMIT 6",
         "name_groups": f"SELECT {_NORM.format('p_brand')} AS form, count(*) AS cities, count(DISTINCT p_size%7) AS countries FROM {{part}} GROUP BY 1 HAVING count(*) > 1",

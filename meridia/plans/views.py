@@ -23,6 +23,17 @@ VIEWS: dict[str, str] = {
       cast(sum(cast(l_quantity AS bigint)) AS bigint) AS v FROM {lineitem} GROUP BY 1, 2""",
     "label": """SELECT r, c, cast(CASE WHEN (r*7+c*3)%6=0 THEN 0 ELSE floor(r/6e0)*5+floor(c/15e0)+1 END AS int) AS lab FROM {cell}""",
     "block": """SELECT r, c, cast(CASE WHEN (r*5+c*7+(r*c)%11)%13 = 0 THEN 0 ELSE floor(r/9e0)*4+floor(((c+5)%72)/18e0)+1 END AS int) AS lab FROM {cell}""",
+    "sheet": """SELECT a.r, b.c, coalesce(k.lab, 0) AS lab FROM (SELECT DISTINCT r FROM {cell}) a CROSS JOIN (SELECT DISTINCT c FROM {cell}) b
+      LEFT JOIN {block} k ON k.r = a.r AND k.c = b.c""",
+    # corners of an 18 x 24 mesh, each moved by what its cell holds
+    "node": """SELECT a.r AS j, b.c AS i, (b.c+0.3e0*(coalesce(k.v, 0)%100/100e0-0.5e0))/24e0 AS x, (a.r+0.3e0*(coalesce(k.v, 0)*7%100/100e0-0.5e0))/18e0 AS y
+      FROM (SELECT DISTINCT r FROM {cell} WHERE r <= 18) a CROSS JOIN (SELECT DISTINCT c FROM {cell} WHERE c <= 24) b LEFT JOIN {cell} k ON k.r = a.r AND k.c = b.c""",
+    # a rectangle around each supplier's place, some across the date line, and its place in an atlas
+    "patch": """SELECT cast(s_suppkey AS int) AS patch, west, south, west+4e0+s_suppkey%9 AS east, south+3e0+s_suppkey%5 AS north,
+      cast(s_suppkey%16*20 AS int) AS atlas_x, cast(floor(s_suppkey/16e0)*20 AS int) AS atlas_y, cast(12+s_suppkey%6 AS int) AS inner_width, cast(10+s_suppkey%8 AS int) AS inner_height
+      FROM (SELECT *, cast((s_suppkey*15013)%36000 AS double)/100e0-180e0 AS west, cast((s_suppkey*6007)%16001 AS double)/100e0-85e0 AS south FROM {supplier}) s""",
+    "texel": """SELECT p.atlas_y+a.r AS ay, p.atlas_x+b.c AS ax, (p.patch*7+a.r*3+b.c*5)%4 AS lab, (a.r+b.c)%2 AS pad, (p.patch+a.r*11+b.c*13)%256 AS near
+      FROM {patch} p CROSS JOIN (SELECT DISTINCT r FROM {cell} WHERE r < 20) a CROSS JOIN (SELECT DISTINCT c FROM {cell} WHERE c < 20) b""",
     "parent": "SELECT DISTINCT lab AS label, (lab-1)%5 AS parent FROM {label} WHERE lab > 0",
     "class_raster": "SELECT r, c, cast(v%7 AS bigint) AS v FROM {cell}",
     "border": """SELECT DISTINCT a, b, 1 AS cost FROM (

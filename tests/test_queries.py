@@ -2,10 +2,11 @@ import pytest
 from oracle import SF, canonical, database
 
 import __spark_entry__
-from meridia.plans import build_queries, point_queries, raster_queries, shape_queries
+from meridia.plans import build_queries, mapped_queries, point_queries, raster_queries, shape_queries
 
-ORACLES = {k: v for p in (point_queries, raster_queries, shape_queries, build_queries) for k, v in p.ORACLES.items()}
-QUERIES = {k: v for p in (point_queries, raster_queries, shape_queries, build_queries) for k, v in p.QUERIES.items()}
+PLANS = (point_queries, raster_queries, shape_queries, build_queries, mapped_queries)
+ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
+QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
