@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import EARTH_KM, haversine_km, normalize_lon, unit_vector, vector_to_lat, vector_to_lon
+from meridia.operators.raster import Grid
 
 MERCATOR_LIMIT = 85.05
 
@@ -133,22 +134,52 @@ def label_clearance(points: DataFrame, vertices: DataFrame, key: str) -> DataFra
     return points.select(key).join(clear, key, "left").select(key, F.round(F.coalesce("d", F.lit(0.0)), 6).alias("clearance_km"))
 
 
-def rasterize(vertices: DataFrame, height: int, width: int) -> DataFrame:
-    """(poly, r, c): cells whose centre is inside by the even-odd rule. Each edge meets the rows it spans; sorted crossings pair up."""
-    dy, dx = 180.0 / height, 360.0 / width
+def rasterize(vertices: DataFrame, height: int, width: int, north: float = 90.0, west: float = -180.0, dy: float | None = None, dx: float | None = None) -> DataFrame:
+    """(poly, r, c): cells whose centre is inside by the even-odd rule. Each edge meets the rows it spans; sorted crossings pair up.
+
+    Without a cell size the raster is the globe. Columns wrap where it is a whole turn wide.
+    """
+    dy, dx = dy or 180.0 / height, dx or 360.0 / width
     e = edges(vertices)
     top, bottom = F.greatest("lat", "lat2"), F.least("lat", "lat2")
     # an edge holds its lower end and not its upper one, as for points
-    r0 = F.greatest(F.lit(0), F.floor((90 - top) / dy - 0.5) + 1).cast("int")
-    r1 = F.least(F.lit(height - 1), F.floor((90 - bottom) / dy - 0.5)).cast("int")
+    r0 = F.greatest(F.lit(0), F.floor((north - top) / dy - 0.5) + 1).cast("int")
+    r1 = F.least(F.lit(height - 1), F.floor((north - bottom) / dy - 0.5)).cast("int")
     rows = e.withColumn("r0", r0).withColumn("r1", r1).filter("r1 >= r0").withColumn("r", F.explode(F.sequence("r0", "r1")))
-    y = 90 - (F.col("r") + 0.5) * dy
+    y = north - (F.col("r") + 0.5) * dy
     x = F.col("lon") + (y - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
     order = Window.partitionBy("poly", "r").orderBy("x")
     pairs = rows.withColumn("x", x).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("x").over(order)).filter("n % 2 = 1 and next is not null")
-    c0, c1 = F.ceil((F.col("x") + 180) / dx - 0.5).cast("int"), (F.ceil((F.col("next") + 180) / dx - 0.5) - 1).cast("int")
+    c0, c1 = F.ceil((F.col("x") - west) / dx - 0.5).cast("int"), (F.ceil((F.col("next") - west) / dx - 0.5) - 1).cast("int")
     cells = pairs.withColumn("c0", c0).withColumn("c1", c1).filter("c1 >= c0").withColumn("c", F.explode(F.sequence("c0", "c1")))
-    return cells.select("poly", "r", F.pmod(F.col("c"), F.lit(width)).alias("c")).distinct()
+    return _columns(cells, width, dx).select("poly", "r", "c").distinct()
+
+
+def _columns(cells: DataFrame, width: int, dx: float) -> DataFrame:
+    """Columns counted from the raster's west on brought into it: by whole turns, and left out where it has no such column."""
+    return cells.withColumn("c", F.pmod(F.col("c"), F.lit(round(360 / dx)))).filter(F.col("c") < width)
+
+
+def touched(vertices: DataFrame, grid: Grid) -> DataFrame:
+    """(poly, r, c): cells that an edge touches, their rims included. An edge is cut at the rows it spans; what is left in a row spans its columns."""
+    e = edges(vertices)
+    placed = e.select("poly", *(((F.col(c) - grid.west) / grid.step).alias(n) for c, n in (("lon", "x1"), ("lon2", "x2"))), *(((F.lit(grid.north) - F.col(c)) / grid.step).alias(n) for c, n in (("lat", "y1"), ("lat2", "y2"))))
+    first = F.greatest(F.lit(0), F.ceil(F.least("y1", "y2")) - 1).cast("int")
+    last = F.least(F.lit(grid.height - 1), F.floor(F.greatest("y1", "y2"))).cast("int")
+    rows = placed.withColumn("first", first).withColumn("last", last).filter("first <= last").withColumn("r", F.explode(F.sequence("first", "last")))
+    dy = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    at = lambda y: F.coalesce((y - F.col("y1")) / dy, F.lit(None))
+    enters, leaves = F.least(at(F.col("r")), at(F.col("r") + 1)), F.greatest(at(F.col("r")), at(F.col("r") + 1))
+    part = rows.withColumn("t0", F.greatest(F.lit(0.0), F.coalesce(enters, F.lit(0.0)))).withColumn("t1", F.least(F.lit(1.0), F.coalesce(leaves, F.lit(1.0)))).filter("t0 <= t1")
+    x = lambda t: F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1"))
+    c0, c1 = F.ceil(F.least(x("t0"), x("t1"))) - 1, F.floor(F.greatest(x("t0"), x("t1")))
+    cells = part.withColumn("c", F.explode(F.sequence(c0.cast("int"), c1.cast("int"))))
+    return _columns(cells, grid.width, grid.step).select("poly", "r", "c").distinct()
+
+
+def footprints(vertices: DataFrame, grid: Grid) -> DataFrame:
+    """(poly, r, c): cells that a polygon holds the centre of, or that its border touches."""
+    return rasterize(vertices, grid.height, grid.width, grid.north, grid.west, grid.step, grid.step).unionByName(touched(vertices, grid)).distinct()
 
 
 def ranked_parts(vertices: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.geo import haversine_km
 from meridia.functions.scalars import travel_hours
 from meridia.operators.graph import components, cut
 from meridia.operators.raster import Grid, cell_of, neighbour_pairs
@@ -40,6 +41,15 @@ def city_ranks(cities: DataFrame) -> DataFrame:
     return placed.withColumn("_within", within).join(F.broadcast(before), "_part").select(*cities.columns, (F.col("before") + F.col("_within")).cast("int").alias("rank"))
 
 
+def _source_cells(footprints: DataFrame, cities: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, city_id) of all footprints, the larger city first; (city_id, node, route) of those on land; and those kept, of a city's main country."""
+    sized = footprints.join(cities.select("city_id", "population"), "city_id")
+    drawn = cut(sized.groupBy("node").agg(F.max_by("city_id", F.struct("population", -F.col("city_id"))).alias("city_id")))
+    raw = drawn.join(cells.select("node", "route"), "node")
+    routes = raw.groupBy("city_id", "route").agg(F.count("*").alias("n")).groupBy("city_id").agg(F.max_by("route", F.struct("n", -F.col("route"))).alias("route"))
+    return drawn, raw, cut(raw.join(routes, ["city_id", "route"], "left_semi").select("city_id", "node", "route"))
+
+
 def city_sources(footprints: DataFrame, cities: DataFrame, cells: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
     """The cities with their centre cell, and (city_id, node) of the cells that each starts from.
 
@@ -48,11 +58,7 @@ def city_sources(footprints: DataFrame, cities: DataFrame, cells: DataFrame, gri
     its cells have, the smaller number at a tie. Its centre moves to the nearest cell kept where it has
     lost its own; a city without cells names the one that has its centre's (merged_into), if any.
     """
-    sized = footprints.join(cities.select("city_id", "population"), "city_id")
-    drawn = cut(sized.groupBy("node").agg(F.max_by("city_id", F.struct("population", -F.col("city_id"))).alias("city_id")))
-    raw = drawn.join(cells.select("node", "route"), "node")
-    routes = raw.groupBy("city_id", "route").agg(F.count("*").alias("n")).groupBy("city_id").agg(F.max_by("route", F.struct("n", -F.col("route"))).alias("route"))
-    kept = cut(raw.join(routes, ["city_id", "route"], "left_semi").select("city_id", "node"))
+    drawn, raw, kept = _source_cells(footprints, cities, cells)
     at = cell_of(F.col("lat"), F.col("lon"), grid)
     placed = cities.withColumn("own", (at["r"] * grid.width + at["c"]).cast("long"))
     dr = F.floor(F.col("node") / grid.width) - ((grid.north - F.col("lat")) / grid.step - 0.5)
@@ -62,7 +68,33 @@ def city_sources(footprints: DataFrame, cities: DataFrame, cells: DataFrame, gri
     owners = drawn.select(F.col("node").alias("own"), F.col("city_id").alias("owner"))
     out = placed.join(centres, "city_id", "left").join(owners, "own", "left")
     merged = F.when(F.col("centre").isNull() & (F.col("owner") != F.col("city_id")), F.col("owner"))
-    return out.select(*cities.columns, "centre", merged.alias("merged_into")), kept
+    return out.select(*cities.columns, "centre", merged.alias("merged_into")), kept.select("city_id", "node")
+
+
+def source_clipping(footprints: DataFrame, cities: DataFrame, cells: DataFrame, people: DataFrame, grid: Grid) -> DataFrame:
+    """What cities lose where their footprint lies in several countries; one row for each that loses cells.
+
+    (city_id, route, before, retained, removed, removed_people, removed_missing, shift_km): the country kept,
+    cells before, kept and lost, the people (node, people) of the lost ones, those without a figure, and how
+    far the centre's cell is from the city's place.
+    """
+    placed, kept = city_sources(footprints, cities, cells, grid)
+    _, raw, own = _source_cells(footprints, cities, cells)
+    own = own.withColumn("kept", F.lit(True))
+    marked = raw.join(own, ["city_id", "node", "route"], "left").join(people, "node", "left")
+    lost = F.col("kept").isNull()
+    sums = marked.groupBy("city_id").agg(
+        F.max(F.when(~lost, F.col("route"))).alias("route"),
+        F.count("*").alias("before"),
+        F.count("kept").alias("retained"),
+        F.count_if(lost).alias("removed"),
+        F.coalesce(F.sum(F.when(lost, F.col("people"))), F.lit(0)).alias("removed_people"),
+        F.count_if(lost & F.col("people").isNull()).alias("removed_missing"),
+    )
+    lat = grid.north - (F.expr(f"centre div {grid.width}") + 0.5) * grid.step
+    lon = grid.west + (F.col("centre") % grid.width + 0.5) * grid.step
+    shift = placed.select("city_id", haversine_km("lat", "lon", lat, lon).alias("shift_km"))
+    return sums.filter("removed > 0").join(shift, "city_id")
 
 
 def seeds(cities: DataFrame, sources: DataFrame, level: float) -> DataFrame:

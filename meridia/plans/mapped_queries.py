@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridia.operators import mapped
+from meridia.operators import mapped, mapping
 from meridia.plans.shape_queries import EDGES
 from meridia.plans.views import HEIGHT, WIDTH, frame, inline
 
@@ -97,7 +97,47 @@ def mesh_densities(spark, d):
     return mapped.cell_densities(_coverage(spark, d), dense, MESH_HEIGHT, MESH_WIDTH, _parents(spark, d)).select("y", "x", F.round("density", 6).alias("density"))
 
 
-QUERIES = {f.__name__: f for f in (distance_field, label_samples, patch_labels, mesh_coverage, mesh_diagnostics, mapped_areas, coverage_densities, mesh_densities)}
+# ---- points through a map
+
+SHIFT_HEIGHT, SHIFT_WIDTH = 12, 24
+
+
+def _shifted(spark, d):
+    return frame(spark, d, "shift"), SHIFT_HEIGHT, SHIFT_WIDTH
+
+
+def displacements(spark, d):
+    """The field at each city's place."""
+    spots = frame(spark, d, "city").select("city_id", ((F.col("lon") + 180) / 360).alias("x"), ((F.sin(F.radians("lat")) + 1) / 2).alias("y"))
+    return mapping.sample_displacement(spots, *_shifted(spark, d), "city_id").select("city_id", F.round("dlon", 6).alias("dlon"), F.round("ds", 9).alias("ds"))
+
+
+def map_to_globe(spark, d):
+    """Where on the globe a map has each city's place, when the map has moved by three tenths and wholly."""
+    part, whole = (mapping.to_globe(frame(spark, d, "city"), *_shifted(spark, d), "city_id", t) for t in (0.3, 1.0))
+    both = part.select("city_id", F.round("lat", 6).alias("part_lat"), F.round("lon", 6).alias("part_lon"))
+    return both.join(whole.select("city_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")), "city_id")
+
+
+def globe_to_map(spark, d):
+    """Where on the map each city is, and whether the map leads back from there."""
+    out = mapping.to_map(frame(spark, d, "city"), *_shifted(spark, d), "city_id")
+    return out.select("city_id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), (F.col("error") < 1e-5).alias("found"))
+
+
+def there_and_back(spark, d):
+    """Each city taken to the map and back to the globe."""
+    there = mapping.to_map(frame(spark, d, "city"), *_shifted(spark, d), "city_id")
+    back = mapping.to_globe(there, *_shifted(spark, d), "city_id")
+    return back.select("city_id", F.round("lat", 4).alias("lat"), F.round(F.pmod(F.round("lon", 4) + 180, F.lit(360.0)) - 180, 4).alias("lon"))
+
+
+def round_trip(spark, d):
+    """How well places of the map are found again, over samples even in area."""
+    return mapping.round_trip_summary(mapping.round_trip_errors(spark, *_shifted(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (distance_field, label_samples, patch_labels, mesh_coverage, mesh_diagnostics, mapped_areas, coverage_densities, mesh_densities, displacements, map_to_globe, globe_to_map, there_and_back, round_trip)}
 
 # All pairs of cells and edges, with no blocks.
 _FIELD = f"""WITH {EDGES},
@@ -160,6 +200,15 @@ means AS (SELECT sum(value) FILTER (WHERE included) AS total, sum(value) FILTER
 dense AS (SELECT t.*, total, CASE WHEN NOT included THEN mean WHEN value = 0 THEN mean/100 ELSE value/area END AS density FROM told t, means),
 ratios AS (SELECT *, density/sum(area*density) OVER () AS ratio FROM dense)"""
 
+_SHIFTED = """WITH spots AS (SELECT city_id, lat, lon, (lon+180e0)/360e0 AS x, (sin(radians(lat))+1)/2e0 AS y FROM {city}),
+bases AS (SELECT *, least(23, floor(x*24)) AS i0, least(11, floor(y*12)) AS j0 FROM spots),
+four AS (SELECT b.*, k, CASE WHEN k%2 = 0 THEN 1-(x*24-i0) ELSE x*24-i0 END*CASE WHEN k < 2 THEN 1-(y*12-j0) ELSE y*12-j0 END AS w, s.dlon, s.ds, a.dlon AS base
+  FROM bases b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) q JOIN {shift} s ON s.j = j0+k//2 AND s.i = i0+k%2 JOIN {shift} a ON a.j = j0 AND a.i = i0),
+moves AS (SELECT city_id, lat, lon, y, sum((base+((dlon-base+900e0)%360e0)-180e0)*w) AS dlon, sum(ds*w) AS ds FROM four GROUP BY 1, 2, 3, 4),
+globe AS (SELECT *, degrees(asin(greatest(-1e0, least(1e0, 2*greatest(0e0, least(1e0, y+ds/2))-1)))) AS lat2 FROM moves),
+arcs AS (SELECT *, CASE WHEN 0.7e0*sin(radians(lat))+0.3e0*sin(radians(lat2)) >= 0 THEN 1e0 ELSE -1e0 END AS side FROM globe),
+away AS (SELECT *, 2*asin(least(1e0, sqrt(0.7e0*pow(sin((side*pi()/2-radians(lat))/2), 2)+0.3e0*pow(sin((side*pi()/2-radians(lat2))/2), 2)))) AS z FROM arcs)"""
+
 ORACLES = {
     name: inline(sql)
     for name, sql in {
@@ -185,6 +234,10 @@ texels AS (SELECT s.id, s.k, s.w, lab, pad, near FROM (
     SELECT id, k, {_W} AS w, greatest(atlas_y+1, least(atlas_y+inner_height, cast(floor(fy) AS int)+k//2)) AS ay, greatest(atlas_x+1, least(atlas_x+inner_width, cast(floor(fx) AS int)+k%2)) AS ax FROM spots, {_TEXELS}) s
   JOIN {{texel}} f ON f.ay = s.ay AND f.ax = s.ax), {_VOTE}
 SELECT won.id AS city_id, patch, round(t*t*(3-2*t), 6) AS weight, lab, pad, round(distance, 4) AS distance FROM won JOIN (SELECT id, patch, least(1e0, cast(edge AS double)/2) AS t FROM firsts) g ON g.id = won.id""",
+        "displacements": _SHIFTED + " SELECT city_id, round(dlon, 6) AS dlon, round(ds, 9) AS ds FROM moves",
+        "map_to_globe": _SHIFTED
+        + " SELECT city_id, round(degrees(side*pi()/2-side*z), 6) AS part_lat, round(((lon+dlon*0.3e0+900e0)%360e0)-180e0, 6) AS part_lon, round(lat2, 6) AS lat, round(((lon+dlon+900e0)%360e0)-180e0, 6) AS lon FROM away",
+        "there_and_back": "SELECT city_id, round(lat, 4) AS lat, round(lon, 4) AS lon FROM {city}",
         "mesh_coverage": _COVERAGE + " SELECT triangle, cast(lab AS int) AS lab, round(weight, 12) AS weight FROM coverage",
         "mesh_diagnostics": _COVERAGE + " SELECT count(*) AS entries, count(DISTINCT lab) AS labels, round(sum(weight), 9) AS total, true AS sound FROM coverage",
         "mapped_areas": _COVERAGE + " SELECT cast(lab AS int) AS lab, round(area, 9) AS area, round(mapped, 9) AS mapped FROM areas",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars
-from meridia.operators import cartogram, raster, reach, stats, zonal
+from meridia.operators import cartogram, polygon, raster, reach, stats, zonal
+from meridia.plans.shape_queries import EDGES
 from meridia.plans.views import HEIGHT, STEP, WIDTH, frame, inline
 
 GRID = raster.Grid(HEIGHT, WIDTH, STEP)
@@ -153,6 +154,37 @@ def city_sources(spark, d):
     return cities.join(counts, "city_id", "left").select("city_id", "centre", "merged_into", F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
+def _footprints(spark, d):
+    cells = polygon.footprints(frame(spark, d, "outline").drop("country"), GRID)
+    return cells.select(F.col("poly").alias("city_id"), "r", "c")
+
+
+def _clipped(spark, d):
+    """Footprints, cities, land with its country, and people by cell where they are known."""
+    node = (F.col("r") * WIDTH + F.col("c")).cast("long").alias("node")
+    land = _friction(spark, d).filter("v > 0").select("r", "c").join(frame(spark, d, "label"), ["r", "c"])
+    people = frame(spark, d, "cell").filter("v % 7 <> 0").select(node, F.col("v").alias("people"))
+    return _footprints(spark, d).select("city_id", node), frame(spark, d, "city").select("city_id", "population", "lat", "lon"), land.select(node, F.col("lab").alias("route")), people
+
+
+def footprint_cells(spark, d):
+    """The cells of each city's ground: those it holds the centre of, and all that its border touches."""
+    return _footprints(spark, d)
+
+
+def footprint_sources(spark, d):
+    """Centres and cells of cities that start from their ground."""
+    ground, cities, land, _ = _clipped(spark, d)
+    placed, sources = reach.city_sources(ground, cities, land, GRID)
+    counts = sources.groupBy("city_id").agg(F.count("*").alias("cells"))
+    return placed.join(counts, "city_id", "left").select("city_id", "centre", "merged_into", F.coalesce("cells", F.lit(0)).alias("cells"))
+
+
+def source_clipping(spark, d):
+    """What cities lose whose ground lies in several countries."""
+    return reach.source_clipping(*_clipped(spark, d), GRID).withColumn("shift_km", F.round("shift_km", 6))
+
+
 def grid_edges(spark, d):
     return reach.grid_edges(_friction(spark, d), GRID).select("a", "b", F.round("hours", 6).alias("hours"))
 
@@ -202,7 +234,7 @@ def cartogram_areas(spark, d):
     return cartogram.mapped_areas(cartogram_field(spark, d), frame(spark, d, "label"))
 
 
-QUERIES = {f.__name__: f for f in (block_sum, block_friction, class_shares, class_census, row_runs, quantized, regrid_population, density_bytes, downsampled, coastal_labels, zonal_sum, zonal_weighted, zonal_rollup, zonal_conservation, density_targets, pair_overlay, border_lengths, region_transfer, compare_totals, majority_class, core_cells, level_monotonicity, bilinear_samples, fill_nearest, grid_neighbours, grid_edges, city_sources, reach_ownership, reach_thresholds, reach_report, reach_status, stray_territories, cartogram_field, cartogram_areas)}
+QUERIES = {f.__name__: f for f in (block_sum, block_friction, class_shares, class_census, row_runs, quantized, regrid_population, density_bytes, downsampled, coastal_labels, zonal_sum, zonal_weighted, zonal_rollup, zonal_conservation, density_targets, pair_overlay, border_lengths, region_transfer, compare_totals, majority_class, core_cells, level_monotonicity, bilinear_samples, fill_nearest, grid_neighbours, grid_edges, city_sources, footprint_cells, footprint_sources, source_clipping, reach_ownership, reach_thresholds, reach_report, reach_status, stray_territories, cartogram_field, cartogram_areas)}
 
 _W = "(sin(radians(90e0-r*5e0))-sin(radians(90e0-(r+1)*5e0)))"
 _ZONAL = f"""WITH zonal AS (SELECT label, CASE WHEN label=0 THEN 'unassigned' WHEN label={EXCLUDED} THEN 'excluded' ELSE 'unit' END AS kind, cast(sum(v) AS bigint) AS total, count(*) AS cells
@@ -224,6 +256,22 @@ kept AS (SELECT city_id, cast(r*72+c AS bigint) AS node, r, c FROM raw JOIN most
 centres AS (SELECT city_id, node AS centre FROM (SELECT k.city_id, k.node, row_number() OVER (PARTITION BY k.city_id ORDER BY CASE WHEN k.node = h.r*72+h.c THEN 0 ELSE 1 END, pow(k.r-((90e0-lat)/5e0-0.5e0), 2)+pow(least(abs(k.c-((lon+180e0)/5e0-0.5e0)), 72-abs(k.c-((lon+180e0)/5e0-0.5e0))), 2), k.node) AS n FROM kept k JOIN homes h USING (city_id)) WHERE n = 1),
 towns AS (SELECT h.city_id, h.population, centre, CASE WHEN centre IS NULL AND d.city_id <> h.city_id THEN d.city_id END AS merged_into, (SELECT count(*) FROM kept k WHERE k.city_id = h.city_id) AS cells FROM homes h LEFT JOIN centres USING (city_id) LEFT JOIN drawn d ON d.r = h.r AND d.c = h.c)"""
 
+# each cell against each edge of a city's ground, cut to the cell's columns and rows
+_GROUND = EDGES.replace("{ring}", "{outline}") + """,
+grid AS (SELECT r, c FROM (SELECT unnest(range(36)) AS r) a, (SELECT unnest(range(72)) AS c) b),
+turned AS (SELECT poly, (lon+180e0)/5e0+t*72 AS x1, (lon2+180e0)/5e0+t*72 AS x2, (90e0-lat)/5e0 AS y1, (90e0-lat2)/5e0 AS y2 FROM edges, (SELECT unnest([-1, 0, 1]) AS t) q),
+cuts AS (
+  SELECT poly, r, c, CASE WHEN x1 = x2 THEN 0 ELSE least((c-x1)/(x2-x1), (c+1-x1)/(x2-x1)) END AS a0, CASE WHEN x1 = x2 THEN 1 ELSE greatest((c-x1)/(x2-x1), (c+1-x1)/(x2-x1)) END AS a1,
+         CASE WHEN y1 = y2 THEN 0 ELSE least((r-y1)/(y2-y1), (r+1-y1)/(y2-y1)) END AS b0, CASE WHEN y1 = y2 THEN 1 ELSE greatest((r-y1)/(y2-y1), (r+1-y1)/(y2-y1)) END AS b1
+  FROM turned JOIN grid ON c <= greatest(x1, x2) AND c+1 >= least(x1, x2) AND r <= greatest(y1, y2) AND r+1 >= least(y1, y2)),
+inner_ AS (
+  SELECT poly, r, c FROM (
+    SELECT poly, r, c, count(*) AS n FROM turned JOIN grid ON (y1 <= r+0.5e0) <> (y2 <= r+0.5e0) AND x1+(r+0.5e0-y1)/nullif(y2-y1, 0)*(x2-x1) > c+0.5e0 GROUP BY 1, 2, 3) i WHERE n%2 = 1),
+ground AS (SELECT DISTINCT poly AS city_id, cast(r AS int) AS r, cast(c AS int) AS c FROM (SELECT poly, r, c FROM cuts WHERE greatest(0, a0, b0) <= least(1, a1, b1) UNION ALL SELECT poly, r, c FROM inner_) g),
+homes AS (SELECT city_id, population, lat, lon, least(35, greatest(0, cast(floor((90e0-lat)/5e0) AS int))) AS r, cast(floor((lon+180e0)/5e0) AS int)%72 AS c FROM {city}),
+spots AS (SELECT g.city_id, population, g.r, g.c FROM ground g JOIN homes h ON h.city_id = g.city_id)"""
+_CLIPPED = f"WITH {_LAND}, {_GROUND}," + _SOURCES.split("(i = 0 AND j = 0))),")[1]
+
 # least (cost, rank) of each node: rounds over what changed, until nothing does
 _OWN = f"""WITH RECURSIVE {_EDGES.removeprefix('WITH ')}, {_SOURCES},
 ranked AS (SELECT city_id, row_number() OVER (ORDER BY population DESC, city_id) AS rank, 4e0*((SELECT log10(max(population)) FROM towns)-log10(population)) AS late FROM towns),
@@ -289,6 +337,15 @@ ORACLES = {
         "stray_territories": _STRAY,
         "reach_thresholds": _TIMES + " SELECT city_id, status, round(threshold, 6) AS threshold, parent, round(hours, 6) AS hours FROM judged",
         "reach_status": _TIMES + " SELECT status, 'reach.' || status AS message, count(*) AS cities FROM judged GROUP BY 1, 2",
+        "footprint_cells": f"WITH {_GROUND} SELECT * FROM ground",
+        "footprint_sources": _CLIPPED + " SELECT city_id, centre, merged_into, cells FROM towns",
+        "source_clipping": _CLIPPED
+        + """, lost AS (
+  SELECT w.city_id, max(m.route) AS route, count(*) AS before, count(*) FILTER (WHERE w.route = m.route) AS retained, count(*) FILTER (WHERE w.route <> m.route) AS removed,
+         cast(coalesce(sum(k.v) FILTER (WHERE w.route <> m.route), 0) AS bigint) AS removed_people, count(*) FILTER (WHERE w.route <> m.route AND k.v IS NULL) AS removed_missing
+  FROM raw w JOIN most m ON m.city_id = w.city_id LEFT JOIN (SELECT * FROM {cell} WHERE v%7 <> 0) k ON k.r = w.r AND k.c = w.c GROUP BY 1)
+SELECT l.*, round(2e0*6371.0088e0*asin(sqrt(least(1e0, pow(sin(radians(y-h.lat)/2e0), 2)+cos(radians(h.lat))*cos(radians(y))*pow(sin(radians(x-h.lon)/2e0), 2)))), 6) AS shift_km
+FROM lost l JOIN homes h ON h.city_id = l.city_id JOIN (SELECT city_id, 90e0-(centre//72+0.5e0)*5e0 AS y, (centre%72+0.5e0)*5e0-180e0 AS x FROM towns) t ON t.city_id = l.city_id WHERE removed > 0""",
         "grid_edges": _EDGES + " SELECT a, b, round(hours, 6) AS hours FROM edges",
     }.items()
 }

@@ -28,6 +28,10 @@ VIEWS: dict[str, str] = {
     # corners of an 18 x 24 mesh, each moved by what its cell holds
     "node": """SELECT a.r AS j, b.c AS i, (b.c+0.3e0*(coalesce(k.v, 0)%100/100e0-0.5e0))/24e0 AS x, (a.r+0.3e0*(coalesce(k.v, 0)*7%100/100e0-0.5e0))/18e0 AS y
       FROM (SELECT DISTINCT r FROM {cell} WHERE r <= 18) a CROSS JOIN (SELECT DISTINCT c FROM {cell} WHERE c <= 24) b LEFT JOIN {cell} k ON k.r = a.r AND k.c = b.c""",
+    # how far a map of 12 x 24 cells is moved at its corners, a little more where more lies; none at the poles, the last column as the first
+    "shift": """SELECT a.r AS j, b.c AS i, 1.5e0*sin(radians(b.c%24*15e0*2))*sin(radians(a.r*15e0))+coalesce(k.v, 0)%100/100e0 AS dlon,
+      CASE WHEN a.r = 0 OR a.r = 12 THEN 0e0 ELSE 0.04e0*sin(radians(a.r*30e0))*cos(radians(b.c%24*15e0))+coalesce(k.v, 0)%50/5000e0 END AS ds
+      FROM (SELECT DISTINCT r FROM {cell} WHERE r <= 12) a CROSS JOIN (SELECT DISTINCT c FROM {cell} WHERE c <= 24) b LEFT JOIN {cell} k ON k.r = a.r*2 AND k.c = b.c%24*3""",
     # a rectangle around each supplier's place, some across the date line, and its place in an atlas
     "patch": """SELECT cast(s_suppkey AS int) AS patch, west, south, west+4e0+s_suppkey%9 AS east, south+3e0+s_suppkey%5 AS north,
       cast(s_suppkey%16*20 AS int) AS atlas_x, cast(floor(s_suppkey/16e0)*20 AS int) AS atlas_y, cast(12+s_suppkey%6 AS int) AS inner_width, cast(10+s_suppkey%8 AS int) AS inner_height
@@ -56,6 +60,9 @@ VIEWS: dict[str, str] = {
       SELECT s_nationkey, cast(s_suppkey AS int), ring, ix, cast((s_suppkey*6007)%14001 AS double)/100e0-70e0 + dy*(1+s_suppkey%7),
       (cast((s_suppkey*15013)%36000 AS double)/100e0 + dx*(2+s_suppkey%11) + 360e0)%360e0 - 180e0
       FROM {supplier} CROSS JOIN {corner} WHERE ring = 0 OR s_suppkey % 5 = 0""",
+    # the ground of each city, a crooked rectangle; the larger the city, the larger
+    "outline": """SELECT 0 AS country, city_id AS poly, 0 AS ring, ix, lat+dy*size+0.00317e0 AS lat, (lon+dx*size*1.3e0+540.00713e0)%360e0-180e0 AS lon
+      FROM (SELECT city_id, lat, lon, 0.4e0+population/2500000e0 AS size FROM {city}) g CROSS JOIN {corner} k WHERE k.ring = 0""",
     "mark": """SELECT cast(n_nationkey AS bigint) AS country_id, p_brand AS name_group, p_name AS form, p_size AS size, p_partkey AS ord
       FROM {nation} JOIN {part} ON p_partkey % 25 = n_nationkey""",
 }
