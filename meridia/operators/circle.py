@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from meridia.operators.graph import cut
 
 BINS = math.ceil(math.pi * EARTH_KM)  # the last bin; distances beyond fall into it
 BROADCAST_CELLS = 2_000_000  # 64 MB
+#: Fixed values of the published search: the lattice's step and those kept, then steps and steps each way.
+FIRST_STEP, KEEP, REFINE = 2.0, 24, ((0.25, 8), (0.05, 5))
 MILESTONES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -56,8 +61,35 @@ def summary(prof: DataFrame, radius_km: float, key: str = "point_id") -> DataFra
     return within(prof, radius_km, key).join(total, key).join(radii, key).withColumn("share", F.round(F.col("pop") / F.col("total"), 6))
 
 
-def half_radii(lattice: DataFrame, cells: DataFrame) -> DataFrame:
-    return radius_for_share(profile(lattice, cells), (0.5,)).select("point_id", F.col("radius_km").alias("half_km"))
+def half_radii(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(point_id, half_km): the radius that holds half of all people, for many points of a search.
+
+    Up to BROADCAST_CELLS cells, counted, go to the tasks, which count people by kilometre for one point after
+    the other; more are met pair by pair as in :func:`profile`.
+    """
+    if cells.count() > BROADCAST_CELLS:
+        return radius_for_share(profile(points, cells), (0.5,)).select("point_id", F.col("radius_km").alias("half_km"))
+    spark, table = points.sparkSession, cells.select("ux", "uy", "uz", F.col("pop").cast("double")).toPandas()
+    sent = spark.sparkContext.broadcast((table[["ux", "uy", "uz"]].to_numpy(), table["pop"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, pop = sent.value
+        goal = pop.sum() / 2
+        for batch in batches:
+            half = []
+            for u in np.stack([batch.column(c).to_numpy() for c in ("ux", "uy", "uz")], axis=1):
+                off = vectors - u
+                chord = np.sqrt(off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2])
+                km = np.round(2 * EARTH_KM * np.arcsin(np.minimum(1.0, chord / 2)), 6)
+                people = np.bincount(np.minimum(BINS, km.astype(int)), pop)
+                upto = np.cumsum(people)
+                at = int(np.argmax((upto >= goal) & (people > 0)))
+                half.append(round(at + (goal - (upto[at] - people[at])) / people[at], 6) if goal > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), pa.array(half, pa.float64())], ["point_id", "half_km"])
+
+    kind = points.schema["point_id"].dataType.simpleString()
+    placed = points.select("point_id", *(c.alias(k) for k, c in unit_vector("lat", "lon").items()))
+    return placed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, f"point_id {kind}, half_km double").filter("half_km is not null")
 
 
 def _lattice(centres: DataFrame, step: float, reach: int) -> DataFrame:
@@ -69,7 +101,7 @@ def _lattice(centres: DataFrame, step: float, reach: int) -> DataFrame:
     return points.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
 
 
-def smallest_half_circle(raster: DataFrame, height: int, width: int, factor: int = 8, step: float = 2.0, keep: int = 24, refine: tuple[tuple[float, int], ...] = ((0.25, 8), (0.05, 5))) -> DataFrame:
+def smallest_half_circle(raster: DataFrame, height: int, width: int, factor: int = 8, step: float = FIRST_STEP, keep: int = KEEP, refine: tuple[tuple[float, int], ...] = REFINE) -> DataFrame:
     """One row (lat, lon, radius_km, population): the centre whose circle around half of all people is smallest.
 
     Points of a lattice of ``step`` degrees from 59 south to 79 north are ranked on a coarse raster

@@ -2,8 +2,10 @@
 
 Unit vectors are dealt into cubes of side 2**-level, a cube in space having no pole or date line. All
 points within one side of a point lie in its cube or one of the 26 around it. Each point first finds
-the finest level at which any target is that close, which bounds its distance; then it meets only the
-targets of the cubes around it at the level whose side covers that bound. Both are equi-joins.
+the finest level at which any target is that close. There, and again at the level that covers the bound
+so found, it meets one target for each smaller cube (FINER levels below), so that no cube's key has more
+than a few hundred rows, however many targets lie in it. Only smaller cubes that could hold something
+nearer are opened. All are equi-joins.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from meridia.functions.geo import antipode, haversine_atan2_km, haversine_km, un
 
 LEVELS = 13  #: sides from 1 down to 2**-12 of the radius, about 1.6 km
 _AXES = ("ux", "uy", "uz")
+FINER = 4  #: how many levels below a cube its smaller ones are
 _SPAN = 16384  # more than there are cubes along an axis at any level
 _AROUND = [(i * _SPAN + j) * _SPAN + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 P, T = ("_px", "_py", "_pz"), ("_tx", "_ty", "_tz")
@@ -22,7 +25,13 @@ P, T = ("_px", "_py", "_pz"), ("_tx", "_ty", "_tz")
 
 def _cube(vector: tuple[str, str, str]) -> Column:
     """One number for the cube of a unit vector at the row's level; the cubes around it differ by fixed numbers."""
-    x, y, z = (F.floor(F.col(v) * F.pow(F.lit(2.0), F.col("level"))) + _SPAN // 2 for v in vector)
+    return _cube_at(vector, F.col("level"))
+
+
+def _cube_at(vector: tuple[str, str, str], level: Column) -> Column:
+    side = F.pow(F.lit(2.0), level)
+    # a coordinate of exactly 1 is in the last cube, so that the 27 of level 0 hold the whole sphere
+    x, y, z = (F.least(F.floor(F.col(v) * side), side.cast("long") - 1) + _SPAN // 2 for v in vector)
     return (x * _SPAN + y) * _SPAN + z
 
 
@@ -57,18 +66,23 @@ def nearest_join(points: DataFrame, targets: DataFrame, key: str, order: list[Co
     Distances count to six decimals, so that ties are ties. Adds ``distance_km`` and the targets'
     columns; points without any target have nulls.
     """
-    p, t = with_vector(points.select(key, "lat", "lon"), "lat", "lon", P), with_vector(targets, "t_lat", "t_lon", T)
-    dealt = in_cubes(t, T)
-    # levels of cubes with a target in or around them: many targets of a cube count once
-    occupied = dealt.select("level", "cube").distinct()
-    own = around(in_cubes(p, P), P).select(key, "level", "cube")
-    close = own.join(occupied, ["level", "cube"], "left_semi").groupBy(key).agg(F.max("level").alias("level"))
-    bound = around(p.join(close, key), P).join(dealt.select("level", "cube", *T), ["level", "cube"]).groupBy(key).agg(F.min(chord(P, T)).alias("_bound"))
-    asked = around(p.join(bound, key).withColumn("level", covering_level(F.col("_bound"))), P)
-    met = asked.join(dealt, ["level", "cube"]).filter(chord(P, T) <= F.col("_bound") * (1 + 1e-6) + 1e-8)
-    met = met.withColumn("distance_km", F.round(distance("lat", "lon", "t_lat", "t_lon"), 6))
     kept = [c for c in targets.columns if c not in points.columns]
-    best = met.groupBy(key).agg(F.min_by(F.struct("distance_km", *kept), F.struct(F.col("distance_km").alias("d"), *(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("best"))
+    first = F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))
+    # of targets in one place only the first by order can be asked for
+    sole = targets.groupBy("t_lat", "t_lon").agg(F.min_by(F.struct(*targets.columns), first).alias("t")).select("t.*")
+    p, t = with_vector(points.select(key, "lat", "lon"), "lat", "lon", P), with_vector(sole, "t_lat", "t_lon", T)
+    dealt = in_cubes(t.select(*T), T).withColumn("finer", F.least(F.col("level") + FINER, F.lit(LEVELS - 1)))
+    each = dealt.withColumn("small", _cube_at(T, F.col("finer"))).groupBy("level", "cube", "finer", "small").agg(F.min(F.struct(*T)).alias("one")).select("level", "cube", "finer", "small", "one.*")
+    # cubes with a target in or around them, so that a point asks only for its own
+    occupied = each.select("level", F.explode(F.transform(F.array(*map(F.lit, _AROUND)), lambda step: F.col("cube") - step)).alias("cube")).distinct()
+    close = in_cubes(p, P).select(key, "level", "cube").join(occupied, ["level", "cube"], "left_semi").groupBy(key).agg(F.max("level").alias("level"))
+    bound = around(p.join(close, key), P).join(each, ["level", "cube"]).groupBy(key).agg(F.min(chord(P, T)).alias("_bound"))
+    asked = around(p.join(bound, key).withColumn("level", covering_level(F.col("_bound"))), P).join(each, ["level", "cube"])
+    room = F.col("_bound") * (1 + 1e-6) + 1e-8
+    opened = asked.filter(chord(P, T) <= room + 3**0.5 * F.pow(F.lit(2.0), -F.col("finer"))).select(key, "lat", "lon", *P, "_bound", F.col("finer").alias("level"), F.col("small").alias("cube"))
+    met = opened.join(in_cubes(t, T), ["level", "cube"]).filter(chord(P, T) <= room)
+    met = met.withColumn("distance_km", F.round(distance("lat", "lon", "t_lat", "t_lon"), 6))
+    best = met.groupBy(key).agg(F.min_by(F.struct("distance_km", *kept), F.struct(F.col("distance_km").alias("d"), first.alias("o"))).alias("best"))
     return points.join(best, key, "left").select(*points.columns, "best.distance_km", *(F.col(f"best.{c}") for c in kept))
 
 

@@ -201,9 +201,33 @@ w AS (SELECT *, CASE WHEN om < 1e-12 THEN 1-step/4e0 ELSE sin((1-step/4e0)*om)/s
 v AS (SELECT *, wa*cos(radians(la))*cos(radians(lo))+wb*cos(radians(lb))*cos(radians(mb)) AS x, wa*cos(radians(la))*sin(radians(lo))+wb*cos(radians(lb))*sin(radians(mb)) AS y, wa*sin(radians(la))+wb*sin(radians(lb)) AS z FROM w),
 e AS (SELECT point_id, step, CASE step WHEN 0 THEN la WHEN 4 THEN lb ELSE degrees(atan2(z, sqrt(x*x+y*y))) END AS lat, CASE step WHEN 0 THEN lo WHEN 4 THEN mb ELSE degrees(atan2(y, x)) END AS lon FROM v)
 SELECT point_id, cast(step AS int) AS step, round(lat, 6) AS lat, round(CASE WHEN lon = -180e0 THEN 180e0 ELSE lon END, 6) AS lon FROM e"""
+def _halves(name: str, points: str) -> str:
+    """The radius around each of points that holds half of all people."""
+    return f"""{name}_bins AS (
+  SELECT lat, lon, least(20016, cast(floor(round(2e0*6371.0088e0*asin(least(1e0, sqrt((x-ux)*(x-ux)+(y-uy)*(y-uy)+(z-uz)*(z-uz))/2e0)), 6)) AS int)) AS bin, sum(v) AS pop
+  FROM (SELECT *, cos(radians(lat))*cos(radians(lon)) AS ux, cos(radians(lat))*sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM {points}) p, cells GROUP BY 1, 2, 3),
+{name} AS (SELECT lat, lon, round(min_by(bin+(total/2e0-(upto-pop))/pop, bin), 6) AS half FROM (
+  SELECT *, sum(pop) OVER (PARTITION BY lat, lon ORDER BY bin) AS upto, sum(pop) OVER (PARTITION BY lat, lon) AS total FROM {name}_bins) b WHERE upto >= total/2e0 GROUP BY 1, 2)"""
+
+
+def _around(best: str, step: str, reach: int) -> str:
+    return f"""SELECT DISTINCT greatest(-89.9e0, least(89.9e0, round(lat+i*{step}, 6))) AS lat, round(((round(lon+j*{step}, 6)+540e0)%360e0)-180e0, 6) AS lon
+  FROM {best}, (SELECT unnest(range(-{reach}, {reach + 1})) AS i) a, (SELECT unnest(range(-{reach}, {reach + 1})) AS j) b"""
+
+
+_SMALLEST = f"""WITH cells AS (SELECT v, cos(radians(la))*cos(radians(lo)) AS x, cos(radians(la))*sin(radians(lo)) AS y, sin(radians(la)) AS z
+  FROM (SELECT v, 90e0-(r+0.5e0)*5e0 AS la, (c+0.5e0)*5e0-180e0 AS lo FROM {{cell}} WHERE v > 0) k),
+lattice AS (SELECT cast(i*2-59 AS double) AS lat, cast(j*2-179 AS double) AS lon FROM (SELECT unnest(range(70)) AS i) a, (SELECT unnest(range(180)) AS j) b),
+{_halves("one", "lattice")}, best_one AS (SELECT * FROM one ORDER BY half, lat, lon LIMIT 24),
+near_two AS ({_around("best_one", "0.25e0", 8)}), {_halves("two", "near_two")}, best_two AS (SELECT * FROM two ORDER BY half, lat, lon LIMIT 1),
+near_three AS ({_around("best_two", "0.05e0", 5)}), {_halves("three", "near_three")}, best AS (SELECT * FROM three ORDER BY half, lat, lon LIMIT 1),
+centre AS (SELECT round(lat, 2) AS lat, round(lon, 2) AS lon FROM best), {_halves("last", "centre")}
+SELECT l.lat, l.lon, cast(round(half) AS bigint) AS radius_km, cast(round(sum(pop*greatest(0e0, least(1e0, half-bin)))) AS bigint) AS population FROM last l, last_bins GROUP BY 1, 2, half"""
+
 ORACLES = {
     k: inline(v)
     for k, v in {
+        "smallest_half_circle": _SMALLEST,
         "nearest_city": _NEAR.format(k="point_id", d=hav("p.lat p.lon", "c.lat c.lon", "atan2"), o="population DESC, city_id", p="{site}", c="{city}"),
         "nearest_focal": _NEAR.format(k="point_id", d=hav("p.lat p.lon", "c.lat c.lon"), o="cast(city_id AS varchar)", p="{site}", c=_FOCAL_PLACE),
         "antipode_relation": _ENDS + " SELECT point_id, round(max(CASE WHEN far=1 THEN lat END), 6) AS far_lat, round(max(CASE WHEN far=1 THEN lon END), 6) AS far_lon, max(CASE WHEN far=0 THEN city_id END) AS here_city_id, max(CASE WHEN far=0 THEN distance_km END) AS here_distance_km, max(CASE WHEN far=1 THEN city_id END) AS far_city_id, max(CASE WHEN far=1 THEN distance_km END) AS far_distance_km FROM near GROUP BY point_id",
