@@ -114,20 +114,63 @@ def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return only(a, b, "a").unionByName(only(b, a, "b")).filter("rows > 0")
 
 
-def manifest_violations(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    """(rule, n) of tiles (level, r0, c0, rows, cols) that should cover a grid once at each level."""
+def manifest_violations(tiles: DataFrame, height: int, width: int, side: int = 64) -> DataFrame:
+    """(rule, n) of tiles (level, r0, c0, rows, cols) that should cover a grid once at each level.
+
+    Tiles of a level meet only those that touch the same block of side x side cells, and a pair counts in
+    the block where what they share begins.
+    """
     inside = (F.col("r0") >= 0) & (F.col("c0") >= 0) & (F.col("rows") > 0) & (F.col("cols") > 0) & (F.col("r0") + F.col("rows") <= height) & (F.col("c0") + F.col("cols") <= width)
     outside = tiles.filter(~inside).agg(F.count("*").alias("n")).select(F.lit("tile outside").alias("rule"), "n")
     box = ["r0", "c0", "rows", "cols"]
     right = tiles.filter(inside).groupBy("level", *box).agg(F.count("*").alias("n")).withColumn("id", F.struct(*box))
-    other = right.select("level", *(F.col(c).alias(f"o_{c}") for c in (*box, "n", "id")))
+    blocks = lambda at, size: F.explode(F.sequence(F.expr(f"{at} div {side}"), F.expr(f"({at} + {size} - 1) div {side}")))
+    dealt = right.withColumn("br", blocks("r0", "rows")).withColumn("bc", blocks("c0", "cols"))
+    other = dealt.select("level", "br", "bc", *(F.col(c).alias(f"o_{c}") for c in (*box, "n", "id")))
     clash = (F.col("id") < F.col("o_id")) & (F.col("r0") < F.col("o_r0") + F.col("o_rows")) & (F.col("o_r0") < F.col("r0") + F.col("rows")) & (F.col("c0") < F.col("o_c0") + F.col("o_cols")) & (F.col("o_c0") < F.col("c0") + F.col("cols"))
-    pairs = right.join(other, "level").filter(clash).select((F.col("n") * F.col("o_n")).alias("n")).unionByName(right.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")))
+    begins = (F.floor(F.greatest("r0", "o_r0") / side) == F.col("br")) & (F.floor(F.greatest("c0", "o_c0") / side) == F.col("bc"))
+    pairs = dealt.join(other, ["level", "br", "bc"]).filter(clash & begins).select((F.col("n") * F.col("o_n")).alias("n")).unionByName(right.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")))
     overlap = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("tiles overlap").alias("rule"), "n")
     area = right.groupBy("level").agg(F.sum(F.col("n") * F.col("rows") * F.col("cols")).alias("a")).filter(F.col("a") != height * width).agg(F.count("*").alias("n")).select(F.lit("level not covered").alias("rule"), "n")
     return outside.unionByName(overlap).unionByName(area).filter("n > 0")
 
 
+def reach_violations(cities: DataFrame) -> DataFrame:
+    """(rule, city_id) of published cities that break a rule of theirs, a row for each rule.
+
+    cities: city_id, owner_index, population, status, threshold, parent_id, merged_into, country_en,
+    country_zh, name_zh, match_type, reviewed. Owners are numbered from 1 without gaps. A city of status ok
+    has a threshold and a larger, reviewed parent, any other neither; one merged at its resolution names
+    another city, any other none; roots are reviewed; a match gives a Chinese name, and only a match does.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    size = cities.agg(F.count("*").alias("size"))
+    known = cities.groupBy("city_id").agg(F.max("population").alias("their_population"), F.min(F.coalesce("reviewed", F.lit(False))).alias("their_review"), F.count("*").alias("same_id"))
+    owners = cities.groupBy("owner_index").agg(F.count("*").alias("same_owner"))
+    told = cities.join(known.select("city_id", "same_id"), "city_id").join(owners, "owner_index").join(F.broadcast(size))
+    told = told.join(known.select(F.col("city_id").alias("parent_id"), "their_population", "their_review"), "parent_id", "left")
+    told = told.join(known.select(F.col("city_id").alias("merged_into"), F.lit(True).alias("target")), "merged_into", "left")
+    ok, merged = F.col("status") == "ok", F.col("status") == "merged_at_resolution"
+    rules = {
+        "identity": (F.col("same_id") > 1) | (F.col("same_owner") > 1) | ~F.col("owner_index").between(1, F.col("size")),
+        "country name": blank("country_en") | blank("country_zh"),
+        "name provenance": F.when(F.col("match_type") == "none", F.col("name_zh").isNotNull()).otherwise(blank("name_zh")),
+        "threshold state": F.when(ok, F.col("threshold").isNull() | F.col("parent_id").isNull()).otherwise(F.col("threshold").isNotNull() | F.col("parent_id").isNotNull()),
+        "merge state": merged != F.col("merged_into").isNotNull(),
+        "parent": F.col("parent_id").isNotNull() & ~F.coalesce((F.col("their_population") > F.col("population")) & F.col("their_review"), F.lit(False)),
+        "merge target": F.col("merged_into").isNotNull() & (F.col("target").isNull() | (F.col("merged_into") == F.col("city_id"))),
+        "unreviewed root": F.col("status").isin("root", "no_larger_reachable") & ~F.coalesce("reviewed", F.lit(False)),
+    }
+    broken = F.filter(F.array(*(F.when(F.coalesce(broke, F.lit(True)), F.lit(rule)) for rule, broke in rules.items())), lambda rule: rule.isNotNull())
+    return told.select(F.explode(broken).alias("rule"), "city_id")
+
+
+def unreviewed_owners(cells: DataFrame, cities: DataFrame) -> DataFrame:
+    """(level, owner, cells) of owners in published frames, cells (level, owner), that are no reviewed city (owner_index, reviewed); 0 and 65535 are nobody."""
+    owned = cells.filter(~F.col("owner").isin(0, 65535)).groupBy("level", "owner").agg(F.count("*").alias("cells"))
+    return owned.join(cities.filter("reviewed").select(F.col("owner_index").alias("owner")), "owner", "left_anti").select("level", "owner", "cells")
+
+
 def share_violations(units: DataFrame, values: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """(id, metric) of values (id, metric, value, share) whose unit is unknown, or whose share isn't value over the metric's total."""
     total = values.groupBy("metric").agg(F.sum("value").alias("total"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import EARTH_KM, haversine_km, normalize_lon, unit_vector, vector_to_lat, vector_to_lon
+from meridia.operators.graph import cut
 from meridia.operators.raster import Grid
 
 MERCATOR_LIMIT = 85.05
@@ -216,6 +217,37 @@ def label_anchor(vertices: DataFrame, grid: int = 13) -> DataFrame:
     return best.select("poly", F.round("b.y", 6).alias("lat"), F.round(normalize_lon("b.x"), 6).alias("lon"), F.round("b.clear", 6).alias("clearance_km"))
 
 
+def clearance_in(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """(key, clearance_km) of points (key, poly, lat, lon) that their own polygon holds: how far its border is."""
+    e = edges(vertices)
+    west = e.groupBy("poly").agg(F.min("lon").alias("west"))
+    turned = F.col("west") + F.pmod(F.col("lon") - F.col("west"), F.lit(360.0))
+    placed = points.join(west, "poly").select(key, "poly", F.col("lat").alias("y"), F.col("lon").alias("x"), turned.alias("t"))
+    met = placed.join(e.select("poly", "lat", "lon", "lat2", "lon2").alias("e"), "poly")
+    d = segment_distance_km(F.col("y"), F.col("x"), unit_vector(F.col("e.lat"), F.col("e.lon")), unit_vector(F.col("e.lat2"), F.col("e.lon2")))
+    judged = met.groupBy(key).agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n"), F.min(d).alias("clearance_km"))
+    return judged.filter("n % 2 = 1").select(key, "clearance_km")
+
+
+def two_level_anchors(fine: DataFrame, rough: DataFrame) -> DataFrame:
+    """(poly, lat, lon, clearance_km): the label anchor that suits a polygon at both levels of detail best.
+
+    Candidates are the anchors of either level. One must lie inside at each level that has the polygon; the
+    one whose lesser clearance is larger wins, then the south, then the west. Polygons without such a one
+    have no row, nor have those that only the rough level has.
+    """
+    candidates = None
+    for name, shapes in (("fine", fine), ("rough", rough)):
+        found = label_anchor(shapes).select(F.struct("poly", F.lit(name).alias("level")).alias("cand"), "poly", "lat", "lon")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    candidates = cut(candidates.join(fine.select("poly").distinct(), "poly"))
+    inside = clearance_in(candidates, fine, "cand").join(clearance_in(candidates, rough, "cand").withColumnRenamed("clearance_km", "rough_km"), "cand", "left")
+    both = candidates.join(inside, "cand").join(rough.select("poly", F.lit(True).alias("drawn")).distinct(), "poly", "left")
+    viable = both.filter(F.col("drawn").isNull() | F.col("rough_km").isNotNull()).withColumn("least", F.round(F.least("clearance_km", "rough_km"), 6)).filter("least > 0")
+    best = viable.groupBy("poly").agg(F.max_by(F.struct("lat", "lon", "least"), F.struct("least", -F.col("lat"), -F.col("lon"))).alias("b"))
+    return best.select("poly", "b.lat", "b.lon", F.col("b.least").alias("clearance_km"))
+
+
 def self_intersections(vertices: DataFrame) -> DataFrame:
     """(poly, crossings): pairs of a ring's edges that properly cross. Edges meet by whole degrees of latitude."""
     e = edges(vertices)

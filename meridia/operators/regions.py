@@ -116,7 +116,7 @@ def bridged_parts(parts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_parts(a: DataFrame, b: DataFrame, key: str, part: str) -> DataFrame:
-    """(key of a, key of b, shared): pairs that have parts in common, and which, in order. a, b: (key, part)."""
+    """(key of a, key of b, shared): pairs of a smaller key of a with one of b that have parts in common, and which, in order. a, b: (key, part)."""
     left, right = a.select(F.col(key).alias("a"), part).distinct(), b.select(F.col(key).alias("b"), part).distinct()
     return left.join(right, part).filter("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_list(part)).alias("shared"))
 

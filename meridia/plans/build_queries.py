@@ -62,7 +62,8 @@ def patch_countries(spark, d):
 def shared_parts(spark, d):
     """Pairs of customers' nations with suppliers' nations, by the balances' whole thousands that both have."""
     parts = frame(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.floor(F.col("c_acctbal") / 1000).alias("part"))
-    return regions.shared_parts(parts, parts, "key", "part").select("a", "b", F.array_join(F.transform("shared", lambda x: x.cast("string")), ",").alias("shared"))
+    others = frame(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.floor(F.col("s_acctbal") / 1000).alias("part"))
+    return regions.shared_parts(parts, others, "key", "part").select("a", "b", F.array_join(F.transform("shared", lambda x: x.cast("string")), ",").alias("shared"))
 
 
 def part_keys(spark, d):
@@ -213,6 +214,17 @@ def manifest_violations(spark, d):
     return assets.manifest_violations(kept.drop("tile"), HEIGHT, WIDTH)
 
 
+def reach_violations(spark, d):
+    """Published cities that break a rule of theirs."""
+    return assets.reach_violations(frame(spark, d, "reached"))
+
+
+def unreviewed_owners(spark, d):
+    """Owners in the frames of two levels that are no reviewed city."""
+    cells = frame(spark, d, "cell").select(F.explode(F.array(F.lit(0), F.lit(2))).alias("level"), (F.col("r") * 31 + F.col("c") * 17 + F.col("v") % 5).alias("owner"))
+    return assets.unreviewed_owners(cells, frame(spark, d, "reached"))
+
+
 def share_violations(spark, d):
     v = frame(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("metric")).agg(F.count("*").cast("double").alias("value"))
     total = v.groupBy("metric").agg(F.sum("value").alias("t"))
@@ -330,7 +342,7 @@ def metric_maps(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     raster_components, raster_thickness, thickest_points, disputed_pairs, routing_cells, patch_countries, border_distances, country_padding, bridged_parts, label_clearance, shared_parts, part_keys, policy_sizes, regional_cities, reviewed_cities, exact_sums, median_balances,
-    decoded_bytes, name_review, top_records, required_ids, build_input_cities, build_input_countries, reviewed_places, missing_names, build_report, same_tables, manifest_violations, share_violations, eligible_cities,
+    decoded_bytes, name_review, top_records, required_ids, build_input_cities, build_input_countries, reviewed_places, missing_names, build_report, same_tables, manifest_violations, reach_violations, unreviewed_owners, share_violations, eligible_cities,
     tsv_cities, csv_comments, json_index, png_counts, wkb_rings, legend_lines, published_set, cached_result, mosaic_tiles, dictionary_strings, metric_maps,
 )}
 
@@ -391,7 +403,7 @@ r{k} AS (SELECT {a}e0 AS alpha, row_number() OVER (ORDER BY distance_km DESC, fo
         "country_padding": _PADDED + " SELECT v, count(*) AS cells, count(*) FILTER (WHERE core) AS core_cells, round(sum(area) FILTER (WHERE core), 9) AS core_area, round(1-sum(area) FILTER (WHERE core)/sum(area), 9) AS padding_share FROM taken GROUP BY 1",
         "bridged_parts": _BRIDGES + " SELECT a, b, cast(sum(cells) AS bigint) AS cells, cast(sum(edges) AS bigint) AS edges FROM pairs GROUP BY 1, 2",
         "label_clearance": shape_queries._CLEARANCE,
-        "shared_parts": "WITH p AS (SELECT DISTINCT c_nationkey AS key, cast(floor(c_acctbal/1000e0) AS bigint) AS part FROM {customer}) SELECT a.key AS a, b.key AS b, string_agg(cast(part AS varchar), ',' ORDER BY part) AS shared FROM p a JOIN p b USING (part) WHERE a.key < b.key GROUP BY 1, 2",
+        "shared_parts": "WITH p AS (SELECT DISTINCT c_nationkey AS key, cast(floor(c_acctbal/1000e0) AS bigint) AS part FROM {customer}), q AS (SELECT DISTINCT s_nationkey AS key, cast(floor(s_acctbal/1000e0) AS bigint) AS part FROM {supplier}) SELECT a.key AS a, b.key AS b, string_agg(cast(part AS varchar), ',' ORDER BY part) AS shared FROM p a JOIN q b USING (part) WHERE a.key < b.key GROUP BY 1, 2",
         "part_keys": "SELECT 'n' || s_nationkey || '/' || s_suppkey AS key, cast(row_number() OVER (PARTITION BY s_suppkey%3 ORDER BY 'n' || s_nationkey, s_suppkey) AS int) AS position FROM {supplier}",
         "policy_sizes": _PLACES + " SELECT policy, count(*) AS cities, cast(sum(population) AS bigint) AS population FROM fit, (VALUES ('A', 100000), ('B', 250000), ('C', 500000), ('D', 250000)) AS p(policy, least) WHERE place AND (seat OR population >= least OR (policy = 'D' AND real_zh)) GROUP BY 1",
         "regional_cities": "SELECT row_number() OVER (ORDER BY city_id) AS owner, city_id FROM {city} WHERE population >= 5000000 AND lat BETWEEN -40 AND 60 AND lon BETWEEN -30 AND 60",
@@ -408,6 +420,18 @@ r{k} AS (SELECT {a}e0 AS alpha, row_number() OVER (ORDER BY distance_km DESC, fo
         "missing_names": required + " SELECT city_id FROM required WHERE city_id%13 = 0 OR city_id%17 = 0",
         "build_report": report + " SELECT * FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE rank <= 20",
         "same_tables": "SELECT side, n AS rows FROM (SELECT count(*) AS n FROM {orders} WHERE o_orderkey%10 = 0 AND o_orderstatus <> 'X'), (VALUES ('a'), ('b')) AS s(side) WHERE n > 0",
+        "reach_violations": """WITH sizes AS (SELECT count(*) AS size FROM {reached}),
+told AS (SELECT k.*, (SELECT count(*) FROM {reached} o WHERE o.owner_index = k.owner_index) AS same, p.population AS theirs, p.reviewed AS seen, m.city_id AS target, size
+  FROM {reached} k CROSS JOIN sizes LEFT JOIN {reached} p ON p.city_id = k.parent_id LEFT JOIN {reached} m ON m.city_id = k.merged_into)
+SELECT 'identity' AS rule, city_id FROM told WHERE same > 1 OR owner_index < 1 OR owner_index > size UNION ALL
+SELECT 'country name', city_id FROM told WHERE coalesce(trim(country_en), '') = '' OR coalesce(trim(country_zh), '') = '' UNION ALL
+SELECT 'name provenance', city_id FROM told WHERE (match_type = 'none' AND name_zh IS NOT NULL) OR (match_type <> 'none' AND coalesce(trim(name_zh), '') = '') UNION ALL
+SELECT 'threshold state', city_id FROM told WHERE (status = 'ok' AND (threshold IS NULL OR parent_id IS NULL)) OR (status <> 'ok' AND (threshold IS NOT NULL OR parent_id IS NOT NULL)) UNION ALL
+SELECT 'merge state', city_id FROM told WHERE (status = 'merged_at_resolution') <> (merged_into IS NOT NULL) UNION ALL
+SELECT 'parent', city_id FROM told WHERE parent_id IS NOT NULL AND NOT coalesce(theirs > population AND seen, false) UNION ALL
+SELECT 'merge target', city_id FROM told WHERE merged_into IS NOT NULL AND (target IS NULL OR merged_into = city_id) UNION ALL
+SELECT 'unreviewed root', city_id FROM told WHERE status IN ('root', 'no_larger_reachable') AND NOT reviewed""",
+        "unreviewed_owners": "SELECT level, owner, count(*) AS cells FROM (SELECT unnest([0, 2]) AS level, cast(r*31+c*17+v%5 AS bigint) AS owner FROM {cell}) f WHERE owner NOT IN (0, 65535) AND owner NOT IN (SELECT owner_index FROM {reached} WHERE reviewed) GROUP BY 1, 2",
         "manifest_violations": "WITH t AS (SELECT r_regionkey AS level, i*8+j AS tile, i*9 AS r0, j*9 AS c0 FROM {region}, (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(8)) AS j) b), k AS (SELECT level, CASE WHEN level = 3 AND tile = 9 THEN 0 ELSE r0 END AS r0, CASE WHEN level = 2 AND tile = 5 THEN 70 ELSE c0 END AS c0, tile FROM t WHERE NOT (level = 1 AND tile = 3)), good AS (SELECT * FROM k WHERE c0+9 <= 72) SELECT * FROM (SELECT 'tile outside' AS rule, count(*) AS n FROM k WHERE c0+9 > 72 UNION ALL SELECT 'tiles overlap', count(*) FROM good x JOIN good y ON x.level = y.level AND x.tile < y.tile AND abs(x.r0-y.r0) < 9 AND abs(x.c0-y.c0) < 9 UNION ALL SELECT 'level not covered', count(*) FROM (SELECT level FROM good GROUP BY 1 HAVING count(*)*81 <> 2592)) WHERE n > 0",
         "share_violations": "SELECT DISTINCT c_nationkey AS id, c_mktsegment AS metric FROM {customer} WHERE c_nationkey IN (4, 7)",
         "eligible_cities": _PLACES + " SELECT city_id, feature_code, population FROM fit WHERE place AND (seat OR population >= 100000)",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridia.operators import mapped, mapping
-from meridia.plans.shape_queries import EDGES
+from meridia.functions import colour
+from meridia.operators import mapped, mapping, polygon, zonal
+from meridia.plans.shape_queries import EDGES, LABELS
 from meridia.plans.views import HEIGHT, WIDTH, frame, inline
 
 FIELD_HEIGHT, FIELD_WIDTH = 60, 120
@@ -137,7 +138,34 @@ def round_trip(spark, d):
     return mapping.round_trip_summary(mapping.round_trip_errors(spark, *_shifted(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (distance_field, label_samples, patch_labels, mesh_coverage, mesh_diagnostics, mapped_areas, coverage_densities, mesh_densities, displacements, map_to_globe, globe_to_map, there_and_back, round_trip)}
+# ---- colours and anchors
+
+
+def neighbour_colours(spark, d):
+    """How far apart the colours of labels that share a border are, in contrast and to four kinds of sight."""
+    paint = frame(spark, d, "paint").select("lab", colour.rgb(F.col("red"), F.col("green"), F.col("blue")).alias("rgb"))
+    paint = paint.withColumn("light", colour.light(F.col("rgb")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), (colour.seen_light(F.col("light"), k) if k != "usual" else F.col("light")).alias("light")) for k in ("usual", *colour.SIMULATIONS)))
+    seen = colour.with_lab(paint.select("lab", "rgb", F.explode(kinds).alias("seen")).select("lab", "rgb", "seen.kind", "seen.light"), "light", "at")
+    side = lambda n: seen.select(F.col("lab").alias(f"l{n}"), "kind", F.col("rgb").alias(f"rgb_{n}"), F.col("at").alias(f"at_{n}"))
+    pairs = zonal.border_lengths(frame(spark, d, "label"), WIDTH).select("la", "lb").join(side("a"), "la").join(side("b"), ["lb", "kind"])
+    apart = colour.with_difference(pairs, "at_a", "at_b", "delta")
+    return apart.select("la", "lb", "kind", F.round("delta", 6).alias("delta"), F.round(colour.contrast(F.col("rgb_a"), F.col("rgb_b")), 6).alias("contrast"))
+
+
+def least_colours(spark, d):
+    """For each kind of sight the bordering labels whose colours are nearest."""
+    pairs = neighbour_colours(spark, d)
+    best = pairs.groupBy("kind").agg(F.min_by(F.struct("la", "lb", "delta"), F.struct("delta", "la", "lb")).alias("p"))
+    return best.select("kind", "p.*")
+
+
+def two_level_anchors(spark, d):
+    """Label anchors that suit both the polygons and their outlines of less detail."""
+    return polygon.two_level_anchors(frame(spark, d, "ring").drop("country"), frame(spark, d, "rough").drop("country"))
+
+
+QUERIES = {f.__name__: f for f in (distance_field, label_samples, patch_labels, mesh_coverage, mesh_diagnostics, mapped_areas, coverage_densities, mesh_densities, displacements, map_to_globe, globe_to_map, there_and_back, round_trip, neighbour_colours, least_colours, two_level_anchors)}
 
 # All pairs of cells and edges, with no blocks.
 _FIELD = f"""WITH {EDGES},
@@ -209,6 +237,57 @@ globe AS (SELECT *, degrees(asin(greatest(-1e0, least(1e0, 2*greatest(0e0, least
 arcs AS (SELECT *, CASE WHEN 0.7e0*sin(radians(lat))+0.3e0*sin(radians(lat2)) >= 0 THEN 1e0 ELSE -1e0 END AS side FROM globe),
 away AS (SELECT *, 2*asin(least(1e0, sqrt(0.7e0*pow(sin((side*pi()/2-radians(lat))/2), 2)+0.3e0*pow(sin((side*pi()/2-radians(lat2))/2), 2)))) AS z FROM arcs)"""
 
+_LIN = "CASE WHEN {0} <= 0.04045e0 THEN {0}/12.92e0 ELSE pow(({0}+0.055e0)/1.055e0, 2.4e0) END"
+_CUBE = "CASE WHEN {0} > 0.008856e0 THEN cbrt({0}) ELSE 7.787e0*{0}+16/116e0 END"
+_KINDS = " UNION ALL ".join(
+    f"SELECT lab, lum, '{k}' AS kind, " + ", ".join("greatest(0e0, least(1e0, " + "+".join(f"({w}e0)*{c}" for w, c in zip(row, "rgb")) + f")) AS {n}" for n, row in zip("rgb", m)) + " FROM light" for k, m in colour.SIMULATIONS.items()
+)
+# simulated channels are encoded and made linear again
+_ENC = "CASE WHEN {0} <= 0.0031308e0 THEN {0}*12.92e0 ELSE 1.055e0*pow({0}, 1/2.4e0)-0.055e0 END"
+_COLOURS = f"""WITH raw AS (SELECT lab, red/255e0 AS r, green/255e0 AS g, blue/255e0 AS b FROM {{paint}}),
+light AS (SELECT *, 0.2126e0*r+0.7152e0*g+0.0722e0*b AS lum FROM (SELECT lab, {', '.join(f'{_LIN.format(c)} AS {c}' for c in 'rgb')} FROM raw) l),
+sim AS (SELECT lab, lum, kind, {', '.join(f'{_LIN.format(c)} AS {c}' for c in 'rgb')} FROM (SELECT lab, lum, kind, {', '.join(f'{_ENC.format(c)} AS {c}' for c in 'rgb')} FROM ({_KINDS}) s) e),
+every_ AS (SELECT lab, lum, 'usual' AS kind, r, g, b FROM light UNION ALL SELECT * FROM sim),
+xyz AS (SELECT *, (0.4124e0*r+0.3576e0*g+0.1805e0*b)/0.95047e0 AS x, 0.2126e0*r+0.7152e0*g+0.0722e0*b AS y, (0.0193e0*r+0.1192e0*g+0.9505e0*b)/1.08883e0 AS z FROM every_),
+f AS (SELECT *, {_CUBE.format('x')} AS fx, {_CUBE.format('y')} AS fy, {_CUBE.format('z')} AS fz FROM xyz),
+labs AS (SELECT lab, kind, lum, 116*fy-16 AS l, 500*(fx-fy) AS a, 200*(fy-fz) AS bb FROM f),
+sides AS (SELECT DISTINCT least(a.lab, b.lab) AS la, greatest(a.lab, b.lab) AS lb FROM {{label}} a JOIN {{label}} b ON (b.r = a.r AND b.c = (a.c+1)%72 OR b.r = a.r+1 AND b.c = a.c) AND a.lab <> b.lab),
+p0 AS (SELECT la, lb, x.kind, x.l AS l1, x.a AS a1, x.bb AS b1, y.l AS l2, y.a AS a2, y.bb AS b2, (greatest(x.lum, y.lum)+0.05e0)/(least(x.lum, y.lum)+0.05e0) AS contrast
+  FROM sides JOIN labs x ON x.lab = la JOIN labs y ON y.lab = lb AND y.kind = x.kind),
+p1 AS (SELECT *, pow((sqrt(a1*a1+b1*b1)+sqrt(a2*a2+b2*b2))/2e0, 7) AS c7 FROM p0),
+p2 AS (SELECT *, a1*(1+0.5e0*(1-sqrt(c7/(c7+pow(25e0, 7))))) AS u1, a2*(1+0.5e0*(1-sqrt(c7/(c7+pow(25e0, 7))))) AS u2 FROM p1),
+p3 AS (SELECT *, sqrt(u1*u1+b1*b1) AS c1, sqrt(u2*u2+b2*b2) AS c2, (degrees(atan2(b1, u1))+360e0)%360e0 AS h1, (degrees(atan2(b2, u2))+360e0)%360e0 AS h2 FROM p2),
+p4 AS (SELECT *, CASE WHEN c1*c2 = 0 THEN 0e0 WHEN h2-h1 > 180 THEN h2-h1-360 WHEN h2-h1 < -180 THEN h2-h1+360 ELSE h2-h1 END AS dh,
+  CASE WHEN c1*c2 = 0 THEN h1+h2 WHEN abs(h1-h2) <= 180 THEN (h1+h2)/2 WHEN h1+h2 < 360 THEN (h1+h2+360)/2 ELSE (h1+h2-360)/2 END AS h, (l1+l2)/2-50 AS lm, (c1+c2)/2 AS cm FROM p3),
+p5 AS (SELECT *, 1-0.17e0*cos(radians(h-30))+0.24e0*cos(radians(2*h))+0.32e0*cos(radians(3*h+6))-0.2e0*cos(radians(4*h-63)) AS t FROM p4),
+p6 AS (SELECT *, (l2-l1)/(1+0.015e0*lm*lm/sqrt(20+lm*lm)) AS el, (c2-c1)/(1+0.045e0*cm) AS ec, 2*sqrt(c1*c2)*sin(radians(dh/2))/(1+0.015e0*cm*t) AS eh,
+  -2*sqrt(pow(cm, 7)/(pow(cm, 7)+pow(25e0, 7)))*sin(radians(60*exp(-pow((h-275)/25, 2)))) AS rt FROM p5),
+apart AS (SELECT la, lb, kind, round(sqrt(greatest(0e0, el*el+ec*ec+eh*eh+rt*ec*eh)), 6) AS delta, round(contrast, 6) AS contrast FROM p6)"""
+
+
+def _inside(name: str, edges: str) -> str:
+    """Candidates that their polygon in ``edges`` holds, with their clearance there."""
+    unit = lambda y, x, n: f"cos(radians({y}))*cos(radians({x})) AS {n}x, cos(radians({y}))*sin(radians({x})) AS {n}y, sin(radians({y})) AS {n}z"
+    dot = lambda a, b: f"({a}x*{b}x+{a}y*{b}y+{a}z*{b}z)"
+    acos = lambda v: f"acos(least(1e0, greatest(-1e0, {v})))"
+    return f"""{name}_met AS (
+  SELECT c.poly, level, CASE WHEN (e.lat <= c.lat) <> (e.lat2 <= c.lat) AND e.lon+(c.lat-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > w.west+(((c.lon-w.west)%360e0)+360e0)%360e0 THEN 1 ELSE 0 END AS hit,
+         {unit('c.lat', 'c.lon', 'p')}, {unit('e.lat', 'e.lon', 'a')}, {unit('e.lat2', 'e.lon2', 'g')}
+  FROM cands c JOIN {edges} e ON e.poly = c.poly JOIN (SELECT poly, min(lon) AS west FROM {edges} GROUP BY 1) w ON w.poly = c.poly),
+{name}_n AS (SELECT *, ay*gz-az*gy AS nx, az*gx-ax*gz AS ny, ax*gy-ay*gx AS nz FROM {name}_met),
+{name}_s AS (SELECT *, sqrt({dot('n', 'n')}) AS size, {dot('p', 'n')}/nullif(sqrt({dot('n', 'n')}), 0) AS s FROM {name}_n),
+{name}_f AS (SELECT *, px-s*nx/size AS fx, py-s*ny/size AS fy, pz-s*nz/size AS fz, least({acos(dot('p', 'a'))}, {acos(dot('p', 'g'))}) AS ends FROM {name}_s),
+{name} AS (SELECT poly, level, min(6371.0088e0*CASE WHEN {dot('f', 'a')} >= {dot('a', 'g')} AND {dot('f', 'g')} >= {dot('a', 'g')} AND {dot('f', 'a')}+{dot('f', 'g')} > 0 AND size > 1e-12
+  THEN least(abs(asin(least(1e0, greatest(-1e0, s)))), ends) ELSE ends END) AS clear FROM {name}_f GROUP BY 1, 2 HAVING sum(hit)%2 = 1)"""
+
+
+_ROUGH_EDGES = EDGES.replace("{ring}", "{rough}").replace("steps", "rough_steps").replace("laid", "rough_laid").replace("edges AS", "rough_edges AS")
+_ANCHORS = f"""WITH {EDGES}, {_ROUGH_EDGES}, first AS ({LABELS}), second AS ({LABELS.replace('{ring}', '{rough}')}),
+cands AS (SELECT poly, 0 AS level, lat, lon FROM first UNION ALL SELECT poly, 1, lat, lon FROM second WHERE poly IN (SELECT poly FROM {{ring}})),
+{_inside('fine', 'edges')}, {_inside('coarse', 'rough_edges')},
+viable AS (SELECT c.*, round(least(f.clear, coalesce(k.clear, f.clear)), 6) AS clearance_km FROM cands c JOIN fine f ON f.poly = c.poly AND f.level = c.level
+  LEFT JOIN coarse k ON k.poly = c.poly AND k.level = c.level WHERE k.clear IS NOT NULL OR c.poly NOT IN (SELECT poly FROM {{rough}}))"""
+
 ORACLES = {
     name: inline(sql)
     for name, sql in {
@@ -238,6 +317,9 @@ SELECT won.id AS city_id, patch, round(t*t*(3-2*t), 6) AS weight, lab, pad, roun
         "map_to_globe": _SHIFTED
         + " SELECT city_id, round(degrees(side*pi()/2-side*z), 6) AS part_lat, round(((lon+dlon*0.3e0+900e0)%360e0)-180e0, 6) AS part_lon, round(lat2, 6) AS lat, round(((lon+dlon+900e0)%360e0)-180e0, 6) AS lon FROM away",
         "there_and_back": "SELECT city_id, round(lat, 4) AS lat, round(lon, 4) AS lon FROM {city}",
+        "neighbour_colours": _COLOURS + " SELECT la, lb, kind, delta, contrast FROM apart",
+        "least_colours": _COLOURS + " SELECT kind, la, lb, delta FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY delta, la, lb) AS n FROM apart) a WHERE n = 1",
+        "two_level_anchors": _ANCHORS + " SELECT poly, lat, lon, clearance_km FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY clearance_km DESC, lat, lon) AS n FROM viable) v WHERE n = 1 AND clearance_km > 0",
         "mesh_coverage": _COVERAGE + " SELECT triangle, cast(lab AS int) AS lab, round(weight, 12) AS weight FROM coverage",
         "mesh_diagnostics": _COVERAGE + " SELECT count(*) AS entries, count(DISTINCT lab) AS labels, round(sum(weight), 9) AS total, true AS sound FROM coverage",
         "mapped_areas": _COVERAGE + " SELECT cast(lab AS int) AS lab, round(area, 9) AS area, round(mapped, 9) AS mapped FROM areas",

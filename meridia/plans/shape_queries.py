@@ -159,7 +159,7 @@ def name_matches(spark, d):
 
 
 def _records(spark, d):
-    return frame(spark, d, "mark").filter("country_id % 6 <> 0").select("country_id", "name_group", F.when(F.col("size") < 40, F.col("size")).alias("rank"), F.when(F.col("size") % 3 == 0, F.col("form")).alias("local"), F.col("name_group").alias("latin"), F.when(F.col("size") % 2 == 0, F.col("size") * 10).alias("count"), F.lit(None).cast("double").alias("share"), "ord")
+    return frame(spark, d, "mark").select("country_id", "name_group", F.when(F.col("size") < 40, F.col("size")).alias("rank"), F.when(F.col("size") % 3 == 0, F.col("form")).alias("local"), F.col("name_group").alias("latin"), F.when(F.col("size") % 2 == 0, F.col("size") * 10).alias("count"), F.lit(None).cast("double").alias("share"), "ord")
 
 
 def surname_groups(spark, d):
@@ -173,7 +173,7 @@ def surname_rank_one(spark, d):
 def _tagged(spark, d):
     r = _records(spark, d).select("country_id", "name_group", "rank")
     part = lambda k: r.filter(F.col("country_id") % 4 == k)
-    return names.with_precedence({"base": part(1), "supplement": part(1).limit(0).unionByName(part(2)), "list": r.filter("country_id % 3 = 0"), "manual": r.filter("country_id % 5 = 0")})
+    return names.with_precedence({"base": part(1), "supplement": part(2), "list": r.filter("country_id % 3 = 0"), "manual": r.filter("country_id % 5 = 0")})
 
 
 def source_precedence(spark, d):
@@ -187,7 +187,7 @@ def surname_coverage(spark, d):
 
 def surname_units(spark, d):
     units = frame(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("country_id"), F.col("n_regionkey").alias("iso"), F.col("n_nationkey").alias("ord"))
-    return names.sovereign_units(units, _records(spark, d).filter("country_id > 7"))
+    return names.sovereign_units(units, _records(spark, d))
 
 
 def display_forms(spark, d):
@@ -261,7 +261,7 @@ laid AS (SELECT country, poly, ring, ix, lat, lon AS home, lon+360e0*(sum(turn)
 edges AS (SELECT * FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM laid WINDOW w AS (PARTITION BY poly, ring ORDER BY ix)) e WHERE lat2 IS NOT NULL)"""
 _AREAS = f"WITH {EDGES}, areas AS (SELECT poly, ring, least(abs(x), 4e0*pi()-abs(x))*6371.0088e0*6371.0088e0 AS area_km2 FROM (SELECT poly, ring, sum(2e0*atan2(tan(radians(lon2-lon)/2e0)*(tan(radians(lat)/2e0)+tan(radians(lat2)/2e0)), 1+tan(radians(lat)/2e0)*tan(radians(lat2)/2e0))) AS x FROM edges GROUP BY 1, 2)), polys AS (SELECT poly, round(sum(CASE WHEN ring=0 THEN area_km2 ELSE -area_km2 END), 6) AS area_km2 FROM areas GROUP BY 1)"
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-_REC = "recs AS (SELECT country_id, name_group, CASE WHEN size < 40 THEN size END AS rank, CASE WHEN size%3=0 THEN form END AS local, name_group AS latin, CASE WHEN size%2=0 THEN size*10 END AS cnt, ord FROM {mark} WHERE country_id%6 <> 0)"
+_REC = "recs AS (SELECT country_id, name_group, CASE WHEN size < 40 THEN size END AS rank, CASE WHEN size%3=0 THEN form END AS local, name_group AS latin, CASE WHEN size%2=0 THEN size*10 END AS cnt, ord FROM {mark})"
 _TAG = f"WITH {_REC}, tagged AS (SELECT country_id, name_group, rank, 'base' AS source, 0 AS p FROM recs WHERE country_id%4=1 UNION ALL SELECT country_id, name_group, rank, 'supplement', 0 FROM recs WHERE country_id%4=2 UNION ALL SELECT country_id, name_group, rank, 'list', 2 FROM recs WHERE country_id%3=0 UNION ALL SELECT country_id, name_group, rank, 'manual', 3 FROM recs WHERE country_id%5=0), best AS (SELECT * FROM (SELECT *, min(p) OVER (PARTITION BY country_id) AS m FROM tagged) WHERE p = m)"
 
 _TURNED = """turned AS (SELECT poly, ring, ix, degrees(asin(least(1e0, greatest(-1e0, x*sin(q)+z*cos(q))))) AS lat, ((degrees(atan2(y, x*cos(q)-z*sin(q)))-60e0+540e0)%360e0)-180e0 AS lon
@@ -277,7 +277,7 @@ v AS (SELECT *, wa*cos(radians(lat))*cos(radians(lon))+wb*cos(radians(lat2))*cos
 SELECT poly, ring, ix, cast(k AS int) AS k, round(CASE WHEN k=0 THEN lat ELSE degrees(atan2(z, sqrt(x*x+y*y))) END, 6) AS lat, round(CASE WHEN k=0 THEN home ELSE degrees(atan2(y, x)) END, 6) AS lon FROM v"""
 _DOT = "({0}x*{1}x+{0}y*{1}y+{0}z*{1}z)"
 _ACOS = "acos(least(1e0, greatest(-1e0, {0})))"
-_LABELS = f"""WITH {EDGES}, box AS (SELECT poly, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, avg(lat) AS mlat, avg(lon) AS mlon FROM edges GROUP BY 1),
+LABELS = f"""WITH {EDGES}, box AS (SELECT poly, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, avg(lat) AS mlat, avg(lon) AS mlon FROM edges GROUP BY 1),
 cands AS (SELECT poly, 0 AS cand, mlat AS y, mlon AS x FROM box UNION ALL SELECT poly, 1+i*13+j, s+(i+0.5e0)/13*(n-s), w+(j+0.5e0)/13*(e-w) FROM box, (SELECT unnest(range(13)) AS i) a, (SELECT unnest(range(13)) AS j) b),
 met AS (SELECT c.poly, cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > x THEN 1 ELSE 0 END AS hit,
   cos(radians(y))*cos(radians(x)) AS px, cos(radians(y))*sin(radians(x)) AS py, sin(radians(y)) AS pz, cos(radians(lat))*cos(radians(lon)) AS ax, cos(radians(lat))*sin(radians(lon)) AS ay, sin(radians(lat)) AS az,
@@ -289,9 +289,9 @@ judged AS (SELECT poly, cand, y, x, sum(hit) AS n, min(6371.0088e0*CASE WHEN {_D
   THEN least(abs(asin(least(1e0, greatest(-1e0, s)))), ends) ELSE ends END) AS clear FROM feet GROUP BY 1, 2, 3, 4 HAVING sum(hit)%2 = 1)
 SELECT poly, round(y, 6) AS lat, round(((x+900e0)%360e0)-180e0, 6) AS lon, round(clear, 6) AS clearance_km FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY round(clear, 6) DESC, cand) AS k FROM judged) WHERE k = 1"""
 _CLEARANCE = (
-    _LABELS.split("box AS")[0] + "west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), turned AS (SELECT point_id, lat AS y, lon AS x, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS t FROM {site}, west w), "
-    + "met AS (SELECT c.poly, point_id AS cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > t THEN 1 ELSE 0 END AS hit," + _LABELS.split("THEN 1 ELSE 0 END AS hit,")[1].split("FROM cands c JOIN")[0]
-    + "FROM turned c JOIN" + _LABELS.split("FROM cands c JOIN")[1].split("SELECT poly, round(y, 6)")[0] + " SELECT point_id, round(coalesce(max(clear), 0e0), 6) AS clearance_km FROM {site} LEFT JOIN judged ON cand = point_id GROUP BY 1"
+    LABELS.split("box AS")[0] + "west AS (SELECT poly, min(least(lon, lon2)) AS west FROM edges GROUP BY 1), turned AS (SELECT point_id, lat AS y, lon AS x, w.poly, west + (((lon-west)%360e0)+360e0)%360e0 AS t FROM {site}, west w), "
+    + "met AS (SELECT c.poly, point_id AS cand, y, x, CASE WHEN (lat <= y) <> (lat2 <= y) AND lon+(y-lat)/nullif(lat2-lat, 0)*(lon2-lon) > t THEN 1 ELSE 0 END AS hit," + LABELS.split("THEN 1 ELSE 0 END AS hit,")[1].split("FROM cands c JOIN")[0]
+    + "FROM turned c JOIN" + LABELS.split("FROM cands c JOIN")[1].split("SELECT poly, round(y, 6)")[0] + " SELECT point_id, round(coalesce(max(clear), 0e0), 6) AS clearance_km FROM {site} LEFT JOIN judged ON cand = point_id GROUP BY 1"
 )
 _SIDE = "(({0}.lon2-{0}.lon)*({1}-{0}.lat)-({0}.lat2-{0}.lat)*({2}-{0}.lon))"
 _CROSS = f"""WITH {EDGES}, found AS (SELECT a.poly, count(*) AS n FROM edges a JOIN edges b ON a.poly = b.poly AND a.ring = b.ring AND a.ix < b.ix
@@ -336,7 +336,7 @@ ORACLES = {
         "polygon_rotated_areas": f"WITH {_TURNED}, " + _AREAS.replace("{ring}", "turned").removeprefix("WITH ") + " SELECT poly, round(area_km2, 2) AS area_km2 FROM polys",
         "polygon_anchors": _ANCHORS,
         "polygon_densified": _DENSE,
-        "polygon_label_anchors": _LABELS,
+        "polygon_label_anchors": LABELS,
         "polygon_crossings": _CROSS,
         "circle_outline": _OUTLINE,
         "border_route": _ROUTE,
@@ -354,7 +354,7 @@ ORACLES = {
         "surname_rank_one": f"WITH {_REC} SELECT country_id, name_group, rank, ord FROM recs WHERE rank = 1 UNION ALL SELECT country_id, name_group, rank, ord FROM recs WHERE rank IS NULL AND country_id NOT IN (SELECT country_id FROM recs WHERE rank = 1)",
         "source_precedence": _TAG + " SELECT country_id, source, count(*) AS records FROM best GROUP BY 1, 2",
         "surname_coverage": _TAG + " SELECT cast(n_nationkey AS bigint) AS country_id, CASE WHEN one IS NULL THEN 'no-source' WHEN one = 1 THEN 'rank-one' WHEN man THEN 'manual' ELSE 'source-listed' END AS status FROM {nation} LEFT JOIN (SELECT country_id, max(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS one, bool_and(source = 'manual') AS man FROM best GROUP BY 1) b ON b.country_id = n_nationkey",
-        "surname_units": f"WITH {_REC} SELECT n_regionkey AS iso, coalesce(min(CASE WHEN h.country_id IS NOT NULL THEN cast(n_nationkey AS bigint) END), max(cast(n_nationkey AS bigint))) AS country_id FROM {{nation}} LEFT JOIN (SELECT DISTINCT country_id FROM recs WHERE country_id > 7) h ON h.country_id = n_nationkey GROUP BY 1",
+        "surname_units": f"WITH {_REC} SELECT n_regionkey AS iso, coalesce(min(CASE WHEN h.country_id IS NOT NULL THEN cast(n_nationkey AS bigint) END), max(cast(n_nationkey AS bigint))) AS country_id FROM {{nation}} LEFT JOIN (SELECT DISTINCT country_id FROM recs) h ON h.country_id = n_nationkey GROUP BY 1",
         "display_forms": f"WITH {_REC} SELECT ord, coalesce(local, latin) AS form, local IS NULL AS fell_back, 'Latin' AS script FROM recs",
         "error_percentiles": "SELECT count(*) AS n, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY e), 9) AS p50, round(percentile_disc(0.9) WITHIN GROUP (ORDER BY e), 9) AS p90, round(max(e), 9) AS worst FROM (SELECT abs((o_totalprice+o_custkey)/o_totalprice-1) AS e FROM {orders})",
         "largest_errors": "SELECT id, error FROM (SELECT o_orderkey AS id, round((o_totalprice+o_custkey)/o_totalprice-1, 9) AS error FROM {orders}) ORDER BY abs(error) DESC, id LIMIT 10",

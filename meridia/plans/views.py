@@ -63,6 +63,22 @@ VIEWS: dict[str, str] = {
     # the ground of each city, a crooked rectangle; the larger the city, the larger
     "outline": """SELECT 0 AS country, city_id AS poly, 0 AS ring, ix, lat+dy*size+0.00317e0 AS lat, (lon+dx*size*1.3e0+540.00713e0)%360e0-180e0 AS lon
       FROM (SELECT city_id, lat, lon, 0.4e0+population/2500000e0 AS size FROM {city}) g CROSS JOIN {corner} k WHERE k.ring = 0""",
+    # the same polygons with less detail: without holes, each edge's start drawn towards its end
+    "rough": """SELECT country, poly, 0 AS ring, a.ix, CASE WHEN a.ix%2 = 1 THEN lat*0.9e0+lat2*0.1e0 ELSE lat END AS lat, lon
+      FROM (SELECT *, coalesce(lead(lat) OVER (PARTITION BY poly, ring ORDER BY ix), lat) AS lat2 FROM {ring} WHERE ring = 0) a WHERE poly%9 <> 4""",
+    # a colour for each label
+    "paint": """SELECT lab, cast((lab*2654435761)%256 AS int) AS red, cast((lab*40503+77)%256 AS int) AS green, cast((lab*97+lab*lab*13)%256 AS int) AS blue
+      FROM (SELECT DISTINCT cast(lab AS bigint) AS lab FROM {label}) l""",
+    # published cities, a few with each kind of fault
+    "reached": """SELECT k.city_id, CASE WHEN k.city_id%211 = 3 THEN k.city_id+6 ELSE k.city_id+1 END AS owner_index, k.population,
+      CASE WHEN k.city_id%50 = 0 THEN 'root' WHEN k.city_id%17 = 1 THEN 'merged_at_resolution' ELSE 'ok' END AS status,
+      CASE WHEN k.city_id%50 = 0 OR k.city_id%17 = 1 OR k.city_id%223 = 5 THEN NULL ELSE k.population/1000e0 END AS threshold,
+      CASE WHEN k.city_id%50 = 0 OR k.city_id%17 = 1 THEN NULL WHEN k.city_id%227 = 7 THEN cast(-1 AS bigint) WHEN k.city_id%229 = 9 THEN k.city_id ELSE t.city_id END AS parent_id,
+      CASE WHEN k.city_id%17 <> 1 THEN CASE WHEN k.city_id%233 = 11 THEN t.city_id END WHEN k.city_id%239 = 18 THEN k.city_id ELSE t.city_id END AS merged_into,
+      CASE WHEN k.city_id%241 = 13 THEN ' ' ELSE k.segment END AS country_en, CASE WHEN k.city_id%251 = 14 THEN NULL ELSE k.segment END AS country_zh,
+      CASE WHEN k.city_id%3 = 0 THEN NULL WHEN k.city_id%257 = 16 THEN '' ELSE k.name END AS name_zh, CASE WHEN k.city_id%3 = 0 THEN 'none' ELSE 'exact' END AS match_type,
+      k.city_id%97 <> 50 AS reviewed
+      FROM {city} k CROSS JOIN (SELECT max_by(city_id, population) AS city_id FROM {city} WHERE city_id%97 <> 50 AND city_id%50 = 0) t""",
     "mark": """SELECT cast(n_nationkey AS bigint) AS country_id, p_brand AS name_group, p_name AS form, p_size AS size, p_partkey AS ord
       FROM {nation} JOIN {part} ON p_partkey % 25 = n_nationkey""",
 }
