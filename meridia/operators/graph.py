@@ -23,12 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder and read again, so that loops keep short plans."""
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the session's shared folder and read again, and where it is."""
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written and read again, so that loops keep short plans."""
+    return kept(df)[0]
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nothing still to be computed reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crossings(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:

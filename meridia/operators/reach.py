@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km
 from meridia.functions.scalars import travel_hours
-from meridia.operators.graph import components, cut
+from meridia.operators.graph import components, cut, forget, kept
 from meridia.operators.raster import Grid, cell_of, neighbour_pairs
 
 DEGREE_M = 111_194.92664455873
+MOST_ROUNDS = 8  #: rounds whose tiles are read beside the others'; then all newest states become one table
 
 
 def _length_m(grid: Grid) -> Column:
@@ -178,7 +179,8 @@ def spread(edges: DataFrame, starts: DataFrame, width: int, single: bool, side:
 
     The grid is cut into tiles of side by side cells. A round takes the tiles that labels have come to,
     searches each in one task as far as its border, and sends what crosses it on. Only those tiles are
-    written again, so rounds grow with the tiles that a way crosses and not with its cells.
+    written again, so rounds grow with the tiles that a way crosses and not with its cells. A round reads one
+    table of states and those of the last MOST_ROUNDS rounds, and what is no longer read is removed.
     """
     spark = edges.sparkSession
     placed = edges.select(_tile(F.col("a"), width, side).alias("tile"), "a", "b", "hours", F.when(_tile(F.col("b"), width, side) == _tile(F.col("a"), width, side), -1).otherwise(_tile(F.col("b"), width, side)).alias("to"))
@@ -186,8 +188,16 @@ def spread(edges: DataFrame, starts: DataFrame, width: int, single: bool, side:
     best = F.min_by(F.struct("cost", "rank", "population", "city_id"), F.struct("cost", "rank"))
     first = starts.withColumn("cost", F.round("cost", 9)).groupBy("node").agg(best.alias("b")).select("node", "b.*") if single else starts.withColumn("cost", F.round("cost", 9))
     come = _packed(first.withColumn("tile", _tile(F.col("node"), width, side)), _LABEL).select("tile", F.array("packed").alias("come"))
-    empty = spark.createDataFrame([], "tile long, round int, had binary")
-    done, number = empty, 0
+    older, older_path = spark.createDataFrame([], "tile long, round int, had binary"), []
+    rounds: list[tuple[DataFrame, str]] = []
+    number = 0
+
+    def newest() -> DataFrame:
+        """(tile, had): the last state of each tile that labels have come to."""
+        states = older
+        for k, (made, _) in enumerate(rounds):
+            states = states.unionByName(made.filter("not going").select("tile", F.lit(number - len(rounds) + k + 1).alias("round"), F.col("packed").alias("had")))
+        return states.groupBy("tile").agg(F.max_by("had", "round").alias("had"))
 
     def run(batches):
         for pdf in batches:
@@ -200,12 +210,15 @@ def spread(edges: DataFrame, starts: DataFrame, width: int, single: bool, side:
             yield pd.DataFrame(out, columns=["tile", "going", "packed"])
 
     while True:
+        work = come.join(tiles, "tile", "left").join(newest(), "tile", "left").select("tile", "edges", "had", "come")
+        rounds.append(kept(work.mapInPandas(run, "tile long, going boolean, packed binary")))
         number += 1
-        newest = done.join(done.groupBy("tile").agg(F.max("round").alias("round")), ["tile", "round"]).drop("round")
-        work = come.join(tiles, "tile", "left").join(newest, "tile", "left").select("tile", "edges", "had", "come")
-        made = cut(work.mapInPandas(run, "tile long, going boolean, packed binary"))
-        done = done.unionByName(made.filter("not going").select("tile", F.lit(number).alias("round"), F.col("packed").alias("had")))
-        going = made.filter("going")
+        if len(rounds) > MOST_ROUNDS:
+            # what still goes on is in the last round's table, which stays
+            whole, path = kept(newest().withColumn("round", F.lit(number)).select("tile", "round", "had"))
+            forget(spark, *older_path, *(p for _, p in rounds[:-1]))
+            older, older_path, rounds = whole, [path], rounds[-1:]
+        going = rounds[-1][0].filter("going")
         if not going.limit(1).count():
             break
         come = going.groupBy("tile").agg(F.collect_list("packed").alias("come"))  # at most one from each neighbouring tile
@@ -215,8 +228,7 @@ def spread(edges: DataFrame, starts: DataFrame, width: int, single: bool, side:
             for raw in pdf["had"]:
                 yield pd.DataFrame(np.frombuffer(raw, _LABEL))
 
-    newest = done.join(done.groupBy("tile").agg(F.max("round").alias("round")), ["tile", "round"])
-    return newest.select("had").mapInPandas(unpack, "node long, cost double, rank long, population double, city_id long")
+    return newest().select("had").mapInPandas(unpack, "node long, cost double, rank long, population double, city_id long")
 
 
 def ownership(edges: DataFrame, starts: DataFrame, width: int, side: int = 128) -> DataFrame:
