@@ -264,7 +264,7 @@ _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _REC = "recs AS (SELECT country_id, name_group, CASE WHEN size < 40 THEN size END AS rank, CASE WHEN size%3=0 THEN form END AS local, name_group AS latin, CASE WHEN size%2=0 THEN size*10 END AS cnt, ord FROM {mark})"
 _TAG = f"WITH {_REC}, tagged AS (SELECT country_id, name_group, rank, 'base' AS source, 0 AS p FROM recs WHERE country_id%4=1 UNION ALL SELECT country_id, name_group, rank, 'supplement', 0 FROM recs WHERE country_id%4=2 UNION ALL SELECT country_id, name_group, rank, 'list', 2 FROM recs WHERE country_id%3=0 UNION ALL SELECT country_id, name_group, rank, 'manual', 3 FROM recs WHERE country_id%5=0), best AS (SELECT * FROM (SELECT *, min(p) OVER (PARTITION BY country_id) AS m FROM tagged) WHERE p = m)"
 
-_TURNED = """turned AS (SELECT poly, ring, ix, degrees(asin(least(1e0, greatest(-1e0, x*sin(q)+z*cos(q))))) AS lat, ((degrees(atan2(y, x*cos(q)-z*sin(q)))-60e0+540e0)%360e0)-180e0 AS lon
+_TURNED = """turned AS (SELECT country, poly, ring, ix, degrees(asin(least(1e0, greatest(-1e0, x*sin(q)+z*cos(q))))) AS lat, ((degrees(atan2(y, x*cos(q)-z*sin(q)))-60e0+540e0)%360e0)-180e0 AS lon
   FROM (SELECT *, cos(radians(lat))*cos(radians(lon-20e0)) AS x, cos(radians(lat))*sin(radians(lon-20e0)) AS y, sin(radians(lat)) AS z, radians(-60e0) AS q FROM {ring}))"""
 _LARGEST = "largest AS (SELECT country, poly FROM (SELECT country, poly, row_number() OVER (PARTITION BY country ORDER BY area_km2 DESC, poly) AS n FROM polys JOIN (SELECT DISTINCT poly, country FROM {ring}) USING (poly)) WHERE n = 1)"
 _ANCHORS = f"""{_AREAS}, {_LARGEST}, means AS (SELECT l.country, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z
