@@ -73,9 +73,12 @@ def nearest_join(points: DataFrame, targets: DataFrame, key: str, order: list[Co
     p, t = with_vector(points.select(key, "lat", "lon"), "lat", "lon", P), with_vector(sole, "t_lat", "t_lon", T)
     dealt = in_cubes(t.select(*T), T).withColumn("finer", F.least(F.col("level") + FINER, F.lit(LEVELS - 1)))
     each = dealt.withColumn("small", _cube_at(T, F.col("finer"))).groupBy("level", "cube", "finer", "small").agg(F.min(F.struct(*T)).alias("one")).select("level", "cube", "finer", "small", "one.*")
-    # cubes with a target in or around them, so that a point asks only for its own
-    occupied = each.select("level", F.explode(F.transform(F.array(*map(F.lit, _AROUND)), lambda step: F.col("cube") - step)).alias("cube")).distinct()
-    close = in_cubes(p, P).select(key, "level", "cube").join(occupied, ["level", "cube"], "left_semi").groupBy(key).agg(F.max("level").alias("level"))
+    # a point is close to a target at a level where the cubes around the one hold the other; the fewer of both look around
+    if points.count() <= targets.count():
+        own, occupied = around(in_cubes(p, P), P), each.select("level", "cube").distinct()
+    else:
+        own, occupied = in_cubes(p, P), each.select("level", F.explode(F.transform(F.array(*map(F.lit, _AROUND)), lambda step: F.col("cube") - step)).alias("cube")).distinct()
+    close = own.select(key, "level", "cube").join(occupied, ["level", "cube"], "left_semi").groupBy(key).agg(F.max("level").alias("level"))
     bound = around(p.join(close, key), P).join(each, ["level", "cube"]).groupBy(key).agg(F.min(chord(P, T)).alias("_bound"))
     asked = around(p.join(bound, key).withColumn("level", covering_level(F.col("_bound"))), P).join(each, ["level", "cube"])
     room = F.col("_bound") * (1 + 1e-6) + 1e-8

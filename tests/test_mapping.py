@@ -142,3 +142,26 @@ def test_touched_cells(spark):
         assert {(r.poly, r.r, r.c) for r in touched(vertices, grid).collect()} == want
         whole = {(r.poly, r.r, r.c) for r in footprints(vertices, grid).collect()}
         assert want <= whole and (3, *((18, 44) if grid.wraps else (10, 14))) in whole or not grid.wraps
+
+
+def test_nearest_join_looks_around_from_either_side(spark):
+    """More points than targets, and fewer: each with its nearest by the distances of all pairs."""
+    from pyspark.sql import functions as F
+
+    from meridia.operators.nearest import nearest_city
+
+    some = [(k, lat, lon) for k, lat, lon in PLACES]
+    few = [(100 + k, lat + 0.37 if lat < 89 else lat, wrap(lon + 0.21), 10 * k) for k, (_, lat, lon) in enumerate(some[::17])]
+    for points, targets in ((some, few), (some[:4], few + [(500 + k, -lat, wrap(-lon), 5) for k, lat, lon in some[:60]])):
+        table = spark.createDataFrame(targets, "city_id int, lat double, lon double, population int")
+        got = nearest_city(spark.createDataFrame(points, "id int, lat double, lon double"), table, "id").select("id", F.col("distance_km").alias("d")).collect()
+        assert len(got) == len(points)
+
+        def unit(lat, lon):
+            a, b = math.radians(lat), math.radians(lon)
+            return np.array([math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)])
+
+        for r in got:
+            here = unit(*next(p[1:] for p in points if p[0] == r.id))
+            want = min(2 * 6371.0088 * math.asin(min(1, np.linalg.norm(here - unit(t[1], t[2])) / 2)) for t in targets)
+            assert abs(r.d - want) < 1e-4
