@@ -63,6 +63,18 @@ VIEWS: dict[str, str] = {
     # the ground of each city, a crooked rectangle; the larger the city, the larger
     "outline": """SELECT 0 AS country, city_id AS poly, 0 AS ring, ix, lat+dy*size+0.00317e0 AS lat, (lon+dx*size*1.3e0+540.00713e0)%360e0-180e0 AS lon
       FROM (SELECT city_id, lat, lon, 0.4e0+population/2500000e0 AS size FROM {city}) g CROSS JOIN {corner} k WHERE k.ring = 0""",
+    # for each supplier two parcels with a crooked border between them, and an islet in the western one: lines of thousandths of a degree
+    "chain": """SELECT cast(s_suppkey AS int) AS s, line, t,
+      CASE line WHEN 3 THEN 250+(abs((t+3)%12-6)-3)*(4+s_suppkey%14+((t%12)*(t%12)*7+s_suppkey)%3)
+        WHEN 0 THEN 500+CASE WHEN t = 0 OR t = 30 THEN 0 ELSE (s_suppkey*13+t*t*7+t*29)%40-20 END
+        ELSE 500+(line*2-3)*((15-abs(t-15))*33+CASE WHEN t = 0 OR t = 30 THEN 0 ELSE (s_suppkey*37+t*t*11+t*7*line)%200 END) END AS x,
+      CASE line WHEN 3 THEN 495+(abs(t%12-6)-3)*(4+s_suppkey%14+((t%12)*(t%12)*7+s_suppkey)%3) ELSE t*33 END AS y
+      FROM {supplier} CROSS JOIN (SELECT DISTINCT c AS t FROM {cell} WHERE c <= 30) a CROSS JOIN (SELECT DISTINCT r AS line FROM {cell} WHERE r < 4) b WHERE line < 3 OR t <= 12""",
+    "parcel": """SELECT (s+part)%25 AS country, 3*s+part AS poly, ring, ix, cast((floor(s/179e0)*1200)%150000-75000+y AS double)/1000e0 AS lat, cast((s%179)*2000-179000+x AS double)/1000e0 AS lon FROM (
+      SELECT s, 0 AS part, 0 AS ring, CASE WHEN line = 0 THEN t ELSE 60-t END AS ix, x, y FROM {chain} WHERE line = 0 OR line = 1 AND t < 30 UNION ALL
+      SELECT s, 1, 0, CASE WHEN line = 2 THEN t ELSE 60-t END, x, y FROM {chain} WHERE line = 2 OR line = 0 AND t < 30 UNION ALL
+      SELECT s, 2, 0, (t+7)%12, x, y FROM {chain} WHERE line = 3 AND t < 12 UNION ALL SELECT s, 2, 0, 12, x, y FROM {chain} WHERE line = 3 AND t = 5 UNION ALL
+      SELECT s, 0, 1, 12-t, x, y FROM {chain} WHERE line = 3) p""",
     # the same polygons with less detail: without holes, each edge's start drawn towards its end
     "rough": """SELECT country, poly, 0 AS ring, a.ix, CASE WHEN a.ix%2 = 1 THEN lat*0.9e0+lat2*0.1e0 ELSE lat END AS lat, lon
       FROM (SELECT *, coalesce(lead(lat) OVER (PARTITION BY poly, ring ORDER BY ix), lat) AS lat2 FROM {ring} WHERE ring = 0) a WHERE poly%9 <> 4""",
