@@ -38,6 +38,12 @@ VIEWS: dict[str, str] = {
       FROM (SELECT *, cast((s_suppkey*15013)%36000 AS double)/100e0-180e0 AS west, cast((s_suppkey*6007)%16001 AS double)/100e0-85e0 AS south FROM {supplier}) s""",
     "texel": """SELECT p.atlas_y+a.r AS ay, p.atlas_x+b.c AS ax, (p.patch*7+a.r*3+b.c*5)%4 AS lab, (a.r+b.c)%2 AS pad, (p.patch+a.r*11+b.c*13)%256 AS near
       FROM {patch} p CROSS JOIN (SELECT DISTINCT r FROM {cell} WHERE r < 20) a CROSS JOIN (SELECT DISTINCT c FROM {cell} WHERE c < 20) b""",
+    # regions of three by four cells, some cells in none; and what is said of each, some with the wrong country or none
+    "district": """SELECT r, c, cast(CASE WHEN (r*3+c*5)%17 = 0 THEN 0 ELSE floor(r/3e0)*18+floor(((c+CASE WHEN r%5 = 0 THEN 1 ELSE 0 END)%72)/4e0)+1 END AS int) AS lab FROM {cell}""",
+    "admin": """SELECT admin, CASE WHEN admin%29 = 11 THEN NULL WHEN admin%7 = 0 THEN most%30+1 ELSE most END AS country, concat('A', cast(admin%10 AS string), '-', cast(admin AS string)) AS code,
+      CASE WHEN admin%31 = 5 THEN 'KSV' WHEN admin%37 = 8 THEN 'SAH' WHEN admin%41 = 9 THEN 'XYZ' WHEN admin%5 = 1 THEN 'IND' END AS adm0,
+      CASE WHEN admin%43 = 3 THEN 'Sevastopol town' WHEN admin%3 = 0 THEN 'West ladakh' ELSE 'Plain' END AS name, CASE WHEN admin%4 = 1 THEN ' ' WHEN admin%4 > 1 THEN 'zh' END AS name_zh
+      FROM (SELECT d.lab AS admin, max(l.lab) AS most FROM {district} d JOIN {label} l ON l.r = d.r AND l.c = d.c WHERE d.lab > 0 GROUP BY 1) a""",
     "parent": "SELECT DISTINCT lab AS label, (lab-1)%5 AS parent FROM {label} WHERE lab > 0",
     "class_raster": "SELECT r, c, cast(v%7 AS bigint) AS v FROM {cell}",
     "border": """SELECT DISTINCT a, b, 1 AS cost FROM (

@@ -2,9 +2,9 @@ import pytest
 from oracle import SF, canonical, database
 
 import __spark_entry__
-from meridia.plans import build_queries, mapped_queries, point_queries, raster_queries, row_queries, shape_queries, topology_queries
+from meridia.plans import build_queries, mapped_queries, point_queries, raster_queries, row_queries, shape_queries, topology_queries, unit_queries
 
-PLANS = (point_queries, raster_queries, shape_queries, build_queries, mapped_queries, row_queries, topology_queries)
+PLANS = (point_queries, raster_queries, shape_queries, build_queries, mapped_queries, row_queries, topology_queries, unit_queries)
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 
