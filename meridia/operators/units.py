@@ -101,7 +101,7 @@ def classified(drawn: DataFrame, regions: DataFrame, countries: DataFrame, admin
     whole = own.groupBy("admin").agg(area.alias("whole_km2"))
     most = pairs.filter("admin > 0").groupBy("admin").agg(F.max_by(F.struct("country", "area_km2"), F.struct("area_km2", -F.col("country"))).alias("m")).select("admin", F.col("m.country").alias("most"), "m.area_km2")
     held = most.join(whole, "admin").join(admins.withColumnRenamed("country", "given"), "admin").withColumn("share", F.col("area_km2") / F.col("whole_km2"))
-    goes = ~F.col("most").eqNullSafe(F.col("given")) & (F.col("share") >= least)
+    goes = ~F.col("most").eqNullSafe(F.col("given")) & (F.round(F.col("area_km2") - least * F.col("whole_km2"), 6) >= 0)
     judged = cut(held.withColumn("goes", goes).withColumn("parent", F.when(F.col("goes"), F.col("most")).otherwise(F.col("given"))))
     eligible = cut(pairs.join(judged.select("admin", F.col("parent").alias("country"), "code"), ["country", "admin"]))
     # a remnant's neighbours among the regions that count, else the country's first

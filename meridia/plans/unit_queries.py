@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.operators import mapped, units
+from meridia.plans.shape_queries import EDGES
 from meridia.plans.views import HEIGHT, WIDTH, frame, inline
 
 MERGED = ("XYZ",)
@@ -64,7 +65,7 @@ cells AS (SELECT l.r, l.c, l.lab AS country, coalesce(d.lab, 0) AS admin FROM {{
 pairs AS (SELECT country, admin, {_AREA} AS area FROM cells GROUP BY ALL),
 whole AS (SELECT lab AS admin, {_AREA} AS area FROM {{district}} WHERE lab > 0 GROUP BY 1),
 most AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY admin ORDER BY area DESC, country) AS n FROM pairs WHERE admin > 0) p WHERE n = 1),
-judged AS (SELECT s.*, m.country AS most, m.area, m.area/w.area AS share, m.country IS DISTINCT FROM given AND m.area/w.area >= 0.95e0 AS goes
+judged AS (SELECT s.*, m.country AS most, m.area, m.area/w.area AS share, m.country IS DISTINCT FROM given AND round(m.area-0.95e0*w.area, 6) >= 0 AS goes
   FROM said s JOIN most m ON m.admin = s.admin JOIN whole w ON w.admin = s.admin),
 eligible AS (SELECT p.*, j.code FROM pairs p JOIN judged j ON j.admin = p.admin AND p.country = CASE WHEN goes THEN most ELSE given END),
 sides AS (SELECT country, admin, other, count(*) AS edges FROM (
@@ -81,6 +82,12 @@ placed AS (SELECT r, c, label, k.country FROM cells k JOIN dealt d ON d.country
 moves AS (SELECT admin, 'transfer' AS kind, code, adm0, name, most AS country, NULL AS unit_id, area, share, NULL AS edges FROM judged WHERE goes UNION ALL
   SELECT r.admin, 'remnant', code, adm0, name, r.country, unit_id, area, NULL, edges FROM rest r JOIN units u ON u.country = r.country AND u.dest = r.dest LEFT JOIN said s ON s.admin = r.admin)"""
 
+_OVERLAP = f"""WITH {EDGES}, spots AS (SELECT r, c, 90e0-(r+0.5e0)*5e0 AS y, (c+0.5e0)*5e0-180e0 AS x FROM (SELECT unnest(range(36)) AS r) a, (SELECT unnest(range(72)) AS c) b),
+west AS (SELECT country, poly, min(least(lon, lon2)) AS west FROM edges GROUP BY ALL), turned AS (SELECT r, c, y, country, poly, west+(((x-west)%360e0)+360e0)%360e0 AS x FROM spots, west),
+held AS (SELECT t.country, t.poly, r, c FROM turned t JOIN edges e ON e.poly = t.poly AND (e.lat <= y) <> (e.lat2 <= y) AND e.lon+(y-e.lat)/nullif(e.lat2-e.lat, 0)*(e.lon2-e.lon) > x GROUP BY ALL HAVING count(*)%2 = 1),
+land AS (SELECT r, c, count(DISTINCT country) AS n FROM held GROUP BY ALL), sums AS (SELECT n > 1 AS twice, {_AREA} AS area FROM land GROUP BY ALL)
+SELECT round(coalesce(sum(area) FILTER (WHERE twice), 0), 3) AS overlap_km2, round(sum(area), 3) AS land_km2, round(coalesce(sum(area) FILTER (WHERE twice), 0)/sum(area), 9) AS share FROM sums"""
+
 ORACLES = {
     name: inline(sql)
     for name, sql in {
@@ -91,6 +98,7 @@ ORACLES = {
             WHEN adm0 = 'SAH' OR country = 12 THEN 'Western Sahara' WHEN adm0 = 'XYZ' THEN 'merged territory' END AS category,
           CASE WHEN kind = 'remnant' THEN CASE WHEN edges > 0 THEN 'longest shared edge' ELSE 'no shared edge' END END AS reason FROM moves) m""",
         "unit_cells": _UNITS + " SELECT r, c, label AS lab, country FROM placed",
+        "country_overlap": _OVERLAP,
         "unit_names": _UNITS + " SELECT count(*) AS units, count(*) FILTER (WHERE trim(coalesce(name_zh, '')) <> '') AS named, count(*) FILTER (WHERE dest = 0) AS whole_countries FROM units u LEFT JOIN {admin} a ON a.admin = u.dest",
     }.items()
 }
