@@ -100,10 +100,20 @@ def weighed(arcs: DataFrame) -> DataFrame:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, n = [], 0
             for arc, points in zip(batch["arc"], batch["points"], strict=True):
                 lat, lon = (np.array([p[c] for p in points], dtype=float) for c in ("lat", "lon"))
                 weight = np.where(np.abs(lat) >= POLAR, np.inf, effective_areas(lat, lon))
-                yield pd.DataFrame({"arc": arc, "k": np.arange(len(lat), dtype=np.int32), "lat": lat, "lon": lon, "weight": weight})
+                found.append((np.repeat(arc, len(lat)), np.arange(len(lat), dtype=np.int32), lat, lon, weight))
+                n += len(lat)
+                if n >= 100_000:  # points in a batch, but for one long arc
+                    yield frame(found)
+                    found, n = [], 0
+            if found:
+                yield frame(found)
+
+    def frame(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("arc", "k", "lat", "lon", "weight"), zip(*found, strict=True), strict=True)})
 
     return arcs.mapInPandas(weigh, "arc string, k int, lat double, lon double, weight double")
 
