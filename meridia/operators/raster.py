@@ -47,16 +47,19 @@ def point_select(points: DataFrame, raster: DataFrame, grid: Grid) -> DataFrame:
 def sample_snap(points: DataFrame, raster: DataFrame, grid: Grid, key: str, reach: int = 2) -> DataFrame:
     """points with the value of their cell, else of the nearest cell with one in the square window around it.
 
-    Nearest by squared offset, then row by row. Columns wrap, rows don't; ``snapped`` tells which.
+    Nearest by squared offset, then row by row. Columns wrap, rows don't; ``snapped`` tells which. All points
+    of a cell share its answer, so the cells that hold any look around, not the points.
     """
     at = cell_of(F.col("lat"), F.col("lon"), grid)
+    placed = points.withColumn("_r", at["r"]).withColumn("_c", at["c"])
     span = F.sequence(F.lit(-reach), F.lit(reach))
-    around = points.withColumn("r0", at["r"]).withColumn("c0", at["c"]).withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-    around = around.withColumn("r", F.col("r0") + F.col("dy")).withColumn("c", F.pmod(F.col("c0") + F.col("dx"), F.lit(grid.width)) if grid.wraps else F.col("c0") + F.col("dx"))
-    met = around.join(raster.filter("v > 0"), ["r", "c"])
+    around = placed.filter("_r is not null").select("_r", "_c").distinct().withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
+    around = around.withColumn("r", F.col("_r") + F.col("dy")).withColumn("c", F.pmod(F.col("_c") + F.col("dx"), F.lit(grid.width)) if grid.wraps else F.col("_c") + F.col("dx"))
+    # exploded rows count as few, but may be too many to broadcast
+    met = around.hint("merge").join(raster.filter("v > 0"), ["r", "c"])
     d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    best = met.groupBy(key).agg(F.min_by(F.struct("v", d2.alias("d2")), F.struct(d2, "dy", "dx")).alias("b"))
-    return points.join(best, key, "left").select(*points.columns, F.col("b.v").alias("v"), (F.col("b.d2") > 0).alias("snapped"))
+    best = met.groupBy("_r", "_c").agg(F.min_by(F.struct("v", d2.alias("d2")), F.struct(d2, "dy", "dx")).alias("b"))
+    return placed.join(best, ["_r", "_c"], "left").select(*points.columns, F.col("b.v").alias("v"), (F.col("b.d2") > 0).alias("snapped"))
 
 
 def snap_labels(raster: DataFrame, labels: DataFrame, grid: Grid, radius: int = 2) -> DataFrame:
