@@ -35,14 +35,19 @@ def _cube_at(vector: tuple[str, str, str], level: Column) -> Column:
     return (x * _SPAN + y) * _SPAN + z
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, whose rows an explode has multiplied, never to be broadcast: Spark takes its size for that of the rows before."""
+    return df.hint("merge")
+
+
 def in_cubes(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:
     """A row for each level, with the cube of its vector."""
-    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cube", _cube(vector))
+    return spread(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cube", _cube(vector)))
 
 
 def around(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:
     """A row for each of the cubes around a vector at the row's level."""
-    return df.withColumn("cube", _cube(vector)).withColumn("_step", F.explode(F.array(*map(F.lit, _AROUND)))).withColumn("cube", F.col("cube") + F.col("_step")).drop("_step")
+    return spread(df.withColumn("cube", _cube(vector)).withColumn("_step", F.explode(F.array(*map(F.lit, _AROUND)))).withColumn("cube", F.col("cube") + F.col("_step")).drop("_step"))
 
 
 def covering_level(chord: Column) -> Column:
