@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geo, scalars, solar, text
-from meridia.operators import cartogram, circle, graph, nearest, proximity, raster, reach, search, stats, zonal
+from meridia.operators import cartogram, circle, climate, graph, nearest, proximity, raster, reach, search, stats, zonal
 from meridia.plans import params
 from meridia.plans.views import inline
 
@@ -321,3 +321,48 @@ def test_links_in_columns(spark):
 def test_inline_puts_views_in_order():
     sql = inline("SELECT * FROM {label}")
     assert sql.index("cell AS") < sql.index("label AS") and "{" not in sql
+
+
+def test_exploded_rows_are_never_broadcast(spark, cities):
+    placed = nearest.with_vector(cities, "lat", "lon", nearest.T)
+    asked = nearest.around(nearest.in_cubes(nearest.with_vector(cities.select(F.col("city_id").alias("id"), "lat", "lon"), "lat", "lon", nearest.P), nearest.P), nearest.P)
+    plan = asked.select("id", "level", "cube").join(nearest.in_cubes(placed, nearest.T), ["level", "cube"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_snapping_looks_around_cells_not_points(spark):
+    grid = raster.Grid(180, 360, 1.0)
+    cells = spark.createDataFrame([(45, 1, 5)], "r int, c int, v int")
+    found = raster.sample_snap(spark.range(5_000).select(F.col("id"), F.lit(44.5).alias("lat"), F.lit(-179.5).alias("lon")), cells, grid, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    explode = next(k for k, line in enumerate(lines) if "explode" in line)
+    assert any("Aggregate" in line for line in lines[explode:]) and found.filter("v = 5 and snapped").count() == 5_000
+
+
+def test_climate_lists_equal_all_pairs(spark):
+    rng = random.Random(8)
+    # clustered places, poles and repeated latitudes
+    lats = [rng.choice([rng.uniform(-90, 90), 89.5, 12.25, -90.0, 12.25 + rng.choice([1, -1]), rng.gauss(40, 1)]) for _ in range(700)]
+    rows = [(k, lat, rng.choice([rng.uniform(-180, 180), rng.gauss(10, 4)]), rng.randrange(1, 200), rng.randrange(4), rng.randrange(3)) for k, lat in enumerate(lats)]
+    asked = [(k, rng.choice([12.25, 90.0, -90.0, 40.0, rng.uniform(-90, 90), 0.0]), rng.choice([10.0, rng.uniform(-180, 180)]), rng.randrange(4)) for k in range(40)]
+    cities = spark.createDataFrame(rows, "city_id long, lat double, lon double, population long, class int, country_id int")
+    points = spark.createDataFrame(asked, "point_id long, p_lat double, p_lon double, p_class int")
+
+    def expected(key, fits):
+        out = set()
+        for p, y, x, own in asked:
+            heads = {}
+            for c in sorted(rows, key=lambda c: (-c[3], c[0])):
+                if fits(y, x, own, c):
+                    heads.setdefault(key(c), c)
+            out |= {(p, n + 1, c[0]) for n, c in enumerate(sorted(heads.values(), key=lambda c: (-c[3], c[0]))[:3])}
+        return out
+
+    same = expected(lambda c: c[4], lambda y, x, own, c: abs(c[1] - y) <= 1 and c[4] not in (0, own) and km(y, x, c[1], c[2]) >= 500)
+    far = expected(lambda c: c[5], lambda y, x, own, c: c[4] == own > 0 and km(y, x, c[1], c[2]) >= 3000)
+    assert {(r["point_id"], r["position"], r["city_id"]) for r in climate.same_latitude(points, cities).collect()} == same
+    assert {(r["point_id"], r["position"], r["city_id"]) for r in climate.far_twins(points, cities).collect()} == far
+    # ten thousand places of one class: a point anywhere needs few
+    many = spark.range(10_000).select(F.col("id").alias("city_id"), F.lit(1).alias("class"), (F.col("id") % 7 / 10).alias("lat"), (F.rand(3) * 360 - 180).alias("lon"), (F.hash("id") % 1000).alias("population"))
+    assert climate._leading(many, ["class"], 500.0).count() < 50
