@@ -84,28 +84,28 @@ def climate_twins(spark, d):
     return climate.twins(*_classed(spark, d))
 
 
-def _profile(spark, d):
-    return circle.profile(frame(spark, d, "site"), circle.prepare_cells(frame(spark, d, "cell"), HEIGHT, WIDTH))
+def _circle(spark, d):
+    return frame(spark, d, "site"), circle.prepare_cells(frame(spark, d, "cell"), HEIGHT, WIDTH)
 
 
 def circle_profile(spark, d):
-    return _profile(spark, d)
+    return circle.profile(*_circle(spark, d))
 
 
 def circle_within_500km(spark, d):
-    return circle.within(_profile(spark, d), 500)
+    return circle.measured(*_circle(spark, d), 500, ()).select("point_id", "pop")
 
 
 def circle_half_radius(spark, d):
-    return circle.radius_for_share(_profile(spark, d), (0.5,))
+    return circle.radii_of_shares(*_circle(spark, d), (0.5,))
 
 
 def circle_milestones(spark, d):
-    return circle.radius_for_share(_profile(spark, d), circle.MILESTONES)
+    return circle.radii_of_shares(*_circle(spark, d), circle.MILESTONES)
 
 
 def circle_summary(spark, d):
-    return circle.summary(_profile(spark, d), 2500.5)
+    return circle.summed_up(*_circle(spark, d), 2500.5)
 
 
 def smallest_half_circle(spark, d):

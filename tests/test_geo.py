@@ -366,3 +366,31 @@ def test_climate_lists_equal_all_pairs(spark):
     # ten thousand places of one class: a point anywhere needs few
     many = spark.range(10_000).select(F.col("id").alias("city_id"), F.lit(1).alias("class"), (F.col("id") % 7 / 10).alias("lat"), (F.rand(3) * 360 - 180).alias("lon"), (F.hash("id") % 1000).alias("population"))
     assert climate._leading(many, ["class"], 500.0).count() < 50
+
+
+def test_circles_point_by_point(spark):
+    rng = random.Random(4)
+    cells = circle.prepare_cells(spark.createDataFrame([(r, c, rng.randrange(4)) for r in range(18) for c in range(36)], "r int, c int, v long"), 18, 36)
+    rows = [(k % 25, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(30)] + [(99, None, 5.0)]  # some keys twice, one nowhere
+    points = spark.createDataFrame(rows, "point_id long, lat double, lon double")
+    all_, people = cells.select("ux", "uy", "uz", "pop").collect(), {}
+    for k, lat, lon in rows:
+        u = (0, 0, 0) if lat is None else (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+        for c in all_:
+            at = circle.BINS if lat is None else min(circle.BINS, math.floor(round(2 * R * math.asin(min(1, math.dist(u, c[:3]) / 2)), 6)))
+            people[k, at] = people.get((k, at), 0) + c["pop"]
+    prof = circle.profile(points, cells)
+    assert {(r["point_id"], r["bin"]): r["pop"] for r in prof.collect()} == people
+    assert "CartesianProduct" not in (plan := prof._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    shares = sorted(map(tuple, circle.radius_for_share(prof, circle.MILESTONES).select("point_id", "share", "radius_km").collect()))
+    assert sorted(map(tuple, circle.radii_of_shares(points, cells, circle.MILESTONES).collect())) == shares
+    names = circle.summary(prof, 2500.5).columns
+    assert sorted(map(tuple, circle.summed_up(points, cells, 2500.5).select(*names).collect())) == sorted(map(tuple, circle.summary(prof, 2500.5).collect()))
+    assert circle.profile(points, cells.limit(0)).count() == 0 and circle.measured(points, cells.limit(0), 1.0, (0.5,)).count() == 0
+
+
+def test_turns_take_the_remainder_twice(spark):
+    rng = random.Random(2)
+    rows = [(round(rng.uniform(-180, 180), 2), round(rng.uniform(-180, 180), 2)) for _ in range(500)]
+    got = spark.createDataFrame(rows, "a double, b double").select("a", "b", geo.turn_from("a", "b").alias("t"), F.pmod(F.col("b") - F.col("a"), F.lit(360.0)).alias("pmod")).collect()
+    assert all(r["t"] == math.fmod(math.fmod(r["b"] - r["a"], 360) + 360, 360) for r in got) and any(r["t"] != r["pmod"] for r in got)
