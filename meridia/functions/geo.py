@@ -56,6 +56,15 @@ def vector_to_lon(ux, uy) -> Column:
     return F.degrees(F.atan2(_col(uy), _col(ux)))
 
 
+def turn_from(start, lon) -> Column:
+    """How far east of start a longitude lies, in [0, 360).
+
+    The remainder is taken twice, as in SQL: ``pmod`` leaves a positive one as it is, and what lies on an edge
+    depends on the last bit.
+    """
+    return ((_col(lon) - _col(start)) % 360.0 + 360.0) % 360.0
+
+
 def normalize_lon(lon) -> Column:
     """Into [-180, 180), without a negative zero."""
     return F.pmod(_col(lon) + 180.0, F.lit(360.0)) - 180.0 + 0.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.geo import turn_from
 from meridia.operators.polygon import edges, rasterize
 
 # ---- distance to borders
@@ -108,7 +109,7 @@ def sample_labels(points: DataFrame, field: DataFrame, height: int, width: int,
 
     field: (r, c, lab, pad, near). Cells that it lacks have label 0 at distance 0. ``key`` is unique.
     """
-    spots = _texels(points.select(key, "lat", "lon"), (90 - F.col("lat")) / 180 * height - 0.5, F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * width - 0.5)
+    spots = _texels(points.select(key, "lat", "lon"), (90 - F.col("lat")) / 180 * height - 0.5, turn_from(-180.0, "lon") / 360 * width - 0.5)
     spots = spots.withColumn("r", F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("j")))).withColumn("c", F.pmod("i", F.lit(width)))
     return _vote(spots, field, key, "r", "c")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.geo import EARTH_KM, haversine_km, normalize_lon, unit_vector, vector_to_lat, vector_to_lon
+from meridia.functions.geo import EARTH_KM, haversine_km, normalize_lon, turn_from, unit_vector, vector_to_lat, vector_to_lon
 from meridia.operators.graph import cut
 from meridia.operators.raster import Grid
 
@@ -115,7 +115,7 @@ def containing(points: DataFrame, vertices: DataFrame, key: str, cell_degrees: i
     box = box.select("poly", "band", F.col("w").alias("west"), F.pmod("across", F.lit(cells)).alias("cell"))
     p = points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x"), degree(F.col("lat")).alias("band"), F.pmod(cell(F.col("lon")), F.lit(cells)).alias("cell"))
     # the point's longitude from the polygon's west on
-    near = p.join(box, ["band", "cell"]).withColumn("t", F.col("west") + F.pmod(F.col("x") - F.col("west"), F.lit(360.0)))
+    near = p.join(box, ["band", "cell"]).withColumn("t", F.col("west") + turn_from("west", "x"))
     banded = e.select("poly", "lat", "lon", "lat2", "lon2", F.explode(F.sequence(degree(F.least("lat", "lat2")), degree(F.greatest("lat", "lat2")))).alias("band"))
     met = near.join(banded.alias("e"), ["poly", "band"])
     return met.groupBy(key, "poly").agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1").select(key, "poly")
@@ -143,17 +143,20 @@ def rasterize(vertices: DataFrame, height: int, width: int, north: float = 90.0,
     dy, dx = dy or 180.0 / height, dx or 360.0 / width
     e = edges(vertices)
     top, bottom = F.greatest("lat", "lat2"), F.least("lat", "lat2")
-    # an edge holds its lower end and not its upper one, as for points
-    r0 = F.greatest(F.lit(0), F.floor((north - top) / dy - 0.5) + 1).cast("int")
-    r1 = F.least(F.lit(height - 1), F.floor((north - bottom) / dy - 0.5)).cast("int")
+    # divisions find the rows and columns, one more on either side; centres are judged as points are
+    r0 = F.greatest(F.lit(0), F.floor((north - top) / dy - 0.5)).cast("int")
+    r1 = F.least(F.lit(height - 1), F.floor((north - bottom) / dy - 0.5) + 1).cast("int")
+    e = e.withColumn("first", F.min(F.least("lon", "lon2")).over(Window.partitionBy("poly")))
     rows = e.withColumn("r0", r0).withColumn("r1", r1).filter("r1 >= r0").withColumn("r", F.explode(F.sequence("r0", "r1")))
-    y = north - (F.col("r") + 0.5) * dy
-    x = F.col("lon") + (y - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
+    # an edge holds its lower end and not its upper one
+    rows = rows.withColumn("y", north - (F.col("r") + 0.5) * dy).filter("(lat <= y) <> (lat2 <= y)")
+    x = F.col("lon") + (F.col("y") - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
     order = Window.partitionBy("poly", "r").orderBy("x")
     pairs = rows.withColumn("x", x).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("x").over(order)).filter("n % 2 = 1 and next is not null")
-    c0, c1 = F.ceil((F.col("x") - west) / dx - 0.5).cast("int"), (F.ceil((F.col("next") - west) / dx - 0.5) - 1).cast("int")
-    cells = pairs.withColumn("c0", c0).withColumn("c1", c1).filter("c1 >= c0").withColumn("c", F.explode(F.sequence("c0", "c1")))
-    return _columns(cells, width, dx).select("poly", "r", "c").distinct()
+    c0, c1 = (F.ceil((F.col("x") - west) / dx - 0.5) - 1).cast("int"), F.ceil((F.col("next") - west) / dx - 0.5).cast("int")
+    cells = pairs.withColumn("c0", c0).withColumn("c1", c1).withColumn("c", F.explode(F.sequence("c0", "c1")))
+    placed = _columns(cells, width, dx).withColumn("at", F.col("first") + turn_from("first", (F.col("c") + 0.5) * dx + west))
+    return placed.filter("at >= x and at < next").select("poly", "r", "c").distinct()
 
 
 def _columns(cells: DataFrame, width: int, dx: float) -> DataFrame:
@@ -221,7 +224,7 @@ def clearance_in(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     """(key, clearance_km) of points (key, poly, lat, lon) that their own polygon holds: how far its border is."""
     e = edges(vertices)
     west = e.groupBy("poly").agg(F.min("lon").alias("west"))
-    turned = F.col("west") + F.pmod(F.col("lon") - F.col("west"), F.lit(360.0))
+    turned = F.col("west") + turn_from("west", "lon")
     placed = points.join(west, "poly").select(key, "poly", F.col("lat").alias("y"), F.col("lon").alias("x"), turned.alias("t"))
     met = placed.join(e.select("poly", "lat", "lon", "lat2", "lon2").alias("e"), "poly")
     d = segment_distance_km(F.col("y"), F.col("x"), unit_vector(F.col("e.lat"), F.col("e.lon")), unit_vector(F.col("e.lat2"), F.col("e.lon2")))
