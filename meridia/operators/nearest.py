@@ -25,10 +25,10 @@ P, T = ("_px", "_py", "_pz"), ("_tx", "_ty", "_tz")
 
 def _cube(vector: tuple[str, str, str]) -> Column:
     """One number for the cube of a unit vector at the row's level; the cubes around it differ by fixed numbers."""
-    return _cube_at(vector, F.col("level"))
+    return cube_at(vector, F.col("level"))
 
 
-def _cube_at(vector: tuple[str, str, str], level: Column) -> Column:
+def cube_at(vector: tuple[str, str, str], level: Column) -> Column:
     side = F.pow(F.lit(2.0), level)
     # a coordinate of exactly 1 is in the last cube, so that the 27 of level 0 hold the whole sphere
     x, y, z = (F.least(F.floor(F.col(v) * side), side.cast("long") - 1) + _SPAN // 2 for v in vector)
@@ -77,7 +77,7 @@ def nearest_join(points: DataFrame, targets: DataFrame, key: str, order: list[Co
     sole = targets.groupBy("t_lat", "t_lon").agg(F.min_by(F.struct(*targets.columns), first).alias("t")).select("t.*")
     p, t = with_vector(points.select(key, "lat", "lon"), "lat", "lon", P), with_vector(sole, "t_lat", "t_lon", T)
     dealt = in_cubes(t.select(*T), T).withColumn("finer", F.least(F.col("level") + FINER, F.lit(LEVELS - 1)))
-    each = dealt.withColumn("small", _cube_at(T, F.col("finer"))).groupBy("level", "cube", "finer", "small").agg(F.min(F.struct(*T)).alias("one")).select("level", "cube", "finer", "small", "one.*")
+    each = dealt.withColumn("small", cube_at(T, F.col("finer"))).groupBy("level", "cube", "finer", "small").agg(F.min(F.struct(*T)).alias("one")).select("level", "cube", "finer", "small", "one.*")
     # a point is close to a target at a level where the cubes around the one hold the other; the fewer of both look around
     if points.count() <= targets.count():
         own, occupied = around(in_cubes(p, P), P), each.select("level", "cube").distinct()

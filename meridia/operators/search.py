@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.geo import haversine_km
+from meridia.functions.geo import EARTH_KM, haversine_km
 from meridia.functions.text import normalize, normalize_all, token_starts_with
+from meridia.operators.nearest import P, T, around, cube_at, with_vector
 
 EXACT_KM, NEAR_KM = 50.0, 30.0
 
@@ -55,17 +58,20 @@ def select_aliases(names: DataFrame, most_en: int = 2) -> DataFrame:
 def match_names(cities: DataFrame, candidates: DataFrame, overrides: DataFrame) -> DataFrame:
     """(city_id, match, kind): an override, else an equal name within 50 km, else for review the largest within 30 km, else none.
 
-    Equal names: by distance, larger population, id; near ones: larger population, distance, id. Near
-    ones are found by one-degree cells of latitude and, towards the poles, all longitudes.
+    Equal names: by distance, larger population, id; near ones: larger population, distance, id. Either are
+    found by cubes of space wider than the distance: a candidate is in the 27 around it, a city in its own.
     """
-    c = candidates.select(F.col("cand_id"), normalize(F.col("cand_name")).alias("form"), "cand_lat", "cand_lon", "cand_population")
-    base = cities.withColumn("form", normalize(F.col("name")))
-    far = F.round(haversine_km("lat", "lon", "cand_lat", "cand_lon"), 6)
-    named = base.join(c, "form").withColumn("d", far).filter(F.col("d") <= EXACT_KM)
-    named = named.groupBy("city_id").agg(F.min_by("cand_id", F.struct("d", -F.col("cand_population"), "cand_id")).alias("exact"))
-    bands = base.select("city_id", "lat", "lon", F.explode(F.array(*(F.floor("lat") + k for k in (-1, 0, 1)))).alias("band"))
-    near = bands.join(c.drop("form").withColumn("band", F.floor("cand_lat")), "band").withColumn("d", far).filter(F.col("d") <= NEAR_KM)
-    near = near.groupBy("city_id").agg(F.min_by("cand_id", F.struct(-F.col("cand_population"), "d", "cand_id")).alias("near"))
+    c = with_vector(candidates.select(F.col("cand_id"), normalize(F.col("cand_name")).alias("form"), "cand_lat", "cand_lon", "cand_population"), "cand_lat", "cand_lon", T)
+    base = with_vector(cities.select("city_id", "lat", "lon", normalize(F.col("name")).alias("form")), "lat", "lon", P)
+
+    def within(limit: float, theirs: DataFrame, on: list[str]) -> DataFrame:
+        level = F.lit(math.floor(-math.log2(2 * math.sin(limit / 2 / EARTH_KM) * (1 + 1e-6))))
+        asked = base.select("city_id", "lat", "lon", *on, cube_at(P, level).alias("cube"))
+        met = asked.join(around(theirs.withColumn("level", level), T).drop("level", *T), ["cube", *on])
+        return met.withColumn("d", F.round(haversine_km("lat", "lon", "cand_lat", "cand_lon"), 6)).filter(F.col("d") <= limit)
+
+    named = within(EXACT_KM, c, ["form"]).groupBy("city_id").agg(F.min_by("cand_id", F.struct("d", -F.col("cand_population"), "cand_id")).alias("exact"))
+    near = within(NEAR_KM, c.drop("form"), []).groupBy("city_id").agg(F.min_by("cand_id", F.struct(-F.col("cand_population"), "d", "cand_id")).alias("near"))
     met = cities.select("city_id").join(overrides, "city_id", "left").join(named, "city_id", "left").join(near, "city_id", "left")
     kind = F.when(F.col("override").isNotNull(), "override").when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "review").otherwise("none")
     return met.select("city_id", F.coalesce("override", "exact", "near").alias("match"), kind.alias("kind"))
