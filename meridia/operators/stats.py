@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.graph import cut
+
 
 def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], by: str | None = None) -> DataFrame:
-    """The smallest value with at least the share of rows at or below it."""
-    cols = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("double").alias(f"p{round(p * 100)}") for p in shares]
-    grouped = df.groupBy(by) if by else df.groupBy()
-    return grouped.agg(F.count(value).alias("n"), *cols)
+    """The smallest value with at least the share of rows at or below it.
+
+    Over all rows equal values are counted first; ranks are sums within ranges plus those of the ranges before,
+    so no task holds all values. With ``by``, a key's values are one task's.
+    """
+    if by:
+        return df.groupBy(by).agg(F.count(value).alias("n"), *(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("double").alias(f"p{round(p * 100)}") for p in shares))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m"))
+    placed = cut(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.sum("m").alias("size"))
+    before = sizes.select("_part", (F.sum("size").over(Window.orderBy("_part")) - F.col("size")).alias("before"))  # a row for each partition
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy("_part").orderBy(value))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))
+    ranked = placed.join(F.broadcast(before), "_part").withColumn("upto", upto).crossJoin(F.broadcast(total))
+    least = (F.min(F.when(F.col("upto") >= p * F.col("n"), F.col(value))).cast("double").alias(f"p{round(p * 100)}") for p in shares)
+    return total.crossJoin(ranked.agg(*least))
 
 
 def area_errors(units: DataFrame, least_share: float = 0.0) -> DataFrame:

@@ -394,3 +394,25 @@ def test_turns_take_the_remainder_twice(spark):
     rows = [(round(rng.uniform(-180, 180), 2), round(rng.uniform(-180, 180), 2)) for _ in range(500)]
     got = spark.createDataFrame(rows, "a double, b double").select("a", "b", geo.turn_from("a", "b").alias("t"), F.pmod(F.col("b") - F.col("a"), F.lit(360.0)).alias("pmod")).collect()
     assert all(r["t"] == math.fmod(math.fmod(r["b"] - r["a"], 360) + 360, 360) for r in got) and any(r["t"] != r["pmod"] for r in got)
+
+
+def test_ranks_and_matches_keep_to_ranges_and_cubes(spark):
+    rng = random.Random(6)
+    values = [rng.choice([None, float("inf"), 1.5, rng.random()]) for _ in range(301)]
+    known = sorted(v for v in values if v is not None)
+    found = stats.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", (0.5, 0.9, 1.0))
+    assert tuple(found.first()) == (len(known), *(known[math.ceil(s * len(known)) - 1] for s in (0.5, 0.9, 1.0)))
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(stats.nearest_rank(spark.createDataFrame([], "v double"), "v", (0.5,)).first()) == (0, None)
+    # places near a pole and the date line
+    lon = [rng.uniform(179.7, 180.3) for _ in range(300)]
+    places = [(k, f"p {k % 3}", rng.choice([rng.uniform(-0.4, 0.4), rng.uniform(89.6, 90)]), (x + 180) % 360 - 180) for k, x in enumerate(lon)]
+    cities, cands = places[:150], [(k, n, y, x, k % 5) for k, n, y, x in places[150:]]
+    got = search.match_names(spark.createDataFrame(cities, "city_id long, name string, lat double, lon double"), spark.createDataFrame(cands, "cand_id long, cand_name string, cand_lat double, cand_lon double, cand_population long"), spark.createDataFrame([], "city_id long, override long"))
+    for r in got.collect():
+        _, name, y, x = cities[r["city_id"]]
+        away = [(km(y, x, c[2], c[3]), c) for c in cands]
+        exact = min(((d, -c[4], c[0]) for d, c in away if c[1] == name and d <= 50), default=None)
+        near = min(((-c[4], d, c[0]) for d, c in away if d <= 30), default=None)
+        assert r["match"] == (exact or near or (None,))[-1] and r["kind"] == ("exact" if exact else "review" if near else "none")
+    assert "band" not in got._jdf.queryExecution().optimizedPlan().toString()
