@@ -80,7 +80,8 @@ def _vote(points: DataFrame, texels: DataFrame, key: str, row: str, column: str)
     """points (key, texels' places and weights) with the label that wins among their four texels.
 
     A texel speaks for a label by weight times distance, for its own label and against any other; the
-    first of equals wins. The padding is that of the winner's heaviest texel.
+    first of equals, to nine decimals, wins. The padding is that of the winner's heaviest texel, the first
+    of equals.
     """
     four = points.join(texels, [row, column], "left")
     four = four.select(key, F.struct("k", F.coalesce("lab", F.lit(0)).alias("lab"), F.coalesce("pad", F.lit(0)).alias("pad"), F.coalesce("near", F.lit(0)).cast("double").alias("near"), "w").alias("t"))
@@ -89,8 +90,8 @@ def _vote(points: DataFrame, texels: DataFrame, key: str, row: str, column: str)
     def spoken(mine: Column) -> Column:
         own = lambda t: F.when(t["lab"] == mine["lab"], t["near"]).otherwise(-t["near"])
         score = F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"] * own(t))
-        heaviest = F.array_max(F.transform(F.filter("ts", lambda t: t["lab"] == mine["lab"]), lambda t: F.struct(t["w"].alias("w"), (-t["k"]).alias("first"), t["pad"].alias("pad"))))
-        return F.struct(score.alias("score"), (-mine["k"]).alias("first"), mine["lab"].alias("lab"), heaviest["pad"].alias("pad"))
+        heaviest = F.array_max(F.transform(F.filter("ts", lambda t: t["lab"] == mine["lab"]), lambda t: F.struct((t["w"] * 1000 - t["k"] / 1e9).alias("w"), t["pad"].alias("pad"))))
+        return F.struct(F.round(score, 9).alias("told"), (-mine["k"]).alias("first"), score.alias("score"), mine["lab"].alias("lab"), heaviest["pad"].alias("pad"))
 
     best = told.withColumn("best", F.array_max(F.transform("ts", spoken)))
     return best.select(key, "best.lab", "best.pad", (F.col("best.score") * CAP_PIXELS / 255).alias("distance"))

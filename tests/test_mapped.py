@@ -108,6 +108,16 @@ def test_sampled_labels(spark):
     assert {r.id: (r.lab, r.pad, round(r.distance, 9)) for r in out.collect()} == want
 
 
+def test_equal_labels_by_nine_decimals_the_first_wins(spark):
+    """Two texels whose weights times distances are equal but for their last bits."""
+    texels, points = [], []
+    for k in range(1, 100):
+        texels += [(0, 4 * k, 2, 1, k), (0, 4 * k + 1, 1, 0, 100 - k)]
+        points.append((k, 0.0, -180 + (4 * k + 0.5 + k / 100) * 0.9))
+    out = mapped.sample_labels(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(texels, "r int, c int, lab int, pad int, near int"), 1, 400, "id")
+    assert {(r.lab, r.pad, round(r.distance, 6) + 0.0) for r in out.collect()} == {(2, 1, 0.0)}
+
+
 def test_first_patch_wins_and_rims_are_left_out(spark):
     patches = spark.createDataFrame([(2, -10.0, -10.0, 10.0, 10.0), (1, 0.0, 0.0, 20.0, 20.0), (3, 170.0, 0.0, 190.0, 10.0)], "patch int, west double, south double, east double, north double")
     points = spark.createDataFrame([(1, 5.0, 5.0), (2, -5.0, -5.0), (3, 5.0, -175.0), (4, 5.0, 175.0), (5, 19.99, 19.99), (6, 50.0, 50.0), (7, 0.05, 5.0)], "id int, lat double, lon double")
