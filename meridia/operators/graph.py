@@ -136,11 +136,18 @@ def symmetric_violations(edges: DataFrame) -> DataFrame:
 
 
 def shared_arc_borders(parts: DataFrame, water: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """(a, b): parts (part, country, arcs) of different countries with a common arc, without water pairs, with reviewed ones."""
-    arcs = parts.select("part", "country", F.explode("arcs").alias("arc"))
-    other = arcs.select(F.col("part").alias("b"), F.col("country").alias("country_b"), "arc")
-    met = arcs.join(other, "arc").filter("country <> country_b").select(F.col("part").alias("a"), "b")
-    return met.unionByName(reviewed).distinct().exceptAll(water.distinct())
+    """(a, b): parts (part, country, arcs) of different countries with a common arc, without water pairs, with reviewed ones.
+
+    Arcs are dealt by ranges, as neighbours have many parts in common: equal pairs of a range are one row
+    before they are shuffled. Pairs are made one way and turned around in the end.
+    """
+    arcs = parts.select("part", "country", F.explode("arcs").alias("arc")).filter("arc is not null")
+    users = arcs.repartitionByRange("arc").groupBy("arc").agg(F.collect_list(F.struct("part", "country")).alias("users"))
+    one = users.select(F.explode("users").alias("x"), "users").select("x", F.explode("users").alias("y"))
+    met = one.filter("x.part <= y.part and x.country <> y.country").select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct()
+    both = met.select(F.explode(F.when(F.col("a") < F.col("b"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))).alias("p")).select("p.*")
+    kept = both.join(water.unionByName(reviewed).distinct(), ["a", "b"], "left_anti")
+    return kept.unionByName(reviewed.distinct().join(water, ["a", "b"], "left_anti"))
 
 
 def open_pairs(edges: DataFrame, rules: DataFrame) -> DataFrame:

@@ -416,3 +416,18 @@ def test_ranks_and_matches_keep_to_ranges_and_cubes(spark):
         near = min(((-c[4], d, c[0]) for d, c in away if d <= 30), default=None)
         assert r["match"] == (exact or near or (None,))[-1] and r["kind"] == ("exact" if exact else "review" if near else "none")
     assert "band" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_arcs_meet_by_ranges_of_arcs(spark):
+    """Against a loop; no arcs are joined with each other, and pairs are counted once before they are shuffled."""
+    rng = random.Random(9)
+    parts = [(p, p % 4, [rng.randrange(40) for _ in range(6)] + [None]) for p in range(30)] + [(99, 1, [])]
+    table = spark.createDataFrame(parts, "part long, country long, arcs array<long>")
+    pairs = lambda v: spark.createDataFrame(v, "a long, b long")
+    want = {(p, q) for p, c, a in parts for q, d, b in parts if c != d and {x for x in a if x is not None} & {x for x in b if x is not None}}
+    gone = sorted(want)[0]
+    out = graph.shared_arc_borders(table, pairs([gone, (77, 78)]), pairs([(1, 5), (77, 78)]))
+    rows = [(r.a, r.b) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == (want | {(1, 5)}) - {gone}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("Join LeftAnti") and "RepartitionByExpression [arc" in plan
