@@ -99,11 +99,12 @@ def _crossed(lat: Column, lon: Column) -> Column:
     return spans & (at > lon)
 
 
-def containing(points: DataFrame, vertices: DataFrame, key: str, cell_degrees: int = 10) -> DataFrame:
+def containing(points: DataFrame, vertices: DataFrame, key: str, cell_degrees: int = 10, as_given: bool = False) -> DataFrame:
     """(key, poly) of the polygons that hold each point: even-odd over all rings, in degrees.
 
     Points first meet the polygons whose box touches their degree of latitude and their cell of longitude,
-    then those polygons' edges in that degree; an edge counts in each degree that it touches.
+    then, where their box holds the point, those polygons' edges in that degree; an edge counts in each degree
+    that it touches. With ``as_given``, longitudes that need no turn are judged to their last bit.
     """
     e = edges(vertices)
     degree = lambda lat: F.floor(lat).cast("int")
@@ -112,10 +113,12 @@ def containing(points: DataFrame, vertices: DataFrame, key: str, cell_degrees: i
     box = e.groupBy("poly").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("o"))
     box = box.withColumn("band", F.explode(F.sequence(degree(F.col("s")), degree(F.col("n")))))
     box = box.withColumn("across", F.explode(F.sequence(cell(F.col("w")), F.least(cell(F.col("o")), cell(F.col("w")) + cells - 1))))
-    box = box.select("poly", "band", F.col("w").alias("west"), F.pmod("across", F.lit(cells)).alias("cell"))
+    box = box.select("poly", "band", "s", "n", F.col("w").alias("west"), F.col("o").alias("east"), F.pmod("across", F.lit(cells)).alias("cell"))
     p = points.select(key, F.col("lat").alias("y"), F.col("lon").alias("x"), degree(F.col("lat")).alias("band"), F.pmod(cell(F.col("lon")), F.lit(cells)).alias("cell"))
     # the point's longitude from the polygon's west on
-    near = p.join(box, ["band", "cell"]).withColumn("t", F.col("west") + turn_from("west", "x"))
+    turned = F.col("x") + 360.0 * F.ceil((F.col("west") - F.col("x")) / 360.0) if as_given else F.col("west") + turn_from("west", "x")
+    # room for rounding in the east, where an edge's longitude is a quotient
+    near = p.join(box, ["band", "cell"]).withColumn("t", turned).filter("y between s and n and t <= east + 1e-9").drop("s", "n", "east")
     banded = e.select("poly", "lat", "lon", "lat2", "lon2", F.explode(F.sequence(degree(F.least("lat", "lat2")), degree(F.greatest("lat", "lat2")))).alias("band"))
     met = near.join(banded.alias("e"), ["poly", "band"])
     return met.groupBy(key, "poly").agg(F.sum(_crossed(F.col("y"), F.col("t")).cast("int")).alias("n")).filter("n % 2 = 1").select(key, "poly")

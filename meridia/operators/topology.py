@@ -204,7 +204,7 @@ def standing(vertices: DataFrame, cities: DataFrame) -> DataFrame:
     """
     countries = vertices.select("poly", "country").distinct()
     bare = vertices.drop("country")
-    held = containing(cities, bare, "city_id").select("poly").distinct().withColumn("held", F.lit(True))
+    held = containing(cities, bare, "city_id", as_given=True).select("poly").distinct().withColumn("held", F.lit(True))
     sized = polygon_areas(bare).join(countries, "poly").join(held, "poly", "left")
     largest = F.max("area_km2").over(Window.partitionBy("country"))
     return sized.select("poly", "area_km2", (F.col("held").isNotNull() | (F.col("area_km2") == largest)).alias("needed"))

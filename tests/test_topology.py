@@ -228,3 +228,40 @@ def test_lost_countries(spark):
     left = shapes.filter("poly <> 4").drop("country")
     assert [r.country for r in topology.lost_countries(shapes, left.filter("poly <> 3")).collect()] == [3]
     assert topology.lost_countries(shapes, left).count() == 0
+
+
+def test_cities_on_an_edge_are_judged_by_their_own_longitude(spark):
+    """A place on an eastern edge is outside; brought to the polygon's side of the globe and back it could be a bit west of it."""
+    table, cities, turned = [], [], 0
+    for k in range(40):
+        west, east, north = -170.003 + k * 7.011, -169.5 + k * 7.013, 1.0 + k / 100
+        table += [(1, k, 0, i, y, x) for i, (y, x) in enumerate([(0.0, west), (0.0, east), (north, east), (north, west), (0.0, west)])]
+        cities.append((k, 0.5, east))
+        turned += west + ((east - west) % 360 + 360) % 360 < east
+    table += [(1, 1000, 0, i, y, x) for i, (y, x) in enumerate([(50.0, 100.0), (50.0, 170.0), (70.0, 170.0), (70.0, 100.0), (50.0, 100.0)])]
+    assert turned
+    told = topology.standing(spark.createDataFrame(table, SCHEMA), spark.createDataFrame(cities, "city_id long, lat double, lon double"))
+    assert [r.poly for r in told.filter("needed").collect()] == [1000]
+
+
+def test_points_are_weighed_in_arrow_batches(spark, monkeypatch):
+    """Arcs of several batches, long ones among them, and no rows as Python objects."""
+    monkeypatch.setattr(topology, "BATCH_POINTS", 10)
+    rng = np.random.default_rng(3)
+    arcs = {f"a{n}": rng.uniform(-60, 60, (n, 2)).tolist() for n in (2, 3, 5, 30, 4, 7, 6)}
+    table = spark.createDataFrame([(a, [tuple(p) for p in v]) for a, v in arcs.items()], "arc string, points array<struct<lat:double,lon:double>>").coalesce(1)
+    out = topology.weighed(table)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.arc, {})[r.k] = (r.lat, r.lon, r.weight)
+    for a, v in arcs.items():
+        assert [list(got[a][k][:2]) for k in range(len(v))] == v
+        assert np.allclose([got[a][k][2] for k in range(len(v))], plain_weights(v), rtol=1e-6, atol=1e-12)
+
+
+def test_parcels_are_read_once(spark):
+    """Further readings of the polygons read what was written, not the view again."""
+    shapes, *_ = topology_queries._simpler(spark, "/root/testdata/sf0.001")
+    plan = shapes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
