@@ -128,3 +128,12 @@ def test_repeated_windows_survive_equal_hashes(monkeypatch):
     assert module.repeated_windows(line, at, 5, doc, start).tolist() == want
     monkeypatch.setattr(module, "mixed", lambda h: h * np.uint64(0))
     assert module.repeated_windows(line, at, 5, doc, start).tolist() == want
+
+
+def test_dropped_lines_are_not_broadcast(spark):
+    """They grow with the texts: the last join has the same plan at any size."""
+    line = "a line that is long enough to be counted as one of them"
+    docs = spark.createDataFrame([(k, f"{line}\n{k}") for k in range(8)], "doc_id long, text string")
+    out = dedup_lines(docs)
+    assert sorted((r.doc_id, r.n_dropped) for r in out.collect()) == [(k, int(k < 7)) for k in range(8)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
