@@ -7,11 +7,12 @@ the very same vertices. Work goes by point, ring or arc; nothing gathers more th
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,55 +68,64 @@ def topology(vertices: DataFrame) -> Topology:
 def effective_areas(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """The weight of each point of a line: the spherical triangle with its neighbours when it is the least left, never below one taken before; ends are infinite."""
     n = len(lat)
-    weight = np.full(n, np.inf)
-    y, x = np.radians(lat), np.radians(lon)
-    u = np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
+    weight = [math.inf] * n
+    u = []
+    for y, x in zip(np.asarray(lat, dtype=float).tolist(), np.asarray(lon, dtype=float).tolist(), strict=True):
+        y, x = math.radians(y), math.radians(x)
+        u.append((math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)))
 
     def triangle(a: int, b: int, c: int) -> float:
-        dots = u[a] @ u[b] + u[b] @ u[c] + u[c] @ u[a]
-        return float(2 * abs(np.arctan2(u[a] @ np.cross(u[b], u[c]), 1 + dots)))
+        # plain numbers: arrays of three cost ten times as much
+        (x1, y1, z1), (x, y, z), (x2, y2, z2) = u[a], u[b], u[c]
+        volume = x1 * (y * z2 - z * y2) - y1 * (x * z2 - z * x2) + z1 * (x * y2 - y * x2)
+        return 2 * abs(math.atan2(volume, 1 + x1 * x + y1 * y + z1 * z + x * x2 + y * y2 + z * z2 + x1 * x2 + y1 * y2 + z1 * z2))
 
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    now = {k: triangle(k - 1, k, k + 1) for k in range(1, n - 1)}
-    heap = [(area, k) for k, area in now.items()]
+    now: list[float | None] = [None] * n
+    for k in range(1, n - 1):
+        now[k] = triangle(k - 1, k, k + 1)
+    heap = [(now[k], k) for k in range(1, n - 1)]
     heapq.heapify(heap)
     least = 0.0
     while heap:
         area, k = heapq.heappop(heap)
-        if now.get(k) != area:  # taken, or changed since
+        if now[k] != area:  # taken, or changed since
             continue
-        del now[k]
+        now[k] = None
         least = weight[k] = max(least, area)
         a, b = left[k], right[k]
         right[a], left[b] = b, a
         for m in (a, b):
-            if m in now:
+            if now[m] is not None:
                 now[m] = triangle(left[m], m, right[m])
                 heapq.heappush(heap, (now[m], m))
-    return weight
+    return np.array(weight)
+
+
+BATCH_POINTS = 100_000  #: points in a batch of weights, but for one long arc
 
 
 def weighed(arcs: DataFrame) -> DataFrame:
     """(arc, k, lat, lon, weight): the points of arcs with their effective areas; those at a pole are infinite."""
+    schema = pa.schema([("arc", pa.string()), ("k", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("weight", pa.float64())])
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = [], 0
-            for arc, points in zip(batch["arc"], batch["points"], strict=True):
-                lat, lon = (np.array([p[c] for p in points], dtype=float) for c in ("lat", "lon"))
-                weight = np.where(np.abs(lat) >= POLAR, np.inf, effective_areas(lat, lon))
-                found.append((np.repeat(arc, len(lat)), np.arange(len(lat), dtype=np.int32), lat, lon, weight))
-                n += len(lat)
-                if n >= 100_000:  # points in a batch, but for one long arc
-                    yield frame(found)
-                    found, n = [], 0
-            if found:
-                yield frame(found)
-
-    def frame(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("arc", "k", "lat", "lon", "weight"), zip(*found, strict=True), strict=True)})
-
-    return arcs.mapInPandas(weigh, "arc string, k int, lat double, lon double, weight double")
+            bounds = batch.column(1).offsets.to_numpy()
+            lat, lon = (batch.column(1).values.field(c).to_numpy() for c in ("lat", "lon"))
+            row = 0
+            while row < batch.num_rows:
+                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + BATCH_POINTS, "right")) - 1)
+                low, high = bounds[row], bounds[end]
+                weight = np.concatenate([effective_areas(lat[i:j], lon[i:j]) for i, j in zip(bounds[row:end], bounds[row + 1 : end + 1], strict=True)])
+                sizes = np.diff(bounds[row : end + 1])
+                k = np.arange(high - low) - np.repeat(bounds[row:end] - low, sizes)
+                columns = [np.where(np.abs(lat[low:high]) >= POLAR, np.inf, weight), lat[low:high], lon[low:high]]
+                arc = batch.column(0).take(pa.array(np.repeat(np.arange(row, end), sizes))).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([arc, pa.array(k.astype(np.int32)), *(pa.array(columns[i]) for i in (1, 2, 0))], schema=schema)
+                row = end
+
+    return arcs.select("arc", "points").mapInArrow(weigh, "arc string, k int, lat double, lon double, weight double")
 
 
 def weight_at(points: DataFrame, share: float) -> DataFrame:
