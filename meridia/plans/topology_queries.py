@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.geo import EARTH_KM
 from meridia.operators import topology
+from meridia.operators.graph import cut
 from meridia.plans.views import frame, inline
 
 SHARE, ISLET_KM2, PROTECT_KM2 = 0.4, 60.0, 90.0
@@ -16,7 +17,9 @@ def _topology(spark, d):
 
 
 def _simpler(spark, d):
-    return topology.simplified(frame(spark, d, "parcel"), frame(spark, d, "city"), SHARE, ISLET_KM2, PROTECT_KM2)
+    """The parcels, written once as they are read several times, and simpler ones."""
+    shapes = cut(frame(spark, d, "parcel"))
+    return shapes, *topology.simplified(shapes, frame(spark, d, "city"), SHARE, ISLET_KM2, PROTECT_KM2)
 
 
 def topology_arcs(spark, d):
@@ -51,15 +54,14 @@ def needed_polygons(spark, d):
 
 def simpler_parcels(spark, d):
     """Rings with fewer points, without islets that no country needs, common borders still common."""
-    drawn, uses = _simpler(spark, d)
+    _, drawn, uses = _simpler(spark, d)
     rings = topology.assembled(uses, drawn)
     return rings.select("poly", "ring", "ix", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def lost_countries(spark, d):
     """Countries that the simpler polygons have lost; there should be none."""
-    drawn, uses = _simpler(spark, d)
-    shapes = frame(spark, d, "parcel")
+    shapes, drawn, uses = _simpler(spark, d)
     lost = topology.lost_countries(shapes, topology.assembled(uses, drawn))
     return shapes.agg(F.count_distinct("country").alias("countries")).crossJoin(lost.agg(F.count("*").alias("lost")))
 
