@@ -6,7 +6,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.operators.assets import numbered
@@ -53,6 +53,22 @@ def dictionary_encode(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, D
     return strings, coded
 
 
+def write_index(strings: DataFrame, rows: DataFrame, path: str, key: str, row: Column) -> None:
+    """One JSON document {formatVersion, strings, rows}, an item a line, whose pieces in the order of their names are the files of a folder.
+
+    strings (position, string) as of ``dictionary_encode``; rows in the order of key, each the array of strings that row makes.
+    """
+    spark = rows.sparkSession
+    frame = spark.createDataFrame([(0, 0, '{"formatVersion":2,"strings":['), (2, 0, '],"rows":['), (4, 0, "]}")], "section int, at long, value string")
+    comma = lambda at: F.when(F.col(at) > 0, ",").otherwise("")
+    words = F.to_json(F.array("string"))
+    items = strings.select(F.lit(1).alias("section"), F.col("position").cast("long").alias("at"), F.concat(comma("position"), F.substr(words, F.lit(2), F.length(words) - 2)).alias("value"))
+    numbers = numbered(rows.select(F.col(key).alias("_key"), F.to_json(row).alias("_value")), "_key", "_at", 0)
+    entries = numbers.select(F.lit(3).alias("section"), F.col("_at").cast("long").alias("at"), F.concat(comma("_at"), "_value").alias("value"))
+    whole = frame.unionByName(items).unionByName(entries)
+    whole.repartitionByRange("section", "at").sortWithinPartitions("section", "at").select("value").write.option("lineSep", "\n").text(path)
+
+
 def metric_maps(values: DataFrame) -> DataFrame:
     """(id, metrics): a map of each id's metric values."""
     return values.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))

@@ -62,20 +62,48 @@ def left_join_required(left: DataFrame, right: DataFrame, key: str) -> DataFrame
     return met.withColumn("_found", F.when(F.col("_found"), True).otherwise(F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string"))).cast("boolean"))).filter("_found").drop("_found")
 
 
-def compact_index(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of positions into one table of strings, in a JSON file {formatVersion, strings, rows}: city_id, name, aliases, country, place, lat, lon, population.
+def compact_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of positions into one table of strings, in a JSON document {formatVersion, strings, rows}: city_id, name, aliases, country, place, lat, lon, population.
 
-    A position out of range, a repeated id and a value out of range are errors when read.
+    A document in one piece is one record; one that ``sinks.write_index`` laid out in lines is read in parallel.
+    Rows meet their strings in a join, so no row carries the table. A position out of range and a value out of
+    range are errors when read; ``repeated_ids`` finds repeated ids.
     """
-    raw = spark.read.schema("formatVersion int, strings array<string>, rows array<array<string>>").option("multiLine", True).json(path)
-    rows = raw.select("formatVersion", "strings", F.posexplode("rows").alias("pos", "x"))
+    version, strings, raw = _index_lines(spark, path) if lines else _index_record(spark, path)
     at = lambda k: F.get("x", F.lit(k))
-    word = lambda k: F.element_at("strings", at(k).cast("int") + 1)
-    aliases = F.array_distinct(F.transform(F.from_json(at(7), "array<int>"), lambda i: F.element_at("strings", i + 1)))
-    out = rows.select(at(0).cast("long").alias("city_id"), word(1).alias("name"), aliases.alias("aliases"), word(2).alias("country"), word(3).alias("place"), at(4).cast("double").alias("lat"), at(5).cast("double").alias("lon"), at(6).cast("long").alias("population"), "formatVersion")
+    listed = F.from_json(at(7), "array<int>")
+    rows = raw.select(F.monotonically_increasing_id().alias("_row"), at(0).cast("long").alias("city_id"), at(4).cast("double").alias("lat"), at(5).cast("double").alias("lon"), at(6).cast("long").alias("population"), listed.isNotNull().alias("_listed"), F.concat(F.array(*(at(k).cast("int") for k in (1, 2, 3))), F.coalesce(listed, F.array().cast("array<int>"))).alias("_refs"))
+    refs = rows.select("*", F.posexplode("_refs").alias("_slot", "_ref")).drop("_refs")
+    met = refs.join(strings, F.col("_ref") == F.col("position"), "left")
+    word = F.when(F.col("_ref").isNull() | F.col("position").isNotNull(), F.col("string")).otherwise(F.raise_error(F.lit("position out of range")).cast("string"))
+    met = met.withColumn("_word", word)
+    slot = lambda k: F.max(F.when(F.col("_slot") == k, F.col("_word")))
+    aliases = F.sort_array(F.collect_list(F.when(F.col("_slot") > 2, F.struct("_slot", "_word"))))
+    kept = ["city_id", "lat", "lon", "population", "_listed"]
+    out = met.groupBy("_row").agg(*(F.first(c).alias(c) for c in kept), slot(0).alias("name"), slot(1).alias("country"), slot(2).alias("place"), aliases.alias("a")).crossJoin(F.broadcast(version))
     good = (F.col("formatVersion") == 2) & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & (F.col("population") >= 0)
     checked = out.withColumn("city_id", F.when(good, F.col("city_id")).otherwise(F.raise_error(F.lit("city row out of range")).cast("long")))
-    return checked.drop("formatVersion")
+    return checked.select("city_id", "name", F.when(F.col("_listed"), F.array_distinct("a._word")).alias("aliases"), "country", "place", "lat", "lon", "population")
+
+
+def _index_record(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(formatVersion), (position, string) and rows (x) of an index in one piece."""
+    raw = spark.read.schema("formatVersion int, strings array<string>, rows array<array<string>>").option("multiLine", True).json(path)
+    return raw.select("formatVersion"), raw.select(F.posexplode("strings").alias("position", "string")), raw.select(F.explode("rows").alias("x"))
+
+
+def _index_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of an index in lines. A string's position is its place in its stretch of a file, after what the stretches before hold."""
+    from pyspark.sql import Window
+
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    version = lines.filter(F.col("value").startswith("{")).agg(F.max(F.regexp_extract("value", r'^\{"formatVersion":(\d+),', 1).cast("int")).alias("formatVersion"))
+    item = lambda kind: F.from_json(F.concat(F.lit("["), F.ltrim(F.col("value"), F.lit(",")), F.lit("]")), kind)[0]
+    words = lines.filter(F.col("value").rlike('^,?"'))
+    sizes = words.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.select("file", "start", "first", (F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")).alias("before"))  # a row for each stretch
+    strings = words.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("position"), item("array<string>").alias("string"))
+    return version, strings, lines.filter(F.col("value").rlike(r"^,?\[")).select(item("array<array<string>>").alias("x"))
 
 
 def repeated_ids(df: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -75,6 +76,38 @@ def test_compact_index(spark, tmp_path):
     assert (row["city_id"], row["name"], row["country"], row["aliases"]) == (9, "Paris", "France", ["Lutetia", "Paris"])
 
 
+def test_an_index_in_lines_is_one_document(spark, tmp_path):
+    """Its pieces together are the JSON document; no line holds more than one string or row, however small its stretches are."""
+    words = ['Sa"o, [x]', "a\nb\u2028c\r", ",leading", "{brace", "", "z"]
+    rows = [(9 - k // 2, words[k % 6], f"n{k % 3}" if k % 5 else None, k / 8, k / 4, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, name string, land string, lat double, lon double, population long")
+    strings, coded = sinks.dictionary_encode(df, ["name", "land"])
+    ref = lambda c: F.col(f"{c}_ref").cast("string")
+    row = F.array(F.col("id").cast("string"), ref("name"), ref("land"), ref("land"), F.col("lat").cast("string"), F.col("lon").cast("string"), F.col("population").cast("string"), F.concat(F.lit("["), ref("land"), F.lit("]")))
+    sinks.write_index(strings, coded, f"file://{tmp_path}/i", "id", row)
+    text = "".join(p.read_text(newline="") for p in sorted((tmp_path / "i").glob("part-*")))
+    whole = json.loads(text)
+    assert whole["formatVersion"] == 2 and whole["strings"] == sorted(set(words) | {"n0", "n1", "n2"}) and len(whole["rows"]) == 40
+    assert [int(r[0]) for r in whole["rows"]] == sorted(r[0] for r in rows)
+    assert max(map(len, text.split("\n"))) < 80
+    expected = sorted((r[0], r[1], r[2] or "", [r[2]] if r[2] else None, r[3], r[5]) for r in rows)
+    (tmp_path / "one.json").write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        for path, lines in ((f"file://{tmp_path}/i", True), (f"file://{tmp_path}/one.json", True), (f"file://{tmp_path}/one.json", False)):
+            got = tables.compact_index(spark, path, lines=lines).collect()
+            assert sorted((r["city_id"], r["name"], r["country"] or "", r["aliases"], r["lat"], r["population"]) for r in got) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_position_out_of_range_is_an_error(spark, tmp_path):
+    for bad in ("3", "-2"):
+        (tmp_path / "i.json").write_text('{"formatVersion":2,"strings":["Paris","France","Lutetia"],"rows":[["9","%s","1","1","48.8","2.3","2100000","[2]"]]}' % bad)
+        with pytest.raises(Exception, match="position out of range"):
+            tables.compact_index(spark, str(tmp_path / "i.json")).collect()
+
+
 def test_joins_that_must_match(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "x")], "id int, v string")
     assert tables.left_join_required(a.filter("id = 1"), b, "id").first()["v"] == "x"
