@@ -40,9 +40,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def in_cubes(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:
-    """A row for each level, with the cube of its vector."""
-    return spread(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cube", _cube(vector)))
+def in_cubes(df: DataFrame, vector: tuple[str, str, str], step: int = 1) -> DataFrame:
+    """A row for each level, or each ``step`` levels from 0 on, with the cube of its vector."""
+    return spread(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1), F.lit(step)))).withColumn("cube", _cube(vector)))
 
 
 def around(df: DataFrame, vector: tuple[str, str, str]) -> DataFrame:

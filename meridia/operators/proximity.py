@@ -28,22 +28,21 @@ def _met(asked: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def _rival_chord(cities: DataFrame, focal: DataFrame) -> DataFrame:
-    """(focal_id, rival): the chord to the nearest other city at least as large; null where there is none.
+    """(focal_id, rival): the chord to a near city at least as large; null where there is none.
 
-    Cubes know their largest population and how many cities have it; the finest level at which the
-    cubes around a focal city hold a rival bounds the distance, and the cubes that cover it hold it.
+    Cubes of every other level know their largest population and how many cities have it. At the finest of
+    them at which the cubes around a focal city hold a rival, the nearest in those cubes is taken: it is the nearest
+    of all if it is within a side, else a bound that is at most twice the cube's diagonal.
     """
     dealt = in_cubes(cities.select("city_id", "population", *T), T)
-    largest = dealt.groupBy("level", "cube", "population").agg(F.count("*").alias("n")).groupBy("level", "cube").agg(F.max(F.struct("population", "n")).alias("top"))
-    own = around(in_cubes(focal.select("focal_id", "focal_population", *P), P), P)
+    largest = in_cubes(cities.select("population", *T), T, 2).groupBy("level", "cube", "population").agg(F.count("*").alias("n")).groupBy("level", "cube").agg(F.max(F.struct("population", "n")).alias("top"))
+    own = around(in_cubes(focal.select("focal_id", "focal_population", *P), P, 2), P)
     met = own.join(largest, ["level", "cube"]).filter(F.col("top.population") >= F.col("focal_population"))
     # the city itself is one of those of its own size
     level = met.groupBy("focal_id", "level").agg(F.sum(F.when(F.col("top.population") > F.col("focal_population"), 2).otherwise(F.col("top.n"))).alias("n")).filter("n > 1").groupBy("focal_id").agg(F.max("level").alias("level"))
+    asked = cut(around(focal.join(level, "focal_id"), P))
     rival = (F.col("city_id") != F.col("focal_id")) & (F.col("population") >= F.col("focal_population"))
-    for name in ("_first", "rival"):
-        asked = cut(around(focal.join(level, "focal_id"), P))
-        found = _met(asked, dealt).filter(rival).groupBy("focal_id").agg(F.min(chord(P, T)).alias(name))
-        level = found.select("focal_id", covering_level(F.col(name)).alias("level"))
+    found = _met(asked, dealt).filter(rival).groupBy("focal_id").agg(F.min(chord(P, T)).alias("rival"))
     return focal.select("focal_id").join(found, "focal_id", "left")
 
 
@@ -52,12 +51,13 @@ def record_holders(cities: DataFrame, focal_population: float, ring_km: float =
 
     Cities are taken by distance, larger population, id; one that is larger than all before is a
     holder if it has at least a tenth of the focal population, up to the first at least as large as
-    the focal city. Smaller ones can't change that, and none beyond the nearest rival counts, so a
-    focal city meets only the cubes within its rival's distance. The one city that may lack a rival, the
+    the focal city. Smaller ones can't change that, and none beyond a rival counts, so a
+    focal city meets only the cubes within a near rival's distance. The one city that may lack a rival, the
     largest, meets all. A city larger than all before is so in its ring of ``ring_km``, too; rings are
     thinned out to those first, so that no task sorts all that a far-reaching city meets.
     """
-    cities = with_vector(cities.select("city_id", "population", "lat", "lon"), "lat", "lon", T)
+    # dealt out first: a file of one row group is one task, which would make all rows of all levels
+    cities = with_vector(cut(cities.select("city_id", "population", "lat", "lon").repartition("city_id")), "lat", "lon", T)
     focal = cities.filter(F.col("population") >= focal_population).select(F.col("city_id").alias("focal_id"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.col("population").alias("focal_population"), *(F.col(t).alias(p) for t, p in zip(T, P)))
     reach = focal.join(_rival_chord(cities, focal), "focal_id").withColumn("rival", F.coalesce("rival", F.lit(2.0)))
     asked = cut(around(reach.withColumn("level", covering_level(F.col("rival"))), P))

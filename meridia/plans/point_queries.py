@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import geo, solar
-from meridia.operators import circle, climate, nearest, proximity, raster
+from meridia.operators import circle, climate, graph, nearest, proximity, raster
 from meridia.plans.views import HEIGHT, STEP, WIDTH, frame, inline
 
 GRID = raster.Grid(HEIGHT, WIDTH, STEP)
@@ -55,7 +55,7 @@ def proximity_selected_rank(spark, d):
 
 
 def proximity_referenced(spark, d):
-    return proximity.referenced(frame(spark, d, "city"), record_holders(spark, d)).select("index", "city_id")
+    return proximity.referenced(frame(spark, d, "city"), graph.cut(record_holders(spark, d))).select("index", "city_id")
 
 
 def point_cells(spark, d):

@@ -76,6 +76,18 @@ def test_record_holders(spark, cities):
     assert [r["distance_km"] for r in ranks] == sorted((r["distance_km"] for r in ranks), reverse=True)
 
 
+def test_record_holders_explode_few_rows_from_many_tasks(spark, cities, monkeypatch):
+    """A rival is bounded by every other level and one search; what is exploded doesn't come from the one task of a small file."""
+    exploded, written = [], []
+    around, cut = proximity.around, proximity.cut
+    monkeypatch.setattr(proximity, "around", lambda df, vector: (exploded.append(df), around(df, vector))[1])
+    monkeypatch.setattr(proximity, "cut", lambda df: (written.append(df), cut(df))[1])
+    proximity.record_holders(cities.coalesce(1), 900_000).collect()
+    focal = cities.filter("population >= 900000").count()
+    assert exploded[0].count() == 7 * focal and len(exploded) == 3
+    assert "REPARTITION_BY_COL" in written[0]._jdf.queryExecution().toString()
+
+
 def test_snapping(spark):
     grid = raster.Grid(180, 360, 1.0)
     cells = spark.createDataFrame([(45, 0, 5), (45, 359, 9), (40, 2, 7)], "r int, c int, v int")
