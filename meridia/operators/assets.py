@@ -34,14 +34,15 @@ def regional(cities: DataFrame, least: int, north: float, west: float, south: fl
     return numbered(inside, "city_id", "owner", 1)
 
 
-def numbered(rows: DataFrame, key: str, name: str, first: int) -> DataFrame:
-    """rows numbered in the order of key: by position in range partitions, plus what the partitions before hold."""
+def numbered(rows: DataFrame, key: str | list[str | Column], name: str, first: int) -> DataFrame:
+    """rows numbered in the order of key, one column or several: by position in range partitions, plus what the partitions before hold."""
     from meridia.operators.graph import cut
 
-    placed = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    key = key if isinstance(key, list) else [key]
+    placed = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row for each partition
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
     return placed.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within") + (first - 1)).select(*rows.columns, name)
 
 

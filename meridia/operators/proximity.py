@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km
+from meridia.operators.assets import numbered
 from meridia.operators.graph import cut
 from meridia.operators.nearest import P, T, around, chord, covering_level, in_cubes, with_vector
 
@@ -85,8 +86,9 @@ def competitors(holders: DataFrame, alpha: float) -> DataFrame:
 
 def ranking(found: DataFrame) -> DataFrame:
     """Focal cities with a competitor: the farthest first, then larger, then by id; with their number and the total."""
-    order = Window.orderBy(F.col("distance_km").desc(), F.col("focal_population").desc(), "focal_id")  # a row for each focal city
-    return found.filter(F.col("city_id").isNotNull()).withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy()))
+    there = cut(found.filter(F.col("city_id").isNotNull()))  # ranges are drawn from it, dealt and counted
+    ranked = numbered(there, [F.col("distance_km").desc(), F.col("focal_population").desc(), "focal_id"], "rank", 1)
+    return ranked.withColumn("rank", F.col("rank").cast("int")).crossJoin(F.broadcast(there.agg(F.count("*").alias("total"))))
 
 
 def referenced(cities: DataFrame, holders: DataFrame) -> DataFrame:

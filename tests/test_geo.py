@@ -1,8 +1,10 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from meridia.functions import geo, scalars, solar, text
 from meridia.operators import cartogram, circle, climate, graph, nearest, proximity, raster, reach, search, stats, zonal
@@ -88,6 +90,30 @@ def test_record_holders_explode_few_rows_from_many_tasks(spark, cities, monkeypa
     assert "REPARTITION_BY_COL" in written[0]._jdf.queryExecution().toString()
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges are not put together, however small."""
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    yield
+    spark.conf.unset(coalesced)
+
+
+def numbered_in_one_task(df):
+    return re.search(r"windowspecdefinition\((distance_km|city_id)", df._jdf.queryExecution().toString())
+
+
+def test_rankings_are_numbered_by_ranges(spark, small_ranges):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([8, 9]), None if k % 7 == 0 else k + 1, rng.choice([1.5, 2.25, 3.0, 40.0])) for k in range(400)]
+    found = spark.createDataFrame(rows, "focal_id long, focal_population long, city_id long, distance_km double")
+    ranked = proximity.ranking(found)
+    there = sorted((-d, -p, k) for k, p, c, d in rows if c is not None)
+    assert [(r["rank"], r["focal_id"], r["total"]) for r in ranked.orderBy("rank").collect()] == [(n + 1, k, len(there)) for n, (_, _, k) in enumerate(there)]
+    assert not numbered_in_one_task(ranked) and ranked.schema["rank"].dataType == types.IntegerType()
+    assert proximity.ranking(found.filter("false")).count() == 0
+
+
 def test_snapping(spark):
     grid = raster.Grid(180, 360, 1.0)
     cells = spark.createDataFrame([(45, 0, 5), (45, 359, 9), (40, 2, 7)], "r int, c int, v int")
