@@ -94,4 +94,4 @@ def ranking(found: DataFrame) -> DataFrame:
 def referenced(cities: DataFrame, holders: DataFrame) -> DataFrame:
     """The cities that are focal or hold a record, numbered by id."""
     ids = holders.select(F.col("focal_id").alias("city_id")).unionByName(holders.select("city_id")).distinct()
-    return cities.join(ids, "city_id", "left_semi").withColumn("index", F.row_number().over(Window.orderBy("city_id")) - 1)
+    return numbered(cities.join(ids, "city_id", "left_semi"), "city_id", "index", 0).withColumn("index", F.col("index").cast("int"))

@@ -114,6 +114,14 @@ def test_rankings_are_numbered_by_ranges(spark, small_ranges):
     assert proximity.ranking(found.filter("false")).count() == 0
 
 
+def test_referenced_cities_are_numbered_by_ranges(spark, small_ranges):
+    holders = spark.createDataFrame([(k, k * 5 % 401) for k in range(0, 400, 3)], "focal_id long, city_id long")
+    numbered = proximity.referenced(spark.range(1000).select(F.col("id").alias("city_id")), holders)
+    ids = sorted({i for k in range(0, 400, 3) for i in (k, k * 5 % 401)})
+    assert [(r["index"], r["city_id"]) for r in numbered.orderBy("index").collect()] == list(enumerate(ids))
+    assert not numbered_in_one_task(numbered) and numbered.schema["index"].dataType == types.IntegerType()
+
+
 def test_snapping(spark):
     grid = raster.Grid(180, 360, 1.0)
     cells = spark.createDataFrame([(45, 0, 5), (45, 359, 9), (40, 2, 7)], "r int, c int, v int")
