@@ -376,6 +376,21 @@ def test_exploded_rows_are_never_broadcast(spark, cities):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_competitors_broadcast_no_exploded_rows(spark, cities, monkeypatch):
+    """Whatever reads record holders: no plan on the way sends rows below an explode to all tasks."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(proximity, "cut", lambda df: (written.append(df), cut(df))[1], raising=False)
+    found = proximity.competitors(proximity.record_holders(cut(cities), 900_000), 0.5)  # a file, whose size is known
+    for df in (*written, found):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        depths = [re.search(r"[A-Za-z(*]", line).start() if line.strip() else 0 for line in lines]
+        for k, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                end = next((j for j in range(k + 1, len(lines)) if depths[j] <= depths[k]), len(lines))
+                grouped = next((j for j in range(k, end) if "Aggregate" in lines[j]), end)
+                assert not any("Generate" in below for below in lines[k:grouped])
+
+
 def test_snapping_looks_around_cells_not_points(spark):
     grid = raster.Grid(180, 360, 1.0)
     cells = spark.createDataFrame([(45, 1, 5)], "r int, c int, v int")
