@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,16 +140,148 @@ def symmetric_violations(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").exceptAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+PAIRS = 8_000_000  #: pairs that a task holds at once, but for those of one part
+USES = 2_000_000  #: uses that a task holds at once, but for those of one arc
+RUN = 4096  #: most neighbours in a packed row
+
+
+def _spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes come to ``most`` at most, or of one item."""
+    upto, i = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _unlike(keys: list[np.ndarray]) -> np.ndarray:
+    """The different ones of all keys, in order."""
+    out = np.concatenate(keys)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(a, bs): pairs in order as a row for each run of one a; bs are its b less the one before, the first less a, seven bits a byte."""
+    first = np.concatenate([[True], a[1:] != a[:-1]]) | (np.arange(len(a)) % RUN == 0)
+    rest = (b - np.where(first, a, np.concatenate([b[:1], b[:-1]]))).view(np.uint64)
+    left, high = np.ones(len(b), np.int64), rest >> np.uint64(7)
+    while high.any():
+        left += high > 0
+        high >>= np.uint64(7)
+    ends = np.cumsum(left)
+    data, at = np.empty(ends[-1], np.uint8), ends - left
+    while len(at):
+        more = left > 1
+        data[at] = (rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+        at, rest, left = at[more] + 1, rest[more] >> np.uint64(7), left[more] - 1
+    starts = np.flatnonzero(first)
+    offsets = np.concatenate([[0], ends[starts[1:] - 1], ends[-1:]]).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(a[starts]), runs], ["a", "bs"])
+
+
+def unpacked(rows: pa.RecordBatch, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b) of packed rows, some rows at a time."""
+    part, runs = rows.column(0).to_numpy(), rows.column(1).cast(pa.binary())
+    offsets = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1]
+    whole = np.frombuffer(runs.buffers()[2], np.uint8)
+    for i, j in _spans(np.diff(offsets), most):
+        data = whole[offsets[i] : offsets[j]]
+        ends = np.flatnonzero(data < 128)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+        steps = np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts).view(np.int64)
+        upto = np.searchsorted(ends, offsets[i : j + 1] - offsets[i])
+        sums, n = np.concatenate([[0], np.cumsum(steps)]), np.diff(upto)
+        a = np.repeat(part[i:j], n)
+        yield a, a + sums[1:] - np.repeat(sums[upto[:-1]], n)
+
+
+def _arc_pairs(uses: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Packed pairs of the parts of different countries that have an arc in common; uses (arc, part, country) in order, arcs whole."""
+    arc, part, country = uses.column(0), uses.column(1).to_numpy(), uses.column(2)
+    country = pc.dictionary_encode(country).indices.to_numpy()
+    fresh = np.concatenate([[True], pc.not_equal(arc.slice(1), arc.slice(0, len(arc) - 1)).to_numpy(zero_copy_only=False)])
+    unlike = fresh.copy()
+    unlike[1:] |= (part[1:] != part[:-1]) | (country[1:] != country[:-1])
+    known, at = np.unique(part[unlike], return_inverse=True)
+    country, begins = country[unlike], np.flatnonzero(fresh[unlike])
+    sizes = np.diff(np.append(begins, len(at)))
+    later = np.repeat(begins + sizes, sizes) - np.arange(len(at)) - 1
+    held, n = [], 0
+    for i, j in _spans(later, most // 4):
+        x = np.repeat(np.arange(i, j), later[i:j])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(later[i:j]) - later[i:j], later[i:j]) + x + 1
+        apart = country[x] != country[y]
+        held.append(_unlike([at[x[apart]] * len(known) + at[y[apart]]]))
+        n += len(held[-1])
+        if n >= most or j == len(at):
+            held = [_unlike(held)]
+            n = len(held[0])
+            if n > most // 2 or j == len(at):
+                for low in range(0, n, max(1, most // 8)):
+                    keys = held[0][low : low + max(1, most // 8)]
+                    yield packed(known[keys // len(known)], known[keys % len(known)])
+                held, n = [], 0
+
+
+def arc_neighbours(uses: DataFrame) -> DataFrame:
+    """(a, b), a <= b: each pair of parts of different countries that have an arc in common, once; uses: (part, country, arc).
+
+    Parts are integers, countries and arcs numbers or strings. Arcs are dealt by ranges, as neighbours may have many
+    parts in common; each range sends its different pairs, packed to some two bytes each, to their first part.
+    The uses of one arc, and the neighbours of one part, must fit a task.
+    """
+    pairs, most = PAIRS, USES
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, most
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= due:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                arc = rows.column(0)
+                last = np.flatnonzero(pc.not_equal(arc.slice(1), arc.slice(0, n - 1)).to_numpy(zero_copy_only=False))
+                whole = int(last[-1]) + 1 if len(last) else 0
+                if whole:
+                    yield from _arc_pairs(rows.slice(0, whole), pairs)
+                held, n = [rows.slice(whole)], n - whole
+                due = max(most, 2 * n)
+        if n:
+            yield from _arc_pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0], pairs)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.empty(0, np.int64)
+        due = pairs // 2
+        for x, y in chain((p for batch in batches for p in unpacked(batch, pairs // 4)), [(None, None)]):
+            if x is not None:
+                a, b = np.concatenate([a, x]), np.concatenate([b, y])
+            if len(a) and (x is None or len(a) >= due):
+                first = np.concatenate([[True], a[1:] != a[:-1]])
+                known, at = np.unique(b, return_inverse=True)
+                keys = _unlike([(np.cumsum(first) - 1) * len(known) + at])
+                a, b = a[first][keys // len(known)], known[keys % len(known)]
+                whole = len(a) if x is None else int(np.searchsorted(a, a[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[:whole]), pa.array(b[:whole])], ["a", "b"])
+                a, b = a[whole:], b[whole:]
+                due = max(pairs // 2, 2 * len(a))
+
+    known = uses.select("arc", F.col("part").cast("long").alias("part"), "country").dropna()
+    dealt = known.repartitionByRange("arc").sortWithinPartitions("arc", "part", "country")
+    sent = dealt.mapInArrow(pair, "a long, bs binary").repartition("a").sortWithinPartitions("a")
+    return sent.mapInArrow(once, "a long, b long")
+
+
 def shared_arc_borders(parts: DataFrame, water: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """(a, b): parts (part, country, arcs) of different countries with a common arc, without water pairs, with reviewed ones.
+    """(a, b): parts (part, country, arcs) of different countries with a common arc, without water pairs, with reviewed ones."""
+    return arc_borders(parts.select("part", "country", F.explode("arcs").alias("arc")), water, reviewed)
 
-    Arcs are dealt by ranges, as neighbours have many parts in common: equal pairs of a range are one row
-    before they are shuffled. Pairs are made one way and turned around in the end.
-    """
-    arcs = parts.select("part", "country", F.explode("arcs").alias("arc")).filter("arc is not null")
-    users = arcs.repartitionByRange("arc").groupBy("arc").agg(F.collect_list(F.struct("part", "country")).alias("users"))
-    one = users.select(F.explode("users").alias("x"), "users").select("x", F.explode("users").alias("y"))
-    met = one.filter("x.part <= y.part and x.country <> y.country").select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct()
+
+def arc_borders(uses: DataFrame, water: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(a, b): ``shared_arc_borders`` of parts that come as uses (part, country, arc). Pairs are made one way and turned around in the end."""
+    met = arc_neighbours(uses)
     both = met.select(F.explode(F.when(F.col("a") < F.col("b"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))).alias("p")).select("p.*")
     kept = both.join(water.unionByName(reviewed).distinct(), ["a", "b"], "left_anti")
     return kept.unionByName(reviewed.distinct().join(water, ["a", "b"], "left_anti"))

@@ -492,3 +492,32 @@ def test_shared_arcs_meet_by_ranges_of_arcs(spark):
     assert len(rows) == len(set(rows)) and set(rows) == (want | {(1, 5)}) - {gone}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == plan.count("Join LeftAnti") and "RepartitionByExpression [arc" in plan
+
+
+def test_shared_arcs_send_their_pairs_packed(spark):
+    """Neighbours without any order among their arcs: some bytes a pair are shuffled, not a row each."""
+
+    def sent(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return sent(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return sent(node.plan())
+        own = node.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(sent(node.children().apply(i)) for i in range(node.children().size()))
+
+    rng = random.Random(4)
+    users = {arc: {rng.randrange(800) for _ in range(20)} for arc in range(4000)}
+    table = spark.createDataFrame([(f"arc {arc}", sorted(us)) for arc, us in users.items()], "arc string, us array<long>")
+    place = lambda p: (p - 400) * 2**52
+    parts = table.select(F.explode("us").alias("p"), "arc").groupBy("p").agg(F.collect_list("arc").alias("arcs"))
+    parts = parts.select(((F.col("p") - 400) * 2**52).alias("part"), F.concat(F.lit("c"), F.col("p") % 3).alias("country"), F.concat("arcs", "arcs").alias("arcs"))
+    parts = parts.unionByName(spark.createDataFrame([(7, None, ["arc 1"]), (None, "c9", ["arc 1"]), (-5, "x", ["y"]), (-5, "z", ["y"]), (-9, "z", ["y"])], parts.schema))
+    out = graph.shared_arc_borders(parts, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(3, 4)], "a long, b long"))
+    want = {(place(p), place(q)) for us in users.values() for p in us for q in us if p % 3 != q % 3} | {(-5, -5), (-5, -9), (-9, -5), (3, 4)}
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    few = parts.select(F.explode("arcs").alias("arc"), (F.col("part") / 2**52).cast("long").alias("part"), "country")
+    near = graph.shared_arc_borders(few.groupBy("part", "country").agg(F.collect_list("arc").alias("arcs")), *[spark.createDataFrame([], "a long, b long")] * 2)
+    assert len(near.collect()) > 380_000
+    assert sent(near._jdf.queryExecution().executedPlan()) < 6 * len(rows)
