@@ -141,7 +141,7 @@ def symmetric_violations(edges: DataFrame) -> DataFrame:
 
 
 PAIRS = 8_000_000  #: pairs that a task holds at once, but for those of one part
-USES = 2_000_000  #: uses that a task holds at once, but for those of one arc
+USES = 1_000_000  #: uses that a task holds at once, but for those of one arc
 RUN = 4096  #: most neighbours in a packed row
 
 
@@ -155,8 +155,9 @@ def _spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _unlike(keys: list[np.ndarray]) -> np.ndarray:
-    """The different ones of all keys, in order."""
+    """The different ones of all keys, in order; the list is emptied, so that they are there once."""
     out = np.concatenate(keys)
+    keys.clear()
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
@@ -210,7 +211,7 @@ def _arc_pairs(uses: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(begins, len(at)))
     later = np.repeat(begins + sizes, sizes) - np.arange(len(at)) - 1
     held, n = [], 0
-    for i, j in _spans(later, most // 4):
+    for i, j in _spans(later, most // 8):
         x = np.repeat(np.arange(i, j), later[i:j])
         y = np.arange(len(x)) - np.repeat(np.cumsum(later[i:j]) - later[i:j], later[i:j]) + x + 1
         apart = country[x] != country[y]
@@ -220,8 +221,9 @@ def _arc_pairs(uses: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
             held = [_unlike(held)]
             n = len(held[0])
             if n > most // 2 or j == len(at):
-                for low in range(0, n, max(1, most // 8)):
-                    keys = held[0][low : low + max(1, most // 8)]
+                piece = max(1, most // 16)
+                for low in range(0, n, piece):
+                    keys = held[0][low : low + piece]
                     yield packed(known[keys // len(known)], known[keys % len(known)])
                 held, n = [], 0
 
@@ -254,8 +256,8 @@ def arc_neighbours(uses: DataFrame) -> DataFrame:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = np.empty(0, np.int64)
-        due = pairs // 2
-        for x, y in chain((p for batch in batches for p in unpacked(batch, pairs // 4)), [(None, None)]):
+        due = pairs // 4
+        for x, y in chain((p for batch in batches for p in unpacked(batch, pairs // 16)), [(None, None)]):
             if x is not None:
                 a, b = np.concatenate([a, x]), np.concatenate([b, y])
             if len(a) and (x is None or len(a) >= due):
@@ -266,7 +268,7 @@ def arc_neighbours(uses: DataFrame) -> DataFrame:
                 whole = len(a) if x is None else int(np.searchsorted(a, a[-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(a[:whole]), pa.array(b[:whole])], ["a", "b"])
                 a, b = a[whole:], b[whole:]
-                due = max(pairs // 2, 2 * len(a))
+                due = max(pairs // 4, 2 * len(a))
 
     known = uses.select("arc", F.col("part").cast("long").alias("part"), "country").dropna()
     dealt = known.repartitionByRange("arc").sortWithinPartitions("arc", "part", "country")
